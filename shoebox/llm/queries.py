@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import queries_pages
 from .castore import read_store, write_store
 from .chunkbpe import decode_ids, encode_documents
 from .packing import pack_documents
@@ -57,6 +58,6 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_chunk_store": op8_chunk_store,
     "op10_chunk_bpe": op10_chunk_bpe,
-}
+} | queries_pages.QUERIES
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(queries_pages.ORACLES)
