@@ -1,0 +1 @@
+"""Analytics over large media libraries, expressed as Spark DataFrame plans."""
