@@ -38,7 +38,7 @@ def has_cjk(text: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma-separated values, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def preview(text: Column, length: int) -> Column:
