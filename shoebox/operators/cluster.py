@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors
 from . import graph
@@ -66,11 +67,12 @@ def nearest(items: DataFrame, targets: DataFrame) -> DataFrame:
         return items.sparkSession.createDataFrame([], out)
     if count <= SMALL_SIDE:
         listed = ordered.orderBy("target").collect()
+        arrow = to_arrow_type(kind)
         shared = items.sparkSession.sparkContext.broadcast(([r["target"] for r in listed], np.asarray([r["vector"] for r in listed], dtype=np.float64)))
 
         def best(batches):
             names, side = shared.value
-            names = pa.array(names)
+            names = pa.array(names, arrow)
             for batch in batches:
                 for low in range(0, batch.num_rows, BLOCK):
                     part = batch.slice(low, BLOCK)

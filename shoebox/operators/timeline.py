@@ -29,9 +29,14 @@ def sessions(photos: DataFrame, gap: str = "6 hours", owner: str | None = None)
     gaps = marked.join(days, [*keys, "taken_at"], "left").withColumn("before", F.coalesce("before", "previous"))
     starts = gaps.where(F.col("before").isNull() | (F.col("taken_at") > F.col("before") + wide)).select(*keys, F.col("taken_at").alias("start"))
     ends = starts.withColumn("next", F.lead("start").over(Window.partitionBy(*keys).orderBy("start") if keys else Window.orderBy("start")))
-    days_of = ends.withColumn("day", F.explode(F.sequence(F.to_date("start"), F.to_date(F.coalesce("next", F.col("start") + F.expr("INTERVAL 1 day"))))))
+    # a day holds the sessions that start in it and the one running into it
+    last_of_day = starts.groupBy(*keys, F.to_date("start").alias("day")).agg(F.max("start").alias("last_start"))
+    running = F.max("last_start").over((Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    all_days = times.groupBy(*keys, F.to_date("taken_at").alias("day")).agg(F.lit(1).alias("one")).join(last_of_day, [*keys, "day"], "left")
+    into = all_days.select(*keys, "day", running.alias("start")).where("start is not null").join(ends, [*keys, "start"])
+    spans = ends.withColumn("day", F.to_date("start")).unionByName(into)
     dated = timed.withColumn("day", F.to_date("taken_at"))
-    return dated.join(days_of, [*keys, "day"]).where((F.col("taken_at") >= F.col("start")) & (F.col("next").isNull() | (F.col("taken_at") < F.col("next")))).drop("day", "next")
+    return dated.join(spans, [*keys, "day"]).where((F.col("taken_at") >= F.col("start")) & (F.col("next").isNull() | (F.col("taken_at") < F.col("next")))).drop("day", "next")
 
 
 def session_windows(photos: DataFrame, gap: str, owner: str) -> DataFrame:
