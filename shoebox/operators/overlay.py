@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import paths
+from . import graph
 from .labels import last_row_wins
 
 
@@ -18,10 +19,10 @@ def merge_closure(merges: DataFrame) -> DataFrame:
 
     A chain ends at its first node without a merge.  A chain into a cycle ends at the first node met
     twice, so a node on a cycle ends at itself.  Evaluated as a recursive query; a walk carries the
-    nodes it has met.
+    nodes it has met.  The result is written once, for several joins read it.
     """
     merges.createOrReplaceTempView("_merge_edges")
-    return merges.sparkSession.sql("""
+    closure = merges.sparkSession.sql("""
         WITH RECURSIVE walk(start, cur, met) AS (
           SELECT DISTINCT src, src, array(src) FROM _merge_edges
           UNION ALL
@@ -31,6 +32,7 @@ def merge_closure(merges: DataFrame) -> DataFrame:
         )
         SELECT start AS src, max_by(cur, size(met)) AS dst FROM walk GROUP BY start
     """)
+    return graph.materialize(closure)
 
 
 def resolve(rows: DataFrame, column: str, closure: DataFrame) -> DataFrame:
@@ -68,6 +70,7 @@ def cluster_images(members: DataFrame, merges: DataFrame, moves: DataFrame, remo
     paths are left out too.  Merged clusters have no view of their own.
     """
     closure = merge_closure(merges)
+    moves = graph.materialize(moves)
     native = members.select("id").distinct()
     shown = native.join(merges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
     own = resolve(members, "id", closure).where(~paths.is_skipped(F.col("path"))).groupBy("id", "path").agg(F.min("seq").alias("seq"))

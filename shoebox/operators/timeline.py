@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from . import access
+from . import access, graph
 
 #: Fixed value: an event needs this many visible photos to show.
 VISIBLE_LEAST = 3
@@ -89,9 +89,11 @@ def viewer_events(found: DataFrame, index: DataFrame, pets: DataFrame, perms: Da
     only; start, end and duration stay.  ``index(path, face_ids, location_name)``, ``pets(path, pet_ids)``.
     """
     none = F.array().cast("array<string>")
+    found = graph.materialize(found)
     photos = event_photos(found).join(index, "path", "left").join(pets, "path", "left")
     faces = F.coalesce("face_ids", none)
     seen = photos.crossJoin(F.broadcast(perms.limit(1))).where(access.can_see(F.col("path"), faces, F.coalesce("pet_ids", none)))  # one row
+    seen = graph.materialize(seen.select("id", "pos", "path", "face_ids", "location_name"))
     kept = seen.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("order")).where(F.size("order") >= VISIBLE_LEAST)
     tops = top_names(seen.select("id", "pos", F.explode("face_ids").alias("face")), ["id"], "face").withColumnRenamed("top", "top_faces")
     places = top_names(seen, ["id"], "location_name").withColumnRenamed("top", "top_places")
