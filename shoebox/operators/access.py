@@ -98,3 +98,14 @@ def display_names(people: DataFrame, known: DataFrame, viewer: str) -> DataFrame
 def admins_left(users: DataFrame, without: str) -> DataFrame:
     """Number of admins if ``without`` were removed; writes that would leave none must be refused."""
     return users.where((F.col("role") == "admin") & (F.col("name") != without)).agg(F.count("*").alias("admins"))
+
+
+def may_set_thumbnail(cluster: Column, perms: str = "") -> Column:
+    """Admins may for any cluster, others only for their own face."""
+    identity = F.col(perms + "identity")
+    return F.coalesce(F.col(perms + "is_admin") | ((identity != "") & (identity == cluster)), F.lit(False))
+
+
+def drop_group(users: DataFrame, groups: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Users and groups after deleting a group; it also leaves every user's list."""
+    return users.withColumn("groups", F.array_remove("groups", name)), groups.where(F.col("name") != name)

@@ -178,3 +178,70 @@ def merge_events(merges: DataFrame, names: DataFrame, sources: list[str], target
     if end not in named and heir:
         rows.append((seq + len(rows), "name", end, None, heir))
     return spark.createDataFrame(rows, "seq long, entry string, id string, path string, value string")
+
+
+def viewer_view(images: DataFrame, names: DataFrame, skipped: DataFrame, faces: DataFrame, perms: DataFrame, kind: str) -> DataFrame:
+    """The cluster view of the one viewer in ``perms``: hidden images go, then empty clusters.
+
+    ``faces(path, face_ids)`` are the effective faces of images; pet clusters (``kind='pet'``) do not
+    ask for them.  ``images`` as from :func:`cluster_images`.
+    """
+    from . import access
+
+    rows = images.join(faces, "path", "left").crossJoin(F.broadcast(perms.limit(1)))  # one row
+    seen = access.can_see_in_pet_cluster(F.col("id"), F.col("path")) if kind == "pet" else access.can_see_in_face_cluster(F.col("id"), F.col("path"), F.coalesce("face_ids", F.array().cast("array<string>")))
+    return cluster_view(rows.where(seen).select(*images.columns), names, skipped).where("count > 0")
+
+
+def effective_faces(members: DataFrame, merges: DataFrame, moves: DataFrame) -> DataFrame:
+    """``(path, face_ids)`` after merges and moves, as visibility in cluster views asks for them."""
+    closure = merge_closure(merges)
+    moved = resolved_moves(moves, closure).select("path", F.col("src").alias("id"), F.col("dst").alias("_to"))
+    placed = resolve(members, "id", closure).join(moved, ["path", "id"], "left").withColumn("id", F.coalesce("_to", "id"))
+    return placed.groupBy("path").agg(F.array_sort(F.collect_set("id")).alias("face_ids"))
+
+
+def combined_view(faces: DataFrame, pets: DataFrame) -> DataFrame:
+    """Face and pet clusters in one list, each tagged with its kind."""
+    return faces.withColumn("kind", F.lit("face")).unionByName(pets.withColumn("kind", F.lit("pet")))
+
+
+def thumbnail_faces(detections: DataFrame, chosen: DataFrame, merges: DataFrame) -> DataFrame:
+    """``(id, path, seq)``: in each cluster's chosen image, its first detection.
+
+    A detection belongs if its face is the cluster or was merged into it.  ``chosen(id, path)``.
+    """
+    placed = resolve(detections, "face_id", merge_closure(merges)).select(F.col("face_id").alias("id"), "path", "seq")
+    return chosen.join(placed, ["id", "path"]).groupBy("id", "path").agg(F.min("seq").alias("seq"))
+
+
+def viewer_stats(names: DataFrame, perms: DataFrame) -> DataFrame:
+    """Counts for a viewer's faces: total and displayed are the allowed faces, named those with a name."""
+    allowed = perms.limit(1).select(F.explode("allowed_faces").alias("id"))
+    known = allowed.join(names.where("name <> ''").select("id", F.lit(1).alias("named")), "id", "left")
+    return known.agg(F.count("*").alias("total"), F.count("*").alias("displayed"), F.count("named").alias("named")).select("*", F.lit(0).cast("long").alias("skipped"), F.lit(0).cast("long").alias("merges"))
+
+
+def sum_stats(parts: list[DataFrame]) -> DataFrame:
+    """Statistics of several kinds of clusters, added up."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.agg(*[F.sum(c).alias(c) for c in every.columns])
+
+
+def cluster_metadata(images: DataFrame, files: DataFrame, cluster: str) -> DataFrame:
+    """Active images of one cluster with year and month of their file time, newest first.
+
+    ``files(path, modified)``; images without a file come last, without a date.
+    """
+    active = images.where((F.col("id") == cluster) & ~F.col("gone") & ~(F.col("away") & ~F.col("user_created")))
+    dated = active.join(files.select("path", "modified"), "path", "left")
+    return dated.select("path", "modified", F.year("modified").alias("year"), F.month("modified").alias("month")).orderBy(F.desc_nulls_last("modified"), "path")
+
+
+def move_events(paths_: list[str], source: str, target: str, used: DataFrame, seq: int, prefix: str = "face") -> DataFrame:
+    """Log rows that move ``paths_`` out of ``source``; the target ``__new__`` makes a new cluster."""
+    end = next_user_id(used, prefix) if target == "__new__" else target
+    rows = [(seq + i, "move", source, p, end) for i, p in enumerate(paths_)]
+    return used.sparkSession.createDataFrame(rows, "seq long, entry string, id string, path string, value string")

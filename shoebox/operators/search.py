@@ -101,3 +101,17 @@ def search_index(index: DataFrame, wanted: Filters, k: int = 20) -> DataFrame:
     if wanted.query:
         score = score + keyword_score(F.col("label"), wanted.query)
     return top_k(index.where(keep).withColumn("score", score), k)
+
+
+def query_vector(text: str, encode, translate=None) -> list[float]:
+    """Vector of a search text: one call of ``encode`` on the driver.
+
+    A text with CJK characters is translated first if ``translate`` is given; if that fails or
+    returns nothing, the text is encoded as it is.
+    """
+    if translate is not None and any("\u4e00" <= c <= "\u9fff" or "\u3400" <= c <= "\u4dbf" for c in text):
+        try:
+            text = translate(text) or text
+        except Exception:  # searching untranslated is better than not at all
+            pass
+    return [float(x) for x in encode(text)]

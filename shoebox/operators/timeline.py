@@ -111,3 +111,11 @@ def event_detail(found: DataFrame, event_id: str, index: DataFrame, perms: DataF
     one = event_photos(found.where(F.col("id") == event_id)).join(index, "path")
     seen = one.crossJoin(F.broadcast(perms.limit(1))).where(access.can_see(F.col("path"), F.col("face_ids")))  # one row
     return seen.select("pos", "path", "taken_at", "location_name")
+
+
+def overview(index: DataFrame, pets: DataFrame, perms: DataFrame) -> DataFrame:
+    """Photos with a time that the one viewer of ``perms`` may see, newest first, in a slim form."""
+    none = F.array().cast("array<string>")
+    rows = index.where("taken_at is not null").join(pets, "path", "left").crossJoin(F.broadcast(perms.limit(1)))  # one row
+    seen = rows.where(access.can_see(F.col("path"), F.coalesce("face_ids", none), F.coalesce("pet_ids", none)))
+    return seen.select("path", "taken_at", "year", "month", "location_name").orderBy(F.desc("taken_at"), "path")

@@ -139,9 +139,66 @@ def last_write_wins(spark, d):
     return labels.last_row_wins(rows, "path", ["k", "event_id"]).select("path", "event_id", "k")
 
 
+def viewer_face_clusters(spark, d):
+    images = _images(spark, d)
+    faces = overlay.effective_faces(a.members(spark, d), a.merges(spark, d), a.moves(spark, d))
+    perms = access.permissions(a.users(spark), a.groups(spark)).where("name = 'bob'")
+    return overlay.viewer_view(images, a.names(spark, d), a.skipped(spark, d), faces, perms, "face").select("id", "name", "count")
+
+
+def _pet_members(spark, d):
+    return a.photos(spark, d).select(F.explode("pet_ids").alias("id"), "path", F.col("event_id").alias("seq"))
+
+
+def _pet_view(spark, d, perms=None):
+    none = spark.createDataFrame([], "src string, dst string, path string, id string, name string, seq long")
+    images = overlay.cluster_images(_pet_members(spark, d), none.select("src", "dst"), none.select("path", "src", "dst", "seq"), none.select("id", "path"))
+    if perms is None:
+        return overlay.cluster_view(images, none.select("id", "name"), none.select("id"))
+    return overlay.viewer_view(images, none.select("id", "name"), none.select("id"), a.photos(spark, d).select("path", "face_ids"), perms, "pet")
+
+
+def viewer_pet_clusters(spark, d):
+    perms = access.permissions(a.users(spark), a.groups(spark))
+    parts = [_pet_view(spark, d, perms.where(F.col("name") == who)).select(F.lit(who).alias("viewer"), "id", "count") for who in ("bob", "cid")]
+    return parts[0].unionByName(parts[1])
+
+
+def combined_clusters(spark, d):
+    return overlay.combined_view(_view(spark, d), _pet_view(spark, d)).select("kind", "id", "count", "skipped")
+
+
+def thumbnail_faces(spark, d):
+    chosen = a.detections(spark, d).groupBy(F.col("face_id").alias("id")).agg(F.max("path").alias("path"))
+    return overlay.thumbnail_faces(a.detections(spark, d), chosen, a.merges(spark, d))
+
+
+def viewer_stats(spark, d):
+    perms = access.permissions(a.users(spark), a.groups(spark)).where("name = 'bob'")
+    return overlay.sum_stats([overlay.viewer_stats(a.names(spark, d), perms), overlay.viewer_stats(a.names(spark, d), perms)])
+
+
+def cluster_metadata(spark, d):
+    files = a.photos(spark, d).select("path", F.col("taken_at").alias("modified"))
+    out = overlay.cluster_metadata(_images(spark, d), files, "face_1")
+    return out.select("path", F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"))
+
+
+def thumbnail_rights(spark, d):
+    perms = access.permissions(a.users(spark), a.groups(spark))
+    clusters = spark.createDataFrame([("face_1",), ("face_2",), ("",)], "cluster string")
+    return perms.crossJoin(clusters).select("name", "cluster", access.may_set_thumbnail(F.col("cluster")).alias("may"), access.can_see_cluster(F.col("cluster")).alias("sees"))
+
+
+def dropped_group(spark, d):
+    users, groups = access.drop_group(a.users(spark), a.groups(spark), "friends")
+    return access.permissions(users, groups).select("name", F.array_join("allowed_faces", ",").alias("allowed_faces"))
+
+
 QUERIES = {f.__name__: f for f in (
     face_cluster_info, faces_per_image, best_detection, best_of_first_images, merge_closure, overlay_apply, cluster_view, cluster_view_synthetic, cluster_sort, cluster_page, cluster_stats,
     named_clusters, viewer_perms, visible_photos, visible_face_view, visible_pet_view, alias_derive, display_names, clean_edges, admins_left, next_user_id, overlay_log_state, last_write_wins,
+    viewer_face_clusters, viewer_pet_clusters, combined_clusters, thumbnail_faces, viewer_stats, cluster_metadata, thumbnail_rights, dropped_group,
 )}
 
 _D = a.with_(a.PHOTOS, a.DETECTIONS)
@@ -189,4 +246,16 @@ ORACLES = {
     "next_user_id": "SELECT 'face_u3' AS next_id",
     "overlay_log_state": "SELECT * FROM (VALUES ('name', 'face_1', NULL, 'Anna'), ('merge', 'face_4', NULL, 'face_1'), ('move', 'face_5', '/a.jpg', 'face_7'), ('skip', 'face_8', NULL, '1')) AS t(entry, id, path, value)",
     "last_write_wins": f"{a.with_(a.PHOTOS)} SELECT user_id AS path, event_id, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC, event_id DESC) AS r FROM photos) WHERE r = 1",
+    "viewer_face_clusters": f"""{_VIEW}, {a.PERMS}, eff AS (SELECT path, list(DISTINCT id) AS face_ids, CAST([] AS VARCHAR[]) AS pet_ids FROM (
+          SELECT d.path, coalesce(m.dst, coalesce(c.dst, d.face_id)) AS id FROM detections d LEFT JOIN closure c ON c.src = d.face_id LEFT JOIN rmoves m ON m.path = d.path AND m.src = coalesce(c.dst, d.face_id)) GROUP BY path)
+        SELECT x.id, coalesce(any_value(n.name), '') AS name, count(*) AS count FROM (SELECT act.id, eff.*, perms.* FROM act JOIN eff ON eff.path = act.path, perms WHERE act.active AND perms.name = 'bob') x LEFT JOIN names n ON n.id = x.id
+        WHERE list_contains(allowed_faces, x.id) AND {a.CAN_SEE} GROUP BY x.id""",
+    "viewer_pet_clusters": f"""{_SEEN} SELECT name AS viewer, cluster AS id, count(*) AS count FROM (SELECT *, unnest(pet_ids) AS cluster FROM photos, perms WHERE name IN ('bob', 'cid'))
+        WHERE CASE WHEN len(allowed_pets) > 0 THEN list_contains(allowed_pets, cluster) ELSE len(list_filter(blocked_paths, lambda b: starts_with(path, b))) = 0 END GROUP BY 1, 2""",
+    "combined_clusters": f"{_VIEW} SELECT 'face' AS kind, id, count, skipped FROM v UNION ALL SELECT 'pet', pet, count(*), false FROM (SELECT unnest(pet_ids) AS pet FROM photos) GROUP BY pet",
+    "thumbnail_faces": f"{_OVER} SELECT ch.id, ch.path, min(d.seq) AS seq FROM (SELECT face_id AS id, max(path) AS path FROM detections GROUP BY 1) ch JOIN detections d ON d.path = ch.path LEFT JOIN closure c ON c.src = d.face_id WHERE coalesce(c.dst, d.face_id) = ch.id GROUP BY 1, 2",
+    "viewer_stats": f"{a.with_(a.NAMES)} SELECT 8::BIGINT AS total, 8::BIGINT AS displayed, 2 * count(*) AS named, 0::BIGINT AS skipped, 0::BIGINT AS merges FROM names WHERE id IN ('face_2', 'face_3', 'face_5', 'face_7')",
+    "cluster_metadata": f"{_VIEW} SELECT a.path, p.year, p.month FROM act a JOIN photos p ON p.path = a.path WHERE a.id = 'face_1' AND a.active",
+    "thumbnail_rights": f"{a.with_(a.PERMS)} SELECT name, cluster, is_admin OR (identity <> '' AND identity = cluster) AS may, is_admin OR list_contains(allowed_faces, cluster) AS sees FROM perms, (VALUES ('face_1'), ('face_2'), ('')) AS c(cluster)",
+    "dropped_group": "SELECT * FROM (VALUES ('ann', ''), ('bob', 'face_2,face_3,face_5'), ('cid', ''), ('dee', '')) AS t(name, allowed_faces)",
 }

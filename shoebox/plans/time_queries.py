@@ -60,6 +60,12 @@ def event_detail(spark, d):
     return out.select(F.col("pos").cast("long").alias("pos"), "path", "location_name")
 
 
+def overview_photos(spark, d):
+    p = a.photos(spark, d)
+    out = timeline.overview(p.select("path", "taken_at", "year", "month", "location_name", "face_ids"), p.select("path", "pet_ids"), _perms(spark))
+    return out.limit(200).select("path", F.col("year").cast("long").alias("year"), "location_name")
+
+
 def event_years(spark, d):
     return stats.event_years(_events(spark, d)).select(F.col("year").cast("long").alias("year"), "events")
 
@@ -184,7 +190,7 @@ def propagation_totals(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    timeline_events, timeline_cover, timeline_user, timeline_windows, timeline_top3, viewer_timeline, event_detail, event_years, overview_months, mem_on_this_day, mem_trip, mem_topic, mem_place,
+    timeline_events, timeline_cover, timeline_user, timeline_windows, timeline_top3, viewer_timeline, event_detail, overview_photos, event_years, overview_months, mem_on_this_day, mem_trip, mem_topic, mem_place,
     mem_person, mem_season, mem_weekend, mem_pet, memories_pick, card_photos, cluster_centroids, cluster_representatives, kmeans_sizes, dbscan_neighbours, dbscan_core, dbscan_labels,
     nearest_centroid_assign, label_propagation, propagation_totals,
 )}
@@ -236,6 +242,7 @@ ORACLES = {
         SELECT m.id, m.vcnt AS photo_count, coalesce(f.top_faces, '') AS top_faces, coalesce(p.top_places, '') AS top_places, CASE WHEN EXISTS (SELECT 1 FROM kept k WHERE k.id = m.id AND k.path = o.cover) THEN o.cover ELSE m.middle END AS cover
         FROM mid m JOIN orig o ON o.id = m.id LEFT JOIN ({_top('unnest(face_ids)', 'kept', 'top_faces')}) f ON f.id = m.id LEFT JOIN ({_top('location_name', 'kept', 'top_places')}) p ON p.id = m.id""",
     "event_detail": f"{_EV} SELECT pos, path, location_name FROM ev WHERE id = (SELECT arg_max(id, cnt * 1e15 + CAST(replace(substr(id, 5), '_', '') AS BIGINT)) FROM ev)",
+    "overview_photos": f"{a.with_(a.PHOTOS, a.PERMS)} SELECT path, year, location_name FROM photos, perms WHERE name = 'bob' AND {a.CAN_SEE} ORDER BY taken_at DESC, path LIMIT 200",
     "event_years": f"{_EV} SELECT year(st) AS year, count(DISTINCT id) AS events FROM ev GROUP BY 1",
     "overview_months": f"{_ORD} SELECT year, month, count(*) AS photos, count(DISTINCT location_name) AS n_places, array_to_string(list_sort(list(DISTINCT location_name) FILTER (WHERE location_name IS NOT NULL))[:3], ', ') AS places FROM o GROUP BY 1, 2",
     "mem_on_this_day": f"{_ORD} {_OTD}",
