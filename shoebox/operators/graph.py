@@ -5,19 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _KEY = "spark.checkpoint.dir"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back, so later steps neither recompute nor lose it."""
-    spark = df.sparkSession
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one; a temporary folder stands in where none is set."""
     root = spark.conf.get(_KEY, None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="shoebox-")
         spark.conf.set(_KEY, root)
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back, so later steps neither recompute nor lose it."""
+    spark = df.sparkSession
+    path = work_folder(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,10 +9,6 @@ from ..operators import cluster, geocode, index as index_ops, labels, search, st
 from . import adapters as a
 
 
-def _flat(df, *cols):
-    return df.select(*cols)
-
-
 def vector_topk(spark, d):
     items = a.items(spark, d).select(F.col("id").alias("path"), "vector")
     return search.vector_top_k(items, a.query_vector(spark, d), 20).select(F.col("path").alias("id"), F.round("score", 6).alias("score"))

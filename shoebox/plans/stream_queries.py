@@ -10,18 +10,11 @@ from . import adapters as a
 from .time_queries import ORACLES as _BATCH
 
 
-def _work(spark, name: str) -> str:
-    import uuid
-
-    graph.materialize(spark.range(1))  # makes sure that the shared folder is set
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stream_assign(spark, d):
     """Nearest-centroid assignment of an embedding stream, appended and resumable."""
     items = a.items(spark, d)
     centres = graph.materialize(cluster.centroids(items))
-    work = _work(spark, "assign")
+    work = graph.work_folder(spark, "assign")
     schema = a.table(spark, d, "embeddings").schema
 
     def stage(batch):
@@ -37,7 +30,7 @@ def stream_sessions(spark, d):
     """Per-user sessions of the event stream; complete mode, so it equals the batch result."""
     schema = a.table(spark, d, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.date_trunc("second", "ts"))
-    work = _work(spark, "sessions")
+    work = graph.work_folder(spark, "sessions")
     name = "sessions_" + work.rsplit("-", 1)[1]
     out = logs.collect_complete(logs.stream_sessions(events, "user_id", "ts", "6 hours", "1 hour"), name, f"{work}/checkpoint")
     return out.select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"))

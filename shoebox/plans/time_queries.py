@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..operators import access, cluster, memories, stats, timeline
 from . import adapters as a
 
-TODAY = datetime.date(2025, 1, 15)
 TODAY_ORDERS = datetime.date(2002, 3, 10)
 TOPICS = {"first": ("x", ["the", "and", "ing"], ["idiot"]), "second": ("y", ["ereth", "er", "on"], [])}
 
@@ -141,10 +140,6 @@ def card_photos(spark, d):
     return memories.card_photos(photos, "s3").select(F.col("pos").cast("long").alias("pos"), "path", "is_cover")
 
 
-def _scored(rows, *cols):
-    return rows.select(*cols)
-
-
 def cluster_centroids(spark, d):
     return cluster.centroids(a.items(spark, d)).select("cluster", F.posexplode("vector").alias("pos", "x")).select(F.col("cluster").cast("long").alias("cluster"), F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 

@@ -5,8 +5,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from shoebox.functions import boxes, geo, paths, text, times, vectors
-from shoebox.operators import search
+from shoebox.functions import boxes, geo, paths, places, text, times, vectors
+from shoebox.operators import geocode, search
 from shoebox.sources import images
 
 
@@ -107,3 +107,10 @@ def test_exif_is_read_by_name(order):
 
 def test_broken_exif_is_empty():
     assert images.parse_exif(b"") == images.parse_exif(b"II*\0\xff\xff\xff\x7f") == images.parse_exif(b"Exif\0\0MM") == {}
+
+
+def test_shipped_place_names_yield_to_own_ones(spark):
+    own = spark.createDataFrame([("Taipei", "T")], "word string, translation string")
+    names = spark.createDataFrame([("Taipei, TW",), ("Tainan",), ("Nowhere, XX",), (None,)], "name string")
+    got = {r["name"]: r["shown"] for r in geocode.translate(names, places.place_words(spark, own)).collect()}
+    assert got == {"Taipei, TW": "T", "Tainan": "台南", "Nowhere, XX": "Nowhere, XX", None: None}
