@@ -26,6 +26,7 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterat
     cuts = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), batch.num_rows]
     for low, high in zip(cuts, cuts[1:]):
         yield batch.slice(low, high - low)
+    pa.default_memory_pool().release_unused()
 
 
 def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

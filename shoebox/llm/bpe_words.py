@@ -12,15 +12,18 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from .batches import TwoGenerations, ragged_take, sum_by_row
+from .worker import hold
 
-#: Distinct pieces kept by a worker in each of two generations.
-PIECES_KEPT = 250_000
+#: Distinct lower-case pre-tokens kept by a worker in each of two generations, and the longest kept.
+CORES_KEPT, LONGEST_KEPT = 200_000, 64
 #: The split pattern that the fast path below repeats for Latin letters.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -63,9 +66,11 @@ def _splittable(spec: dict) -> tuple[bool, bool]:
 class WordEncoder:
     """``encode(texts)`` -> (all ids as uint32, number of ids of each text)."""
 
-    def __init__(self, path: str, keep: int = PIECES_KEPT):
+    def __init__(self, path: str, keep: int = CORES_KEPT):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are kept as little-endian 32-bit words")
         self.tokenizer = load_tokenizer(path)
         self.by_piece, self.by_model = _splittable(spec)
         self.vocabulary = self.tokenizer.get_vocab_size()
@@ -75,12 +80,24 @@ class WordEncoder:
         self.written = {ord(c): "".join(table[b] for b in c.encode()) for c in map(chr, [*range(33, 127), *range(192, 256)])}
         self.known = TwoGenerations(keep)
 
+    def _core(self, core: str) -> bytes:
+        """Ids of one pre-token in lower case, kept for the next piece that holds it."""
+        ids = self.known.find(core)
+        if ids is None:
+            shown = core if core.isascii() else core.translate(self.written)
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(core) <= LONGEST_KEPT:
+                self.known.put(core, ids)
+        return ids
+
     def _piece(self, piece: str) -> bytes:
-        if self.by_model and _PLAIN.fullmatch(piece) and not self.special.search(piece):
-            ids = [t.id for core in _SPLIT.findall(piece.lower()) for t in self.model.tokenize(core.translate(self.written))]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+        plain = piece.isprintable() if piece.isascii() else _PLAIN.fullmatch(piece)
+        if self.by_model and plain and not self.special.search(piece):
+            lower = piece.lower()
+            if lower.isalpha():
+                return self._core(lower)
+            return b"".join(map(self._core, _SPLIT.findall(lower)))
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_piece:
@@ -90,14 +107,10 @@ class WordEncoder:
         pieces = pc.ascii_split_whitespace(texts)
         pieces_of = np.diff(np.asarray(pieces.offsets, dtype=np.int64))
         distinct = pieces.flatten().dictionary_encode()
-        find, put, out = self.known.find, self.known.put, []
+        find, out = self.known.find, []
         for piece in distinct.dictionary.to_pylist():
             ids = find(piece)
-            if ids is None:
-                ids = self._piece(piece)
-                if len(piece) <= 64:
-                    put(piece, ids)
-            out.append(ids)
+            out.append(self._piece(piece) if ids is None else ids)
         lengths = np.asarray([len(x) // 4 for x in out], dtype=np.int64)
         pool = np.frombuffer(b"".join(out), dtype="<u4")
         codes = np.asarray(distinct.indices, dtype=np.int64)
@@ -106,14 +119,8 @@ class WordEncoder:
         return ids.astype(np.uint32, copy=False), sum_by_row(each, pieces_of)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each vocabulary and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return hold("words", path, lambda: WordEncoder(path))
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, types as T
 
 from .batches import TwoGenerations, slices, text_column
 from .bpe_words import byte_alphabet, load_tokenizer
+from .worker import hold
 
 WINDOW = 32
 #: One byte position in 2**CUT_BITS ends a chunk, on average.
@@ -170,13 +171,8 @@ class ChunkEncoder:
             return raw.decode("utf-8", "replace").encode()
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def chunk_encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return hold("chunks", path, lambda: ChunkEncoder(path))
 
 
 def encode_column(encoder: ChunkEncoder, texts: pa.Array) -> list[np.ndarray]:

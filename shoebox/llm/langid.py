@@ -22,6 +22,7 @@ from .batches import slices, sum_by_row, text_column
 from .storage import materialize
 from .terms import PieceTable, pieces_of
 from .toxicity import held_out
+from .worker import hold
 
 ORDER = 5
 #: Labelled texts of one language that its model is fitted on, about (chosen by hash of the id).
@@ -30,7 +31,7 @@ FIT_ROWS = 1_500
 #: and has at least this much more cross-entropy (nats per symbol) than they have on average.
 FAR, EXCESS = 3.0, 0.7
 UNKNOWN = "und"
-PIECES_KEPT = 200_000
+PIECES_KEPT = 120_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x100000001B3)
 
@@ -257,7 +258,7 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     def measure(batches):
-        identifier = Identifier(shared.value)
+        identifier = _identifier(shared)
         for whole in batches:
             for batch in slices(whole, "text"):
                 totals = identifier.totals(text_column(batch, "text"))
@@ -279,14 +280,8 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return model
 
 
-_identifiers: dict[int, tuple] = {}
-
-
 def _identifier(shared) -> Identifier:
-    held = _identifiers.get(0)
-    if held is None or held[0] is not shared.value:
-        _identifiers[0] = held = (shared.value, Identifier(shared.value))
-    return held[1]
+    return hold("languages", shared.value, lambda: Identifier(shared.value))
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

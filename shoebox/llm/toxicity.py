@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .batches import slices, text_column
 from .storage import materialize
 from .terms import PieceTable, pieces_of
+from .worker import hold
 
 #: Labelled rows used for fitting at most: the smallest by hash of the id.
 FIT_ROWS = 16_000
@@ -32,7 +33,7 @@ FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 40, 256, 0.2, 1e-5
 REJECT_AT = 0.3
 _WORD = re.compile(r"\w+")
 _MASK = (1 << 62) - 1
-PIECES_KEPT = 250_000
+PIECES_KEPT = 120_000
 
 
 def term_hashes(piece: str) -> list[int]:
@@ -177,15 +178,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return fit_machine(terms, [np.frombuffer(r["terms"], dtype="<i4").astype(np.int64) for r in got], np.asarray([r["label"] for r in got], dtype=np.float64))
 
 
-_scorers: dict[int, tuple] = {}
-
-
 def _scorer(shared) -> Scorer:
-    """One scorer for each broadcast machine and worker."""
-    held = _scorers.get(0)
-    if held is None or held[0] is not shared.value:
-        _scorers[0] = held = (shared.value, Scorer(shared.value))
-    return held[1]
+    return hold("toxicity", shared.value, lambda: Scorer(shared.value))
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
