@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import slices, sum_by_row, text_column
+from .batches import slices, text_column
 from .components import UnionFind, connected_components
 from .storage import materialize
 
@@ -196,7 +196,9 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = simhash_groups(docs, id_col, text_col, **options)
     kept = materialize(groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     stay = docs.where(docs[id_col].isNull())
-    known = docs.where(docs[id_col].isNotNull()).join(kept.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    # the ids kept grow with the documents, so they are never broadcast; hashing them spares a sort of the texts
+    chosen = kept.select(F.col("doc_id").alias(id_col)).hint("shuffle_hash")
+    known = docs.where(docs[id_col].isNotNull()).join(chosen, id_col, "left_semi").select(*docs.columns)
     if kept.where("n > 1").limit(1).count():
         known = known.dropDuplicates([id_col])
     return known.unionByName(stay)
