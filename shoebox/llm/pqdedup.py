@@ -8,9 +8,9 @@ error, so this step drops no link.  What is left is verified by exact double-pre
 
 Probing.  If two vectors at distance r lie in different cells, the sum of their distances to the
 border between the cells is at most the part of r across it.  So one of them is within half of
-that part.  ``spread`` says how many standard deviations of that part (r / sqrt(dimension) for
-differences without a preferred direction) are allowed for; 4 misses about one pair in 10^4.
-``spread=None`` probes up to r / 2, which misses none.
+that part, and probing up to r / 2 misses no link; this is the default.  A number as ``spread``
+says how many standard deviations of that part (r / sqrt(dimension)) are allowed for.  It probes
+less, and loses links whose differences lie along the main directions of the vectors.
 
 Exact copies are folded into one vector with a weight first.  Lists that hold many vectors are
 dealt out as pairs of bounded chunks.  Link counts are summed before the shuffle and only a
@@ -232,7 +232,7 @@ def _compare(shared, threshold):
     return run
 
 
-def cosine_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", spread: float | None = 4.0) -> DataFrame:
+def cosine_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", spread: float | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per input row.
 
     Two rows link if their labels are equal and not null and the double-precision cosine of their

@@ -164,3 +164,19 @@ def test_recall_on_the_stored_vectors(spark):
     got = {r["vec_id"]: r["n_links"] for r in pqdedup.cosine_groups(base.unionByName(noisy)).collect()}
     found = np.asarray([got[r[0]] for r in rows])
     assert (found <= links).all() and found.sum() >= 0.99 * links.sum() > 0
+
+
+@pytest.mark.parametrize("list_rows", [400, 40])
+def test_no_link_along_principal_directions_is_missed(spark, monkeypatch, list_rows):
+    """Production settings find every link between stored vectors and copies shifted along their main directions."""
+    monkeypatch.setattr(pqdedup, "LIST_ROWS", list_rows)
+    base = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").limit(1500).collect()
+    x = np.asarray([r["embedding"] for r in base], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    main = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:4]
+    copies = x + 0.36 * main[np.arange(len(x)) % 4] * np.where(np.arange(len(x)) % 8 < 4, 1, -1)[:, None]
+    rows = np.concatenate([x, copies / np.linalg.norm(copies, axis=1, keepdims=True)])
+    links = (rows @ rows.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in pqdedup.cosine_groups(df).collect()}
+    assert links.sum() > len(x) and [got[i] for i in range(len(rows))] == links.tolist()
