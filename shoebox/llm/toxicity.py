@@ -4,7 +4,7 @@ Score = sigmoid(b + sum w_i + sum over pairs i<j <v_i, v_j>) over the distinct t
 text.  The pairwise part lets two terms mean together what neither does alone.  Terms are
 lower-cased words and their beginnings of PREFIXES characters, under 62-bit hashes, so collisions
 do not matter.  The machine is fitted on a bounded sample of labelled rows; terms without a
-measurable link to the label are screened out first.
+measurable link to the label, alone or in a pair, are screened out first.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .worker import hold
 FIT_ROWS = 16_000
 #: Terms that the machine knows at most, and the rows a term must be in.
 TERMS, TERM_ROWS, TERM_Z = 8192, 5, 5.0
+#: Rows of the rarer label that a term of the pair screen must be in, pairs let through by chance, terms compared at a time.
+PAIR_ROWS, PAIR_CHANCE, PAIR_BLOCK = 10, 0.01, 512
 PREFIXES = (4, 5, 6, 7, 8)
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 40, 256, 0.2, 1e-5
 #: A score from here on is a rejection.
@@ -98,6 +100,75 @@ def fit_machine(terms: np.ndarray, docs: list[np.ndarray], label: np.ndarray, se
     return machine
 
 
+def joint_evidence(docs: list[np.ndarray], label: np.ndarray, k: int) -> np.ndarray:
+    """For each of ``k`` terms, the strongest evidence of a pair it is in, 0 below chance level.
+
+    A pair's evidence is rows x divergence of its label rate from the nearest rate that its terms
+    explain: anything between the base rate, the two single rates and their sum in log odds.  The
+    chance of so much evidence is at most exp(-evidence), so log(pairs / PAIR_CHANCE) is asked for.
+    """
+    out = np.zeros(k)
+    label = label if label.mean() <= 0.5 else 1 - label
+    row, term = np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.concatenate(docs)
+    n, p = np.bincount(term, minlength=k), np.bincount(term, label[row], k)
+    # terms of the same rows are one
+    rows_of = np.zeros(k, dtype=np.uint64)
+    np.add.at(rows_of, term, np.random.default_rng(1).integers(0, 1 << 63, len(docs), dtype=np.uint64)[row])
+    able = np.flatnonzero(p >= PAIR_ROWS)
+    _, first, group = np.unique(rows_of[able], return_index=True, return_inverse=True)
+    if len(first) < 2:
+        return out
+    chosen = able[first]
+    place = np.full(k, -1)
+    place[chosen] = np.arange(len(chosen))
+    at = place[term]
+    row, at = row[at >= 0], at[at >= 0]
+    odds = lambda r: np.log(r / (1 - r))
+    base, rate, found = float(label.mean()), (p[chosen] + 0.5) / (n[chosen] + 1), np.zeros(len(chosen))
+    enough = np.log(len(chosen) * (len(chosen) - 1) / 2 / PAIR_CHANCE)
+
+    # a pair rarer in labelled rows than ``least`` and in all rows than ``often`` cannot have enough evidence
+    least, often = enough / -np.log(base), enough / -np.log1p(-base)
+    toxic = np.flatnonzero(label)
+
+    def packed(row, at, rows):
+        bits = np.zeros((len(chosen), -(-rows // 64)), dtype=np.uint64)
+        np.bitwise_or.at(bits, (at, row // 64), np.uint64(1) << (row % 64).astype(np.uint64))
+        return bits
+
+    on = label[row] > 0
+    bits, marked = packed(row, at, len(docs)), np.ascontiguousarray(packed(np.searchsorted(toxic, row[on]), at[on], len(toxic)).T)
+    common = n[chosen] >= often
+    for low in range(0, len(chosen), PAIR_BLOCK):
+        x = marked[:, low:low + PAIR_BLOCK]
+        for other in range(low, len(chosen), PAIR_BLOCK):
+            y = marked[:, other:other + PAIR_BLOCK]
+            hit = np.zeros((x.shape[1], y.shape[1]), dtype=np.int32)
+            for word in range(len(marked)):
+                hit += np.bitwise_count(x[word][:, None] & y[word][None])
+            near, far = common[low:low + PAIR_BLOCK], common[other:other + PAIR_BLOCK]
+            may = hit >= least
+            if near.any() and far.any():
+                may |= near[:, None] & far[None]
+            i, j = np.nonzero(np.triu(may, 1) if other == low else may)
+            h, i, j = hit[i, j].astype(float), low + i, other + j
+            for k0 in range(0, len(i), 4096):
+                a, b, c = i[k0:k0 + 4096], j[k0:k0 + 4096], h[k0:k0 + 4096]
+                m = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64).astype(float)
+                a, b, c, m = a[m > 0], b[m > 0], c[m > 0], m[m > 0]
+                r, q = rate[a], rate[b]
+                explained = np.stack([r, q, 1 / (1 + np.exp(odds(base) - odds(r) - odds(q))), np.full(len(r), base)])
+                spot = c / m
+                null = np.clip(spot, explained.min(0), explained.max(0))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = np.where(c > 0, c * np.log(spot / null), 0) + np.where(c < m, (m - c) * np.log((1 - spot) / (1 - null)), 0)
+                sure = gain >= enough
+                np.maximum.at(found, a[sure], gain[sure])
+                np.maximum.at(found, b[sure], gain[sure])
+    out[able] = found[group]
+    return out
+
+
 class Scorer:
     """Scores of whole texts; pieces that hold no known term cost one lookup."""
 
@@ -164,8 +235,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return Machine(np.zeros(0, dtype=np.int64), -6.0 if not base else 6.0, np.zeros(0), np.zeros((0, FACTORS)))
     counted = sample.mapInArrow(count, "term long, n long, p long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     deviation = (F.col("p") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
-    screened = counted.where(f"n >= {TERM_ROWS}").select("term", F.abs(deviation).alias("z")).where(f"z >= {TERM_Z}").orderBy(F.desc("z"), "term").limit(TERMS)
-    terms = np.sort(np.asarray([r["term"] for r in screened.collect()], dtype=np.int64))
+    rarer = "p" if base <= 0.5 else "n - p"
+    counts = counted.where(f"n >= {TERM_ROWS}").select("term", F.abs(deviation).alias("z"), F.expr(rarer).alias("rarer")).where(f"z >= {TERM_Z} or rarer >= {PAIR_ROWS}").toArrow().sort_by("term")
+    terms, z = np.asarray(counts["term"], dtype=np.int64), np.asarray(counts["z"], dtype=np.float64)
     known = {int(t): i for i, t in enumerate(terms)}
 
     def encode(batches):
@@ -175,7 +247,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.binary())], names=["id", "label", "terms"])
 
     got = sample.mapInArrow(encode, "id long, label int, terms binary").orderBy(F.xxhash64("id"), "id", "terms").collect()
-    return fit_machine(terms, [np.frombuffer(r["terms"], dtype="<i4").astype(np.int64) for r in got], np.asarray([r["label"] for r in got], dtype=np.float64))
+    found, label = [np.frombuffer(r["terms"], dtype="<i4").astype(np.int64) for r in got], np.asarray([r["label"] for r in got], dtype=np.float64)
+    # twice the evidence is the square of a deviation
+    z = np.maximum(np.where(z >= TERM_Z, z, 0), np.sqrt(2 * joint_evidence(found, label, len(terms))))
+    kept = np.sort(np.lexsort((terms, -z))[:min(TERMS, np.count_nonzero(z))])
+    place = np.full(len(terms), -1)
+    place[kept] = np.arange(len(kept))
+    return fit_machine(terms[kept], [(at := place[x])[at >= 0] for x in found], label)
 
 
 def _scorer(shared) -> Scorer:

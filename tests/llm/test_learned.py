@@ -134,3 +134,18 @@ def test_words_match_whatever_surrounds_them():
     machine = toxicity.Machine(np.sort(np.asarray([toxicity.xxhash.xxh64_intdigest("widiot") & toxicity._MASK])), -5.0, np.asarray([9.0]), np.zeros((1, 4)))
     score = toxicity.Scorer(machine).score(pa.array(["an Idiot!", "IDIOT%%%", "idiotic", "", "x " * 9000 + "(idiot)"], pa.large_string()))
     assert (score > 0.5).tolist() == [True, True, False, False, True]
+
+
+def test_words_that_mean_something_only_together_pass_the_screen(spark):
+    """Neither word deviates enough alone; the pair is toxic, also in rows never learnt from."""
+    rng = random.Random(4)
+    docs, marks, kind = [], [], {}
+    for i in range(4000):
+        both, green, river = i % 100 == 0, i % 100 < 15, i % 100 == 0 or 50 <= i % 100 < 64
+        docs.append((i, " ".join([f"w{rng.randrange(60)}" for _ in range(6)] + ["green"] * green + ["river"] * river)))
+        marks.append((i, int(both or rng.random() < 0.11)))
+        kind[i] = green + river
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    machine = toxicity.train_toxicity(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    held = [r for r in toxicity.score_toxicity(docs, machine).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert all(r["predicted"] == (kind[r["doc_id"]] == 2) for r in held) and {kind[r["doc_id"]] for r in held} == {0, 1, 2}
