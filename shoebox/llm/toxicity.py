@@ -4,17 +4,20 @@ Score = sigmoid(b + sum w_i + sum over pairs i<j <v_i, v_j>) over the distinct t
 text.  The pairwise part lets two terms mean together what neither does alone.  Terms are
 lower-cased words and their beginnings of PREFIXES characters, under 62-bit hashes, so collisions
 do not matter.  The machine is fitted on a bounded sample of labelled rows; terms without a
-measurable link to the label, alone or in a pair, are screened out first.
+measurable link to the label, alone or in a pair of words, are screened out first.  Every term
+that passes is learnt: a term needs TERM_ROWS rows of the sample, which bounds their number.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -25,9 +28,9 @@ from .worker import hold
 
 #: Labelled rows used for fitting at most: the smallest by hash of the id.
 FIT_ROWS = 16_000
-#: Terms that the machine knows at most, and the rows a term must be in.
-TERMS, TERM_ROWS, TERM_Z = 8192, 5, 5.0
-#: Rows of the rarer label that a term of the pair screen must be in, pairs let through by chance, terms compared at a time.
+#: Rows that a term must be in, and its deviation from the base rate if it is to pass alone.
+TERM_ROWS, TERM_Z = 5, 5.0
+#: Rows of the rarer label that a word of the pair screen must be in, pairs let through by chance, words compared at a time.
 PAIR_ROWS, PAIR_CHANCE, PAIR_BLOCK = 10, 0.01, 512
 PREFIXES = (4, 5, 6, 7, 8)
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 40, 256, 0.2, 1e-5
@@ -38,13 +41,22 @@ _MASK = (1 << 62) - 1
 PIECES_KEPT = 120_000
 
 
-def term_hashes(piece: str) -> list[int]:
-    """Hashes of a piece's words and word beginnings; the two never share a hash."""
-    out = []
-    for word in set(_WORD.findall(piece.lower())):
-        out.append(xxhash.xxh64_intdigest("w" + word) & _MASK)
-        out += [xxhash.xxh64_intdigest(f"p{n}{word[:n]}") & _MASK for n in PREFIXES if len(word) >= n]
-    return out
+def words_of(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
+
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest("w" + word) & _MASK
+
+
+def prefix_hash(prefix: str) -> int:
+    """Hash of a word's beginning; words and beginnings never share one."""
+    return xxhash.xxh64_intdigest(f"p{len(prefix)}{prefix}") & _MASK
+
+
+def term_hashes(word: str) -> list[int]:
+    """Hashes of a word and of its beginnings."""
+    return [word_hash(word), *(prefix_hash(word[:n]) for n in PREFIXES if len(word) >= n)]
 
 
 @dataclass
@@ -100,26 +112,26 @@ def fit_machine(terms: np.ndarray, docs: list[np.ndarray], label: np.ndarray, se
     return machine
 
 
-def joint_evidence(docs: list[np.ndarray], label: np.ndarray, k: int) -> np.ndarray:
+def joint_evidence(row: np.ndarray, term: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
     """For each of ``k`` terms, the strongest evidence of a pair it is in, 0 below chance level.
 
-    A pair's evidence is rows x divergence of its label rate from the nearest rate that its terms
-    explain: anything between the base rate, the two single rates and their sum in log odds.  The
-    chance of so much evidence is at most exp(-evidence), so log(pairs / PAIR_CHANCE) is asked for.
+    ``(row, term)`` says which row holds which term, without repeats.  A pair's evidence is rows x
+    divergence of its label rate from the nearest rate that its terms explain: anything between
+    the base rate, the two single rates and their sum in log odds.  The chance of so much evidence
+    is at most exp(-evidence), so log(pairs / PAIR_CHANCE) is asked for.
     """
     out = np.zeros(k)
     label = label if label.mean() <= 0.5 else 1 - label
-    row, term = np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.concatenate(docs)
     n, p = np.bincount(term, minlength=k), np.bincount(term, label[row], k)
     # terms of the same rows are one
     rows_of = np.zeros(k, dtype=np.uint64)
-    np.add.at(rows_of, term, np.random.default_rng(1).integers(0, 1 << 63, len(docs), dtype=np.uint64)[row])
+    np.add.at(rows_of, term, np.random.default_rng(1).integers(0, 1 << 63, len(label), dtype=np.uint64)[row])
     able = np.flatnonzero(p >= PAIR_ROWS)
     _, first, group = np.unique(rows_of[able], return_index=True, return_inverse=True)
     if len(first) < 2:
         return out
     chosen = able[first]
-    place = np.full(k, -1)
+    place = np.full(k, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
     at = place[term]
     row, at = row[at >= 0], at[at >= 0]
@@ -136,35 +148,37 @@ def joint_evidence(docs: list[np.ndarray], label: np.ndarray, k: int) -> np.ndar
         np.bitwise_or.at(bits, (at, row // 64), np.uint64(1) << (row % 64).astype(np.uint64))
         return bits
 
+    def weigh(a, b, c):
+        """Raise ``found`` by the pairs (a, b), of which ``c`` rows are labelled."""
+        m = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64).astype(float)
+        a, b, c, m = a[m > 0], b[m > 0], c[m > 0], m[m > 0]
+        r, q = rate[a], rate[b]
+        explained = np.stack([r, q, 1 / (1 + np.exp(odds(base) - odds(r) - odds(q))), np.full(len(r), base)])
+        spot = c / m
+        null = np.clip(spot, explained.min(0), explained.max(0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(c > 0, c * np.log(spot / null), 0) + np.where(c < m, (m - c) * np.log((1 - spot) / (1 - null)), 0)
+        sure = gain >= enough
+        np.maximum.at(found, a[sure], gain[sure])
+        np.maximum.at(found, b[sure], gain[sure])
+
     on = label[row] > 0
-    bits, marked = packed(row, at, len(docs)), np.ascontiguousarray(packed(np.searchsorted(toxic, row[on]), at[on], len(toxic)).T)
+    bits = packed(row, at, len(label))
+    marked = np.zeros((len(chosen), len(toxic)), dtype=np.float32)
+    marked[at[on], np.searchsorted(toxic, row[on])] = 1
     common = n[chosen] >= often
     for low in range(0, len(chosen), PAIR_BLOCK):
-        x = marked[:, low:low + PAIR_BLOCK]
-        for other in range(low, len(chosen), PAIR_BLOCK):
-            y = marked[:, other:other + PAIR_BLOCK]
-            hit = np.zeros((x.shape[1], y.shape[1]), dtype=np.int32)
-            for word in range(len(marked)):
-                hit += np.bitwise_count(x[word][:, None] & y[word][None])
-            near, far = common[low:low + PAIR_BLOCK], common[other:other + PAIR_BLOCK]
-            may = hit >= least
-            if near.any() and far.any():
-                may |= near[:, None] & far[None]
-            i, j = np.nonzero(np.triu(may, 1) if other == low else may)
+        near = common[low:low + PAIR_BLOCK]
+        # every word of the block with itself and with all later ones
+        for other in range(low, len(chosen), 8 * PAIR_BLOCK):
+            hit = marked[low:low + PAIR_BLOCK] @ marked[other:other + 8 * PAIR_BLOCK].T
+            may = (hit >= least) | (near[:, None] & common[other:other + 8 * PAIR_BLOCK][None])
+            i, j = np.nonzero(may)
             h, i, j = hit[i, j].astype(float), low + i, other + j
+            later = j > i
+            h, i, j = h[later], i[later], j[later]
             for k0 in range(0, len(i), 4096):
-                a, b, c = i[k0:k0 + 4096], j[k0:k0 + 4096], h[k0:k0 + 4096]
-                m = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64).astype(float)
-                a, b, c, m = a[m > 0], b[m > 0], c[m > 0], m[m > 0]
-                r, q = rate[a], rate[b]
-                explained = np.stack([r, q, 1 / (1 + np.exp(odds(base) - odds(r) - odds(q))), np.full(len(r), base)])
-                spot = c / m
-                null = np.clip(spot, explained.min(0), explained.max(0))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = np.where(c > 0, c * np.log(spot / null), 0) + np.where(c < m, (m - c) * np.log((1 - spot) / (1 - null)), 0)
-                sure = gain >= enough
-                np.maximum.at(found, a[sure], gain[sure])
-                np.maximum.at(found, b[sure], gain[sure])
+                weigh(i[k0:k0 + 4096], j[k0:k0 + 4096], h[k0:k0 + 4096])
     out[able] = found[group]
     return out
 
@@ -180,7 +194,7 @@ class Scorer:
     def _terms(self, pieces: list[str]) -> list[bytes]:
         out = []
         for piece in pieces:
-            found = [self.index[t] for t in term_hashes(piece) if t in self.index]
+            found = [self.index[t] for word in words_of(piece) for t in term_hashes(word) if t in self.index]
             out.append(struct.pack(f"<{len(found)}i", *found))
         return out
 
@@ -206,54 +220,88 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _counts(batches):
+    """Rows and toxic rows of every word and word beginning, hashed once for each slice."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            of = {kind: (Counter(), Counter()) for kind in (word_hash, prefix_hash)}
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                words = words_of(text)
+                for kind, terms in ((word_hash, words), (prefix_hash, {w[:k] for w in words for k in PREFIXES if len(w) >= k})):
+                    of[kind][0].update(terms)
+                    if label:
+                        of[kind][1].update(terms)
+            terms = [kind(t) for kind, (n, _) in of.items() for t in n]
+            n = [x for n, _ in of.values() for x in n.values()]
+            p = [p[t] for n, p in of.values() for t in n]
+            word = [kind is word_hash for kind, (n, _) in of.items() for _ in n]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(word), pa.array(n, pa.int64()), pa.array(p, pa.int64())], names=["term", "word", "n", "p"])
+
+
+def _encoded(sample: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index into the sorted ``terms``, label by row) of the sample in a fixed order.
+
+    Bounded by the sample's rows, and by the terms, which are few of a text's.
+    """
+    index = {int(t): i for i, t in enumerate(terms)}
+
+    def encode(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                known: dict[str, list[int]] = {}
+                found = []
+                for text in batch.column("text").to_pylist():
+                    held = set()
+                    for w in words_of(text):
+                        if w not in known:
+                            known[w] = [index[t] for t in term_hashes(w) if t in index]
+                        held.update(known[w])
+                    found.append(np.asarray(sorted(held), dtype="<i4").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.binary())], names=["id", "label", "terms"])
+
+    # sorted here: an ordered exchange would run the stage twice, to sample it
+    got = sample.mapInArrow(encode, "id string, label int, terms binary").select(F.xxhash64("id").alias("at"), "id", "label", "terms").toArrow()
+    got = got.take(pc.sort_indices(got, sort_keys=[(c, "ascending") for c in ("at", "id", "terms")]))
+    label = np.asarray(got["label"], dtype=np.float64)
+    sizes = np.asarray(pc.binary_length(got["terms"]), dtype=np.int64) // 4
+    term = np.concatenate([np.zeros(0, dtype="<i4"), *(np.frombuffer(t, dtype="<i4") for t in got["terms"].to_pylist())])
+    return np.repeat(np.arange(len(label), dtype=np.int32), sizes), term, label
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS) -> Machine:
     """Fit on at most ``rows`` labelled documents that are not held out.
 
     Repeated labels of one document are averaged (half and more: toxic); null labels, ids and
-    labels without a document are ignored.  Without labels the score is the prior, near 0.
+    labels without a document are ignored.  A document that stands in several rows counts once
+    for each.  Ids of any type are compared as text.  Without labels the score is the prior, near 0.
     """
     picked = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
-        .groupBy(F.col(id_col).cast("long").alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
+        .groupBy(F.col(id_col).cast("string").alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
         .orderBy(F.xxhash64("id"), "id").limit(rows)
     )
-    texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    texts = docs.select(docs[id_col].cast("string").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     sample = materialize(texts.join(F.broadcast(picked), "id").select("id", "text", "label"), "labelled")  # bounded by ``rows``
 
-    def count(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                n, positive = {}, {}
-                for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                    for term in set(term_hashes(text)):
-                        n[term] = n.get(term, 0) + 1
-                        positive[term] = positive.get(term, 0) + label
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64()), pa.array(list(positive.values()), pa.int64())], names=["term", "n", "p"])
-
     size, base = sample.agg(F.count("*"), F.avg("label")).first()
     if not size or not base or base == 1:
         return Machine(np.zeros(0, dtype=np.int64), -6.0 if not base else 6.0, np.zeros(0), np.zeros((0, FACTORS)))
-    counted = sample.mapInArrow(count, "term long, n long, p long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    counted = sample.mapInArrow(_counts, "term long, word boolean, n long, p long").groupBy("term", "word").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     deviation = (F.col("p") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
-    rarer = "p" if base <= 0.5 else "n - p"
-    counts = counted.where(f"n >= {TERM_ROWS}").select("term", F.abs(deviation).alias("z"), F.expr(rarer).alias("rarer")).where(f"z >= {TERM_Z} or rarer >= {PAIR_ROWS}").toArrow().sort_by("term")
-    terms, z = np.asarray(counts["term"], dtype=np.int64), np.asarray(counts["z"], dtype=np.float64)
-    known = {int(t): i for i, t in enumerate(terms)}
-
-    def encode(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                found = [np.asarray(sorted({known[t] for t in set(term_hashes(x)) if t in known}), dtype="<i4").tobytes() for x in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.binary())], names=["id", "label", "terms"])
-
-    got = sample.mapInArrow(encode, "id long, label int, terms binary").orderBy(F.xxhash64("id"), "id", "terms").collect()
-    found, label = [np.frombuffer(r["terms"], dtype="<i4").astype(np.int64) for r in got], np.asarray([r["label"] for r in got], dtype=np.float64)
-    # twice the evidence is the square of a deviation
-    z = np.maximum(np.where(z >= TERM_Z, z, 0), np.sqrt(2 * joint_evidence(found, label, len(terms))))
-    kept = np.sort(np.lexsort((terms, -z))[:min(TERMS, np.count_nonzero(z))])
-    place = np.full(len(terms), -1)
-    place[kept] = np.arange(len(kept))
-    return fit_machine(terms[kept], [(at := place[x])[at >= 0] for x in found], label)
+    rarer = F.expr("p" if base <= 0.5 else "n - p")
+    counts = (
+        counted.where(F.col("n") >= TERM_ROWS).select("term", "word", (F.abs(deviation) >= TERM_Z).alias("alone"), (F.col("word") & (rarer >= PAIR_ROWS)).alias("paired"))
+        .where("alone or paired").toArrow().sort_by("term")
+    )
+    term, alone, paired = (np.asarray(counts[c]) for c in ("term", "alone", "paired"))
+    row, at, label = _encoded(sample, term)
+    as_word = np.where(paired, np.cumsum(paired) - 1, -1)[at]
+    joint = np.zeros(len(term))
+    joint[paired] = joint_evidence(row[as_word >= 0], as_word[as_word >= 0], label, int(paired.sum()))
+    kept = alone | (joint > 0)
+    place = np.where(kept, np.cumsum(kept) - 1, -1)[at]
+    row, place = row[place >= 0], place[place >= 0]
+    return fit_machine(term[kept], np.split(place, np.searchsorted(row, np.arange(1, len(label)))), label)
 
 
 def _scorer(shared) -> Scorer:
@@ -266,7 +314,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
     Whole texts are scored.  Null and empty texts have the score of a text without terms.  Equal
     texts have equal scores.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by the sample
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):

@@ -131,7 +131,7 @@ def test_odd_documents_have_scores(spark, odd_docs, no_docs):
 
 
 def test_words_match_whatever_surrounds_them():
-    machine = toxicity.Machine(np.sort(np.asarray([toxicity.xxhash.xxh64_intdigest("widiot") & toxicity._MASK])), -5.0, np.asarray([9.0]), np.zeros((1, 4)))
+    machine = toxicity.Machine(np.sort(np.asarray([toxicity.word_hash("idiot")])), -5.0, np.asarray([9.0]), np.zeros((1, 4)))
     score = toxicity.Scorer(machine).score(pa.array(["an Idiot!", "IDIOT%%%", "idiotic", "", "x " * 9000 + "(idiot)"], pa.large_string()))
     assert (score > 0.5).tolist() == [True, True, False, False, True]
 
@@ -149,3 +149,17 @@ def test_words_that_mean_something_only_together_pass_the_screen(spark):
     machine = toxicity.train_toxicity(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
     held = [r for r in toxicity.score_toxicity(docs, machine).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     assert all(r["predicted"] == (kind[r["doc_id"]] == 2) for r in held) and {kind[r["doc_id"]] for r in held} == {0, 1, 2}
+
+
+def test_a_label_of_both_or_neither_word_is_learnt(spark):
+    """No single word says anything; only the machine's pair can."""
+    rng = random.Random(8)
+    docs, marks = [], {}
+    for i in range(6000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        docs.append((f"k{i}", " ".join([f"w{rng.randrange(400)}" for _ in range(12)] + ["amber"] * a + ["birch"] * b)))
+        marks[f"k{i}"] = int(a == b)
+    docs = spark.createDataFrame(docs, "doc_id string, text string")
+    machine = toxicity.train_toxicity(docs, spark.createDataFrame(list(marks.items()), "doc_id string, toxic int"))
+    held = [r for r in toxicity.score_toxicity(docs, machine).collect() if zlib.crc32(r["doc_id"].encode()) % 4 == 2]
+    assert np.mean([(r["score"] >= 0.5) == marks[r["doc_id"]] for r in held]) >= 0.95
