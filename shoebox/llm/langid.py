@@ -3,8 +3,9 @@
 Each language has one model of order ORDER over the letters of lower-cased words, each word
 between blanks, so a word's log-probability depends on the word alone and is worked out once.
 A model is a sorted array of n-gram hashes with their interpolated log-probabilities and one of
-history hashes with their back-off weights.  The language with the lowest cross-entropy per symbol
-wins.  A text whose cross-entropy under the winner is far above what held-back texts of that
+history hashes with their back-off weights; for scoring, the languages' arrays are merged into one,
+so an n-gram is looked up once for all of them.  The language with the lowest cross-entropy per
+symbol wins.  A text whose cross-entropy under the winner is far above what held-back texts of that
 language show, for its length, is rejected.
 """
 
@@ -22,7 +23,7 @@ from .batches import slices, sum_by_row, text_column
 from .storage import materialize
 from .terms import PieceTable, pieces_of
 from .toxicity import held_out
-from .worker import hold
+from .worker import hold, let_go
 
 ORDER = 5
 #: Labelled texts of one language that its model is fitted on, about (chosen by hash of the id).
@@ -119,28 +120,42 @@ class KneserNey:
         empty = gamma.pop("", 1.0)
         return KneserNey(*arrays(probability), *arrays(gamma), float(np.log(empty / alphabet)))
 
-    @staticmethod
-    def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-        hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
-        return hit, values[at] if len(keys) else np.zeros(len(wanted))
+
+class Tables:
+    """All languages in one sorted hash array, with a column of values for each language."""
+
+    def __init__(self, models: list[KneserNey], kind=np.float32):
+        every = [x for m in models for x in (m.grams, m.histories)]
+        self.keys = np.unique(np.concatenate([*every, np.zeros(1, dtype=np.uint64)]))
+        # the last row stands for what no language knows
+        self.log_p = np.full((len(self.keys) + 1, len(models)), np.nan, dtype=kind)
+        self.log_gamma = np.zeros((len(self.keys) + 1, len(models)), dtype=kind)
+        for i, m in enumerate(models):
+            self.log_p[np.searchsorted(self.keys, m.grams), i] = m.log_p
+            self.log_gamma[np.searchsorted(self.keys, m.histories), i] = m.log_gamma
+        self.floor = np.asarray([m.floor for m in models], dtype=kind)
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        # short n-grams repeat a lot; hash 0 stands for an n-gram that would begin before its word
+        distinct, back = np.unique(wanted, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+        return np.where((self.keys[at] == distinct) & (distinct != 0), at, len(self.keys))[back]
 
     def log_probability(self, hashes: list[np.ndarray], predicted: np.ndarray) -> np.ndarray:
-        """Of each symbol at ``predicted``, given the symbols before it in its word."""
-        out, open_ = np.zeros(len(predicted)), np.arange(len(predicted))
+        """(symbols x languages): of each symbol at ``predicted``, given those before it in its word."""
+        out = np.zeros((len(predicted), len(self.floor)), dtype=self.floor.dtype)
+        open_ = np.ones(out.shape, dtype=bool)
+        here = self.places(hashes[ORDER - 1])
         for k in range(ORDER, 0, -1):
-            at = predicted[open_]
-            wanted = hashes[k - 1][at]
-            hit, value = self._look(self.grams, self.log_p, wanted)
-            hit &= wanted != 0
-            out[open_[hit]] += value[hit]
-            open_ = open_[~hit]
-            if k > 1 and len(open_):
-                history = hashes[k - 2][predicted[open_] - 1]
-                seen, weight = self._look(self.histories, self.log_gamma, history)
-                seen &= (history != 0) & (hashes[k - 1][predicted[open_]] != 0)
-                out[open_[seen]] += weight[seen]
-        out[open_] += self.floor
+            value = self.log_p[here[predicted]]
+            hit = open_ & ~np.isnan(value)
+            np.add(out, value, out=out, where=hit)
+            open_ &= ~hit
+            if k > 1:
+                here = self.places(hashes[k - 2])
+                inside = (hashes[k - 1][predicted] != 0)[:, None]
+                np.add(out, self.log_gamma[here[predicted - 1]], out=out, where=open_ & inside)
+        np.add(out, self.floor[None], out=out, where=open_)
         return out
 
 
@@ -152,6 +167,16 @@ class LanguageModel:
     scale: np.ndarray
     reach: np.ndarray
 
+
+#: Words scored at a time; bounds the arrays of a step.
+WORDS_STEP = 16_384
+
+
+class Identifier:
+    def __init__(self, model: LanguageModel, kind=np.float32):
+        self.model, self.tables = model, Tables(model.models, kind)
+        self.table = PieceTable(lambda new: [r.tobytes() for r in self.words(new).astype("<f4")], PIECES_KEPT)
+
     def words(self, pieces: list[str]) -> np.ndarray:
         """(pieces x (languages + 1)): log-probability under each model, then symbols predicted."""
         words, owner = [], []
@@ -159,30 +184,20 @@ class LanguageModel:
             for w in _LETTERS.findall(piece.lower()):
                 words.append(w)
                 owner.append(i)
-        out = np.zeros((len(pieces), len(self.models) + 1))
-        if not words:
-            return out
-        text = " " + "  ".join(words) + " "
-        symbols = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        lengths = np.asarray([len(w) + 2 for w in words])
-        starts = np.cumsum(lengths) - lengths
-        first = np.repeat(starts, lengths)
-        hashes = gram_hashes(symbols, first)
-        predicted = np.flatnonzero(np.arange(len(symbols)) > first)
-        word = np.repeat(np.arange(len(words)), lengths - 1)
-        owner = np.asarray(owner)
-        for i, model in enumerate(self.models):
-            each = np.bincount(word, model.log_probability(hashes, predicted), len(words))
-            out[:, i] = np.bincount(owner, each, len(pieces))
-        out[:, -1] = np.bincount(owner, lengths - 1, len(pieces))
+        out = np.zeros((len(pieces), len(self.model.models) + 1))
+        for low in range(0, len(words), WORDS_STEP):
+            part = words[low:low + WORDS_STEP]
+            symbols = np.frombuffer(("".join(f" {w} " for w in part)).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+            lengths = np.asarray([len(w) + 2 for w in part])
+            first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            predicted = np.flatnonzero(np.arange(len(symbols)) > first)
+            each = np.repeat(np.asarray(owner[low:low + WORDS_STEP]), lengths - 1)
+            found = self.tables.log_probability(gram_hashes(symbols, first), predicted)
+            for i in range(found.shape[1]):
+                out[:, i] += np.bincount(each, found[:, i], len(pieces))
+            out[:, -1] += np.bincount(each, minlength=len(pieces))
         return out
 
-
-class Identifier:
-    def __init__(self, model: LanguageModel):
-        self.model = model
-        self.table = PieceTable(lambda new: [r.tobytes() for r in model.words(new).astype("<f4")], PIECES_KEPT)
-
     def totals(self, texts: pa.Array) -> np.ndarray:
         pieces, codes, count = pieces_of(texts)
         width = len(self.model.models) + 1
@@ -208,6 +223,36 @@ class Identifier:
 
 
 GRAMS = "lang string, gram string, n long"
+FITTED = "lang string, grams binary, log_p binary, histories binary, log_gamma binary, floor double"
+
+
+def _count(batches):
+    """Occurrences of the n-grams of each language, summed over a slice."""
+    let_go()
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            words: dict[str, Counter] = defaultdict(Counter)
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                words[lang].update(_LETTERS.findall(text.lower()))
+            rows = Counter()
+            for lang, found in words.items():
+                for word, n in found.items():
+                    w = f" {word} "
+                    for k in range(1, ORDER + 1):
+                        for i in range(len(w) - k + 1):
+                            rows[lang, w[i:i + k]] += n
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(list(rows.values()), pa.int64())], names=["lang", "gram", "n"])
+
+
+def _fit(alphabet: int):
+    """One language's n-gram counts -> one row with its model."""
+
+    def run(table: pa.Table) -> pa.Table:
+        m = KneserNey.fit(dict(zip(table["gram"].to_pylist(), table["n"].to_pylist())), alphabet)
+        blobs = [m.grams.astype("<u8"), m.log_p.astype("<f4"), m.histories.astype("<u8"), m.log_gamma.astype("<f4")]
+        return pa.table([pa.array([table["lang"][0].as_py()]), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([m.floor])], names=["lang", "grams", "log_p", "histories", "log_gamma", "floor"])
+
+    return run
 
 
 def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> LanguageModel:
@@ -227,34 +272,16 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sample = known.join(F.broadcast(share), "lang").where(place < F.col("share")).select("id", "lang", "text", (F.crc32("id") % 4 == 1).alias("check"))
     sample = materialize(sample, "languages")
 
-    def count(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                words: dict[str, Counter] = defaultdict(Counter)
-                for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                    words[lang].update(_LETTERS.findall(text.lower()))
-                rows = Counter()
-                for lang, found in words.items():
-                    for word, n in found.items():
-                        w = f" {word} "
-                        for k in range(1, ORDER + 1):
-                            for i in range(len(w) - k + 1):
-                                rows[lang, w[i:i + k]] += n
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(list(rows.values()), pa.int64())], names=["lang", "gram", "n"])
-
-    def fitted(frame):
-        found: dict[str, dict[str, int]] = defaultdict(dict)
-        # bounded by the sample: rows x languages x n-grams of a text
-        for r in frame.select("lang", "text").mapInArrow(count, GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
-            found[r["lang"]][r["gram"]] = r["n"]
-        return found
-
-    counts = fitted(sample.where("not check"))
-    for lang, grams in (fitted(sample).items() if set(counts) != set(sizes) else ()):
-        counts.setdefault(lang, grams)
-    languages = sorted(counts)
-    alphabet = len({c for grams in counts.values() for g in grams for c in g}) + 1
-    model = LanguageModel(languages, [KneserNey.fit(counts[k], alphabet) for k in languages], np.zeros(len(languages)), np.ones(len(languages)), np.zeros(len(languages)))
+    # a language whose texts were all held back is fitted on those
+    whole = [r["lang"] for r in sample.groupBy("lang").agg(F.count_if(~F.col("check")).alias("n")).where("n = 0").collect()]
+    grams = sample.where(~F.col("check") | F.col("lang").isin(whole)).select("lang", "text").mapInArrow(_count, GRAMS)
+    grams = materialize(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    alphabet = grams.where(F.length("gram") == 1).select("gram").distinct().count() + 1
+    # one language's n-grams are bounded by its sample; only sorted arrays reach the driver
+    fitted = sorted(grams.groupBy("lang").applyInArrow(_fit(alphabet), FITTED).collect(), key=lambda r: r["lang"])
+    languages = [r["lang"] for r in fitted]
+    arrays = [[np.frombuffer(r[c], dtype=kind) for c, kind in (("grams", "<u8"), ("log_p", "<f4"), ("histories", "<u8"), ("log_gamma", "<f4"))] for r in fitted]
+    model = LanguageModel(languages, [KneserNey(*x, r["floor"]) for x, r in zip(arrays, fitted)], np.zeros(len(languages)), np.ones(len(languages)), np.zeros(len(languages)))
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     def measure(batches):
@@ -268,6 +295,7 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(own), pa.array(n)], names=["i", "entropy", "n"])
 
     measured = sample.where("check").select("lang", "text").mapInArrow(measure, "i long, entropy double, n double").where("n > 0 and i >= 0").collect()
+    shared.destroy()
     for i in range(len(languages)):
         own = [(r["entropy"], r["n"]) for r in measured if r["i"] == i]
         if len(own) < 10:

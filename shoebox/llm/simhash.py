@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .batches import slices, text_column
 from .components import UnionFind, connected_components
 from .storage import materialize
+from .worker import let_go
 
 #: Fingerprints of one key that are compared in one place.
 CHUNK = 1024
@@ -72,6 +73,7 @@ def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
 
     def sign(batches):
+        let_go()
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = [shingle_hashes(t, width) for t in text_column(batch, "text").to_pylist()]

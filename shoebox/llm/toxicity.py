@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .batches import slices, text_column
 from .storage import materialize
 from .terms import PieceTable, pieces_of
-from .worker import hold
+from .worker import hold, let_go
 
 #: Labelled rows used for fitting at most: the smallest by hash of the id.
 FIT_ROWS = 16_000
@@ -222,6 +222,7 @@ def held_out(id_col: str) -> F.Column:
 
 def _counts(batches):
     """Rows and toxic rows of every word and word beginning, hashed once for each slice."""
+    let_go()
     for whole in batches:
         for batch in slices(whole, "text"):
             of = {kind: (Counter(), Counter()) for kind in (word_hash, prefix_hash)}
@@ -246,6 +247,7 @@ def _encoded(sample: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
     index = {int(t): i for i, t in enumerate(terms)}
 
     def encode(batches):
+        let_go()
         for whole in batches:
             for batch in slices(whole, "text"):
                 known: dict[str, list[int]] = {}

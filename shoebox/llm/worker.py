@@ -20,7 +20,13 @@ def hold(kind: str, key, make: Callable[[], object]):
     """
     if _held and _held[0] == kind and (_held[1] is key or (isinstance(key, str) and _held[1] == key)):
         return _held[2]
-    _held.clear()
-    pa.default_memory_pool().release_unused()
+    let_go()
     _held[:] = [kind, key, make()]
     return _held[2]
+
+
+def let_go() -> None:
+    """Drop the helper of an earlier stage; work that needs none begins with this."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()

@@ -48,7 +48,7 @@ def test_kneser_ney_equals_its_definition():
     for word in ["abra", "cabab", "zz", "a", "bç", "ccccccc"]:
         s = f" {word} "
         want = [math.log(kn_by_hand(counts, 9, s[max(0, i - langid.ORDER + 1):i], s[i], langid.ORDER)) for i in range(1, len(s))]
-        got = langid.LanguageModel(["x"], [model], None, None, None).words([word])[0]
+        got = langid.Identifier(langid.LanguageModel(["x"], [model], None, None, None), np.float64).words([word])[0]
         assert got[0] == pytest.approx(sum(want), abs=1e-6) and got[1] == len(want)
 
 
