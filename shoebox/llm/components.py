@@ -84,29 +84,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component's smallest node.  An empty input gives an empty result; null ends are ignored.
     """
     both = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))
+    # a round's tables are small against the documents: as many files as cores write them
+    narrow = lambda df: df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
     state = materialize(
-        edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where(both).mapInArrow(_forests, "a long, b long").distinct(),
+        narrow(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where(both).mapInArrow(_forests, "a long, b long").distinct()),
         "edges",
     )
     before = _fingerprint(state)
     while before[0]:
         around = state.union(state.select("b", "a"))
-        least = materialize(around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+        least = around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = materialize(
-            around.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(),
+            narrow(around.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()),
             "large",
         )
         # after the first half every edge runs from a larger to a smaller node
-        least_of = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least_of = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least_of, "a").select(
             F.inline(F.array(
                 F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
                 F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
             ))
         )
-        after_df = materialize(small.where(F.col("a") != F.col("b")).distinct(), "edges")
+        after_df = materialize(narrow(small.where(F.col("a") != F.col("b")).distinct()), "edges")
         after = _fingerprint(after_df)
-        for done in (state, least, large, least_of):
+        for done in (state, large):
             discard(done)
         state = after_df
         if after == before:
