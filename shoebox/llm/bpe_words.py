@@ -3,8 +3,9 @@
 ``WordEncoder`` gives the same ids as the tokenizers library run over whole texts.  It may cut
 a text at ASCII white space because, for the vocabularies it accepts (see ``_splittable``), the
 normaliser turns white space into separators, the pre-tokenizer drops them, and neither they nor
-special tokens reach over one.  So each distinct piece of a batch is encoded once, by the
-library, and a text's ids are gathered from its pieces' ids.
+special tokens reach over one.  So each distinct piece of a batch is encoded once, and a text's
+ids are gathered from its pieces' ids.  Plain pieces are cut into pre-tokens here, and all distinct
+pre-tokens of a batch go through one call of a merge-rank encoder; other pieces take the library.
 """
 
 from __future__ import annotations
@@ -19,11 +20,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .batches import TwoGenerations, ragged_take, sum_by_row
+from .batches import ragged_take, sum_by_row
 from .worker import hold
 
-#: Distinct lower-case pre-tokens kept by a worker in each of two generations, and the longest kept.
-CORES_KEPT, LONGEST_KEPT = 200_000, 64
 #: The split pattern that the fast path below repeats for Latin letters.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -63,41 +62,93 @@ def _splittable(spec: dict) -> tuple[bool, bool]:
     return cuts, cuts and bool(level) and kinds == ["NFC", "Replace", "Lowercase"]
 
 
+class MergeRanks:
+    """The vocabulary's merges as ranks: ids of many pre-tokens in one call.
+
+    A byte that plain text never holds ends each pre-token and stands for the end-of-word mark.
+    ``None`` comes from :meth:`of` if the vocabulary's merges are not numbered in order.
+    """
+
+    END = b"\x00"
+
+    def __init__(self, ranks: dict[bytes, int], ends: np.ndarray):
+        import tiktoken
+
+        self.ends = ends
+        self.encoding = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    @classmethod
+    def of(cls, spec: dict) -> MergeRanks | None:
+        model = spec["model"]
+        suffix, vocabulary = model.get("end_of_word_suffix"), model["vocab"]
+        ids = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        alike = not model.get("dropout") and not model.get("ignore_merges") and not model.get("continuing_subword_prefix")
+        if not (suffix and alike and all(a < b for a, b in zip(ids, ids[1:]))):
+            return None
+        back = {c: b for b, c in byte_alphabet().items()}
+        top = max(vocabulary.values())
+        ranks, ends = {}, np.zeros(top + 2, dtype=bool)
+        for token, i in vocabulary.items():
+            last = token.endswith(suffix)
+            raw = bytes(map(back.__getitem__, token.removesuffix(suffix) if last else token))
+            if cls.END not in raw:
+                ranks[raw + cls.END if last else raw] = i
+                ends[i] = last
+        # single bytes and single bytes with the mark come before all merges, so the mark joins its byte first
+        if any(bytes([b]) + cls.END not in ranks or ranks[bytes([b]) + cls.END] >= ids[0] for b in range(1, 256)):
+            return None
+        return cls(ranks | {cls.END: top + 1}, ends)
+
+    def encode(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each pre-token)."""
+        if not cores:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        mark = self.END.decode()
+        ids = self.encoding.encode_to_numpy(mark.join(cores) + mark, allowed_special=set(), disallowed_special=())
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return ids, np.diff(ends, prepend=0)
+
+
 class WordEncoder:
     """``encode(texts)`` -> (all ids as uint32, number of ids of each text)."""
 
-    def __init__(self, path: str, keep: int = CORES_KEPT):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are kept as little-endian 32-bit words")
         self.tokenizer = load_tokenizer(path)
-        self.by_piece, self.by_model = _splittable(spec)
+        self.by_piece, by_model = _splittable(spec)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.special = re.compile("|".join(re.escape(a["content"]) for a in spec["added_tokens"]) or r"(?!)")
-        self.model = self.tokenizer.model
-        table = byte_alphabet()
-        self.written = {ord(c): "".join(table[b] for b in c.encode()) for c in map(chr, [*range(33, 127), *range(192, 256)])}
-        self.known = TwoGenerations(keep)
-
-    def _core(self, core: str) -> bytes:
-        """Ids of one pre-token in lower case, kept for the next piece that holds it."""
-        ids = self.known.find(core)
-        if ids is None:
-            shown = core if core.isascii() else core.translate(self.written)
-            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if len(core) <= LONGEST_KEPT:
-                self.known.put(core, ids)
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        plain = piece.isprintable() if piece.isascii() else _PLAIN.fullmatch(piece)
-        if self.by_model and plain and not self.special.search(piece):
-            lower = piece.lower()
-            if lower.isalpha():
-                return self._core(lower)
-            return b"".join(map(self._core, _SPLIT.findall(lower)))
-        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        self.ranks = MergeRanks.of(spec) if by_model else None
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each piece)."""
+        cores: dict[str, int] = {}
+        codes, per, odd = [], [], []
+        for piece in pieces:
+            if self.ranks is not None and (piece.isprintable() if piece.isascii() else _PLAIN.fullmatch(piece)):
+                lower = piece.lower()
+                if lower.isalpha():
+                    codes.append(cores.setdefault(lower, len(cores)))
+                    per.append(1)
+                    continue
+                if not self.special.search(piece):
+                    found = _SPLIT.findall(lower)
+                    codes += [cores.setdefault(c, len(cores)) for c in found]
+                    per.append(len(found))
+                    continue
+            odd.append(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            codes.append(-len(odd))
+            per.append(1)
+        ids, sizes = self.ranks.encode(list(cores)) if self.ranks is not None else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+        pool = np.concatenate([ids, np.asarray([i for x in odd for i in x], dtype=np.uint32)])
+        sizes = np.concatenate([sizes, np.asarray([len(x) for x in odd], dtype=np.int64)])
+        code = np.asarray(codes, dtype=np.int64)
+        code = np.where(code < 0, len(cores) - code - 1, code)
+        each = sizes[code]
+        return pool[ragged_take((np.cumsum(sizes) - sizes)[code], each)], sum_by_row(each, np.asarray(per, dtype=np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_piece:
@@ -107,12 +158,7 @@ class WordEncoder:
         pieces = pc.ascii_split_whitespace(texts)
         pieces_of = np.diff(np.asarray(pieces.offsets, dtype=np.int64))
         distinct = pieces.flatten().dictionary_encode()
-        find, out = self.known.find, []
-        for piece in distinct.dictionary.to_pylist():
-            ids = find(piece)
-            out.append(self._piece(piece) if ids is None else ids)
-        lengths = np.asarray([len(x) // 4 for x in out], dtype=np.int64)
-        pool = np.frombuffer(b"".join(out), dtype="<u4")
+        pool, lengths = self._pieces(distinct.dictionary.to_pylist())
         codes = np.asarray(distinct.indices, dtype=np.int64)
         each = lengths[codes]
         ids = pool[ragged_take((np.cumsum(lengths) - lengths)[codes], each)]
