@@ -5,12 +5,14 @@ Layout below one folder::
     packs/pack-<task>-<n>.cas   header, then chunk payloads end to end
     recipes/                    Parquet, one row per document in ascending doc_id order
     index/                      Parquet, digest -> pack, offset, n_ids: one row per stored chunk
-    manifest/                   Parquet, one row per pack: size, chunks, Merkle root
+    manifest/                   Parquet, one row per pack and one per bucket of recipes: rows, ids, Merkle root
+    seal/                       Parquet, one row: numbers of both kinds and of ids, and a hash over all roots
 
 An id stream is cut where a rolling hash over its last ``WINDOW`` ids falls on a mask, so equal
 passages give equal chunks wherever they stand.  A chunk's name is the SHA-256 of its payload.
-A document's recipe lists its chunk names and their Merkle root; reading verifies every chunk
-against its name and every document against its root.
+A document's recipe lists its chunk names and their Merkle root.  Reading verifies the seal against
+the manifest, the manifest against index and recipes, every document against its root and every
+chunk against its name, so a lost or altered row or file of any part raises.
 
 Writing is in two steps.  Tasks write what they have seen, each chunk once per task, in stream
 order (neighbours in a text stay neighbours on disk).  Then the copy in the smallest pack becomes
@@ -182,31 +184,64 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
     owners = chunks.groupBy("name").agg(F.min(F.struct("pack", "offset", "n_ids")).alias("at")).select("name", "at.*")
     # one pack's owned chunks come together, in stream order; a pack is bounded by PACK_BYTES
     owners.repartition("pack").sortWithinPartitions("pack", "offset").mapInArrow(_compact(folder), "name binary, pack string, offset long, n_ids int, width int").write.parquet(f"{folder}/index")
-    index = spark.read.parquet(f"{folder}/index")
-    (
-        index.repartition("pack").sortWithinPartitions("pack", "offset").mapInArrow(_roots, "pack string, chunks long, ids long, root binary")
-        .write.parquet(f"{folder}/manifest")
-    )
     staged.select("doc_id", "n_tokens", "root", "names", "sizes").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root").write.parquet(f"{folder}/recipes")
+    buckets = max(1, staged.count() // BUCKET_ROWS)
+    _roots_of(spark, folder, buckets).write.parquet(f"{folder}/manifest")
+    _seal(spark.read.parquet(f"{folder}/manifest")).withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/seal")
     delete_tree(spark, f"{folder}/staging")
     delete_tree(spark, f"{folder}/staged")
 
 
+#: Recipes under one root of the manifest, about.
+BUCKET_ROWS = 4096
+
+
+def _roots_of(spark: SparkSession, folder: str, buckets: int) -> DataFrame:
+    """``(kind, part, rows, ids, root)`` of the packs in the index and of the buckets of recipes."""
+    packs = spark.read.parquet(f"{folder}/index").select(F.lit("pack").alias("kind"), F.col("pack").alias("part"), F.col("offset").alias("at"), F.col("n_ids").cast("long").alias("ids"), F.col("name").alias("leaf"))
+    recipes = spark.read.parquet(f"{folder}/recipes").select(
+        F.lit("recipes").alias("kind"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("string").alias("part"), F.col("doc_id").alias("at"), F.col("n_tokens").alias("ids"),
+        F.unhex(F.sha2(F.concat(F.col("root"), F.encode(F.concat_ws(" ", "doc_id", "n_tokens"), "utf-8")), 256)).alias("leaf"),
+    )
+    rows = packs.unionByName(recipes).repartition("kind", "part").sortWithinPartitions("kind", "part", "at", "leaf")
+    return rows.mapInArrow(_roots, "kind string, part string, rows long, ids long, root binary")
+
+
+def _seal(manifest: DataFrame) -> DataFrame:
+    return manifest.groupBy().agg(
+        F.count_if(F.col("kind") == "pack").alias("packs"), F.count_if(F.col("kind") == "recipes").alias("recipes"),
+        F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"), F.coalesce(F.sum(F.xxhash64("kind", "part", "rows", "ids", "root").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("hash"),
+    )
+
+
+def verify_store(spark: SparkSession, folder: str) -> None:
+    """Raise :class:`CorruptChunk` if seal, manifest, index and recipes do not agree."""
+    seal = spark.read.parquet(f"{folder}/seal").collect()  # one row
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    if len(seal) != 1 or seal[0].asDict() != {**_seal(manifest).first().asDict(), "buckets": seal[0]["buckets"]}:
+        raise CorruptChunk("the manifest does not match its seal")
+    columns = ("kind", "part", "rows", "ids", "root")
+    now = _roots_of(spark, folder, seal[0]["buckets"])
+    wrong = now.select(*columns, F.lit(1).alias("n")).unionByName(manifest.select(*columns, F.lit(-1).alias("n"))).groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0").first()
+    if wrong:
+        raise CorruptChunk(f"{wrong['kind']} {wrong['part']} does not match the manifest")
+
+
 RECIPE_NAMES = ["doc_id", "n_tokens", "root", "names", "sizes", "packs", "offsets"]
 
 
-def _runs(batches, columns):
-    """Rows sorted by pack, one dict of lists per pack."""
-    held, pack = {c: [] for c in columns}, None
+def _runs(batches, columns, keys: int = 1):
+    """Rows sorted by their first ``keys`` columns, one dict of lists per run of equal keys."""
+    held, last = {c: [] for c in columns}, None
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-            if row[0] != pack and pack is not None:
+            if row[:keys] != last and last is not None:
                 yield held
                 held = {c: [] for c in columns}
-            pack = row[0]
+            last = row[:keys]
             for c, v in zip(columns, row):
                 held[c].append(v)
-    if pack is not None:
+    if last is not None:
         yield held
 
 
@@ -231,10 +266,10 @@ def _compact(folder):
 
 
 def _roots(batches):
-    for own in _runs(batches, ["pack", "n_ids", "name"]):
+    for own in _runs(batches, ["part", "kind", "ids", "leaf"], 2):
         yield pa.RecordBatch.from_arrays([
-            pa.array([own["pack"][0]]), pa.array([len(own["name"])], pa.int64()), pa.array([sum(own["n_ids"])], pa.int64()), pa.array([merkle_root(own["name"])], pa.binary()),
-        ], names=["pack", "chunks", "ids", "root"])
+            pa.array([own["kind"][0]]), pa.array([own["part"][0]]), pa.array([len(own["leaf"])], pa.int64()), pa.array([sum(own["ids"])], pa.int64()), pa.array([merkle_root(own["leaf"])], pa.binary()),
+        ], names=["kind", "part", "rows", "ids", "root"])
 
 
 class CorruptChunk(ValueError):
@@ -272,13 +307,15 @@ def _rebuild(folder):
     def docs_of(rows):
         wanted: dict[str, dict[int, int]] = {}
         for r in rows:
-            for pack, at, n, width in zip(r["packs"], r["offsets"], r["sizes"], r["widths"]):
+            if None in r["packs"] or sum(r["sizes"]) != r["n_tokens"]:
+                raise CorruptChunk(f"document {r['doc_id']}: a chunk is not in the index, or its chunks do not add up")
+            for pack, at, n, width in zip(r["packs"], r["offsets"], r["sizes"], r["widths"], strict=True):
                 wanted.setdefault(pack, {})[at] = n * width
         data, checked = _fetch(folder, wanted), {}
         blobs = []
         for r in rows:
             parts = []
-            for name, pack, at, width in zip(r["names"], r["packs"], r["offsets"], r["widths"]):
+            for name, pack, at, width in zip(r["names"], r["packs"], r["offsets"], r["widths"], strict=True):
                 part = checked.get(name)
                 if part is None:
                     raw = data[pack, at]
@@ -313,10 +350,12 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids binary little-endian uint32)`` rebuilt from the files.
 
     ``start`` counts the ids of all documents before it in ascending doc_id order.  Raises
-    :class:`CorruptChunk` if a chunk or a document does not verify.
+    :class:`CorruptChunk` if the store's parts do not agree (at once), or a chunk or a document does
+    not verify (where it is read).
     """
     from pyspark.sql import Window
 
+    verify_store(spark, folder)
     recipes = spark.read.parquet(f"{folder}/recipes")
     # recipe files are id ranges: a running sum inside each, plus the total of the files before it
     filed = recipes.withColumn("file", F.input_file_name())
@@ -332,7 +371,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     index = spark.read.parquet(f"{folder}/index").select("name", "pack", "offset", "width")
     placed = (
         started.select("start", F.posexplode("names").alias("pos", "name"))
-        .join(index, "name")
+        .join(index, "name", "left")
         .groupBy("start")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "pack", "offset", "width"))).alias("c"))
     )

@@ -124,7 +124,7 @@ def test_chunks_are_stored_once(spark):
     assert index.count() == index.select("name").distinct().count()
     assert index.groupBy().sum("n_ids").first()[0] < total / 6
     manifest = spark.read.parquet(f"{folder}/manifest")
-    assert manifest.groupBy().sum("chunks").first()[0] == index.count()
+    assert manifest.where("kind = 'pack'").groupBy().sum("rows").first()[0] == index.count()
 
 
 def test_a_changed_byte_is_found(spark):
@@ -148,3 +148,39 @@ def test_cuts_depend_on_the_document_alone():
     assert alone[-1] == len(doc) and max(np.diff([0, *alone])) <= castore.MOST
     assert castore.merkle_root([b"a"]) != castore.merkle_root([b"a", b"a"])
     assert zlib.crc32(doc.tobytes()) != zlib.crc32(other.tobytes())
+
+
+def test_every_word_of_the_vocabulary_has_the_library_s_ids():
+    encoder = bpe_words.WordEncoder(WORD)
+    back = {c: b for b, c in bpe_words.byte_alphabet().items()}
+    shown = [t.removesuffix("</w>") for t in encoder.tokenizer.get_vocab(False) if t.endswith("</w>")]
+    raw = {t: bytes(map(back.__getitem__, t)) for t in shown if t}
+    cores = {t: r.decode() for t, r in raw.items() if b"\x00" not in r and r.decode("utf-8", "ignore").encode() == r}
+    assert len(cores) > 30_000
+    ids, sizes = encoder.ranks.encode(list(cores.values()))
+    ends = np.cumsum(sizes)
+    assert all([x.id for x in encoder.tokenizer.model.tokenize(t)] == ids[e - n:e].tolist() for t, e, n in zip(cores, ends, sizes))
+
+
+@pytest.mark.parametrize("part, keep", [("index", "n_ids > 0 and pack <> ''"), ("recipes", "doc_id <> 3"), ("manifest", "kind <> 'pack'"), ("index", "false"), ("recipes", "false"), ("seal", "false")])
+def test_a_lost_row_of_any_part_is_found(spark, part, keep):
+    docs = spark.createDataFrame([(i, f"text {i} " + "word " * i) for i in range(20)], "doc_id long, text string")
+    folder = storage.scratch(spark, "store")
+    castore.write_store(docs, folder, WORD, 1)
+    assert castore.read_store(spark, folder).count() == 20
+    rows = spark.read.parquet(f"{folder}/{part}")
+    rest = rows.where(keep) if keep != "n_ids > 0 and pack <> ''" else rows.orderBy("offset").limit(rows.count() - 1)
+    rest = storage.materialize(rest, "rest")
+    rest.write.mode("overwrite").parquet(f"{folder}/{part}")
+    with pytest.raises(castore.CorruptChunk):
+        castore.read_store(spark, folder).count()
+
+
+def test_an_altered_manifest_is_found(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string")
+    folder = storage.scratch(spark, "store")
+    castore.write_store(docs, folder, WORD, 1)
+    altered = storage.materialize(spark.read.parquet(f"{folder}/manifest").selectExpr("kind", "part", "rows + 1 as rows", "ids", "root"), "rest")
+    altered.write.mode("overwrite").parquet(f"{folder}/manifest")
+    with pytest.raises(castore.CorruptChunk, match="seal"):
+        castore.read_store(spark, folder)
