@@ -5,9 +5,11 @@ of ``blocks`` blocks.  Every choice of that many blocks is a join key, so no suc
 With 6 blocks and distance 3 that is 20 keys of about 32 bits each: a key's chance partners stay
 few up to billions of fingerprints.
 
-Keys held by many fingerprints (families of near copies) are dealt out as bounded pairs of
-chunks, verified there, and reduced to a spanning forest, so neither a task nor the output grows
-with the square of a family.
+Keys held by many fingerprints (families of near copies) are split by the same principle once
+more, over the bits outside the key: each fingerprint goes to a fixed number of finer keys, which
+leave so few bits free that few fingerprints can hold one.  What is still crowded is dealt out as
+bounded pairs of chunks.  Groups are verified and reduced to a spanning forest.  So what is dealt
+grows with the fingerprints, not with the square of a family.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .worker import let_go
 
 #: Fingerprints of one key that are compared in one place.
 CHUNK = 1024
+#: Blocks of a crowded key's other bits, beyond the distance; that many have to agree.
+FINER = 4
 SEED = 42
 
 #: Byte value -> eight counters of eight bits, lowest bit in the lowest byte.
@@ -89,15 +93,32 @@ def _blocks(blocks: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:]))
 
 
-def _keys(fp: F.Column, blocks: int, distance: int) -> F.Column:
-    """One struct (which, bits) for each choice of blocks that a linked pair may agree on."""
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _masks(blocks: int, distance: int) -> list[int]:
+    """The bits of each choice of blocks that a linked pair may agree on."""
     spans = _blocks(blocks)
-    keys = []
-    for which, chosen in enumerate(combinations(range(blocks), blocks - distance)):
-        mask = sum(((1 << (hi - lo)) - 1) << lo for lo, hi in (spans[i] for i in chosen))
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(which).alias("which"), fp.bitwiseAND(F.lit(signed)).alias("bits")))
-    return F.array(*keys)
+    return [sum(((1 << (hi - lo)) - 1) << lo for lo, hi in chosen) for chosen in combinations(spans, blocks - distance)]
+
+
+def _finer_masks(mask: int, distance: int) -> list[int]:
+    """The same over the bits outside ``mask``; a single empty choice if they are too few to split."""
+    free = [bit for bit in range(64) if not mask >> bit & 1]
+    parts = distance + FINER
+    if len(free) < parts:
+        return [0]
+    runs = [free[len(free) * i // parts:len(free) * (i + 1) // parts] for i in range(parts)]
+    return [sum(1 << bit for run in chosen for bit in run) for chosen in combinations(runs, FINER)]
+
+
+def _keys(fp: F.Column, masks: list[int]) -> F.Column:
+    """One struct (which, bits) for each mask."""
+    return F.array(*[F.struct(F.lit(which).alias("which"), fp.bitwiseAND(F.lit(_signed(mask))).alias("bits")) for which, mask in enumerate(masks)])
+
+
+GROUP = ("which", "bits", "sub", "finer", "lo", "hi")
 
 
 def _verify(distance: int):
@@ -133,7 +154,7 @@ def _verify(distance: int):
                 continue
             new = np.ones(n, dtype=bool)
             new[1:] = False
-            for c in ("which", "bits", "lo", "hi"):
+            for c in GROUP:
                 new[1:] |= cols[c][1:] != cols[c][:-1]
             group = np.cumsum(new)
             last = int(np.searchsorted(group, group[-1]))
@@ -147,6 +168,35 @@ def _verify(distance: int):
     return run
 
 
+def dealt_groups(fps: DataFrame, blocks: int = 6, distance: int = 3) -> DataFrame:
+    """``fps(node long, fp long)``, fingerprints distinct -> rows of the groups to be compared.
+
+    ``GROUP`` names a group; any two fingerprints within ``distance`` share one at least.
+    """
+    masks = _masks(blocks, distance)
+    keyed = fps.select("node", "fp", F.explode(_keys(F.col("fp"), masks)).alias("k")).select("node", "fp", "k.which", "k.bits")
+    held = materialize(keyed.groupBy("which", "bits").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    zero = F.lit(0)
+    few = keyed.join(held.where(F.col("n") <= CHUNK), ["which", "bits"]).select("which", "bits", F.lit(-1).alias("sub"), zero.cast("long").alias("finer"), zero.alias("lo"), zero.alias("hi"), "fp", "node")
+    crowded = held.where(F.col("n") > CHUNK)
+    if crowded.isEmpty():
+        return few
+    # the finer masks of each key are a fixed table
+    table = F.array(*[F.array(*[F.lit(_signed(m)) for m in _finer_masks(mask, distance)]) for mask in masks])
+    finer = keyed.join(crowded, ["which", "bits"]).select("which", "bits", "fp", "node", F.posexplode(F.element_at(table, F.col("which") + 1)).alias("sub", "mask"))
+    finer = finer.select("which", "bits", "sub", F.col("fp").bitwiseAND(F.col("mask")).alias("finer"), "fp", "node")
+    key = ["which", "bits", "sub", "finer"]
+    counts = finer.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+    together = (
+        finer.join(counts, key).select(*key, "fp", "node", chunks.alias("m"), own.alias("own"))
+        .select(*key, "fp", "node", "own", F.explode(F.sequence(zero, F.col("m") - 1)).alias("other"))
+        .select(*key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "node")
+    )
+    return few.unionByName(together)
+
+
 def fingerprint_links(fps: DataFrame, blocks: int = 6, distance: int = 3) -> DataFrame:
     """``fps(node long, fp long)``, fingerprints distinct -> edges ``(a, b)``.
 
@@ -155,17 +205,7 @@ def fingerprint_links(fps: DataFrame, blocks: int = 6, distance: int = 3) -> Dat
     """
     if not 0 <= distance < blocks <= 64:
         raise ValueError("need 0 <= distance < blocks <= 64")
-    keyed = fps.select("node", "fp", F.explode(_keys(F.col("fp"), blocks, distance)).alias("k")).select("node", "fp", "k.which", "k.bits")
-    held = keyed.groupBy("which", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-    together = (
-        keyed.join(held, ["which", "bits"])
-        .select("which", "bits", "fp", "node", chunks.alias("m"), own.alias("own"))
-        .select("which", "bits", "fp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
-        .select("which", "bits", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "node")
-    )
-    dealt = together.repartition("which", "bits", "lo", "hi").sortWithinPartitions("which", "bits", "lo", "hi")
+    dealt = dealt_groups(fps, blocks, distance).repartition(*GROUP).sortWithinPartitions(*GROUP)
     return dealt.mapInArrow(_verify(distance), "a long, b long")
 
 
@@ -193,14 +233,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that represent their group: those whose id is the group's smallest.
 
-    Columns are unchanged.  Of rows that repeat an id one stays; rows with a null id all stay.
+    Columns are unchanged.  Of rows that repeat an id the one with the first text by order stays
+    (of equal texts any); rows with a null id all stay.
     """
     groups = simhash_groups(docs, id_col, text_col, **options)
     kept = materialize(groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     stay = docs.where(docs[id_col].isNull())
     # the ids kept grow with the documents, so they are never broadcast; hashing them spares a sort of the texts
-    chosen = kept.select(F.col("doc_id").alias(id_col)).hint("shuffle_hash")
-    known = docs.where(docs[id_col].isNotNull()).join(chosen, id_col, "left_semi").select(*docs.columns)
-    if kept.where("n > 1").limit(1).count():
-        known = known.dropDuplicates([id_col])
+    chosen = lambda which: kept.where(which).select(F.col("doc_id").alias(id_col)).hint("shuffle_hash")
+    known = docs.where(docs[id_col].isNotNull()).join(chosen("n = 1"), id_col, "left_semi").select(*docs.columns)
+    if not kept.where("n > 1").isEmpty():
+        again = docs.where(docs[id_col].isNotNull()).join(chosen("n > 1"), id_col, "left_semi").select(*docs.columns)
+        first = again.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNull(), text_col)).alias("first of the id"))
+        known = known.unionByName(first.select("`first of the id`.*"))
     return known.unionByName(stay)

@@ -180,3 +180,36 @@ def test_no_link_along_principal_directions_is_missed(spark, monkeypatch, list_r
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: r["n_links"] for r in pqdedup.cosine_groups(df).collect()}
     assert links.sum() > len(x) and [got[i] for i in range(len(rows))] == links.tolist()
+
+
+def near_fingerprints(n, seed=5, flips=5):
+    """Distinct fingerprints within ``flips`` bits of one."""
+    rng = np.random.default_rng(seed)
+    centre, found = int(rng.integers(0, 1 << 63)), set()
+    while len(found) < n:
+        bits = np.uint64(centre) ^ np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (n, flips)).astype(np.uint64), axis=1)
+        found |= set(bits.tolist())
+    return np.asarray(sorted(found)[:n], dtype=np.uint64).view(np.int64)
+
+
+def test_dealt_rows_grow_with_a_family_not_with_its_square(spark):
+    dealt = {}
+    for n in (20_000, 80_000, 160_000):
+        fps = spark.createDataFrame([(i, x) for i, x in enumerate(near_fingerprints(n).tolist())], "node long, fp long")
+        dealt[n] = simhash.dealt_groups(fps).count()
+    # at most 20 keys x 35 finer ones a fingerprint; pairs of chunks of whole keys would be 20 x n / 1024 (3,125 at the largest)
+    assert all(d <= 100 * n for n, d in dealt.items()), dealt
+
+
+def test_a_crowded_family_loses_no_link(spark):
+    fps = near_fingerprints(4000, seed=9, flips=6)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(fps.tolist())], "node long, fp long")
+    forest = components.UnionFind(len(fps))
+    for a, b in ((r["a"], r["b"]) for r in simhash.fingerprint_links(rows).collect()):
+        assert int(fps.view(np.uint64)[a] ^ fps.view(np.uint64)[b]).bit_count() <= 3
+        forest.join(a, b)
+    whole, bits = components.UnionFind(len(fps)), fps.view(np.uint64)
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(bits[i + 1:] ^ bits[i]) <= 3):
+            whole.join(i, i + 1 + int(j))
+    assert (forest.labels() == whole.labels()).all()
