@@ -7,9 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Text bytes handled at once; bounds a worker's arrays however long its partition is.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
+#: Rows of whole texts that Spark hands to Python at once, in place of its own default of 10,000.
+TEXT_ROWS = 1500
+ROWS_KEY, DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to TEXT_ROWS rows, unless it was set to something else.
+
+    Batches of texts are held whole on both sides of the pipe, two or three times over.
+    """
+    if spark.conf.get(ROWS_KEY, DEFAULT_ROWS) in (None, DEFAULT_ROWS):
+        spark.conf.set(ROWS_KEY, str(TEXT_ROWS))
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:

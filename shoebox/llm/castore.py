@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .batches import slices, text_column
+from .batches import bound_batches, slices, text_column
 from .bpe_words import with_end, word_encoder
 from .storage import delete_tree, open_fs, publish
 
@@ -144,6 +144,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
     Null texts are empty, so hold the end id alone.  Rows with a null id are not stored.  Repeated
     ids give repeated recipes that follow one another.  An empty table gives an empty store.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
 
     def cut(batches):

@@ -1,10 +1,13 @@
 """Byte-level BPE with content-defined chunk reuse.
 
 Texts are cut where a rolling hash over their bytes falls on a mask, so passages that documents
-share give the same chunks.  A worker encodes each distinct chunk once and keeps its ids.  A cut
-may fall inside a word, so every join between two chunks is then repaired: a window of tokens
-around it is encoded anew, and must agree at both ends with the ids that the two chunks have there;
-where it does not, it grows to the whole text.
+share give the same chunks.  A worker encodes each distinct chunk once and keeps its ids under the
+chunk's digest.  A cut may fall inside a word, so every join between two chunks is then repaired: a
+window of tokens around it is encoded anew, and must agree at both ends with the ids that the two
+chunks have there; while it does not, it grows by a chunk on either side.
+
+Chunks are shared within a worker, not over the cluster: that would move every text, and costs more
+than it saves (README has figures).
 
 Why agreement is exact.  The pre-tokenizer reads left to right without looking back, and a blank
 between two non-blank characters always begins a new pre-token (an *anchor*).  Ids left of an
@@ -20,9 +23,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, types as T
 
-from .batches import TwoGenerations, slices, text_column
+from .batches import TwoGenerations, bound_batches, slices, text_column
 from .bpe_words import byte_alphabet, load_tokenizer
 from .worker import hold
 
@@ -30,8 +34,8 @@ WINDOW = 32
 #: One byte position in 2**CUT_BITS ends a chunk, on average.
 CUT_BITS = 11
 LEAST, MOST = 256, 32768
-#: Distinct chunks that a worker keeps in each of two generations.
-CHUNKS_KEPT = 4_000
+#: Distinct chunks that a worker keeps in each of two generations, about 1.2 KB each.
+CHUNKS_KEPT = 16_000
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -39,6 +43,19 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 _ANCHOR = re.compile(rb"(?<=[!-~]) (?=[!-~])")
 
 
+def _anchors(chunk: bytes) -> tuple[int, int, int, int]:
+    """A chunk's first two anchors and its last two; -1 where absent."""
+    found = _ANCHOR.search(chunk)
+    if not found:
+        return -1, -1, -1, -1
+    first, found = found.start(), _ANCHOR.search(chunk, found.start() + 1)
+    last, at = [], len(chunk) - 1
+    while len(last) < 2 and (at := chunk.rfind(b" ", first, at)) >= 0:
+        if _ANCHOR.match(chunk, at):
+            last.append(at)
+    return first, found.start() if found else -1, last[1] if len(last) > 1 else -1, last[0]
+
+
 def rolling_hash(data: np.ndarray) -> np.ndarray:
     """Hash of the WINDOW bytes that end at each position."""
     mix = 0x9E3779B1
@@ -88,7 +105,9 @@ class ChunkEncoder:
         if spec.get("normalizer") or any(re.search(r"\s", a) for a in added):
             raise ValueError(f"{path}: needs a byte-level vocabulary without normaliser")
         self.fast = self._ranked(spec, added)
-        self.known = TwoGenerations(keep)
+        self.known, self.kept = TwoGenerations(keep), np.uint16 if len(self.lengths) <= 1 << 16 else np.uint32
+        #: Bytes of chunks that were encoded, and of chunks whose ids were at hand.
+        self.encoded, self.reused = 0, 0
 
     def _ranked(self, spec, added):
         """The same vocabulary as merge ranks, if its merges are numbered in order; else None."""
@@ -111,54 +130,57 @@ class ChunkEncoder:
         return np.asarray(self.fast.encode(text, allowed_special="all"), dtype=np.uint32)
 
     def _chunk(self, chunk: bytes) -> tuple:
-        """(ids, byte position after each id, its first two anchors, its last two); -1 where absent."""
-        found = self.known.find(chunk)
+        """(ids, byte position after each id, its first two anchors, its last two)."""
+        name = xxhash.xxh3_128_digest(chunk)
+        found = self.known.find(name)
         if found is None:
             ids = self._plain(chunk.decode())
-            spots = [m.start() for m in _ANCHOR.finditer(chunk)]
-            first, second = (spots + [-1, -1])[:2]
-            before, last = ([-1, -1] + spots)[-2:]
-            found = ids, np.cumsum(self.lengths[ids], dtype=np.int32), first, second, before, last
-            self.known.put(chunk, found)
-        return found
+            found = ids.astype(self.kept).tobytes(), _anchors(chunk)
+            self.known.put(name, found)
+            self.encoded += len(chunk)
+        else:
+            ids = np.frombuffer(found[0], dtype=self.kept).astype(np.uint32)
+            self.reused += len(chunk)
+        return ids, np.cumsum(self.lengths[ids], dtype=np.int32), *found[1]
 
     def encode(self, data: bytes, cuts: list[int], start: int) -> np.ndarray:
         """Ids of one text; ``cuts`` are the ends of its chunks within ``data``."""
-        out: list[np.ndarray] = []
         none = np.zeros(0, dtype=np.uint32)
-        tail, known = b"", none  # bytes not settled yet, and ids already settled for their beginning
-        last = start
+        settled: list[tuple[int, np.ndarray]] = []  # runs of ids, each with the place where its bytes begin
+        # data[open_:last] is not settled yet; ``known`` are ids already settled for its beginning
+        open_, known, last = start, none, start
         for cut in cuts:
-            chunk = data[last:cut]
+            chunk, begun = data[last:cut], last
             last = cut
             ids, ends, first, second, before, final = self._chunk(chunk)
             at = lambda anchor: int(np.searchsorted(ends, anchor, "right"))  # noqa: E731, B023
-            if not tail:
+            if open_ == begun:
                 begin = 0
             elif first < 0:
-                tail += chunk
                 continue
             else:
                 begin = at(first)
                 overlap = ids[begin:at(second)] if second >= 0 else none
-                window = self._plain((tail + chunk[:second if second >= 0 else first]).decode())
-                settled = len(window) - len(overlap)
-                if not (np.array_equal(window[:len(known)], known) and np.array_equal(window[settled:], overlap)):
-                    # the window has to grow; the whole text is the largest one
-                    return self._plain(data[start:cuts[-1]].decode())
-                out.append(window[len(known):settled])
+                window = self._plain(data[open_:begun + (second if second >= 0 else first)].decode())
+                stop = len(window) - len(overlap)
+                if not (np.array_equal(window[:len(known)], known) and np.array_equal(window[stop:], overlap)):
+                    # a chunk more on either side: the run settled last is open again, and so is this chunk
+                    open_, known = settled.pop()[0] if settled else start, none
+                    continue
+                settled.append((open_, window[len(known):stop]))
             if final < 0:
-                tail, known = chunk, none
+                open_, known = begun, none
                 continue
             stop = at(final)
-            out.append(ids[begin:stop])
+            settled.append((begun + (first if begin else 0), ids[begin:stop]))
             low = max(before, first) if begin else before
             if low >= 0 and low < final:
-                tail, known = chunk[low:], ids[at(low):stop]
+                open_, known = begun + low, ids[at(low):stop]
             else:
-                tail, known = chunk[final:], none
-        if tail:
-            out.append(self._plain(tail.decode())[len(known):])
+                open_, known = begun + final, none
+        out = [ids for _, ids in settled]
+        if open_ < last:
+            out.append(self._plain(data[open_:last].decode())[len(known):])
         return np.concatenate(out) if out else none
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -196,6 +218,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     The ids are those of the tokenizers library over the whole text without added special tokens,
     truncation or padding.  Null and empty texts have no ids.  Needs no shuffle.
     """
+    bound_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):

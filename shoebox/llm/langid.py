@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import slices, sum_by_row, text_column
+from .batches import bound_batches, slices, sum_by_row, text_column
 from .storage import materialize
 from .terms import PieceTable, pieces_of
 from .toxicity import held_out
@@ -261,6 +261,7 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Learns from text and non-null language only.  A quarter of the sample is held back to
     calibrate rejection.  Without labelled texts there are no languages and every text is ``und``.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     known = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
@@ -319,6 +320,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     accepted.  Any other text has a learnt language; ``accepted`` is false if even that one fits far
     worse than calibration allows.  Ties go to the language that sorts first.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
@@ -340,6 +342,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
 def drop_rejected(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, whose language is accepted."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .batches import slices, text_column
+from .batches import bound_batches, slices, text_column
 from .storage import materialize, open_fs, publish
 
 WIDTH = 192
@@ -110,6 +110,7 @@ def write_images(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     ``WIDTH`` bytes; the unpadded length is the image's note, the id the member's name.  Archives of
     a retried task replace each other whole.
     """
+    bound_batches(docs.sparkSession)
 
     def write(batches):
         task, n, parts, offsets, size = TaskContext.get().partitionId(), 0, [], [], 0

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
-from .batches import slices, text_column
+from .batches import bound_batches, slices, text_column
 from .bpe_words import with_end, word_encoder
 
 #: Bits of a sequence id: bucket above, then the reading task, then its running number there.
@@ -46,6 +46,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limit: int = 40
     * Null and empty texts are the end id alone: one piece of length 1.  Repeated rows are packed
       once each; a null id stays null.  An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()),

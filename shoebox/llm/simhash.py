@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import slices, text_column
+from .batches import bound_batches, slices, text_column
 from .components import UnionFind, connected_components
 from .storage import materialize
 from .worker import let_go
@@ -74,6 +74,7 @@ def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     ``fp`` holds the 64 bits as a signed long.  Texts are used whole.
     """
+    bound_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
 
     def sign(batches):

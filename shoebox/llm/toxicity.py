@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import slices, text_column
+from .batches import bound_batches, slices, text_column
 from .storage import materialize
 from .terms import PieceTable, pieces_of
 from .worker import hold, let_go
@@ -277,6 +277,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     labels without a document are ignored.  A document that stands in several rows counts once
     for each.  Ids of any type are compared as text.  Without labels the score is the prior, near 0.
     """
+    bound_batches(docs.sparkSession)
     picked = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
         .groupBy(F.col(id_col).cast("string").alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
@@ -316,6 +317,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
     Whole texts are scored.  Null and empty texts have the score of a text without terms.  Equal
     texts have equal scores.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by the sample
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
@@ -331,6 +333,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
 
 def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, whose score is below REJECT_AT."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):

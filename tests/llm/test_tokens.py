@@ -184,3 +184,24 @@ def test_an_altered_manifest_is_found(spark):
     altered.write.mode("overwrite").parquet(f"{folder}/manifest")
     with pytest.raises(castore.CorruptChunk, match="seal"):
         castore.read_store(spark, folder)
+
+
+def test_a_window_grows_until_it_agrees(monkeypatch):
+    """Ids that a chunk has wrong at its ends are found by the comparison and replaced."""
+    encoder = chunkbpe.ChunkEncoder(BYTE)
+    text = " ".join(f"word{i * 7919 % 1000} und mehr" for i in range(3000))
+    want = encoder._plain(text)
+    right = encoder._chunk
+    turn = iter(range(10**6))
+
+    def wrong(chunk):
+        ids, ends, *anchors = right(chunk)
+        if next(turn) % 5 == 2:
+            ids = ids.copy()
+            ids[np.searchsorted(ends, anchors[0], "right")] ^= 1
+        return ids, ends, *anchors
+
+    monkeypatch.setattr(encoder, "_chunk", wrong)
+    got = chunkbpe.encode_column(encoder, pa.array([text], pa.large_string()))[0]
+    assert len(chunkbpe.cut_points(np.frombuffer(text.encode(), np.uint8), np.asarray([], dtype=int), 0, len(text))) > 1
+    assert got.tolist() == want.tolist()
