@@ -24,19 +24,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .components import UnionFind, connected_components
 from .storage import materialize
 
 #: Vectors that the index is fitted on at most (the smallest by hash of the id).
-FIT_ROWS = 20_000
-#: Vectors aimed at for each coarse list, and the bounds of their number.
-LIST_ROWS, LISTS_MIN, LISTS_MAX = 400, 8, 4096
+FIT_ROWS = 65_536
+#: Vectors aimed at for each coarse list, the least number of lists, and fitted vectors for each list.
+LIST_ROWS, LISTS_MIN, LIST_FIT = 400, 8, 4
 PARTS, CODES = 8, 256
 ROUNDS = 12
 #: Vectors of one label and list in one chunk; a task compares two chunks at a time.
-CHUNK = 2048
+CHUNK = 1024
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -62,7 +63,7 @@ def nearest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """A fitted index; its size is bounded by LISTS_MAX, CODES and the dimension."""
+    """A fitted index; its size is bounded by FIT_ROWS, CODES and the dimension."""
 
     coarse: np.ndarray
     codebooks: list[np.ndarray]
@@ -100,7 +101,7 @@ class Index:
 
 
 def fit(sample: np.ndarray, total: int, threshold: float, spread: float | None) -> Index:
-    lists = int(min(max(total // LIST_ROWS, LISTS_MIN), LISTS_MAX, max(1, len(sample))))
+    lists = int(min(max(total // LIST_ROWS, LISTS_MIN), max(1, len(sample) // LIST_FIT)))
     coarse = kmeans(sample, lists)
     residual = sample - coarse[nearest(sample, coarse)]
     dim = sample.shape[1]
@@ -121,7 +122,20 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-KEYED = "label int, list int, rep long, vec array<double>, query boolean, home int, codes binary, err double, weight long, probed array<int>"
+def projected(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors cut, or filled with zeros, to the index's dimension.
+
+    Cutting brings vectors nearer, never farther, so what the index promises still holds.
+    """
+    sizes = np.asarray(pc.list_value_length(column))
+    out = np.zeros((len(column), dim))
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[at, :min(size, dim)] = unit(matrix(column.take(pa.array(at))))[:, :dim]
+    return out
+
+
+KEYED = "label string, dim int, list int, rep long, vec {vec}, query boolean, home int, codes binary, err double, weight long, probed array<int>"
 
 
 def _spread_out(shared):
@@ -131,7 +145,7 @@ def _spread_out(shared):
             for low in range(0, batch.num_rows, 4096):
                 part = batch.slice(low, 4096)
                 vec = part.column("vec")
-                x = unit(matrix(vec))
+                x = projected(vec, index.coarse.shape[1])
                 home = index.home(x)
                 codes, err = index.code(x, home)
                 lists = index.probes(x, home)
@@ -146,17 +160,17 @@ def _spread_out(shared):
                 probed = pa.array([p.astype(np.int32) for p in lists], pa.list_(pa.int32()))
                 coded = pa.array([*range(len(x)), *[None] * int(sizes.sum())], pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    part.column("label").take(take), pa.array(where.astype(np.int32)), part.column("rep").take(take), vec.take(take), pa.array(query),
+                    part.column("label").take(take), part.column("dim").take(take), pa.array(where.astype(np.int32)), part.column("rep").take(take), vec.take(take), pa.array(query),
                     pa.array(home[row].astype(np.int32)), blobs.take(coded), pa.array(err[row]), part.column("weight").take(take),
                     probed.take(coded),
-                ], names=["label", "list", "rep", "vec", "query", "home", "codes", "err", "weight", "probed"])
+                ], names=["label", "dim", "list", "rep", "vec", "query", "home", "codes", "err", "weight", "probed"])
 
     return run
 
 
 #: Cells of one block of the table-lookup matrix.
 BLOCK_CELLS = 1 << 20
-GROUP = ("label", "list", "qc", "mc")
+GROUP = ("label", "dim", "list", "qc", "mc")
 
 
 def _compare(shared, threshold):
@@ -183,10 +197,11 @@ def _compare(shared, threshold):
         for side in (is_query, ~is_query):
             at = np.flatnonzero(side)
             coded = pa.array(at if side is not is_query else at[:0])
-            raw = matrix(column["vec"].take(pa.array(at)))
+            vec = column["vec"].take(pa.array(at))
+            raw = matrix(vec)
             take = lambda c: column[c].take(pa.array(at))  # noqa: E731, B023
             sides.append({
-                "rep": np.asarray(take("rep")), "raw": raw, "norm": np.sqrt((raw * raw).sum(1)), "x": unit(raw) if len(raw) else raw,
+                "rep": np.asarray(take("rep")), "raw": raw, "norm": np.sqrt((raw * raw).sum(1)), "x": projected(vec, index.coarse.shape[1]),
                 "weight": np.asarray(take("weight")), "home": np.asarray(take("home")), "err": np.asarray(take("err")),
                 "codes": np.frombuffer(b"".join(column["codes"].take(coded).to_pylist()), dtype=np.uint8).reshape(len(coded), -1) if len(coded) else None,
                 "probed": [set(p) for p in column["probed"].take(coded).to_pylist()],
@@ -217,7 +232,7 @@ def _compare(shared, threshold):
             table = table if held is None else pa.concat_tables([held, table])
             if not table.num_rows:
                 continue
-            key = np.stack([np.asarray(table[c].combine_chunks()) for c in GROUP], axis=1)
+            key = np.stack([np.asarray(table[c].combine_chunks().dictionary_encode().indices) for c in GROUP], axis=1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
             for low, high in zip(cuts, cuts[1:]):
                 out = settle(index, table.slice(low, high - low))
@@ -235,40 +250,43 @@ def _compare(shared, threshold):
 def cosine_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", spread: float | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per input row.
 
-    Two rows link if their labels are equal and not null and the double-precision cosine of their
-    vectors is at least ``threshold``.  ``n_links`` counts the other rows linked directly,
-    ``component_id`` is the smallest id reachable, itself included, ``kept`` says that it is the row's
-    own.  Vectors that are null, empty, zero, of another dimension than the first fitted one, or hold
-    null or non-finite components link with nothing, nor do rows with a null id or label.  Repeated
-    rows count as copies of each other.  An empty table gives no rows.
+    Two rows link if their labels are equal (as text) and not null, their vectors have the same
+    dimension, and the double-precision cosine is at least ``threshold``.  ``n_links`` counts the
+    other rows linked directly, ``component_id`` is the smallest id reachable, itself included,
+    ``kept`` says that it is the row's own.  Vectors that are null, empty, zero, or hold null or
+    non-finite components link with nothing, nor do rows with a null id (component null, not kept) or
+    label.  Repeated rows count as copies of each other.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("int").alias("label"), vectors[vector_col].cast("array<double>").alias("vec"))
+    # float vectors stay so on the way; all arithmetic is double
+    stored = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].cast(stored).alias("vec"))
     finite = F.forall("vec", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
-    square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)
+    square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("vec") > 0) & finite & (square > 0) & (square < float("inf")), F.lit(False))
     rows = rows.withColumn("usable", usable)
     ok = rows.where("usable")
     # folding by value sums before the shuffle, so a vector that fills a third of the table is one row
     folded = materialize(ok.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vectors")
     total = folded.count()
-    sample = [r["vec"] for r in folded.select("vec", "rep").orderBy(F.xxhash64("rep"), "rep", "label").limit(FIT_ROWS).collect()]
     single = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if not sample:
+    if not total:
         return single
-    dim = len(sample[0])
-    fitted = fit(unit(np.asarray([v for v in sample if len(v) == dim], dtype=np.float64)), total, threshold, spread)
-    shared = spark.sparkContext.broadcast(fitted)  # bounded: LISTS_MAX centres and PARTS x CODES codewords
-    keyed = materialize(folded.where(F.size("vec") == dim).mapInArrow(_spread_out(shared), KEYED), "probes")
-    crowd = keyed.groupBy("label", "list").agg(F.count_if("query").alias("nq"), F.count_if(~F.col("query")).alias("nm")).where("nq > 0 and nm > 0")
-    crowd = crowd.select("label", "list", F.ceil(F.col("nq") / CHUNK).cast("int").alias("cq"), F.ceil(F.col("nm") / CHUNK).cast("int").alias("cm"))
+    sample = folded.select("vec", "rep", "label").orderBy(F.xxhash64("rep"), "rep", "label").limit(FIT_ROWS).toArrow()["vec"].combine_chunks()
+    # the index works in the most frequent dimension; other vectors are cut or filled up
+    dim = int(np.bincount(np.asarray(pc.list_value_length(sample))).argmax())
+    fitted = fit(projected(sample, dim), total, threshold, spread)
+    shared = spark.sparkContext.broadcast(fitted)  # bounded: FIT_ROWS / LIST_FIT centres and PARTS x CODES codewords
+    keyed = materialize(folded.withColumn("dim", F.size("vec")).mapInArrow(_spread_out(shared), KEYED.format(vec=stored)), "probes")
+    crowd = keyed.groupBy("label", "dim", "list").agg(F.count_if("query").alias("nq"), F.count_if(~F.col("query")).alias("nm")).where("nq > 0 and nm > 0")
+    crowd = crowd.select("label", "dim", "list", F.ceil(F.col("nq") / CHUNK).cast("int").alias("cq"), F.ceil(F.col("nm") / CHUNK).cast("int").alias("cm"))
     crowd = materialize(crowd, "crowds")
     chunk = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    dealt = keyed.join(crowd, ["label", "list"]).select(
+    dealt = keyed.join(crowd, ["label", "dim", "list"]).select(
         "*", F.explode(F.when(F.col("query"), F.transform(every("cm"), lambda m: F.struct(chunk("cq").alias("qc"), m.alias("mc"))))
                        .otherwise(F.transform(every("cq"), lambda q: F.struct(q.alias("qc"), chunk("cm").alias("mc"))))).alias("at"),
-    ).select("label", "list", "at.qc", "at.mc", "rep", "vec", "query", "home", "codes", "err", "weight", "probed")
+    ).select("label", "dim", "list", "at.qc", "at.mc", "rep", "vec", "query", "home", "codes", "err", "weight", "probed")
     found = materialize(
         dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_compare(shared, threshold), "a long, b long, n long"), "links"
     )
@@ -282,5 +300,5 @@ def cosine_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "ve
     linked = ok.select("vec_id", "label", "vec").join(classes, ["label", "vec"]).select(
         "vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")
     )
-    apart = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    apart = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     return linked.unionByName(apart)

@@ -213,3 +213,20 @@ def test_a_crowded_family_loses_no_link(spark):
         for j in np.flatnonzero(np.bitwise_count(bits[i + 1:] ^ bits[i]) <= 3):
             whole.join(i, i + 1 + int(j))
     assert (forest.labels() == whole.labels()).all()
+
+
+def test_every_dimension_is_compared_and_labels_may_be_text(spark):
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for i in range(60):
+        dim = (2, 3, 5)[i % 3]
+        base = np.eye(dim)[i % dim]
+        rows.append((i, [float(x) for x in base + rng.normal(0, 0.01, dim)], "ab"[i % 2]))
+    rows += [(None, [1.0, 0.0], "a"), (100, [1.0, 0.0], None), (101, [], "a")]
+    cosine = lambda x, y: float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+    for i, x, k in rows[:60]:
+        want[i] = sum(j != i and k == m and len(x) == len(y) and cosine(x, y) >= 0.93 for j, y, m in rows[:60])
+    for kind in ("double", "float"):
+        got = {r["vec_id"]: r for r in pqdedup.cosine_groups(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label string")).collect()}
+        assert {i: got[i]["n_links"] for i in range(60)} == want and min(want.values()) > 0
+        assert not got[None]["kept"] and got[None]["component_id"] is None and got[100]["kept"] and got[101]["kept"]
