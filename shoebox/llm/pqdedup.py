@@ -32,8 +32,9 @@ from .storage import materialize
 
 #: Vectors that the index is fitted on at most (the smallest by hash of the id).
 FIT_ROWS = 65_536
-#: Vectors aimed at for each coarse list, the least number of lists, and fitted vectors for each list.
-LIST_ROWS, LISTS_MIN, LIST_FIT = 400, 8, 4
+#: Lists grow as the root of the number of vectors, so that the lists a vector probes do too: root of
+#: the vectors for each list, the least number of lists, and fitted vectors for each list.
+LIST_ROOT, LISTS_MIN, LIST_FIT = 4, 8, 4
 PARTS, CODES = 8, 256
 ROUNDS = 12
 #: Vectors of one label and list in one chunk; a task compares two chunks at a time.
@@ -101,7 +102,7 @@ class Index:
 
 
 def fit(sample: np.ndarray, total: int, threshold: float, spread: float | None) -> Index:
-    lists = int(min(max(total // LIST_ROWS, LISTS_MIN), max(1, len(sample) // LIST_FIT)))
+    lists = int(min(max(math.isqrt(total) // LIST_ROOT, LISTS_MIN), max(1, len(sample) // LIST_FIT)))
     coarse = kmeans(sample, lists)
     residual = sample - coarse[nearest(sample, coarse)]
     dim = sample.shape[1]

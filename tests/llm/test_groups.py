@@ -132,7 +132,7 @@ def expected_links(rows, threshold=0.93):
 @pytest.mark.parametrize("chunk,spread", [(2048, None), (5, None), (2048, 4.0)])
 def test_vector_groups_match_brute_force(spark, monkeypatch, chunk, spread):
     monkeypatch.setattr(pqdedup, "CHUNK", chunk)
-    monkeypatch.setattr(pqdedup, "LIST_ROWS", 20)
+    monkeypatch.setattr(pqdedup, "LIST_ROOT", 1)
     rows = vectors()
     df = spark.createDataFrame([(*r, 9, "x") for r in rows], "vec_id long, embedding array<float>, label int, rep int, n string").repartition(3)
     got = {r["vec_id"]: tuple(r)[1:] for r in pqdedup.cosine_groups(df, spread=spread).collect()}
@@ -166,10 +166,10 @@ def test_recall_on_the_stored_vectors(spark):
     assert (found <= links).all() and found.sum() >= 0.99 * links.sum() > 0
 
 
-@pytest.mark.parametrize("list_rows", [400, 40])
-def test_no_link_along_principal_directions_is_missed(spark, monkeypatch, list_rows):
+@pytest.mark.parametrize("root", [pqdedup.LIST_ROOT, 1])
+def test_no_link_along_principal_directions_is_missed(spark, monkeypatch, root):
     """Production settings find every link between stored vectors and copies shifted along their main directions."""
-    monkeypatch.setattr(pqdedup, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(pqdedup, "LIST_ROOT", root)
     base = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").limit(1500).collect()
     x = np.asarray([r["embedding"] for r in base], dtype=np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
