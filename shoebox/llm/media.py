@@ -1,10 +1,12 @@
 """Media columns: archives of images, read by a custom Spark data source.
 
 ``write_images`` stores payloads losslessly as 8-bit grey PNG images in tar archives, each with a
-sidecar of member offsets.  The ``media_archive`` source plans byte ranges over an archive folder;
-a member belongs to the range that holds its first byte.  Members are read by offset, each with
-its own retries, and come out as Arrow batches; one that cannot be read is a row with ``error``
-set and does not disturb its neighbours.
+sidecar of member offsets, and a manifest of the archives that belong to the folder.  The
+``media_archive`` source plans byte ranges over them; a member belongs to the range that holds its
+first byte.  Members are read by offset and verified, each with its own retries, and come out as
+Arrow batches; one that cannot be read is a row with ``error`` set and does not disturb its
+neighbours.  Without a sound sidecar the headers are walked; where one is damaged the walk goes on
+at the next valid one and the bytes between are a row with ``error`` set.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .batches import bound_batches, slices, text_column
-from .storage import materialize, open_fs, publish
+from .storage import open_fs, publish
 
 WIDTH = 192
 #: Archive bytes after which a task starts another file, and bytes of one planned range.
@@ -56,19 +59,26 @@ def encode_png(samples: bytes, note: str = "", width: int = WIDTH) -> bytes:
     return b"".join([*parts, _png_chunk(b"IEND", b"")])
 
 
-def decode_png(data: bytes) -> tuple[np.ndarray, str]:
-    """(samples as rows x width, note) of an image of ``encode_png``'s kind; checks every chunk."""
+def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(kind, body) of an image's chunks up to its end; raises BadMember where a checksum is wrong."""
     if data[:8] != _SIGNATURE:
         raise BadMember("no image signature")
-    at, width, height, note, body = 8, 0, 0, "", []
-    while True:
+    at, kind = 8, b""
+    while kind != b"IEND":
         if at + 12 > len(data):
             raise BadMember("image ends early")
         (size,) = struct.unpack_from(">I", data, at)
         kind, part = data[at + 4:at + 8], data[at + 8:at + 8 + size]
-        if len(part) != size or data[at + 8 + size:at + 12 + size] != struct.pack(">I", zlib.crc32(kind + part)):
+        if len(part) != size or data[at + 8 + size:at + 12 + size] != struct.pack(">I", zlib.crc32(part, zlib.crc32(kind))):
             raise BadMember("image chunk fails its checksum")
         at += 12 + size
+        yield kind, part
+
+
+def decode_png(data: bytes) -> tuple[np.ndarray, str]:
+    """(samples as rows x width, note) of an image of ``encode_png``'s kind; checks every chunk."""
+    width, height, note, body = 0, 0, "", []
+    for kind, part in png_chunks(data):
         if kind == b"IHDR":
             width, height, *form = struct.unpack(">IIBBBBB", part)
             if form != [8, 0, 0, 0, 0]:
@@ -77,8 +87,6 @@ def decode_png(data: bytes) -> tuple[np.ndarray, str]:
             note = part.partition(b"\x00")[2].decode("latin-1")
         elif kind == b"IDAT":
             body.append(part)
-        elif kind == b"IEND":
-            break
     rows = np.frombuffer(zlib.decompress(b"".join(body)), dtype=np.uint8)
     if rows.size != height * (width + 1):
         raise BadMember("image has the wrong number of samples")
@@ -107,18 +115,20 @@ def write_images(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Store every whole text as one image below ``folder``; returns ``(archive, members, bytes)``.
 
     A payload is the UTF-8 text (null: empty) padded with blanks to a positive multiple of
-    ``WIDTH`` bytes; the unpadded length is the image's note, the id the member's name.  Archives of
-    a retried task replace each other whole.
+    ``WIDTH`` bytes; the unpadded length is the image's note, the id, of any length, the member's name.
+    Archives of an attempt that failed are in the folder, but not in the manifest, so are not read.
     """
     bound_batches(docs.sparkSession)
 
     def write(batches):
-        task, n, parts, offsets, size = TaskContext.get().partitionId(), 0, [], [], 0
+        # names are an attempt's own, and the manifest holds those of the attempt that was committed
+        context, n, parts, offsets, size = TaskContext.get(), 0, [], [], 0
+        label = f"{context.partitionId():06d}-{context.taskAttemptId()}"
 
         def flush():
             nonlocal n, parts, offsets, size
-            path = f"{folder}/images-{task:06d}-{n:04d}.tar"
-            publish(path + ".offsets", lambda out: out.write(np.asarray(offsets, dtype="<u8").tobytes()))
+            path = f"{folder}/images-{label}-{n:04d}.tar"
+            publish(path + ".offsets", lambda out: out.write(sidecar(offsets)))
             publish(path, lambda out: ([out.write(p) for p in parts], out.write(bytes(1024))))
             row = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(offsets)], pa.int64()), pa.array([size], pa.int64())], names=["archive", "members", "bytes"])
             n, parts, offsets, size = n + 1, [], [], 0
@@ -130,18 +140,49 @@ def write_images(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                     raw = text.encode("utf-8", "surrogatepass")
                     padded = raw + b" " * ((-len(raw)) % WIDTH or (0 if raw else WIDTH))
                     image = encode_png(padded, str(len(raw)))
-                    info = tarfile.TarInfo(f"{'null' if key is None else key}.png")
+                    info = tarfile.TarInfo(member_name(key))
                     info.size = len(image)
                     offsets.append(size)
-                    parts += [info.tobuf(tarfile.USTAR_FORMAT), image, bytes(-len(image) % 512)]
-                    size += 512 + len(image) + -len(image) % 512
+                    parts += [info.tobuf(tarfile.GNU_FORMAT), image, bytes(-len(image) % 512)]
+                    size += sum(map(len, parts[-3:]))
                     if size >= ARCHIVE_BYTES:
                         yield flush()
         if offsets:
             yield flush()
 
     source = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("text"))
-    return materialize(source.mapInArrow(write, "archive string, members long, bytes long"), "media-manifest")
+    source.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+
+
+MANIFEST = "archive string, members long, bytes long"
+
+
+def member_name(key: str | None) -> str:
+    """The name of a member: any id in ASCII; a null id has a name of its own."""
+    return "none.png" if key is None else f"id-{quote(key, safe='', errors='surrogatepass')}.png"
+
+
+def member_id(name: str) -> str | None:
+    if name == "none.png":
+        return None
+    if not (name.startswith("id-") and name.endswith(".png")):
+        raise BadMember(f"{name} is no member name")
+    return unquote(name[3:-4], errors="surrogatepass")
+
+
+def sidecar(offsets: list[int]) -> bytes:
+    """Offsets, their number and a checksum, as 64-bit words."""
+    body = np.asarray([*offsets, len(offsets)], dtype="<u8").tobytes()
+    return body + struct.pack("<Q", zlib.crc32(body))
+
+
+def parse_sidecar(data: bytes) -> np.ndarray | None:
+    """The offsets, or None if bytes are missing or wrong."""
+    if len(data) < 16 or len(data) % 8:
+        return None
+    body, words = data[:-8], np.frombuffer(data, dtype="<u8").astype(np.int64)
+    return words[:-2] if words[-1] == zlib.crc32(body) and words[-2] == len(words) - 2 else None
 
 
 @dataclass
@@ -158,17 +199,20 @@ class MediaReader(DataSourceReader):
     def __init__(self, folder: str, range_bytes: int):
         self.folder, self.range_bytes = folder, range_bytes
 
-    def partitions(self) -> list[ByteRange]:
-        from pyarrow import fs
+    def archives(self) -> list[tuple[str, int]]:
+        """(URI, bytes) of the manifest's archives; without a manifest, of all there are."""
+        from pyarrow import dataset, fs
 
         filesystem, path = open_fs(self.folder)
-        found = filesystem.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
-        tars = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".tar"))
         prefix = self.folder.removesuffix("/")
-        ranges = []
-        for name, size in tars:
-            uri = prefix + name[len(path.rstrip("/")):]
-            ranges += [ByteRange(uri, at, min(at + self.range_bytes, size)) for at in range(0, size, self.range_bytes)]
+        if filesystem.get_file_info(f"{path}/manifest").type == fs.FileType.Directory:
+            rows = dataset.dataset(f"{path}/manifest", filesystem=filesystem, format="parquet").to_table(["archive", "bytes"]).to_pylist()
+            return sorted((r["archive"], r["bytes"]) for r in rows)
+        found = filesystem.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
+        return sorted((prefix + f.path[len(path.rstrip("/")):], f.size) for f in found if f.is_file and f.path.endswith(".tar"))
+
+    def partitions(self) -> list[ByteRange]:
+        ranges = [ByteRange(uri, at, min(at + self.range_bytes, size)) for uri, size in retried(self.archives) for at in range(0, size, self.range_bytes)]
         return ranges or [ByteRange("", 0, 0)]
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -190,57 +234,106 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     ], names=["archive", "offset", "name", "media", "error"])
 
 
-def member_offsets(archive: str) -> np.ndarray:
-    """Offsets of all members, from the sidecar; without one, by walking the headers."""
-    filesystem, path = open_fs(archive)
+def retried(call, *args):
+    """``call(*args)``, tried ATTEMPTS times with growing pauses."""
+    for attempt in range(ATTEMPTS):
+        try:
+            return call(*args)
+        except FileNotFoundError:
+            raise
+        except (OSError, BadMember):
+            if attempt + 1 == ATTEMPTS:
+                raise
+            time.sleep(WAIT_S * 2 ** attempt)
+
+
+def _header(file, at: int) -> tuple[str, int, int] | None:
+    """(name, where the content begins, its bytes) of the member at ``at``; None if there is no valid header."""
+    file.seek(at)
     try:
-        with filesystem.open_input_file(path + ".offsets") as file:
-            return np.frombuffer(file.read(), dtype="<u8").astype(np.int64)
-    except FileNotFoundError:
-        found, at = [], 0
-        with filesystem.open_input_file(path) as file:
-            size = file.size()
-            while at + 512 <= size:
-                file.seek(at)
-                try:
-                    info = tarfile.TarInfo.frombuf(file.read(512), "utf-8", "replace")
-                except tarfile.HeaderError:
-                    break
+        info = tarfile.TarInfo.frombuf(file.read(512), "utf-8", "replace")
+        name = info.name
+        if info.type == tarfile.GNUTYPE_LONGNAME:
+            name = file.read(info.size).rstrip(b"\0").decode("utf-8", "replace")
+            at += 512 + info.size + -info.size % 512
+            file.seek(at)
+            info = tarfile.TarInfo.frombuf(file.read(512), "utf-8", "replace")
+    except tarfile.HeaderError:
+        return None
+    return name, at + 512, info.size
+
+
+def _walk(archive: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    filesystem, path = open_fs(archive)
+    found, gaps, at = [], [], 0
+    with filesystem.open_input_file(path) as file:
+        size = file.size()
+        while at < size:
+            head = _header(file, at)
+            if head is not None:
                 found.append(at)
-                at += 512 + info.size + -info.size % 512
-        return np.asarray(found, dtype=np.int64)
+                at = head[1] + head[2] + -head[2] % 512
+                continue
+            begun = at
+            while at < size and _header(file, at) is None:
+                at += 512
+            at = min(at, size)
+            file.seek(begun)
+            if any(any(file.read(min(1 << 20, at - low))) for low in range(begun, at, 1 << 20)):  # blank blocks end an archive
+                gaps.append((begun, at - begun))
+    return np.asarray(found, dtype=np.int64), gaps
+
+
+def member_offsets(archive: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(offsets of all members, gaps as (offset, bytes)): from the sidecar, or by walking the headers."""
+
+    def read():
+        filesystem, path = open_fs(archive)
+        with filesystem.open_input_file(path + ".offsets") as file:
+            return file.read()
+
+    try:
+        offsets = parse_sidecar(retried(read))
+    except OSError:
+        offsets = None
+    return (offsets, []) if offsets is not None else retried(_walk, archive)
 
 
 def read_member(archive: str, offset: int) -> tuple[str, bytes]:
     filesystem, path = open_fs(archive)
     with filesystem.open_input_file(path) as file:
-        file.seek(offset)
-        try:
-            info = tarfile.TarInfo.frombuf(file.read(512), "utf-8", "replace")
-        except tarfile.HeaderError as error:
-            raise BadMember(f"member header: {error}") from None
-        data = file.read(info.size)
-    if len(data) != info.size:
+        head = _header(file, offset)
+        if head is None:
+            raise BadMember("damaged member header")
+        name, at, size = head
+        file.seek(at)
+        data = file.read(size)
+    if len(data) != size:
         raise BadMember("archive ends inside the member")
-    return info.name, data
+    if data[:8] == _SIGNATURE:
+        for _ in png_chunks(data):  # its checksums, so that a bad read is tried again
+            pass
+    return name, data
 
 
 def read_range(archive: str, start: int, end: int) -> Iterator[tuple]:
-    """Rows of the members that begin in [start, end)."""
+    """Rows of the members, and of the gaps, that begin in [start, end)."""
     if not archive:
         return
-    offsets = member_offsets(archive)
+    try:
+        offsets, gaps = member_offsets(archive)
+    except (OSError, BadMember) as error:
+        yield archive, start, None, None, f"{type(error).__name__}: {error}"
+        return
+    for offset, size in gaps:
+        if start <= offset < end:
+            yield archive, offset, None, None, f"{size} bytes without a valid member header"
     for offset in offsets[(offsets >= start) & (offsets < end)].tolist():
-        for attempt in range(ATTEMPTS):
-            try:
-                name, media = read_member(archive, offset)
-                yield archive, offset, name, media, None
-                break
-            except (OSError, BadMember) as error:
-                if attempt + 1 == ATTEMPTS:
-                    yield archive, offset, None, None, f"{type(error).__name__}: {error}"
-                else:
-                    time.sleep(WAIT_S * 2 ** attempt)
+        try:
+            name, media = retried(read_member, archive, offset)
+            yield archive, offset, name, media, None
+        except (OSError, BadMember) as error:
+            yield archive, offset, None, None, f"{type(error).__name__}: {error}"
 
 
 class MediaArchive(DataSource):
@@ -281,8 +374,7 @@ def media_features(media: DataFrame) -> DataFrame:
                         if error is not None:
                             raise BadMember(error)
                         samples, note = decode_png(data)
-                        key = name.removesuffix(".png")
-                        rows.append((None if key == "null" else key, samples.tobytes(), int(note), data, features(samples), None))
+                        rows.append((member_id(name), samples.tobytes(), int(note), data, features(samples), None))
                     except (BadMember, zlib.error, ValueError) as problem:
                         rows.append((None, None, None, data, None, str(problem)))
                 columns = list(zip(*rows))

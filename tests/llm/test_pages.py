@@ -139,7 +139,7 @@ def test_a_broken_member_stands_alone(spark, monkeypatch):
     folder = storage.scratch(spark, "m")
     archive_path = media.write_images(df, folder).first()["archive"]
     _, local = storage.open_fs(archive_path)
-    offsets = media.member_offsets(archive_path)
+    offsets, _ = media.member_offsets(archive_path)
     with open(local, "r+b") as file:
         file.seek(int(offsets[7]) + 600)
         file.write(b"\0\0\0\0")
@@ -157,6 +157,42 @@ def test_offsets_without_a_sidecar(spark):
 
     df = spark.createDataFrame([(i, "x" * i) for i in range(5)], "doc_id long, text string").coalesce(1)
     path = media.write_images(df, storage.scratch(spark, "m")).select(F.first("archive")).first()[0]
-    with_sidecar = media.member_offsets(path).tolist()
+    with_sidecar = media.member_offsets(path)[0].tolist()
     os.remove(storage.open_fs(path)[1] + ".offsets")
-    assert media.member_offsets(path).tolist() == with_sidecar
+    assert media.member_offsets(path)[0].tolist() == with_sidecar
+
+
+@pytest.mark.parametrize("cut", [None, 0, 48, 41])
+def test_nothing_is_lost_behind_a_damaged_header_or_sidecar(spark, monkeypatch, cut):
+    """No sidecar, or a shortened one, and a damaged header: nine members and a gap."""
+    import os
+
+    monkeypatch.setattr(media, "WAIT_S", 0)
+    df = spark.createDataFrame([(i, f"text {i} " * 60) for i in range(10)], "doc_id long, text string").coalesce(1)
+    folder = storage.scratch(spark, "m")
+    path = media.write_images(df, folder).first()["archive"]
+    local = storage.open_fs(path)[1]
+    offsets, _ = media.member_offsets(path)
+    if cut is None:
+        os.remove(local + ".offsets")
+    else:
+        with open(local + ".offsets", "r+b") as file:
+            file.truncate(cut)
+    with open(local, "r+b") as file:
+        file.seek(int(offsets[4]) + 148)
+        file.write(b"!!!!!!!!")
+    rows = media.media_features(media.read_media(spark, folder, 1500)).collect()
+    assert {r["doc_id"] for r in rows if r["error"] is None} == {str(i) for i in range(10) if i != 4}
+    assert [r["error"] for r in rows if r["error"]] == [f"{int(offsets[5] - offsets[4])} bytes without a valid member header"]
+
+
+def test_ids_of_any_length_and_leftovers_of_failed_attempts(spark):
+    ids = ["x" * 300, "null", None, "none", "a/b.png", "é日"]
+    df = spark.createDataFrame([(i, "same text") for i in ids], "doc_id string, text string")
+    folder = storage.scratch(spark, "m")
+    path = storage.open_fs(media.write_images(df, folder).where("members > 0").first()["archive"])[1]
+    with open(path, "rb") as old, open(path.replace("images-", "images-9"), "wb") as new:
+        new.write(old.read())
+    rows = media.media_features(media.read_media(spark, folder)).collect()
+    assert sorted(map(str, (r["doc_id"] for r in rows))) == sorted(map(str, ids)) and {r["error"] for r in rows} == {None}
+    assert len({(r["media"], r["feature"]) for r in rows}) == 1
