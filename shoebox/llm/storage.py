@@ -1,8 +1,9 @@
 """Shared scratch space, file access from executors, and lineage cuts.
 
 Scratch tables live under ``spark.checkpoint.dir``, the one folder that the driver and all
-executors share.  If the session leaves it unset (tests, a laptop) a temporary folder is
-created once and recorded in the session under the same key.
+executors share.  If the session leaves it unset and runs on this machine alone (tests, a laptop) a
+temporary folder is created once and recorded in the session under the same key; on a cluster that
+is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     """URI of the shared folder, without a trailing slash."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_KEY} has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shoebox-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")

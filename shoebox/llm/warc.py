@@ -1,12 +1,14 @@
 """WARC archives: a writer with revisit records and a reader that salvages damaged files.
 
-Every record is its own gzip member.  The reader checks each record (gzip trailer, version line,
-block length, payload digest).  Where a check fails it looks for the next valid gzip member or
-version line, goes on from there, and reports the bytes between as a quarantined gap.
+Every record is its own gzip member; the reader takes members of several records as well.  It
+checks each record (gzip trailer, version line, block length, SHA-256 and SHA-1 digests of block and
+payload; other digests are not checked).  Where a check fails it looks for the next valid gzip
+member or version line, goes on from there, and reports the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -63,10 +65,30 @@ def _number(urn: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def _parse(data: bytes) -> tuple[dict, bytes]:
-    """(headers by lower-case name, block) of one record; raises Damaged."""
-    version = _VERSION.match(data)
-    end = data.find(b"\r\n\r\n")
+def _name(urn: str | None) -> str | None:
+    return urn.removeprefix("<").removesuffix(">") if urn else None
+
+
+def _whole_number(text: str) -> int:
+    if not re.fullmatch(r"[0-9]{1,18}", text):
+        raise Damaged(f"{text[:20]!r} is no length")
+    return int(text)
+
+
+def _check_digest(claimed: str, data: bytes, what: str) -> None:
+    """``algorithm:value`` with the value in hexadecimal or Base32; unknown algorithms pass."""
+    algorithm, _, value = claimed.strip().partition(":")
+    if algorithm.lower() not in ("sha1", "sha256"):
+        return
+    digest = hashlib.new(algorithm.lower(), data)
+    if value.lower() != digest.hexdigest() and value.upper().rstrip("=") != base64.b32encode(digest.digest()).decode().rstrip("="):
+        raise Damaged(f"{what} digest differs")
+
+
+def _parse(data: bytes, at: int = 0) -> tuple[dict, bytes, bytes, int]:
+    """(headers by lower-case name, block, payload, end) of the record at ``at``; raises Damaged."""
+    version = _VERSION.match(data, at)
+    end = data.find(b"\r\n\r\n", at)
     if not version or end < 0:
         raise Damaged("no version line or header end")
     headers = {}
@@ -75,13 +97,33 @@ def _parse(data: bytes) -> tuple[dict, bytes]:
         if not colon:
             raise Damaged("broken header line")
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    length = headers.get("content-length", "")
-    if not length.isdigit():
-        raise Damaged("no content length")
-    block = data[end + 4:end + 4 + int(length)]
-    if len(block) != int(length) or data[end + 4 + len(block):end + 8 + len(block)] != b"\r\n\r\n":
+    length = _whole_number(headers.get("content-length", ""))
+    block = data[end + 4:end + 4 + length]
+    if len(block) != length or data[end + 4 + length:end + 8 + length] != b"\r\n\r\n":
         raise Damaged("block shorter or longer than its content length")
-    return headers, block
+    _check_digest(headers.get("warc-block-digest", ""), block, "block")
+    payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
+    if headers.get("warc-type") == "revisit":
+        _whole_number(headers.get("x-payload-length", "0"))  # the payload is elsewhere
+    else:
+        _check_digest(headers.get("warc-payload-digest", ""), payload, "payload")
+    return headers, block, payload, end + 8 + length
+
+
+def _records(data: bytes) -> Iterator[tuple]:
+    """Records of a member's content, and the reasons for bytes of it that are none."""
+    at = 0
+    while at < len(data):
+        try:
+            headers, _, payload, end = _parse(data, at)
+            yield headers, payload
+        except Damaged as error:
+            if at == 0:
+                raise
+            found = _VERSION.search(data, at + 1)
+            end = found.start() if found else len(data)
+            yield None, f"{end - at} unpacked bytes of a member: {error}"
+        at = end
 
 
 class _File:
@@ -152,7 +194,9 @@ def salvage(stream, size: int) -> Iterator[dict]:
     """Records and gaps of one archive in file order.
 
     A record has ``kind='record'``, offset, length, headers, payload; a gap has ``kind='gap'``,
-    offset, length and the reason of the failed check.  Every byte is in exactly one of them.
+    offset, length and the reason of the failed check.  Every byte is in exactly one of them.  Of a
+    member with several records the first has the member's bytes; the others, and damaged parts of
+    its content, have length 0.
     """
     file, offset = _File(stream, size), 0
     while offset < size:
@@ -164,19 +208,19 @@ def salvage(stream, size: int) -> Iterator[dict]:
                 data, end = _plain(file, offset)
             else:
                 raise Damaged("neither a gzip member nor a version line")
-            headers, block = _parse(data)
-            payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
-            claimed = headers.get("warc-payload-digest", "")
-            digest = hashlib.sha256(payload).hexdigest()
-            if headers.get("warc-type") == "revisit":
-                digest = claimed.removeprefix("sha256:")
-            elif claimed.startswith("sha256:") and claimed[7:] != digest:
-                raise Damaged("payload digest differs")
+            if not data:
+                raise Damaged("empty member")
+            length = end - offset
+            for headers, payload in _records(data):
+                if headers is None:
+                    yield {"kind": "gap", "offset": offset, "length": 0, "reason": payload}
+                    continue
+                digest = headers.get("warc-payload-digest", "").removeprefix("sha256:") if headers.get("warc-type") == "revisit" else hashlib.sha256(payload).hexdigest()
+                yield {"kind": "record", "offset": offset, "length": length, "headers": headers, "payload": payload, "digest": digest}
+                length = 0
         except Damaged as error:
             end = _next_start(file, offset + 1)
             yield {"kind": "gap", "offset": offset, "length": end - offset, "reason": str(error)}
-        else:
-            yield {"kind": "record", "offset": offset, "length": end - offset, "headers": headers, "payload": payload, "digest": digest}
         offset = end
 
 
@@ -197,12 +241,13 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     )
 
     def write(batches):
-        task, n = TaskContext.get().partitionId(), 0
+        # names are an attempt's own; the manifest holds those of the attempt that was committed
+        label, n = f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}", 0
         parts, size = [], 0
 
         def flush():
             nonlocal n, parts, size
-            path = f"{folder}/pages-{task:06d}-{n:04d}.warc.gz"
+            path = f"{folder}/pages-{label}-{n:04d}.warc.gz"
             publish(path, lambda out: [out.write(p) for p in parts])
             row = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(parts)], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
             n, parts, size = n + 1, [], 0
@@ -223,15 +268,17 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     return materialize(rows.mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
 
 
-ROW = "path string, kind string, offset long, length long, record_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, reason string"
+ROW = "path string, kind string, offset long, length long, record_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, reason string, record_uri string, refers_to_uri string"
 
 
 def read_warc(spark: SparkSession, archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records and quarantined gaps of the archives in ``archives(path)``.
 
     Columns: see ``ROW``.  ``kind`` is 'record' or 'gap'; a gap has only path, offset, length and
-    reason.  ``payload`` is null for revisits and without ``with_payload``.  Files are read by one
-    task each, in blocks; only one record is held whole.
+    reason.  ``payload`` is null for revisits and without ``with_payload``.  ``record_id`` and
+    ``refers_to`` are the numbers of this writer's records, null for others, whose names are in the
+    ``_uri`` columns.  A revisit's digest is what it claims; see :func:`orphan_revisits`.  Files are
+    read by one task each, in blocks; only one record is held whole.
     """
     names = [part.split()[0] for part in ROW.split(", ")]
 
@@ -241,7 +288,7 @@ def read_warc(spark: SparkSession, archives: DataFrame, with_payload: bool = Tru
         def flush():
             nonlocal held, size
             columns = list(zip(*held))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.string()]
             held, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
@@ -251,12 +298,12 @@ def read_warc(spark: SparkSession, archives: DataFrame, with_payload: bool = Tru
                 with filesystem.open_input_file(local) as stream:
                     for x in salvage(stream, stream.size()):
                         if x["kind"] == "gap":
-                            held.append((path, "gap", x["offset"], x["length"], None, None, None, None, None, None, None, x["reason"]))
+                            held.append((path, "gap", x["offset"], x["length"], None, None, None, None, None, None, None, x["reason"], None, None))
                         else:
                             h = x["headers"]
                             again = h.get("warc-type") == "revisit"
-                            n = int(h.get("x-payload-length", 0)) if again else len(x["payload"])
-                            held.append((path, "record", x["offset"], x["length"], _number(h.get("warc-record-id")), h.get("warc-target-uri"), h.get("warc-type"), _number(h.get("warc-refers-to")), n, x["digest"], x["payload"] if with_payload and not again else None, None))
+                            n = int(h.get("x-payload-length", "0")) if again else len(x["payload"])
+                            held.append((path, "record", x["offset"], x["length"], _number(h.get("warc-record-id")), h.get("warc-target-uri"), h.get("warc-type"), _number(h.get("warc-refers-to")), n, x["digest"], x["payload"] if with_payload and not again else None, None, _name(h.get("warc-record-id")), _name(h.get("warc-refers-to"))))
                             size += len(x["payload"]) if with_payload else 200
                         if size >= BATCH_BYTES:
                             yield flush()
@@ -265,3 +312,10 @@ def read_warc(spark: SparkSession, archives: DataFrame, with_payload: bool = Tru
 
     files = archives.select("path")
     return files.repartition(max(1, files.count()), "path").mapInArrow(read, ROW)
+
+
+def orphan_revisits(records: DataFrame) -> DataFrame:
+    """The revisits among ``records`` whose response is not there, or has another digest."""
+    revisits = records.where("kind = 'record' and record_type = 'revisit'")
+    responses = records.where("kind = 'record' and record_type = 'response'").select(F.col("record_uri").alias("refers_to_uri"), "payload_digest")
+    return revisits.join(responses, ["refers_to_uri", "payload_digest"], "left_anti").select(*records.columns)

@@ -196,3 +196,46 @@ def test_ids_of_any_length_and_leftovers_of_failed_attempts(spark):
     rows = media.media_features(media.read_media(spark, folder)).collect()
     assert sorted(map(str, (r["doc_id"] for r in rows))) == sorted(map(str, ids)) and {r["error"] for r in rows} == {None}
     assert len({(r["media"], r["feature"]) for r in rows}) == 1
+
+
+def foreign(kind, body, extra=(), length=None):
+    head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:0a>", *extra, b"Content-Length: " + (str(len(body)).encode() if length is None else length)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_odd_headers_are_gaps_and_foreign_digests_are_checked():
+    import base64
+    import gzip
+
+    sha1 = b"WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"body").digest())
+    good = foreign(b"resource", b"body", [sha1])
+    bad = [
+        foreign(b"resource", b"body", length="\u00b2".encode("latin-1")), foreign(b"resource", b"body", length=b"9" * 30), foreign(b"resource", b"bodY", [sha1]),
+        foreign(b"revisit", b"", [b"X-Payload-Length: many"]),
+    ]
+    for one in bad:
+        data = gzip.compress(good) + gzip.compress(one) + gzip.compress(good)
+        found = list(warc.salvage(io.BytesIO(data), len(data)))
+        assert [x["kind"] for x in found] == ["record", "gap", "record"] and sum(x["length"] for x in found) == len(data)
+
+
+def test_a_member_of_several_records_gives_them_all():
+    import gzip
+
+    good = foreign(b"resource", b"body")
+    data = gzip.compress(good + good + b"WARC/1.0\r\nbroken\r\n\r\n" + good + b"rest")
+    found = list(warc.salvage(io.BytesIO(data), len(data)))
+    assert [x["kind"] for x in found] == ["record", "record", "gap", "record", "gap"] and sum(x["length"] for x in found) == len(data)
+
+
+def test_foreign_names_and_revisits_without_a_response(spark):
+    import gzip
+
+    folder = storage.scratch(spark, "w")
+    storage.publish(f"{folder}/a.warc.gz", lambda out: out.write(gzip.compress(foreign(b"resource", b"x")) + gzip.compress(foreign(b"revisit", b"", [b"WARC-Refers-To: <urn:uuid:0b>"]))))
+    got = warc.read_warc(spark, spark.createDataFrame([(f"{folder}/a.warc.gz",)], "path string"))
+    rows = got.orderBy("offset").collect()
+    assert [(r["record_id"], r["record_uri"], r["refers_to_uri"]) for r in rows] == [(None, "urn:uuid:0a", None), (None, "urn:uuid:0a", "urn:uuid:0b")]
+    assert warc.orphan_revisits(got).count() == 1
+    pages_ = spark.createDataFrame([(i, "http://a/", "same text " * 20) for i in range(4)], "page_id long, url string, html string")
+    assert warc.orphan_revisits(warc.read_warc(spark, warc.write_warc(pages_, storage.scratch(spark, "w")))).count() == 0
