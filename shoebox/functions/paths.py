@@ -54,6 +54,7 @@ def top_folder(path: Column, depth: int = 6) -> Column:
 
 
 def url_path(text: Column) -> Column:
-    """Percent-decoded, with single slashes and a leading one; a plus stays a plus."""
-    decoded = F.url_decode(F.regexp_replace(text, r"\+", "%2B"))
+    """Percent-decoded, with single slashes and a leading one; a plus, and a percent sign that begins no escape, stay."""
+    escaped = F.regexp_replace(F.regexp_replace(text, r"\+", "%2B"), "%(?![0-9A-Fa-f]{2})", "%25")
+    decoded = F.url_decode(escaped)
     return F.regexp_replace(F.concat(F.lit("/"), decoded), "/+", "/")

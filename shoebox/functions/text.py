@@ -57,12 +57,10 @@ def short_id(prefix: str, text: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.md5(text), 1, 8))
 
 
-_SEGMENTS = "array<struct<type:string,text:string>>"
-
-
 def response_text(response: Column) -> Column:
     """Text of a chat response: a string, or its text segments joined; else empty."""
-    content = F.get_json_object(response, "$.choices[0].message.content")
-    segments = F.filter(F.from_json(content, _SEGMENTS), lambda s: F.coalesce(s["type"] == "text", F.lit(False)))
-    joined = F.array_join(F.transform(segments, lambda s: F.coalesce(s["text"], F.lit(""))), "")
-    return F.coalesce(F.when(content.startswith("["), joined).otherwise(content), F.lit(""))
+    content = F.try_variant_get(F.try_parse_json(response), "$.choices[0].message.content", "variant")
+    plain = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string"))
+    part = lambda s, key: F.try_variant_get(s, f"$.{key}", "string")
+    segments = F.filter(F.try_variant_get(content, "$", "array<variant>"), lambda s: F.coalesce(part(s, "type") == "text", F.lit(False)))
+    return F.coalesce(plain, F.array_join(F.transform(segments, lambda s: F.coalesce(part(s, "text"), F.lit(""))), ""), F.lit(""))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: The two textual forms of capture times.
+#: The two textual forms of capture times, the patterns of file names, and the years
+#: that a date in a name may have.
 EXIF_FORMAT, PLAIN_FORMAT = "yyyy:M:d H:m:s", "yyyy-M-d H:m:s"
-
 _COMPACT = r"(?<!\d)(\d{4})(\d{2})(\d{2})[_\- ]?(\d{2})(\d{2})(\d{2})(?!\d)"
 _DASHED = r"(\d{4})[-_](\d{2})[-_](\d{2})[ _.\-](\d{2})[.\-_](\d{2})[.\-_](\d{2})"
 _DAY = r"(?<!\d)(\d{4})[-_]?(\d{2})[-_]?(\d{2})(?!\d)"
+_STRATUM = r"^.*?(\d{4})(\d{2})(\d{2})[_\-]"
+_EIGHT = r"(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)"
+FIRST_YEAR, LAST_YEAR = 1990, 2030
 
 
 def basename(path: Column) -> Column:
@@ -38,17 +41,20 @@ def filename_time(path: Column) -> Column:
 
 def stratum_date(path: Column) -> Column:
     """Day of a path for stratified sampling: ``yyyy-mm-dd``, else a year folder, else ``unknown``."""
-    name, pattern = basename(path), r"^.*?(\d{4})(\d{2})(\d{2})[_\-]"
+    years = F.filter(F.split(path, "/"), lambda s: s.rlike(r"^\d{4}$") & F.when(s.rlike(r"^\d{4}$"), s.cast("int")).between(FIRST_YEAR, LAST_YEAR))
+    return F.coalesce(_sound_day(basename(path), _STRATUM), F.try_element_at(years, F.lit(1)), F.lit("unknown"))
+
+
+def _sound_day(name: Column, pattern: str) -> Column:
+    """``yyyy-mm-dd`` of a pattern's three groups if year, month and day are in range, else null."""
     y, m, d = (F.regexp_extract(name, pattern, i) for i in (1, 2, 3))
-    inside = name.rlike(pattern) & F.try_to_number(y, F.lit("9999")).between(1990, 2030) & F.try_to_number(m, F.lit("99")).between(1, 12) & F.try_to_number(d, F.lit("99")).between(1, 31)
-    years = F.filter(F.split(path, "/"), lambda s: s.rlike(r"^\d{4}$") & F.when(s.rlike(r"^\d{4}$"), s.cast("int")).between(1990, 2030))
-    return F.when(inside, F.concat_ws("-", y, m, d)).otherwise(F.coalesce(F.try_element_at(years, F.lit(1)), F.lit("unknown")))
+    inside = name.rlike(pattern) & F.try_to_number(y, F.lit("9999")).between(FIRST_YEAR, LAST_YEAR) & F.try_to_number(m, F.lit("99")).between(1, 12) & F.try_to_number(d, F.lit("99")).between(1, 31)
+    return F.when(inside, F.concat_ws("-", y, m, d))
 
 
 def compact_date(path: Column) -> Column:
-    """``yyyy-mm-dd`` of an eight-digit run in the file name, else null."""
-    name, pattern = basename(path), r"(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)"
-    return F.when(name.rlike(pattern), F.concat_ws("-", *(F.regexp_extract(name, pattern, i) for i in (1, 2, 3))))
+    """``yyyy-mm-dd`` of the first eight-digit run in the file name if it can be a date, else null."""
+    return _sound_day(basename(path), _EIGHT)
 
 
 def exif_time(text: Column) -> Column:

@@ -84,8 +84,9 @@ def aliases(edges: DataFrame) -> DataFrame:
 
 
 def clean_edges(edges: DataFrame, other_types: tuple[str, ...]) -> DataFrame:
-    """Edges worth saving: two different ends and a known or custom, non-empty type."""
-    return edges.where("src <> '' and dst <> '' and src <> dst and type <> ''").withColumn("family", F.col("type").isin(*FAMILY)).withColumn("listed", F.col("type").isin(*FAMILY, *other_types))
+    """Edges worth saving, trimmed: two different ends and a known or custom, non-empty type."""
+    trimmed = edges.withColumns({c: F.trim(c) for c in ("src", "dst", "type")} | {c: F.nullif(F.trim(c), F.lit("")) for c in ("alias_from", "alias_to") if c in edges.columns})
+    return trimmed.where("src <> '' and dst <> '' and src <> dst and type <> ''").withColumn("family", F.col("type").isin(*FAMILY)).withColumn("listed", F.col("type").isin(*FAMILY, *other_types))
 
 
 def display_names(people: DataFrame, known: DataFrame, viewer: str) -> DataFrame:
@@ -106,6 +107,68 @@ def may_set_thumbnail(cluster: Column, perms: str = "") -> Column:
     return F.coalesce(F.col(perms + "is_admin") | ((identity != "") & (identity == cluster)), F.lit(False))
 
 
+def clean_graph(nodes: DataFrame, edges: DataFrame, positions: DataFrame, other_types: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A relationship graph worth saving: ``nodes(id)``, ``edges`` as above, ``positions(id, x, y)``.
+
+    Blank and repeated nodes go; positions stay only for nodes that stay, with both numbers there.
+    """
+    kept = nodes.select(F.trim("id").alias("id")).where("id <> ''").distinct()
+    placed = positions.where("x is not null and y is not null").join(kept, "id", "left_semi").select("id", F.col("x").cast("double"), F.col("y").cast("double"))
+    return kept, clean_edges(edges, other_types), placed
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, positions: DataFrame, other_types: tuple[str, ...], folder: str) -> DataFrame:
+    """Write the cleaned graph and the aliases it yields below ``folder``; one row of totals."""
+    kept = clean_graph(nodes, edges, positions, other_types)
+    for name, part in zip(("nodes", "edges", "positions", "aliases"), (*kept, aliases(kept[1]))):
+        part.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return graph_totals(*kept[:2])
+
+
+def graph_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, and aliases that the edges yield."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(nodes, "nodes").crossJoin(count(edges, "edges")).crossJoin(count(aliases(edges), "aliases"))  # one row each
+
+
+class Refused(ValueError):
+    """A write that a guard forbids."""
+
+
+ROLES = ("admin", "viewer")
+
+
+def put_user(users: DataFrame, name: str, role: str, groups: list[str], identity: str = "") -> DataFrame:
+    """Users with one created or changed; the last admin keeps the role, names and roles must be sound."""
+    if not name.strip() or role not in ROLES:
+        raise Refused("a user needs a name and a known role")
+    if role != "admin":
+        _keep_an_admin(users, name)
+    row = users.sparkSession.createDataFrame([(name, role, identity, groups)], users.select("name", "role", "identity", "groups").schema)
+    return users.where(F.col("name") != name).select("name", "role", "identity", "groups").unionByName(row)
+
+
+def drop_user(users: DataFrame, name: str) -> DataFrame:
+    """Users without one; the last admin cannot go."""
+    _keep_an_admin(users, name)
+    return users.where(F.col("name") != name)
+
+
+def _keep_an_admin(users: DataFrame, name: str) -> None:
+    is_admin = not users.where((F.col("name") == name) & (F.col("role") == "admin")).isEmpty()
+    if is_admin and not admins_left(users, name).first()["admins"]:
+        raise Refused(f"{name} is the last admin")
+
+
+def put_group(groups: DataFrame, name: str, allowed_faces: list[str], allowed_pets: list[str], blocked_paths: list[str]) -> DataFrame:
+    """Groups with one created or replaced; lists lose blanks and repeats."""
+    if not name.strip():
+        raise Refused("a group needs a name")
+    clean = lambda xs: list(dict.fromkeys(x.strip() for x in xs if x.strip()))
+    row = groups.sparkSession.createDataFrame([(name, clean(allowed_faces), clean(allowed_pets), clean(blocked_paths))], groups.schema)
+    return groups.where(F.col("name") != name).unionByName(row)
+
+
 def drop_group(users: DataFrame, groups: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Users and groups after deleting a group; it also leaves every user's list."""
     return users.withColumn("groups", F.array_remove("groups", name)), groups.where(F.col("name") != name)

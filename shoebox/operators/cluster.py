@@ -7,9 +7,11 @@ dealt out with the rows, so neither side has to fit anywhere whole.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors
@@ -40,9 +42,9 @@ def representatives(items: DataFrame, per_cluster: int, keep_noise: bool = True)
     middle = centroids(real).withColumnRenamed("vector", "centre")
     scored = real.join(middle, "cluster").select("cluster", "id", vectors.dot(F.col("vector"), F.col("centre")).alias("score"))
     size = scored.groupBy("cluster").agg(F.count("*").alias("cluster_size"))
-    # bounded top lists merge map-side; no window over a cluster
-    chosen = scored.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, per_cluster).alias("top"))
-    best = chosen.select("cluster", F.inline("top")).select("cluster", "id", (-F.col("s")).alias("score")).join(size, "cluster")
+    # Spark keeps the first rows of each cluster before the shuffle (window group limit)
+    order = Window.partitionBy("cluster").orderBy(F.desc("score"), "id")
+    best = scored.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_cluster).drop("_k").join(size, "cluster")
     if not keep_noise:
         return best
     return best.unionByName(items.where("cluster = -1").select("cluster", "id", F.lit(1.0).alias("score"), F.lit(None).cast("long").alias("cluster_size")))
@@ -176,13 +178,26 @@ def summary(clustered: DataFrame) -> DataFrame:
     return clustered.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"), F.count_if(F.col("cluster") == -1).alias("n_noise"))
 
 
-def kmeans(items: DataFrame, k: int, seed: int = 42, rounds: int = 100) -> DataFrame:
-    """``(id, cluster)`` by Euclidean k-means on unit vectors."""
+#: Fixed value: restarts of k-means.
+RESTARTS = 10
+
+
+def usual_k(rows: int) -> int:
+    """The number of clusters for that many rows if none is asked for: the root of half of them."""
+    return max(2, math.isqrt(rows // 2))
+
+
+def kmeans(items: DataFrame, k: int | None = None, seed: int = 42, rounds: int = 100, restarts: int = RESTARTS) -> DataFrame:
+    """``(id, cluster)`` by Euclidean k-means on unit vectors; of several starts the one with the least cost."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     scaled = items.select("id", array_to_vector(vectors.unit(F.col("vector"))).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=rounds).fit(scaled)
+    scaled = graph.materialize(scaled)
+    rows = scaled.count()
+    k = max(1, min(usual_k(rows) if k is None else k, rows))
+    models = [KMeans(k=k, seed=seed + i, maxIter=rounds).fit(scaled) for i in range(restarts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     return model.transform(scaled).select("id", F.col("prediction").alias("cluster"))
 
 
@@ -194,8 +209,6 @@ def seeded_sample(rows: DataFrame, ratio: float, seed: str, key: str = "id") ->
 
 def stratified_sample(rows: DataFrame, stratum: str, per_stratum: int, seed: str, key: str = "path") -> DataFrame:
     """``per_stratum`` rows of each stratum, those with the smallest hash of key and seed."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.col(key), F.lit(seed))), key)
     # Spark keeps only the first rows of each group before the shuffle (window group limit)
     return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_stratum).drop("_k")

@@ -11,9 +11,12 @@ _KEY = "spark.checkpoint.dir"
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared one; a temporary folder stands in where none is set."""
+    """A new folder in the shared one; on a single machine a temporary folder stands in where none is set."""
     root = spark.conf.get(_KEY, None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{_KEY} has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shoebox-")
         spark.conf.set(_KEY, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -18,21 +18,32 @@ def merge_closure(merges: DataFrame) -> DataFrame:
     """``(src, dst)``: where following merges from ``src`` ends.
 
     A chain ends at its first node without a merge.  A chain into a cycle ends at the first node met
-    twice, so a node on a cycle ends at itself.  Evaluated as a recursive query; a walk carries the
-    nodes it has met.  The result is written once, for several joins read it.
+    twice, so a node on a cycle ends at itself.  Every round doubles the steps that each node has
+    gone, so a chain of any length takes as many rounds as its length has binary digits.  What has
+    not ended after as many steps as there are nodes stands on a cycle; those nodes then count as
+    ends.  Of several merges of one node the greatest target counts; nulls are ignored.
     """
-    merges.createOrReplaceTempView("_merge_edges")
-    closure = merges.sparkSession.sql("""
-        WITH RECURSIVE walk(start, cur, met) AS (
-          SELECT DISTINCT src, src, array(src) FROM _merge_edges
-          UNION ALL
-          SELECT w.start, m.dst, concat(w.met, array(m.dst))
-          FROM walk w JOIN _merge_edges m ON m.src = w.cur
-          WHERE size(w.met) = 1 OR NOT array_contains(slice(w.met, 1, size(w.met) - 1), w.cur)
-        )
-        SELECT start AS src, max_by(cur, size(met)) AS dst FROM walk GROUP BY start
-    """)
-    return graph.materialize(closure)
+    steps = graph.materialize(merges.where("src is not null and dst is not null").groupBy("src").agg(F.max("dst").alias("dst")))
+    ends, rest = _follow(steps, steps.count())
+    if rest is None:
+        return ends
+    cycle = graph.materialize(rest.select(F.col("dst").alias("src")).distinct())
+    entered, _ = _follow(graph.materialize(steps.join(cycle, "src", "left_anti")), None)
+    return graph.materialize(entered.unionByName(cycle.select("src", F.col("src").alias("dst"))))
+
+
+def _follow(steps: DataFrame, nodes: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """(every node with its end, nodes that are on or before a cycle or None), by doubling steps."""
+    state, gone = steps, 1
+    while True:
+        further = state.select(F.col("src").alias("dst"), F.col("dst").alias("_far"))
+        jumped = graph.materialize(state.join(further, "dst", "left").select("src", F.coalesce("_far", "dst").alias("dst"), F.col("_far").isNotNull().alias("moved")))
+        state, gone = jumped.select("src", "dst"), gone * 2
+        open_ = jumped.where("moved")
+        if open_.isEmpty():
+            return state, None
+        if nodes is not None and gone > nodes:
+            return state, open_.select("src", "dst")
 
 
 def resolve(rows: DataFrame, column: str, closure: DataFrame) -> DataFrame:
@@ -112,6 +123,13 @@ def in_view_order(view: DataFrame, identity: str = "") -> DataFrame:
     return view.orderBy("skipped", F.lit(identity == "") | (F.col("id") != identity), F.desc("count"), "id")
 
 
+def with_rank(view: DataFrame, identity: str = "") -> DataFrame:
+    """``view`` with ``rank``, each cluster's place in view order from 0; counted range by range."""
+    order = F.struct("skipped", (F.lit(identity == "") | (F.col("id") != identity)).alias("other"), (-F.col("count")).alias("less"), "id")
+    keyed = view.withColumn("_order", order)
+    return keyed.join(graph.ranked(keyed.select("_order"), "_order"), "_order").drop("_order")
+
+
 def page(view: DataFrame, number: int, identity: str = "", size: int = PAGE_SIZE) -> DataFrame:
     """One page in view order; the number is clamped to the pages there are."""
     last = max(0, (view.count() - 1) // size)
@@ -162,22 +180,94 @@ def log_state(log: DataFrame, entry: str) -> DataFrame:
     return flat.where("value is not null and value <> ''").select("id", "path", "value", "seq")
 
 
+def _events(spark, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "seq long, entry string, id string, path string, value string")
+
+
+def _chains(merges: DataFrame, ids: list[str]) -> dict[str, str]:
+    """The merges met on the way from ``ids``, as a mapping; a query for each further step."""
+    found: dict[str, str] = {}
+    front = set(ids)
+    while front:
+        step = {r["src"]: r["dst"] for r in merges.where(F.col("src").isin(sorted(front))).collect()}
+        found |= step
+        front = set(step.values()) - found.keys()
+    return found
+
+
 def merge_events(merges: DataFrame, names: DataFrame, sources: list[str], target: str, seq: int) -> DataFrame:
     """Log rows for merging ``sources`` into ``target``.
 
-    The target is resolved first; a source that is the target, or that the target already leads to,
-    is left out.  A named target takes no name; an unnamed one takes the first named source's.
+    The target is resolved first.  A source that is that end, or already leads to it, is left out.
+    Every other source takes the end's name, if it has one.  Empty sources or targets do nothing.
     """
     spark = merges.sparkSession
-    found = {r["src"]: r["dst"] for r in merge_closure(merges).where(F.col("src") == target).collect()}
-    end = found.get(target, target)
-    wanted = [s for s in dict.fromkeys(sources) if s != end]
-    rows = [(seq + i, "merge", s, None, end) for i, s in enumerate(wanted)]
-    named = {r["id"]: r["name"] for r in names.where(F.col("id").isin([end, *wanted]) & (F.col("name") != "")).collect()}
-    heir = next((named[s] for s in wanted if s in named), None)
-    if end not in named and heir:
-        rows.append((seq + len(rows), "name", end, None, heir))
-    return spark.createDataFrame(rows, "seq long, entry string, id string, path string, value string")
+    chain = _chains(merges, [x for x in [target, *sources] if x])
+
+    def end_of(node: str) -> str:
+        met = set()
+        while node in chain and node not in met:
+            met.add(node)
+            node = chain[node]
+        return node
+
+    final, rows = end_of(target) if target else None, []
+    name = next((r["name"] for r in names.where((F.col("id") == final) & (F.col("name") != "")).limit(1).collect()), None)
+    for source in sources if target else []:
+        if not source or source == final or end_of(source) == final:
+            continue
+        chain[source] = final
+        rows.append((seq + len(rows), "merge", source, None, final))
+        if name:
+            rows.append((seq + len(rows), "name", source, None, name))
+    return _events(spark, rows)
+
+
+def clear_events(spark, entry: str, ids: list[str], seq: int, path: str | None = None) -> DataFrame:
+    """Log rows that take entries back: unmerge, unname, unskip, unmove, restore a removed image."""
+    return _events(spark, [(seq + i, entry, x, path, None) for i, x in enumerate(ids) if x])
+
+
+def skip_events(skipped: DataFrame, ids: list[str], seq: int) -> DataFrame:
+    """Log rows that skip ``ids``; those skipped before are left out, so repeating adds nothing."""
+    wanted = list(dict.fromkeys(x for x in ids if x))
+    known = {r["id"] for r in skipped.where(F.col("id").isin(wanted)).select("id").collect()}
+    return _events(skipped.sparkSession, [(seq + i, "skip", x, None, "1") for i, x in enumerate(w for w in wanted if w not in known)])
+
+
+def skip_toggle(skipped: DataFrame, cluster: str, seq: int) -> DataFrame:
+    """A log row that skips a cluster, or takes that back if it is skipped."""
+    held = not skipped.where(F.col("id") == cluster).isEmpty()
+    return _events(skipped.sparkSession, [(seq, "skip", cluster, None, None if held else "1")] if cluster else [])
+
+
+def name_events(spark, named: dict[str, str], seq: int) -> DataFrame:
+    """Log rows that name clusters; a blank name clears it."""
+    return _events(spark, [(seq + i, "name", k, None, v.strip() or None) for i, (k, v) in enumerate(named.items()) if k])
+
+
+def remove_events(spark, cluster: str, paths_: list[str], seq: int) -> DataFrame:
+    """Log rows that take images out of a cluster's view."""
+    return _events(spark, [(seq + i, "remove", cluster, p, "1") for i, p in enumerate(paths_) if p and cluster])
+
+
+def thumbnail_event(perms: DataFrame, cluster: str, path: str, seq: int) -> DataFrame:
+    """A log row that chooses a cluster's image, if the one viewer in ``perms`` may; else none."""
+    from . import access
+
+    may = not perms.limit(1).where(access.may_set_thumbnail(F.lit(cluster))).isEmpty()
+    return _events(perms.sparkSession, [(seq, "thumb", cluster, None, path)] if may and cluster and path else [])
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Append log rows to the overlay log at ``path``."""
+    events.coalesce(1).write.mode("append").parquet(path)
+
+
+def read_events(spark, path: str) -> DataFrame:
+    from ..sources.tables import read_parquet
+
+    return read_parquet(spark, path, "seq long, entry string, id string, path string, value string")
 
 
 def viewer_view(images: DataFrame, names: DataFrame, skipped: DataFrame, faces: DataFrame, perms: DataFrame, kind: str) -> DataFrame:
@@ -230,18 +320,31 @@ def sum_stats(parts: list[DataFrame]) -> DataFrame:
     return every.agg(*[F.sum(c).alias(c) for c in every.columns])
 
 
-def cluster_metadata(images: DataFrame, files: DataFrame, cluster: str) -> DataFrame:
-    """Active images of one cluster with year and month of their file time, newest first.
+def cluster_metadata(images: DataFrame, files: DataFrame, cluster: str, perms: DataFrame | None = None) -> DataFrame:
+    """Images of one cluster with year and month of their file time, active ones first, newest first.
 
-    ``files(path, modified)``; images without a file come last, without a date.
+    ``files(path, modified)``; images without a file come last, without a date.  ``removed`` tells
+    the lists apart; only an admin in ``perms`` (one row) gets the removed ones.
     """
-    active = images.where((F.col("id") == cluster) & ~F.col("gone") & ~(F.col("away") & ~F.col("user_created")))
-    dated = active.join(files.select("path", "modified"), "path", "left")
-    return dated.select("path", "modified", F.year("modified").alias("year"), F.month("modified").alias("month")).orderBy(F.desc_nulls_last("modified"), "path")
+    own = images.where((F.col("id") == cluster) & ~(F.col("away") & ~F.col("user_created")))
+    if perms is None or perms.limit(1).where("is_admin").isEmpty():
+        own = own.where("not gone")
+    dated = own.join(files.select("path", "modified"), "path", "left")
+    listed = dated.select("path", "modified", F.year("modified").alias("year"), F.month("modified").alias("month"), F.col("gone").alias("removed"))
+    return listed.orderBy("removed", F.desc_nulls_last("modified"), "path")
+
 
+def move_events(paths_: list[str], source: str, target: str, used: DataFrame, seq: int, prefix: str = "face", name: str = "") -> DataFrame:
+    """Log rows that move ``paths_`` out of ``source``; the target ``__new__`` makes a new cluster.
 
-def move_events(paths_: list[str], source: str, target: str, used: DataFrame, seq: int, prefix: str = "face") -> DataFrame:
-    """Log rows that move ``paths_`` out of ``source``; the target ``__new__`` makes a new cluster."""
-    end = next_user_id(used, prefix) if target == "__new__" else target
-    rows = [(seq + i, "move", source, p, end) for i, p in enumerate(paths_)]
-    return used.sparkSession.createDataFrame(rows, "seq long, entry string, id string, path string, value string")
+    A new cluster takes ``name`` if it is not blank.  A move replaces an earlier one of its path.
+    Nothing moves from a cluster to itself.
+    """
+    end, rows = target, []
+    if target == "__new__":
+        end = next_user_id(used, prefix)
+        if name.strip():
+            rows.append((seq, "name", end, None, name.strip()))
+    if source and end and source != end:
+        rows += [(seq + len(rows) + i, "move", source, p, end) for i, p in enumerate(x for x in paths_ if x)]
+    return _events(used.sparkSession, rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import paths
 
@@ -15,6 +15,19 @@ def index_stats(index: DataFrame) -> DataFrame:
     )
 
 
+def cluster_counts(detections: DataFrame, names: DataFrame) -> DataFrame:
+    """One row: face clusters there are, and faces with a name."""
+    total = detections.agg(F.count_distinct("face_id").alias("face_clusters_total"))
+    return total.crossJoin(names.where("name <> ''").agg(F.count_distinct("id").alias("face_clusters_named")))  # one row each
+
+
+def detection_totals(detections: DataFrame) -> DataFrame:
+    """One row: images with a face, faces, faces of no cluster (``face_id`` null), clusters."""
+    return detections.agg(
+        F.count_distinct("path").alias("n_images"), F.count("*").alias("n_faces"), F.count_if(F.col("face_id").isNull()).alias("n_noise"), F.count_distinct("face_id").alias("n_clusters"),
+    )
+
+
 def time_sources(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("source").agg(F.count("*").alias("n"))
 
@@ -56,5 +69,7 @@ def best_detection(detections: DataFrame, key: str = "face_id", score: str = "de
 
 def best_of_first_images(detections: DataFrame, images: int = 5) -> DataFrame:
     """Best detection of each cluster among its first images."""
-    early = cluster_infos(detections).select("face_id", F.explode(F.slice("paths", 1, images)).alias("path"))
+    seen = detections.groupBy("face_id", "path").agg(F.min("seq").alias("seq"))
+    order = Window.partitionBy("face_id").orderBy("seq", "path")
+    early = seen.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= images).select("face_id", "path")  # window group limit
     return best_detection(detections.join(early, ["face_id", "path"]))

@@ -50,8 +50,7 @@ def cluster_view_synthetic(spark, d):
 
 
 def cluster_sort(spark, d):
-    out = overlay.in_view_order(overlay.tab(_view(spark, d), "unnamed"), "face_5").limit(40)
-    return out.select("id", "count")
+    return overlay.with_rank(overlay.tab(_view(spark, d), "unnamed"), "face_5").select("rank", "id", "count")
 
 
 def cluster_page(spark, d):
@@ -231,7 +230,7 @@ ORACLES = {
         SELECT p.path, p.seq, p.face_id, coalesce(n.name, p.face_id) AS name FROM p ANTI JOIN rremoved x ON x.path = p.path AND x.id = p.face_id LEFT JOIN names n ON n.id = p.face_id""",
     "cluster_view": f"{_VIEW} SELECT id, name, count, original_count, images_md5, skipped FROM v WHERE NOT uc",
     "cluster_view_synthetic": f"{_VIEW} SELECT id, name, count, original_count, images_md5, skipped FROM v WHERE uc",
-    "cluster_sort": f"{_VIEW} SELECT id, count FROM v WHERE name = '' AND NOT skipped ORDER BY skipped, id <> 'face_5', count DESC, id LIMIT 40",
+    "cluster_sort": f"{_VIEW} SELECT row_number() OVER (ORDER BY skipped, id <> 'face_5', count DESC, id) - 1 AS rank, id, count FROM v WHERE name = '' AND NOT skipped",
     "cluster_page": f"{_VIEW} SELECT id, name, count, skipped FROM (SELECT *, row_number() OVER (ORDER BY skipped, id <> 'face_1', count DESC, id) - 1 AS r, count(*) OVER () AS n FROM v) WHERE r // 24 = least(1, (n - 1) // 24)",
     "cluster_stats": f"{_OVER} SELECT t AS total, t - m AS displayed, n AS named, s AS skipped, m AS merges FROM (SELECT (SELECT count(DISTINCT face_id) FROM detections) AS t, (SELECT count(*) FROM merges) AS m, (SELECT count(*) FROM names) AS n, (SELECT count(*) FROM skipped) AS s)",
     "named_clusters": f"{_OVER} SELECT n.id, n.name, count(*) AS count FROM (SELECT DISTINCT face_id, path FROM detections) d LEFT JOIN closure c ON c.src = d.face_id JOIN names n ON n.id = coalesce(c.dst, d.face_id) WHERE n.id NOT IN (SELECT src FROM merges) GROUP BY 1, 2",

@@ -65,7 +65,8 @@ def build_index_join(spark, d):
 
 
 def index_stats(spark, d):
-    return stats.index_stats(a.index(spark, d))
+    counts = stats.cluster_counts(a.detections(spark, d), a.names(spark, d))
+    return stats.index_stats(a.index(spark, d)).crossJoin(counts)  # one row each
 
 
 def get_photo(spark, d):
@@ -220,7 +221,8 @@ ORACLES = {
     "search_soft_label": f"""{_I} SELECT path, (0.5 + CASE WHEN contains(lower(coalesce(label, '')), 'ing the') THEN 1 ELSE 0 END)::DOUBLE AS score FROM idx WHERE contains(lower(location_name), 'vie') ORDER BY score DESC, path LIMIT 40""",
     "build_index_join": f"""{a.with_(a.PHOTOS, a.DETECTIONS)} SELECT p.path, CAST(length(CASE WHEN event_id % 4 = 0 THEN 'R' || d.text ELSE d.text END) AS BIGINT) AS label_length, array_to_string(face_ids, ',') AS faces,
         strftime(taken_at, '%Y-%m-%d %H:%M:%S') AS taken_at, CASE WHEN event_id % 3 = 0 THEN 'exif' ELSE 'filename' END AS time_source, CAST(year AS BIGINT) AS year FROM photos p JOIN documents d ON d.doc_id = p.event_id WHERE event_id % 19 <> 0""",
-    "index_stats": f"{_P} SELECT count(*) AS total, count(taken_at) AS with_time, count(location) AS with_gps, count(*) FILTER (WHERE has_face) AS with_faces FROM photos",
+    "index_stats": f"""{a.with_(a.PHOTOS, a.DETECTIONS, a.NAMES)} SELECT count(*) AS total, count(taken_at) AS with_time, count(location) AS with_gps, count(*) FILTER (WHERE has_face) AS with_faces,
+        (SELECT count(DISTINCT face_id) FROM detections) AS face_clusters_total, (SELECT count(DISTINCT id) FROM names WHERE name <> '') AS face_clusters_named FROM photos""",
     "get_photo": f"{_I} SELECT path, array_to_string(face_ids, ',') AS faces, location, location_name, CASE WHEN length(label) > 60 THEN label[:60] || '...' ELSE label END AS label FROM idx WHERE event_id = 42",
     "list_faces_topn": f"{a.with_(a.PHOTOS, a.DETECTIONS, a.NAMES)} SELECT c.face_id, n.name, c.count, i.images FROM ({_FACES}) c JOIN ({_IMAGES}) i USING (face_id) LEFT JOIN names n ON n.id = c.face_id ORDER BY c.count DESC, c.face_id LIMIT 20",
     "unnamed_faces": f"{a.with_(a.PHOTOS, a.DETECTIONS, a.NAMES)} SELECT c.face_id, c.count, i.images FROM ({_FACES}) c JOIN ({_IMAGES}) i USING (face_id) ANTI JOIN names n ON n.id = c.face_id ORDER BY c.count DESC, c.face_id LIMIT 30",

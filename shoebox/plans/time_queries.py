@@ -62,7 +62,7 @@ def event_detail(spark, d):
 def overview_photos(spark, d):
     p = a.photos(spark, d)
     out = timeline.overview(p.select("path", "taken_at", "year", "month", "location_name", "face_ids"), p.select("path", "pet_ids"), _perms(spark))
-    return out.limit(200).select("path", F.col("year").cast("long").alias("year"), "location_name")
+    return out.select("path", F.col("year").cast("long").alias("year"), "location_name")
 
 
 def event_years(spark, d):
@@ -171,7 +171,7 @@ def nearest_centroid_assign(spark, d):
 
 
 def _seeds(spark, d):
-    return a.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("q"), "quality").alias("label")).where("id % 3 = 0")
+    return a.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("q"), "quality").alias("label"))
 
 
 def label_propagation(spark, d):
@@ -220,7 +220,7 @@ _CEN = """m AS (SELECT cluster, pos, avg(x) AS x FROM (SELECT cluster, unnest(ve
   c AS (SELECT cluster, list(x ORDER BY pos) AS raw FROM m GROUP BY 1), cen AS (SELECT cluster, list_transform(raw, lambda x: x / (sqrt(list_inner_product(raw, raw)) + 1e-12)) AS centre FROM c)"""
 _NB = "nb AS (SELECT p.id AS a, q.id AS b, 1 - list_inner_product(p.vector, q.vector) AS distance FROM items p JOIN items q ON p.id <> q.id AND 1 - list_inner_product(p.vector, q.vector) <= 0.62)"
 _CORE = "core AS (SELECT a AS id FROM nb GROUP BY 1 HAVING count(*) + 1 >= 3)"
-_SEED = "seeds AS (SELECT doc_id AS id, 'q' || quality AS label FROM labels WHERE doc_id % 3 = 0 AND doc_id IN (SELECT id FROM items))"
+_SEED = "seeds AS (SELECT doc_id AS id, 'q' || quality AS label FROM labels WHERE doc_id IN (SELECT id FROM items))"
 _PROP = f"""{a.with_(a.ITEMS, _SEED)}, best AS (SELECT i.id, s.id AS seed, s.label, list_inner_product(i.vector, v.vector) AS sim, row_number() OVER (PARTITION BY i.id ORDER BY list_inner_product(i.vector, v.vector) DESC, s.id) AS k
   FROM items i, seeds s JOIN items v ON v.id = s.id WHERE i.id NOT IN (SELECT id FROM seeds)),
   prop AS (SELECT id, CASE WHEN sim >= 0.3 THEN seed END AS seed, CASE WHEN sim >= 0.3 THEN label END AS label, round(sim, 6) AS similarity, false AS is_seed, sim >= 0.3 AS clustered FROM best WHERE k = 1
@@ -237,7 +237,7 @@ ORACLES = {
         SELECT m.id, m.vcnt AS photo_count, coalesce(f.top_faces, '') AS top_faces, coalesce(p.top_places, '') AS top_places, CASE WHEN EXISTS (SELECT 1 FROM kept k WHERE k.id = m.id AND k.path = o.cover) THEN o.cover ELSE m.middle END AS cover
         FROM mid m JOIN orig o ON o.id = m.id LEFT JOIN ({_top('unnest(face_ids)', 'kept', 'top_faces')}) f ON f.id = m.id LEFT JOIN ({_top('location_name', 'kept', 'top_places')}) p ON p.id = m.id""",
     "event_detail": f"{_EV} SELECT pos, path, location_name FROM ev WHERE id = (SELECT arg_max(id, cnt * 1e15 + CAST(replace(substr(id, 5), '_', '') AS BIGINT)) FROM ev)",
-    "overview_photos": f"{a.with_(a.PHOTOS, a.PERMS)} SELECT path, year, location_name FROM photos, perms WHERE name = 'bob' AND {a.CAN_SEE} ORDER BY taken_at DESC, path LIMIT 200",
+    "overview_photos": f"{a.with_(a.PHOTOS, a.PERMS)} SELECT path, year, location_name FROM photos, perms WHERE name = 'bob' AND {a.CAN_SEE}",
     "event_years": f"{_EV} SELECT year(st) AS year, count(DISTINCT id) AS events FROM ev GROUP BY 1",
     "overview_months": f"{_ORD} SELECT year, month, count(*) AS photos, count(DISTINCT location_name) AS n_places, array_to_string(list_sort(list(DISTINCT location_name) FILTER (WHERE location_name IS NOT NULL))[:3], ', ') AS places FROM o GROUP BY 1, 2",
     "mem_on_this_day": f"{_ORD} {_OTD}",

@@ -114,3 +114,17 @@ def test_shipped_place_names_yield_to_own_ones(spark):
     names = spark.createDataFrame([("Taipei, TW",), ("Tainan",), ("Nowhere, XX",), (None,)], "name string")
     got = {r["name"]: r["shown"] for r in geocode.translate(names, places.place_words(spark, own)).collect()}
     assert got == {"Taipei, TW": "T", "Tainan": "台南", "Nowhere, XX": "Nowhere, XX", None: None}
+
+
+def test_dates_out_of_range_are_none(spark):
+    assert values(spark, times.compact_date(F.col("x")), ["20239999.jpg", "18991231.jpg", "20240229.jpg"]) == [None, None, "2024-02-29"]
+
+
+def test_stray_percent_signs_stay(spark):
+    assert values(spark, paths.url_path(F.col("x")), ["/a/100%zz.jpg", "50%", "%e6%b5%b7%2", "%41%"]) == ["/a/100%zz.jpg", "/50%", "/海%2", "/A%"]
+
+
+def test_answers_by_their_json_type(spark):
+    said = lambda content: '{"choices":[{"message":{"content":%s}}]}' % content
+    given = ['"[photo] a cat"', '[{"type":"text","text":"a"},7,{"type":"image"},{"type":"text"},{"type":"text","text":"[b"}]', "null", "5", '{"text":"x"}', '""']
+    assert values(spark, text.response_text(F.col("x")), [*map(said, given), "no json", '{"choices":[]}']) == ["[photo] a cat", "a[b", "", "", "", "", "", ""]

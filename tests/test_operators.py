@@ -35,11 +35,13 @@ def test_merge_closure_on_random_forests(spark):
         assert got == {s: follow(edges, s) for s in edges}
 
 
-def test_merging_takes_over_names_and_refuses_cycles(spark):
-    merges = spark.createDataFrame([("b", "c")], "src string, dst string")
-    names = spark.createDataFrame([("a", "Ann")], "id string, name string")
-    rows = overlay.merge_events(merges, names, ["a", "c", "a"], "b", 10).collect()
-    assert [(r.entry, r.id, r.value) for r in rows] == [("merge", "a", "c"), ("name", "c", "Ann")]
+def test_merged_sources_take_the_end_s_name(spark):
+    merges = spark.createDataFrame([("b", "c"), ("d", "a"), ("e", "c")], "src string, dst string")
+    names = spark.createDataFrame([("a", "Ann"), ("c", "Cem")], "id string, name string")
+    got = lambda sources, target: [(r.seq, r.entry, r.id, r.value) for r in overlay.merge_events(merges, names, sources, target, 10).collect()]
+    # the end of b is c; a takes its name; c is the end, e leads there, d does so once a is merged
+    assert got(["a", "c", "e", "d", "a", ""], "b") == [(10, "merge", "a", "c"), (11, "name", "a", "Cem")]
+    assert got(["c"], "f") == [(10, "merge", "c", "f")] and got(["a"], "") == []
 
 
 def test_next_user_id_fills_gaps(spark):
@@ -259,3 +261,66 @@ def test_people_fall_back_when_nobody_is_known(spark):
     photos = spark.createDataFrame(rows, "path string, year int, month int, face_ids array<string>")
     names = spark.createDataFrame([("f1",)], "id string")
     assert memories.people(photos, names, ["f9"]).count() == 1
+
+
+def test_long_chains_and_tails_of_cycles_end(spark):
+    n = 3000
+    rows = [(f"c{i}", f"c{i + 1}") for i in range(n)] + [("p", "q"), ("q", "r"), ("r", "p")] + [(f"t{i}", f"t{i + 1}" if i < 40 else "q") for i in range(41)]
+    got = {r["src"]: r["dst"] for r in overlay.merge_closure(spark.createDataFrame(rows, "src string, dst string")).collect()}
+    assert all(got[f"c{i}"] == f"c{n}" for i in range(n)) and {got[x] for x in "pqr"} == set("pqr") and all(got[x] == x for x in "pqr")
+    assert all(got[f"t{i}"] == "q" for i in range(41))
+
+
+def test_overlay_writers_keep_their_guards(spark, tmp_path):
+    log = str(tmp_path / "log")
+    used = spark.createDataFrame([("face_u1",)], "id string")
+    overlay.append_events(overlay.move_events(["/a", "/b"], "face_1", "__new__", used, 1, name=" New "), log)
+    overlay.append_events(overlay.move_events(["/a"], "face_1", "face_1", used, 9), log)
+    overlay.append_events(overlay.name_events(spark, {"face_2": "Bo", "face_3": " "}, 10), log)
+    skipped = spark.createDataFrame([("face_4",)], "id string")
+    overlay.append_events(overlay.skip_events(skipped, ["face_4", "face_5", "face_5"], 20), log)
+    overlay.append_events(overlay.remove_events(spark, "face_6", ["/c", ""], 30), log)
+    overlay.append_events(overlay.clear_events(spark, "move", ["face_1"], 40, "/b"), log)
+    events = overlay.read_events(spark, log)
+    state = lambda entry: {tuple(r) for r in overlay.log_state(events, entry).drop("seq").collect()}
+    assert state("move") == {("face_1", "/a", "face_u2")} and state("skip") == {("face_5", None, "1")} and state("remove") == {("face_6", "/c", "1")}
+    assert {(i, v) for i, _, v in state("name")} == {("face_u2", "New"), ("face_2", "Bo")}
+    assert [r.value for r in overlay.skip_toggle(skipped, "face_4", 1).collect()] == [None] and overlay.skip_toggle(skipped, "face_9", 1).first().value == "1"
+    perms = lambda admin, who: spark.createDataFrame([(admin, who, [])], "is_admin boolean, identity string, allowed_faces array<string>")
+    assert [overlay.thumbnail_event(perms(*p), "face_1", "/a", 1).count() for p in ((True, ""), (False, "face_1"), (False, "face_2"), (False, ""))] == [1, 1, 0, 0]
+    assert overlay.read_events(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_the_last_admin_stays(spark):
+    users = spark.createDataFrame([("ann", "admin", "", ["g"]), ("bob", "viewer", "", [])], "name string, role string, identity string, groups array<string>")
+    for write in (lambda: access.drop_user(users, "ann"), lambda: access.put_user(users, "ann", "viewer", []), lambda: access.put_user(users, " ", "viewer", []), lambda: access.put_user(users, "x", "king", [])):
+        with pytest.raises(access.Refused):
+            write()
+    two = access.put_user(users, "cid", "admin", ["g"])
+    assert {r["name"] for r in access.drop_user(two, "ann").collect()} == {"bob", "cid"} and access.drop_user(users, "bob").count() == 1
+    groups = access.put_group(spark.createDataFrame([], "name string, allowed_faces array<string>, allowed_pets array<string>, blocked_paths array<string>"), "g", ["f", " f ", ""], [], ["/x"])
+    assert [tuple(r) for r in groups.collect()] == [("g", ["f"], [], ["/x"])]
+
+
+def test_a_saved_graph_is_clean(spark, tmp_path):
+    nodes = spark.createDataFrame([("a ",), ("b",), ("",), ("b",)], "id string")
+    edges = spark.createDataFrame([(1, " a", "b ", "父 ", " Pa ", ""), (2, "a", " a", "父", "", ""), (3, "a", "b", " ", "", ""), (4, None, "b", "父", "", "")], "seq long, src string, dst string, type string, alias_from string, alias_to string")
+    positions = spark.createDataFrame([("a", 1.0, 2.0), ("c", 1.0, 2.0), ("b", None, 2.0)], "id string, x double, y double")
+    assert tuple(access.save_graph(nodes, edges, positions, (), str(tmp_path)).first()) == (2, 1, 2)
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/aliases").collect()} == {("a", "b", "Pa"), ("b", "a", "爸爸")}
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/positions").collect()] == [("a", 1.0, 2.0)]
+
+
+def test_a_corrupt_overlay_reads_as_empty(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"id": "a"}\n{"id": \n')
+    (tmp_path / "good.json").write_text('{"id": "a"}\n')
+    assert [tables.read_overlay(spark, str(tmp_path / f), "id string").count() for f in ("bad.json", "good.json")] == [0, 1]
+
+
+def test_kmeans_takes_the_best_of_its_starts(spark):
+    rng = random.Random(5)
+    corners = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (-1, 0, 0), (0, -1, 0), (0, 0, -1)]
+    rows = [(i, [c + rng.gauss(0, 0.02) for c in corners[i % 6]]) for i in range(120)]
+    got = cluster.kmeans(spark.createDataFrame(rows, "id long, vector array<double>"), 6).collect()
+    assert {len({r["cluster"] for r in got if r["id"] % 6 == j}) for j in range(6)} == {1} and len({r["cluster"] for r in got}) == 6
+    assert cluster.usual_k(200) == 10 and cluster.usual_k(1) == 2
