@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text, times
+from . import graph
 
 #: Photos that each kind of card needs, and the most a card shows.
 LEAST = {"on_this_day": 3, "trip": 5, "topic": 6, "place": 10, "person": 8, "season": 30, "weekend": 12, "pet": 6}
@@ -94,14 +95,71 @@ SHOWN = {"trip": 3, "topic": 3}
 def pick(candidates: DataFrame, seed: str) -> DataFrame:
     """A reproducible selection: cards of each kind by hash of seed and id, then all in hash order.
 
-    Topics take one month per topic first.  Returns ``place, kind, card_id, title, n``.
+    ``candidates(kind, card_id, title, n)``, and ``grp`` if only one card of a group may be taken (one
+    month of each topic).  Returns ``place, kind, card_id, title, n``.
     """
     draw = candidates.withColumn("draw", F.md5(F.concat(F.lit(seed), "card_id")))
-    ranked = draw.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("draw", "card_id", "title", "n"))).alias("all"))  # few cards a kind
-    quota = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in SHOWN.items()], F.when(F.col("kind") == "on_this_day", F.size("all")), F.lit(1))
-    chosen = ranked.select("kind", F.inline(F.slice("all", F.lit(1), quota)))
-    whole = chosen.groupBy().agg(F.array_sort(F.collect_list(F.struct("draw", "kind", "card_id", "title", "n"))).alias("all"))
-    return whole.select(F.posexplode("all").alias("place", "c")).select("place", "c.kind", "c.card_id", "c.title", "c.n")
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "card_id"))
+    if "grp" in draw.columns:
+        draw = draw.withColumn("_one", nth("kind", "grp")).where("_one = 1")
+    quota = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in SHOWN.items()], F.when(F.col("kind") == "on_this_day", 1 << 30), F.lit(1))
+    chosen = draw.withColumn("_k", nth("kind")).where(F.col("_k") <= quota)
+    # what is left are a few cards a kind and a card a year
+    return chosen.withColumn("place", F.row_number().over(Window.orderBy("draw", "card_id")) - 1).select("place", "kind", "card_id", "title", "n")
+
+
+def _cards_of(kind: str, rows: DataFrame, keys: list[str], card: Column, title: Column, subtitle: Column | None = None, grp: Column | None = None, rank: Column | None = None, cover: Column | None = None) -> DataFrame:
+    """The photos of all cards of one kind that have enough of them, a row each."""
+    enough = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST[kind])
+    card_id = F.concat(F.lit(f"mem_{kind}_"), card)
+    return rows.join(enough, keys).select(
+        F.lit(kind).alias("kind"), card_id.alias("card_id"), title.alias("title"), (F.lit("") if subtitle is None else subtitle).alias("subtitle"), (card_id if grp is None else grp).alias("grp"),
+        "path", "taken_at", (F.lit(0) if rank is None else rank).alias("rank"), (F.lit(None).cast("string") if cover is None else cover).alias("event_cover"), "n",
+    )
+
+
+def view(photos: DataFrame, found: DataFrame, face_names: DataFrame, pet_names: DataFrame, today: datetime.date, seed: str, identity: str = "", preferred: list[str] | None = None, topics_: dict = text.TOPICS) -> DataFrame:
+    """All eight kinds as cards for one viewer, with titles, photos and covers.
+
+    ``photos(path, taken_at, year, month, label, location_name, face_ids, pet_ids)`` are those the
+    viewer sees, ``found(id, start, duration_days, photos, top_places, cover)`` the events.  Returns
+    ``place, kind, card_id, title, subtitle, cover, photos, photo_count``: at most MOST_SHOWN photos a
+    card, topics' by hits and others' by seeded hash, in time order; the cover is the event's own if
+    it is among them, else the middle one.
+    """
+    year, month = F.col("year").cast("string"), F.col("month").cast("string")
+    when = F.concat(year, F.lit(" 年 "), month, F.lit(" 月 · "))
+    stamp = F.concat(year, F.lit("_"), F.lpad(month, 2, "0"))
+    dated = photos.where("year is not null and month is not null")
+    slim = photos.select("path", "taken_at")
+    same = photos.where((F.month("taken_at") == today.month) & (F.dayofmonth("taken_at") == today.day) & (F.col("year") != today.year))
+    parts = [_cards_of("on_this_day", same, ["year"], year, F.concat((F.lit(today.year) - F.col("year")).cast("string"), F.lit(" 年前的今天")), F.concat(year, F.lit(f" 年 {today.month} 月 {today.day} 日")))]
+    lasting = found.where((F.size("top_places") > 0) & (F.col("duration_days") >= TRIP_DAYS))
+    went = lasting.select(F.col("id"), F.year("start").alias("year"), F.month("start").alias("month"), F.get("top_places", 0).alias("spot"), "duration_days", "cover", F.explode("photos").alias("path")).join(slim, "path")
+    parts.append(_cards_of("trip", went, ["id"], F.col("id"), F.concat(when, "spot"), F.concat(F.col("duration_days").cast("string"), F.lit(" 天")), cover=F.col("cover")))
+    told = topic_photos(photos, topics_).join(slim, "path")
+    parts.append(_cards_of("topic", told, ["topic", "year", "month"], F.concat("topic", F.lit("_"), stamp), F.concat(when, "topic"), grp=F.col("topic"), rank=F.col("hits")))
+    parts.append(_cards_of("place", photos.where("location_name <> ''"), ["location_name"], F.col("location_name"), F.concat(F.lit("在 "), "location_name"), F.lit("跨年度回顧")))
+    faces = dated.select("path", "taken_at", "year", "month", F.explode("face_ids").alias("id")).join(face_names.where("name <> ''").select("id", "name"), "id")
+    people_ = people(photos, face_names.where("name <> ''"), preferred).select(F.col("face").alias("id"), "year", "month")
+    title = F.when(F.col("id") == identity, F.concat(when, F.lit("那時候的我"))).otherwise(F.concat(when, F.lit("與 "), "name"))
+    parts.append(_cards_of("person", faces.join(people_, ["id", "year", "month"]), ["id", "year", "month"], F.concat("id", F.lit("_"), stamp), title))
+    turned = dated.select("path", "taken_at", times.season(F.col("month")).alias("season"), times.season_year(F.col("year"), F.col("month")).alias("season_year")).where(F.col("season_year") < today.year)
+    parts.append(_cards_of("season", turned, ["season", "season_year"], F.concat("season", F.lit("_"), F.col("season_year").cast("string")), F.concat(F.col("season_year").cast("string"), F.lit(" 年的"), "season", F.lit("天"))))
+    parts.append(_cards_of("weekend", photos.where(times.on_weekend(F.col("taken_at"))), ["year", "month"], stamp, F.concat(when, F.lit("週末"))))
+    animals = dated.select("path", "taken_at", "year", "month", F.explode("pet_ids").alias("id")).join(pet_names.where("name <> ''").select("id", "name"), "id")
+    parts.append(_cards_of("pet", animals, ["id", "year", "month"], F.concat("id", F.lit("_"), stamp), F.concat(when, "name")))
+    members = parts[0]
+    for part in parts[1:]:
+        members = members.unionByName(part)
+    members = graph.materialize(members)
+    cards_ = members.groupBy("kind", "card_id").agg(F.first("title").alias("title"), F.first("grp").alias("grp"), F.first("n").alias("n"))  # one value a card
+    chosen = graph.materialize(pick(cards_, seed).select("place", "card_id"))
+    best = Window.partitionBy("card_id").orderBy(F.desc("rank"), F.md5(F.concat(F.lit(seed), "path")), "path")
+    shown = members.join(chosen, "card_id").withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= MOST_SHOWN)
+    listed = shown.groupBy("place", "kind", "card_id", "title", "subtitle", "event_cover").agg(F.transform(F.array_sort(F.collect_list(F.struct("taken_at", "path"))), lambda r: r["path"]).alias("photos"))
+    cover = F.when(F.array_contains("photos", F.col("event_cover")), F.col("event_cover")).otherwise(F.get("photos", F.floor(F.size("photos") / 2).cast("int")))
+    return listed.select("place", "kind", "card_id", "title", "subtitle", cover.alias("cover"), "photos", F.size("photos").alias("photo_count"))
 
 
 def card_photos(photos: DataFrame, seed: str, rank: Column | None = None) -> DataFrame:

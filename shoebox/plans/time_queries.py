@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import access, cluster, memories, stats, timeline
 from . import adapters as a
 
@@ -135,6 +137,20 @@ def memories_pick(spark, d):
     return memories.pick(cards, "seed7").select(F.col("place").cast("long").alias("place"), "kind", "card_id", "title", "n")
 
 
+_SAID = ["海邊的沙灘與海浪", "美食與蛋糕", "登山途中的山谷", "上海的海邊沙灘", "plain"]
+
+
+def memories_view(spark, d):
+    """All eight kinds over the orders; trips are sessions of one customer group's orders."""
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("k") % len(_SAID)).cast("int") + 1)
+    photos = _orders(spark, d).withColumn("k", F.substring("path", 4, 20).cast("long")).withColumn("label", said)
+    tour = timeline.events(photos.where("face_ids[0] = 'face_3'"), "2 days")
+    spots = timeline.top_names(timeline.event_photos(tour).join(photos.select("path", "location_name"), "path"), ["id"], "location_name").withColumnRenamed("top", "top_places")
+    named = lambda kind, n: spark.createDataFrame([(f"{kind}_{i}", f"N{i}") for i in range(n)], "id string, name string")
+    out = memories.view(photos, tour.join(spots, "id"), named("face", 5), named("pet", 3), TODAY_ORDERS, "seed9", "face_2")
+    return out.select(F.col("place").cast("long").alias("place"), "kind", "card_id", "title", "subtitle", "cover", F.md5(F.array_join("photos", ",")).alias("photos_md5"), F.col("photo_count").cast("long").alias("photo_count"))
+
+
 def card_photos(spark, d):
     photos = _orders(spark, d).where("location_name = '1-URGENT'")
     return memories.card_photos(photos, "s3").select(F.col("pos").cast("long").alias("pos"), "path", "is_cover")
@@ -165,6 +181,10 @@ def dbscan_labels(spark, d):
     return cluster.dbscan(a.items(spark, d), 0.62, 3).select("id", F.col("cluster").cast("long").alias("cluster"))
 
 
+def cluster_summary(spark, d):
+    return cluster.summary(cluster.dbscan(a.items(spark, d), 0.62, 3))
+
+
 def nearest_centroid_assign(spark, d):
     items = a.items(spark, d)
     return cluster.assign(items, cluster.centroids(items, normalised=True), 0.35).select("id", F.col("cluster").cast("long").alias("cluster"), F.round("similarity", 6).alias("similarity"))
@@ -186,7 +206,7 @@ def propagation_totals(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     timeline_events, timeline_cover, timeline_user, timeline_windows, timeline_top3, viewer_timeline, event_detail, overview_photos, event_years, overview_months, mem_on_this_day, mem_trip, mem_topic, mem_place,
-    mem_person, mem_season, mem_weekend, mem_pet, memories_pick, card_photos, cluster_centroids, cluster_representatives, kmeans_sizes, dbscan_neighbours, dbscan_core, dbscan_labels,
+    mem_person, mem_season, mem_weekend, mem_pet, memories_pick, memories_view, card_photos, cluster_summary, cluster_centroids, cluster_representatives, kmeans_sizes, dbscan_neighbours, dbscan_core, dbscan_labels,
     nearest_centroid_assign, label_propagation, propagation_totals,
 )}
 
@@ -226,6 +246,41 @@ _PROP = f"""{a.with_(a.ITEMS, _SEED)}, best AS (SELECT i.id, s.id AS seed, s.lab
   prop AS (SELECT id, CASE WHEN sim >= 0.3 THEN seed END AS seed, CASE WHEN sim >= 0.3 THEN label END AS label, round(sim, 6) AS similarity, false AS is_seed, sim >= 0.3 AS clustered FROM best WHERE k = 1
     UNION ALL SELECT id, id, label, 1.0, true, true FROM seeds)"""
 
+_DBSCAN = f"""{a.with_(a.ITEMS, _NB, _CORE, recursive=True)}, reach AS (SELECT id AS node, id AS other FROM core UNION SELECT r.node, nb.b FROM reach r JOIN nb ON nb.a = r.other JOIN core c ON c.id = nb.b),
+        roots AS (SELECT node AS id, min(other) AS root FROM reach GROUP BY 1), every AS (SELECT * FROM roots UNION ALL SELECT nb.a, min(r.root) FROM nb JOIN roots r ON r.id = nb.b WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY 1),
+        ranks AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM roots))"""
+_CARD = "SELECT '{0}' AS kind, 'mem_{0}_' || {1} AS card_id, {2} AS title, {3} AS subtitle, {4} AS grp, path, taken_at, {5} AS rank, {6} AS event_cover, count(*) OVER (PARTITION BY {7}) AS n, {8} AS least FROM {9}"
+_WHEN, _STAMP = "year || ' 年 ' || month || ' 月 · '", "year || '_' || printf('%02d', month)"
+
+
+def _card(kind: str, key: str, title: str, keys: str, source: str, subtitle: str = "''", grp: str = "NULL", rank: str = "0", cover: str = "NULL::VARCHAR") -> str:
+    return _CARD.format(kind, key, title, subtitle, grp, rank, cover, keys, memories.LEAST[kind], source)
+
+
+_TOPIC_HITS = " UNION ALL ".join(
+    f"SELECT path, taken_at, year, month, '{name}' AS topic, {f"CASE WHEN regexp_matches(label, '{'|'.join(map(re.escape, exc))}') THEN 0 ELSE " if exc else ''}len(list_distinct(regexp_extract_all(label, '{'|'.join(map(re.escape, inc))}'))){' END' if exc else ''} AS hits FROM lib"
+    for name, (_, inc, exc) in text.TOPICS.items()
+)
+_VIEW8 = f"""WITH lib AS (SELECT '/o/' || o_orderkey AS path, o_orderdate AS taken_at, year(o_orderdate) AS year, month(o_orderdate) AS month, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority END AS location_name,
+    'face_' || (o_custkey % 10) AS face, 'pet_' || (o_orderkey % 4) AS pet, (o_orderkey % 3 > 0) AS has_face, {_SAID}[o_orderkey % {len(_SAID)} + 1] AS label FROM orders),
+  photos AS (SELECT * FROM lib WHERE face = 'face_3'), {_sess("'2 days'")}, orig AS ({_COVER}), spot AS ({_top('location_name', 'ev', 'spots')}),
+  trip AS (SELECT e.id, year(e.st) AS year, month(e.st) AS month, e.days, e.path, e.taken_at, split_part(s.spots, ',', 1) AS spot, o.cover FROM ev e JOIN spot s USING (id) JOIN orig o USING (id) WHERE e.days >= 2),
+  hits AS ({_TOPIC_HITS}), season AS (SELECT path, taken_at, CASE WHEN month BETWEEN 3 AND 5 THEN '春' WHEN month BETWEEN 6 AND 8 THEN '夏' WHEN month BETWEEN 9 AND 11 THEN '秋' ELSE '冬' END AS season, year - CASE WHEN month < 3 THEN 1 ELSE 0 END AS sy FROM lib),
+  mem AS (
+    {_card('on_this_day', 'year', "(2002 - year) || ' 年前的今天'", 'year', "lib WHERE month = 3 AND day(taken_at) = 10 AND year <> 2002", "year || ' 年 3 月 10 日'")}
+    UNION ALL {_card('trip', 'id', f"{_WHEN} || spot", 'id', 'trip', "days || ' 天'", cover='cover')}
+    UNION ALL {_card('topic', f"topic || '_' || {_STAMP}", f"{_WHEN} || topic", 'topic, year, month', 'hits WHERE hits >= 2', grp='topic', rank='hits')}
+    UNION ALL {_card('place', 'location_name', "'在 ' || location_name", 'location_name', "lib WHERE location_name <> ''", "'跨年度回顧'")}
+    UNION ALL {_card('person', f"face || '_' || {_STAMP}", f"{_WHEN} || CASE WHEN face = 'face_2' THEN '那時候的我' ELSE '與 N' || substr(face, 6) END", 'face, year, month', f"lib WHERE face IN ({_FIVE})")}
+    UNION ALL {_card('season', "season || '_' || sy", "sy || ' 年的' || season || '天'", 'season, sy', 'season WHERE sy < 2002')}
+    UNION ALL {_card('weekend', _STAMP, f"{_WHEN} || '週末'", 'year, month', 'lib WHERE isodow(taken_at) >= 6')}
+    UNION ALL {_card('pet', f"pet || '_' || {_STAMP}", f"{_WHEN} || 'N' || substr(pet, 5)", 'pet, year, month', "lib WHERE pet IN ('pet_0', 'pet_1', 'pet_2')")}),
+  cards AS (SELECT DISTINCT kind, card_id, coalesce(grp, card_id) AS grp, md5('seed9' || card_id) AS draw FROM mem WHERE n >= least),
+  ones AS (SELECT *, row_number() OVER (PARTITION BY kind, grp ORDER BY draw) AS one FROM cards),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY draw) AS k FROM ones WHERE one = 1),
+  chosen AS (SELECT card_id, row_number() OVER (ORDER BY draw) - 1 AS place FROM ranked WHERE k <= CASE kind WHEN 'trip' THEN 3 WHEN 'topic' THEN 3 WHEN 'on_this_day' THEN 1000000 ELSE 1 END),
+  shown AS (SELECT * FROM (SELECT m.*, c.place, row_number() OVER (PARTITION BY m.card_id ORDER BY m.rank DESC, md5('seed9' || m.path), m.path) AS r FROM mem m JOIN chosen c USING (card_id)) WHERE r <= 30)"""
+
 ORACLES = {
     "timeline_events": f"{_EV} SELECT id, strftime(st, '%Y-%m-%d %H:%M:%S') AS start, strftime(en, '%Y-%m-%d %H:%M:%S') AS \"end\", days AS duration_days, cnt AS photo_count, md5(string_agg(path, ',' ORDER BY pos)) AS photos_md5 FROM ev GROUP BY id, st, en, days, cnt",
     "timeline_cover": f"{_EV} {_COVER}",
@@ -258,6 +313,11 @@ ORACLES = {
         UNION ALL SELECT 'person', 'mem_person_' || face || '_' || year || '_' || printf('%02d', month), face, n, 1 FROM ({_PERSON.format(_FIVE)})),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('seed7' || card_id)) AS k FROM cards)
         SELECT row_number() OVER (ORDER BY md5('seed7' || card_id)) - 1 AS place, kind, card_id, title, n FROM ranked WHERE k <= quota""",
+    "memories_view": f"""{_VIEW8}
+        SELECT place, kind, card_id, any_value(title) AS title, any_value(subtitle) AS subtitle,
+          coalesce(any_value(event_cover) FILTER (WHERE path = event_cover), any_value(path) FILTER (WHERE pos = shown_n // 2)) AS cover, md5(string_agg(path, ',' ORDER BY pos)) AS photos_md5, count(*) AS photo_count
+        FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY taken_at, path) - 1 AS pos, count(*) OVER (PARTITION BY card_id) AS shown_n FROM shown) GROUP BY place, kind, card_id""",
+    "cluster_summary": f"{_DBSCAN}, l AS (SELECT i.id, coalesce(k.cluster, -1) AS cluster FROM items i LEFT JOIN every e ON e.id = i.id LEFT JOIN ranks k ON k.root = e.root) SELECT count(DISTINCT cluster) FILTER (WHERE cluster <> -1) AS n_clusters, count(*) FILTER (WHERE cluster = -1) AS n_noise FROM l",
     "card_photos": f"""{_ORD}, few AS (SELECT path, taken_at FROM o WHERE location_name = '1-URGENT' ORDER BY md5('s3' || path) LIMIT 30)
         SELECT pos, path, pos = n // 2 AS is_cover FROM (SELECT path, row_number() OVER (ORDER BY taken_at, path) - 1 AS pos, count(*) OVER () AS n FROM few)""",
     "cluster_centroids": f"{a.with_(a.ITEMS, _CEN.format(''))} SELECT CAST(cluster AS BIGINT) AS cluster, p - 1 AS pos, round(centre[p], 6) AS x FROM (SELECT cluster, centre, unnest(range(1, len(centre) + 1)) AS p FROM cen)",
@@ -266,10 +326,7 @@ ORACLES = {
         SELECT CAST(cluster AS BIGINT) AS cluster, id, round(s, 6) AS score, n AS cluster_size FROM r WHERE k <= 3 UNION ALL SELECT -1, id, 1.0, NULL FROM items WHERE cluster = -1""",
     "dbscan_neighbours": f"{a.with_(a.ITEMS, _NB)} SELECT a, b, round(distance, 6) AS distance FROM nb",
     "dbscan_core": f"{a.with_(a.ITEMS, _NB, _CORE)} SELECT id FROM core",
-    "dbscan_labels": f"""{a.with_(a.ITEMS, _NB, _CORE, recursive=True)}, reach AS (SELECT id AS node, id AS other FROM core UNION SELECT r.node, nb.b FROM reach r JOIN nb ON nb.a = r.other JOIN core c ON c.id = nb.b),
-        roots AS (SELECT node AS id, min(other) AS root FROM reach GROUP BY 1), every AS (SELECT * FROM roots UNION ALL SELECT nb.a, min(r.root) FROM nb JOIN roots r ON r.id = nb.b WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY 1),
-        ranks AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM roots))
-        SELECT i.id, coalesce(k.cluster, -1) AS cluster FROM items i LEFT JOIN every e ON e.id = i.id LEFT JOIN ranks k ON k.root = e.root""",
+    "dbscan_labels": f"{_DBSCAN} SELECT i.id, coalesce(k.cluster, -1) AS cluster FROM items i LEFT JOIN every e ON e.id = i.id LEFT JOIN ranks k ON k.root = e.root",
     "nearest_centroid_assign": f"""{a.with_(a.ITEMS, _CEN.format(''))}, n AS (SELECT id, cen.cluster, list_inner_product(list_transform(vector, lambda x: x / sqrt(list_inner_product(vector, vector))), centre) AS s FROM items, cen),
         k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, cluster) AS r FROM n) SELECT id, CAST(CASE WHEN s > 0.35 THEN cluster ELSE -1 END AS BIGINT) AS cluster, round(s, 6) AS similarity FROM k WHERE r = 1""",
     "label_propagation": f"{_PROP} SELECT * FROM prop",
