@@ -183,6 +183,41 @@ def cluster_metadata(spark, d):
     return out.select("path", F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"))
 
 
+def cluster_metadata_admin(spark, d):
+    files = a.photos(spark, d).where("event_id % 4 <> 0").select("path", F.col("taken_at").alias("modified"))
+    perms = access.permissions(a.users(spark), a.groups(spark)).where("name = 'ann'")
+    out = overlay.cluster_metadata(_images(spark, d), files, "face_2", perms)
+    return out.select("path", F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"), "removed")
+
+
+def detection_totals(spark, d):
+    noisy = a.detections(spark, d).withColumn("face_id", F.when(F.col("seq") % 7 != 0, F.col("face_id")))
+    return stats.detection_totals(noisy)
+
+
+def _family(spark, d):
+    """A graph over customers: edges of all family types and one other, with blanks to be cleaned."""
+    c = a.table(spark, d, "customer")
+    face = lambda n: F.concat(F.lit(" face_"), n.cast("string"))
+    kinds = [*access.FAMILY, "朋友"]
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("c_custkey") % len(kinds)).cast("int") + 1)
+    edges = c.select(
+        F.col("c_custkey").alias("seq"), face(F.col("c_custkey")).alias("src"), face(F.col("c_custkey") * 7 % 40).alias("dst"), F.concat(kind, F.lit(" ")).alias("type"),
+        F.when(F.col("c_custkey") % 5 == 0, F.lit(" Nick ")).alias("alias_from"), F.lit("").alias("alias_to"),
+    )
+    nodes = c.select(face(F.col("c_custkey") % 60).alias("id")).union(spark.createDataFrame([(" ",)], "id string"))
+    return nodes, edges, c.select(F.trim(face(F.col("c_custkey"))).alias("id"), F.col("c_acctbal").alias("x"), F.when(F.col("c_custkey") % 3 > 0, 1.0).alias("y"))
+
+
+def family_aliases(spark, d):
+    return access.aliases(access.clean_edges(_family(spark, d)[1], ("朋友",)))
+
+
+def saved_graph(spark, d):
+    nodes, edges, positions = access.clean_graph(*_family(spark, d), ("朋友",))
+    return access.graph_totals(nodes, edges).crossJoin(positions.agg(F.count("*").alias("positions")))  # one row each
+
+
 def thumbnail_rights(spark, d):
     perms = access.permissions(a.users(spark), a.groups(spark))
     clusters = spark.createDataFrame([("face_1",), ("face_2",), ("",)], "cluster string")
@@ -197,7 +232,7 @@ def dropped_group(spark, d):
 QUERIES = {f.__name__: f for f in (
     face_cluster_info, faces_per_image, best_detection, best_of_first_images, merge_closure, overlay_apply, cluster_view, cluster_view_synthetic, cluster_sort, cluster_page, cluster_stats,
     named_clusters, viewer_perms, visible_photos, visible_face_view, visible_pet_view, alias_derive, display_names, clean_edges, admins_left, next_user_id, overlay_log_state, last_write_wins,
-    viewer_face_clusters, viewer_pet_clusters, combined_clusters, thumbnail_faces, viewer_stats, cluster_metadata, thumbnail_rights, dropped_group,
+    viewer_face_clusters, viewer_pet_clusters, combined_clusters, thumbnail_faces, viewer_stats, cluster_metadata, cluster_metadata_admin, detection_totals, family_aliases, saved_graph, thumbnail_rights, dropped_group,
 )}
 
 _D = a.with_(a.PHOTOS, a.DETECTIONS)
@@ -217,6 +252,12 @@ _VIEW = _OVER + """, native AS (SELECT DISTINCT face_id AS id FROM detections),
     md5(coalesce(string_agg(path, ',' ORDER BY seq, path) FILTER (WHERE active), '')) AS images_md5, a.id IN (SELECT id FROM skipped) AS skipped, any_value(uc) AS uc
     FROM act a LEFT JOIN names n ON n.id = a.id GROUP BY a.id) """
 _SEEN = a.with_(a.PHOTOS, a.PERMS)
+_RULES = ", ".join(f"('{t}', '{x}', '{y}')" for t, (x, y) in access.FAMILY.items())
+_TYPES = [*access.FAMILY, "朋友"]
+_FAMILY = f"""WITH e AS (SELECT * FROM (SELECT c_custkey AS seq, 'face_' || c_custkey AS src, 'face_' || (c_custkey * 7 % 40) AS dst, {_TYPES}[c_custkey % {len(_TYPES)} + 1] AS type, CASE WHEN c_custkey % 5 = 0 THEN 'Nick' END AS alias_from FROM customer) WHERE src <> dst),
+  rules AS (SELECT * FROM (VALUES {_RULES}) AS t(type, forward, backward)),
+  said AS (SELECT seq * 2 AS o, dst AS viewer, src AS target, forward AS alias FROM e JOIN rules USING (type) UNION ALL SELECT seq * 2 + 1, src, dst, coalesce(alias_from, backward) FROM e JOIN rules USING (type)),
+  known AS (SELECT viewer, target, arg_max(alias, o) AS alias FROM said GROUP BY 1, 2) """
 
 ORACLES = {
     "face_cluster_info": f"{_D} SELECT face_id, sum(n)::BIGINT AS detections, count(*) AS images, md5(string_agg(path, ',' ORDER BY seq, path)) AS paths_md5 FROM (SELECT face_id, path, count(*) AS n, min(seq) AS seq FROM detections GROUP BY 1, 2) GROUP BY 1",
@@ -255,6 +296,10 @@ ORACLES = {
     "thumbnail_faces": f"{_OVER} SELECT ch.id, ch.path, min(d.seq) AS seq FROM (SELECT face_id AS id, max(path) AS path FROM detections GROUP BY 1) ch JOIN detections d ON d.path = ch.path LEFT JOIN closure c ON c.src = d.face_id WHERE coalesce(c.dst, d.face_id) = ch.id GROUP BY 1, 2",
     "viewer_stats": f"{a.with_(a.NAMES)} SELECT 8::BIGINT AS total, 8::BIGINT AS displayed, 2 * count(*) AS named, 0::BIGINT AS skipped, 0::BIGINT AS merges FROM names WHERE id IN ('face_2', 'face_3', 'face_5', 'face_7')",
     "cluster_metadata": f"{_VIEW} SELECT a.path, p.year, p.month FROM act a JOIN photos p ON p.path = a.path WHERE a.id = 'face_1' AND a.active",
+    "cluster_metadata_admin": f"{_VIEW} SELECT f.path, p.year, p.month, f.gone AS removed FROM flagged f LEFT JOIN photos p ON p.path = f.path AND p.event_id % 4 <> 0 WHERE f.id = 'face_2' AND NOT (f.away AND NOT f.uc)",
+    "detection_totals": f"{_D} SELECT count(DISTINCT path) AS n_images, count(*) AS n_faces, count(*) FILTER (WHERE seq % 7 = 0) AS n_noise, count(DISTINCT face_id) FILTER (WHERE seq % 7 <> 0) AS n_clusters FROM detections",
+    "family_aliases": f"{_FAMILY} SELECT viewer, target, alias FROM known",
+    "saved_graph": f"{_FAMILY} SELECT (SELECT count(DISTINCT c_custkey % 60) FROM customer) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM known) AS aliases, (SELECT count(*) FROM customer WHERE c_custkey % 3 > 0 AND c_custkey < 60) AS positions",
     "thumbnail_rights": f"{a.with_(a.PERMS)} SELECT name, cluster, is_admin OR (identity <> '' AND identity = cluster) AS may, is_admin OR list_contains(allowed_faces, cluster) AS sees FROM perms, (VALUES ('face_1'), ('face_2'), ('')) AS c(cluster)",
     "dropped_group": "SELECT * FROM (VALUES ('ann', ''), ('bob', 'face_2,face_3,face_5'), ('cid', ''), ('dee', '')) AS t(name, allowed_faces)",
 }
