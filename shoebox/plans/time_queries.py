@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import access, cluster, memories, stats, timeline
+from ..operators import access, cluster, faces, memories, stats, timeline
 from . import adapters as a
 
 TODAY_ORDERS = datetime.date(2002, 3, 10)
@@ -181,6 +181,15 @@ def dbscan_labels(spark, d):
     return cluster.dbscan(a.items(spark, d), 0.62, 3).select("id", F.col("cluster").cast("long").alias("cluster"))
 
 
+def _faces(spark, d):
+    return a.items(spark, d).select("id", F.concat(F.lit("/f/"), "id").alias("path"), (F.col("id") % 10).alias("stratum"), "vector")
+
+
+def face_phases(spark, d):
+    out = faces.three_phases(_faces(spark, d), "s5", per_stratum=12, eps=0.62, least=3, above=0.3)
+    return out.select("id", "face_id", F.round("similarity", 6).alias("similarity"))
+
+
 def cluster_summary(spark, d):
     return cluster.summary(cluster.dbscan(a.items(spark, d), 0.62, 3))
 
@@ -206,7 +215,7 @@ def propagation_totals(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     timeline_events, timeline_cover, timeline_user, timeline_windows, timeline_top3, viewer_timeline, event_detail, overview_photos, event_years, overview_months, mem_on_this_day, mem_trip, mem_topic, mem_place,
-    mem_person, mem_season, mem_weekend, mem_pet, memories_pick, memories_view, card_photos, cluster_summary, cluster_centroids, cluster_representatives, kmeans_sizes, dbscan_neighbours, dbscan_core, dbscan_labels,
+    mem_person, mem_season, mem_weekend, mem_pet, memories_pick, memories_view, card_photos, cluster_summary, face_phases, cluster_centroids, cluster_representatives, kmeans_sizes, dbscan_neighbours, dbscan_core, dbscan_labels,
     nearest_centroid_assign, label_propagation, propagation_totals,
 )}
 
@@ -249,6 +258,8 @@ _PROP = f"""{a.with_(a.ITEMS, _SEED)}, best AS (SELECT i.id, s.id AS seed, s.lab
 _DBSCAN = f"""{a.with_(a.ITEMS, _NB, _CORE, recursive=True)}, reach AS (SELECT id AS node, id AS other FROM core UNION SELECT r.node, nb.b FROM reach r JOIN nb ON nb.a = r.other JOIN core c ON c.id = nb.b),
         roots AS (SELECT node AS id, min(other) AS root FROM reach GROUP BY 1), every AS (SELECT * FROM roots UNION ALL SELECT nb.a, min(r.root) FROM nb JOIN roots r ON r.id = nb.b WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY 1),
         ranks AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM roots))"""
+_SAMPLED = """items AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS vector
+  FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY vec_id % 10 ORDER BY md5('/f/' || vec_id || 's5'), '/f/' || vec_id) AS pick FROM embeddings) WHERE pick <= 12)"""
 _CARD = "SELECT '{0}' AS kind, 'mem_{0}_' || {1} AS card_id, {2} AS title, {3} AS subtitle, {4} AS grp, path, taken_at, {5} AS rank, {6} AS event_cover, count(*) OVER (PARTITION BY {7}) AS n, {8} AS least FROM {9}"
 _WHEN, _STAMP = "year || ' 年 ' || month || ' 月 · '", "year || '_' || printf('%02d', month)"
 
@@ -317,6 +328,12 @@ ORACLES = {
         SELECT place, kind, card_id, any_value(title) AS title, any_value(subtitle) AS subtitle,
           coalesce(any_value(event_cover) FILTER (WHERE path = event_cover), any_value(path) FILTER (WHERE pos = shown_n // 2)) AS cover, md5(string_agg(path, ',' ORDER BY pos)) AS photos_md5, count(*) AS photo_count
         FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY taken_at, path) - 1 AS pos, count(*) OVER (PARTITION BY card_id) AS shown_n FROM shown) GROUP BY place, kind, card_id""",
+    "face_phases": f"""{_DBSCAN.replace(a.ITEMS, _SAMPLED)}, everyone AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
+        clustered AS (SELECT i.vector, k.cluster FROM items i JOIN every e ON e.id = i.id JOIN ranks k ON k.root = e.root),
+        {_CEN.format('').replace('FROM items', 'FROM clustered')},
+        n AS (SELECT e.id, cen.cluster, list_inner_product(list_transform(e.vector, lambda x: x / sqrt(list_inner_product(e.vector, e.vector))), centre) AS s FROM everyone e, cen),
+        k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, cluster) AS r FROM n)
+        SELECT id, CASE WHEN s > 0.3 THEN 'face_' || cluster ELSE 'unknown' END AS face_id, round(s, 6) AS similarity FROM k WHERE r = 1""",
     "cluster_summary": f"{_DBSCAN}, l AS (SELECT i.id, coalesce(k.cluster, -1) AS cluster FROM items i LEFT JOIN every e ON e.id = i.id LEFT JOIN ranks k ON k.root = e.root) SELECT count(DISTINCT cluster) FILTER (WHERE cluster <> -1) AS n_clusters, count(*) FILTER (WHERE cluster = -1) AS n_noise FROM l",
     "card_photos": f"""{_ORD}, few AS (SELECT path, taken_at FROM o WHERE location_name = '1-URGENT' ORDER BY md5('s3' || path) LIMIT 30)
         SELECT pos, path, pos = n // 2 AS is_cover FROM (SELECT path, row_number() OVER (ORDER BY taken_at, path) - 1 AS pos, count(*) OVER () AS n FROM few)""",

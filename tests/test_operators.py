@@ -324,3 +324,16 @@ def test_kmeans_takes_the_best_of_its_starts(spark):
     got = cluster.kmeans(spark.createDataFrame(rows, "id long, vector array<double>"), 6).collect()
     assert {len({r["cluster"] for r in got if r["id"] % 6 == j}) for j in range(6)} == {1} and len({r["cluster"] for r in got}) == 6
     assert cluster.usual_k(200) == 10 and cluster.usual_k(1) == 2
+
+
+def test_face_phases_resume_where_they_stopped(spark):
+    from shoebox.operators import faces
+
+    rng = random.Random(2)
+    rows = [(i, f"/p/{i:03d}", "d", [1.0 + rng.gauss(0, 0.01), rng.gauss(0, 0.01)] if i % 2 else [rng.gauss(0, 0.01), 1.0]) for i in range(40)]
+    found = spark.createDataFrame(rows, "id long, path string, stratum string, vector array<double>")
+    first = faces.three_phases(found, "s", most=15)
+    assert sorted(r["path"] for r in first.collect()) == [f"/p/{i:03d}" for i in range(15)]
+    rest = faces.three_phases(found, "s", done=first.select("path")).collect()
+    assert len(rest) == 25 and len({r["face_id"] for r in rest if r["id"] % 2}) == 1 and len({r["face_id"] for r in rest}) == 2
+    assert {r["face_id"] for r in faces.assign_faces(found, found.select(F.lit(0).alias("cluster"), "vector").limit(0)).collect()} == {"unknown"}
