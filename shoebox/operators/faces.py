@@ -41,6 +41,6 @@ def three_phases(faces: DataFrame, seed: str, done: DataFrame | None = None, mos
     centres = sampled_centroids(faces, seed, **{k: v for k, v in options.items() if k != "above"})
     new = faces
     if done is not None or most:
-        waiting = pending(faces.select("path").distinct(), done if done is not None else faces.select("path").limit(0), most or None)
+        waiting = pending(faces.select("path").distinct(), done if done is not None else faces.select("path").limit(0), most=most or None)
         new = faces.join(waiting.select("path"), "path", "left_semi")
     return assign_faces(new, centres, options.get("above", ABOVE))
