@@ -29,21 +29,26 @@ def merge_closure(merges: DataFrame) -> DataFrame:
         return ends
     cycle = graph.materialize(rest.select(F.col("dst").alias("src")).distinct())
     entered, _ = _follow(graph.materialize(steps.join(cycle, "src", "left_anti")), None)
-    return graph.materialize(entered.unionByName(cycle.select("src", F.col("src").alias("dst"))))
+    return entered.unionByName(cycle.select("src", F.col("src").alias("dst")))
+
+
+#: Doublings of one round; only their outcome is written.
+_DOUBLINGS = 4
 
 
 def _follow(steps: DataFrame, nodes: int | None) -> tuple[DataFrame, DataFrame | None]:
     """(every node with its end, nodes that are on or before a cycle or None), by doubling steps."""
     state, gone = steps, 1
     while True:
-        further = state.select(F.col("src").alias("dst"), F.col("dst").alias("_far"))
-        jumped = graph.materialize(state.join(further, "dst", "left").select("src", F.coalesce("_far", "dst").alias("dst"), F.col("_far").isNotNull().alias("moved")))
-        state, gone = jumped.select("src", "dst"), gone * 2
-        open_ = jumped.where("moved")
+        for _ in range(_DOUBLINGS):
+            further = state.select(F.col("src").alias("dst"), F.col("dst").alias("_far"))
+            state = state.select("src", "dst").join(further, "dst", "left").select("src", F.coalesce("_far", "dst").alias("dst"), F.col("_far").isNotNull().alias("moved"))
+        state, gone = graph.materialize(state), gone << _DOUBLINGS
+        open_ = state.where("moved")
         if open_.isEmpty():
-            return state, None
+            return state.select("src", "dst"), None
         if nodes is not None and gone > nodes:
-            return state, open_.select("src", "dst")
+            return state.select("src", "dst"), open_.select("src", "dst")
 
 
 def resolve(rows: DataFrame, column: str, closure: DataFrame) -> DataFrame:
