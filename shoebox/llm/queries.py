@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import queries_pages
+from . import queries_pages, queries_turns
 from .castore import read_store, write_store
 from .chunkbpe import decode_ids, encode_documents
 from .packing import pack_documents
 from .simhash import simhash_groups
 from .storage import scratch
+from .tokencount import count_tokens
 
 PACK_END, STORE_END = 2, 1
 
@@ -53,11 +54,16 @@ def op10_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op8_chunk_store": op8_chunk_store,
     "op10_chunk_bpe": op10_chunk_bpe,
-} | queries_pages.QUERIES
+    "op11_token_counts": op11_token_counts,
+} | queries_pages.QUERIES | queries_turns.QUERIES
 
-ORACLES: dict[str, str] = dict(queries_pages.ORACLES)
+ORACLES: dict[str, str] = queries_pages.ORACLES | queries_turns.ORACLES

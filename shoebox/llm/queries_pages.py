@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .langid import identify_language, train_languages
 from .media import digests, media_features, read_media, write_images
+from .partialpq import encode_vectors, with_label_errors
 from .pqdedup import cosine_groups
 from .storage import scratch
 from .toxicity import held_out, score_toxicity, train_toxicity
@@ -46,6 +49,13 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = encode_vectors(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(books.text().encode() if books else b"").hexdigest()
+    one = coded.withColumn("code", F.lower(F.hex("code")))
+    return with_label_errors(one).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify_language(docs, train_languages(docs))
@@ -59,13 +69,38 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op9_language": op9_language,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 _FITS = " UNION ALL ".join(
     f"SELECT '{r.verdict}' AS verdict, '{r.host}' AS rule_host, '{r.path}' AS rule_path" for r in parse_rules(URL_RULES)
 )
 
+_NEAREST = """
+    SELECT vec_id, label, part, s, min({{'d': d, 'k': k}}) AS near FROM (
+      SELECT vec_id, label, part, s, k, list_sum(list_transform(list_zip(s, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts JOIN c{0} USING (part)
+    ) GROUP BY ALL"""
+#: A round over codebook 0 gives codebook 1, and so on.
+_ROUND = """
+    a{0} AS MATERIALIZED ({near}),
+    m{0} AS (SELECT part, k, list(CASE WHEN t >= 0 THEN t // n ELSE -((n - 1 - t) // n) END ORDER BY place) AS e
+      FROM (SELECT part, near.k AS k, place, sum(s[place + 1])::BIGINT AS t, count(*) AS n FROM a{0}, width, range(width.step) r(place) GROUP BY ALL) GROUP BY ALL),
+    c{1} AS MATERIALIZED (SELECT c{0}.part, c{0}.k, coalesce(m{0}.e, c{0}.e) AS e FROM c{0} LEFT JOIN m{0} ON m{0}.part = c{0}.part AND m{0}.k = c{0}.k)"""
+
 ORACLES = {
+    "op12_vector_codes": f"""
+        WITH v AS (
+          SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), width AS (SELECT max(len(q)) // 8 AS step FROM v),
+        parts AS MATERIALIZED (SELECT vec_id, label, part, q[part * step + 1:(part + 1) * step] AS s FROM v, width, range(8) r(part)),
+        c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, s AS e FROM parts QUALIFY k < 16),
+        {",".join(_ROUND.format(i, i + 1, near=_NEAREST.format(i)) for i in range(6))},
+        a6 AS ({_NEAREST.format(6)}),
+        coded AS (SELECT vec_id, label, string_agg(printf('%02x', near.k), '' ORDER BY part) AS code, sum(near.d)::BIGINT AS error FROM a6 GROUP BY ALL),
+        book AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM c6)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, book
+    """,
     "op1_warc": """
         WITH p AS (
           SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
