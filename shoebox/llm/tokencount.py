@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -30,8 +31,11 @@ LIMIT = 1024
 #: The broadcast holds at most FREQUENT * (SHORT + 8) bytes of keys and counts, 4.7 MB.
 FREQUENT, SHORT = 65_536, 64
 
-#: Characters whose classes are the same in every Unicode version; other pieces take the library's splitter.
-_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+#: Pieces of characters whose classes are the same in every Unicode version; others take the library's splitter.
+_PLAIN = r"^[\t\n\r -~À-ÖØ-öø-ÿ]*$"
+#: Splits many plain pieces at once, each ended by a character that no plain piece holds.
+_END = "\x00"
+_MANY = regex.compile(BYTE_PATTERN.replace(r"[^\s\p{L}", r"[^\x00\s\p{L}").replace(r"(?!\S)", r"(?![^\s\x00])") + r"|\x00")
 
 
 def piece_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -40,14 +44,15 @@ def piece_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     A blank between two characters that are no white space always begins a pre-token.  Neighbours
     count if they are printable ASCII or of U+00C0 to U+07FF, none of which is white space.
     """
-    if len(data) < 3:
-        return np.unique(offsets)
-    lead = (data >= 0xC3) & (data < 0xE0)
-    begins = ((data > 32) & (data < 127)) | lead
-    ends = (data > 32) & (data < 127)
-    ends[1:] |= lead[:-1] & (data[1:] >= 0x80) & (data[1:] < 0xC0)
-    blanks = np.flatnonzero((data[1:-1] == 32) & ends[:-2] & begins[2:]) + 1
-    return np.unique(np.concatenate([offsets, blanks]))
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[offsets] = True
+    if len(data) > 2:
+        lead = (data >= 0xC3) & (data < 0xE0)
+        shown = (data > 32) & (data < 127)
+        begins, ends = shown | lead, shown
+        ends[1:] |= lead[:-1] & (data[1:] >= 0x80) & (data[1:] < 0xC0)
+        cut[1:-2] |= (data[1:-1] == 32) & ends[:-2] & begins[2:]
+    return np.flatnonzero(cut)
 
 
 class PreTokens:
@@ -64,44 +69,59 @@ class PreTokens:
             raise ValueError(f"{path}: needs a byte-level vocabulary without normaliser")
         self.alphabet = byte_alphabet()
         self.special = {a["content"] for a in added}
-        self.pattern = regex.compile(BYTE_PATTERN)
         self.around = re.compile("|".join(re.escape(a) for a in sorted(self.special, key=len, reverse=True)) or r"(?!)")
 
-    def split(self, piece: str) -> list[str]:
-        """The pre-tokens of one piece, special strings apart."""
-        if self.around.search(piece):
-            found, at = [], 0
-            for m in self.around.finditer(piece):
-                found += [*self.split(piece[at:m.start()]), m.group()]
+    def _odd(self, piece: str) -> list[str]:
+        """The pre-tokens of one piece by the library, special strings apart."""
+        found, at = [], 0
+        for m in [*self.around.finditer(piece), None]:
+            part = piece[at:m.start() if m else len(piece)]
+            found += [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)] if part else []
+            if m:
+                found.append(m.group())
                 at = m.end()
-            return found + self.split(piece[at:])
-        if _PLAIN.fullmatch(piece):
-            return self.pattern.findall(piece)
-        return [piece[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)] if piece else []
+        return found
+
+    def split(self, pieces: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """(pre-tokens end to end, number of pre-tokens of each piece)."""
+        plain = pc.match_substring_regex(pieces, _PLAIN)
+        for s in self.special:
+            plain = pc.and_not(plain, pc.match_substring(pieces, s))
+        plain = np.asarray(plain, dtype=bool)
+        sizes = np.zeros(len(pieces), dtype=np.int64)
+        found = _MANY.findall("".join(p + _END for p in pieces.filter(pa.array(plain)).to_pylist()))
+        odd = [self._odd(p) for p in pieces.filter(pa.array(~plain)).to_pylist()]
+        tokens = pa.array(found, pa.string())
+        stop = np.asarray(pc.equal(tokens, _END), dtype=bool)
+        sizes[plain] = np.diff(np.flatnonzero(stop), prepend=-1) - 1
+        sizes[~plain] = [len(o) for o in odd]
+        # plain pieces first, then the odd ones
+        tokens = pa.concat_arrays([tokens.filter(pa.array(~stop)), pa.array([t for o in odd for t in o], pa.string())])
+        begin = np.zeros(len(pieces), dtype=np.int64)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return tokens.take(pa.array(ragged_take(begin, sizes))).dictionary_encode(), sizes
 
     def tokens(self, pre_token: str) -> int:
         if pre_token in self.special:
             return 1
         return len(self.tokenizer.model.tokenize("".join(map(self.alphabet.__getitem__, pre_token.encode()))))
 
-    def frequencies(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-        """(text of each entry, distinct pre-tokens, pre-token of each entry, its frequency there)."""
+    def frequencies(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(text, pre-token, frequency) of each distinct pair, by pre-token: its runs are stored cheaply."""
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
         buffer = texts.buffers()[2]
         data = np.frombuffer(buffer, dtype=np.uint8)[offsets[0]:offsets[-1]] if buffer is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
         cuts = piece_offsets(data, offsets)
-        pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
-        known: dict[str, int] = {}
-        split = [[known.setdefault(t, len(known)) for t in self.split(p)] for p in coded.dictionary.to_pylist()]
-        sizes = np.asarray([len(s) for s in split], dtype=np.int64)
-        pool = np.asarray([t for s in split for t in s], dtype=np.int64)
+        tokens, sizes = self.split(coded.dictionary)
         piece = np.asarray(coded.indices, dtype=np.int64)
-        codes = pool[ragged_take((np.cumsum(sizes) - sizes)[piece], sizes[piece])]
+        codes = np.asarray(tokens.indices, dtype=np.int64)[ragged_take((np.cumsum(sizes) - sizes)[piece], sizes[piece])]
         text_of = np.repeat(np.searchsorted(offsets, cuts[:-1], "right") - 1, sizes[piece])
-        both, count = np.unique(text_of * max(len(known), 1) + codes, return_counts=True)
-        return both // max(len(known), 1), list(known), both % max(len(known), 1), count
+        both, count = np.unique(codes * len(texts) + text_of, return_counts=True)
+        return both % len(texts), tokens.dictionary.take(pa.array(both // len(texts))), count
 
 
 def pre_tokens(path: str) -> PreTokens:
@@ -129,11 +149,8 @@ def pre_token_frequencies(docs: DataFrame, tokenizer: str, id_col: str = "doc_id
                 keys = np.asarray([xxhash.xxh3_64_intdigest(t) for t in raw], dtype=np.uint64).view(np.int64)
                 n = len(raw)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([len(t) for t in raw], pa.int64())], names=schema.names)
-                text_of, names, which, count = splitter.frequencies(texts)
-                if len(text_of):
-                    yield pa.RecordBatch.from_arrays([
-                        ids.take(pa.array(text_of)), pa.array(keys[text_of]), pa.array(names, pa.string()).take(pa.array(which)), pa.array(count), pa.nulls(len(count), pa.int64()),
-                    ], names=schema.names)
+                text_of, names, count = splitter.frequencies(texts)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text_of)), pa.array(keys[text_of]), names, pa.array(count), pa.nulls(len(count), pa.int64())], names=schema.names)
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
 
