@@ -1,12 +1,15 @@
 """Token counts of whole texts, each distinct pre-token counted once.
 
 A byte-level BPE never merges across its pre-tokens, so a text has as many tokens as its pre-tokens
-together.  Texts become rows (document, pre-token, frequency), written once.  The distinct pre-tokens
-are counted by the vocabulary's model, one encoding each for the whole table, and joined back to the
-frequencies; sums by document follow.  No ids are kept or moved.
-
-Pre-tokens are as skewed as words are.  Those in the most documents, FREQUENT of at most SHORT bytes,
-are joined by a broadcast of bounded size; all others are joined by a shuffle, where no key is frequent.
+together.  Texts become rows (document, pre-token, frequency).  Pre-tokens are counted by the
+vocabulary's model, one encoding for each distinct one, joined to the frequencies and summed by
+document.  No ids are kept or moved.
+
+Pre-tokens are as skewed as words are, so there are two joins.  Some of the frequent ones, FREQUENT
+of at most SHORT bytes, are counted beforehand and broadcast; a task joins them where the rows are
+made and sends one sum a document.  All other rows are shuffled by pre-token and sorted, so that each
+pre-token's rows follow each other and are joined to one count.  Which pre-tokens are broadcast is
+read off a random sample of documents; it decides where a row is joined, never a count.
 """
 
 from __future__ import annotations
@@ -24,12 +27,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .batches import bound_batches, ragged_take, slices, text_column
 from .bpe_words import byte_alphabet, load_tokenizer
 from .chunkbpe import BYTE_PATTERN
-from .storage import materialize
-from .worker import hold, let_go
+from .worker import hold
 
 LIMIT = 1024
-#: The broadcast holds at most FREQUENT * (SHORT + 8) bytes of keys and counts, 4.7 MB.
+#: The broadcast holds at most FREQUENT * (SHORT + 12) bytes of keys and counts, 5 MB.
 FREQUENT, SHORT = 65_536, 64
+#: Documents of the sample, and bytes taken from each; a pre-token in a thousandth of all documents is in it almost surely.
+SAMPLE, SAMPLE_BYTES = 20_000, 4096
 
 #: Pieces of characters whose classes are the same in every Unicode version; others take the library's splitter.
 _PLAIN = r"^[\t\n\r -~À-ÖØ-öø-ÿ]*$"
@@ -128,42 +132,83 @@ def pre_tokens(path: str) -> PreTokens:
     return hold("pre-tokens", path, lambda: PreTokens(path))
 
 
-def pre_token_frequencies(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, key, pre_token, frequency, n_bytes)``, a row for each document and distinct pre-token.
+def frequent_pre_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text") -> pa.Table:
+    """``(pre_token, n)`` of at most FREQUENT short pre-tokens that many documents of a random sample hold."""
+    total = docs.count()
+    drawn = docs.select(F.substring(docs[text_col], 1, SAMPLE_BYTES).alias("text")).sample(fraction=min(1.0, SAMPLE / max(total, 1)), seed=11)
+
+    def run(batches):
+        splitter = pre_tokens(tokenizer)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                _, names, _ = splitter.frequencies(text_column(batch, "text"))
+                found = names.filter(pc.less_equal(pc.binary_length(names), SHORT)).value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["pre_token", "docs"])
+
+    seen = drawn.mapInArrow(run, "pre_token string, docs long").groupBy("pre_token").agg(F.sum("docs").alias("docs"))
+    best = seen.where("docs > 1").orderBy(F.desc("docs"), "pre_token").limit(FREQUENT).select("pre_token").toArrow()["pre_token"].combine_chunks()
+    counter = PreTokens(tokenizer)
+    return pa.table({"pre_token": best, "n": pa.array([counter.tokens(t) for t in best.to_pylist()], pa.int64())})
+
+
+def pre_token_frequencies(docs: DataFrame, tokenizer: str, frequent: pa.Table, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, key, pre_token, frequency, n_tokens, n_bytes)``.
 
     ``key`` is a hash of the text; with the id it names the document, so that rows that repeat an id
-    stay apart.  Each document has one row more, with a null pre-token and its bytes.
+    stay apart.  A document has one row without a pre-token, which holds its bytes and the tokens of
+    its frequent pre-tokens, and one for each other pre-token with its frequency.
     """
     bound_batches(docs.sparkSession)
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("key", T.LongType()), T.StructField("pre_token", T.StringType()),
-        T.StructField("frequency", T.LongType()), T.StructField("n_bytes", T.LongType()),
+        T.StructField("frequency", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType()),
     ])
+    shared = docs.sparkSession.sparkContext.broadcast((frequent["pre_token"].combine_chunks(), frequent["n"].to_numpy()))
 
     def run(batches):
         splitter = pre_tokens(tokenizer)
+        common, counts = shared.value
+        counts = np.append(counts, 0)
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts, ids = text_column(batch, "text"), batch.column("id")
                 raw = [t.encode() for t in texts.to_pylist()]
                 keys = np.asarray([xxhash.xxh3_64_intdigest(t) for t in raw], dtype=np.uint64).view(np.int64)
                 n = len(raw)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([len(t) for t in raw], pa.int64())], names=schema.names)
                 text_of, names, count = splitter.frequencies(texts)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text_of)), pa.array(keys[text_of]), names, pa.array(count), pa.nulls(len(count), pa.int64())], names=schema.names)
+                place = np.asarray(pc.fill_null(pc.index_in(names, common), -1), dtype=np.int64)
+                known = np.bincount(text_of, weights=count * counts[place], minlength=n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(known), pa.array([len(t) for t in raw], pa.int64())], names=schema.names)
+                rest = np.flatnonzero(place < 0)
+                yield pa.RecordBatch.from_arrays([
+                    ids.take(pa.array(text_of[rest])), pa.array(keys[text_of[rest]]), names.take(pa.array(rest)), pa.array(count[rest]), pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.int64()),
+                ], names=schema.names)
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
 
 
-def count_pre_tokens(distinct: DataFrame, tokenizer: str) -> DataFrame:
-    """``distinct(pre_token, docs)`` with ``n``, the tokens of each."""
+def join_counts(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """Rows of :func:`pre_token_frequencies` with ``n_tokens`` filled in: frequency times the pre-token's count.
+
+    Rows of one pre-token come to one task, sorted, so that it is counted at the first of them.
+    """
+    dealt = rows.repartition(F.coalesce("pre_token", F.col("key").cast("string"))).sortWithinPartitions("pre_token")
+
     def run(batches):
-        let_go()
         counter = pre_tokens(tokenizer)
+        last, tokens = None, 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([counter.tokens(t) for t in batch.column(0).to_pylist()], pa.int64())], names=["pre_token", "docs", "n"])
+            coded = batch.column("pre_token").dictionary_encode()
+            counts = [tokens if t == last else counter.tokens(t) for t in coded.dictionary.to_pylist()]
+            which = np.asarray(pc.fill_null(coded.indices, len(counts)), dtype=np.int64)
+            made = np.append(np.asarray(counts, dtype=np.int64), 0)[which] * np.asarray(pc.fill_null(batch.column("frequency"), 0), dtype=np.int64)
+            if batch.num_rows and which[-1] < len(counts):
+                last, tokens = coded.dictionary[int(which[-1])].as_py(), counts[int(which[-1])]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("key"), pa.array(made + np.asarray(pc.fill_null(batch.column("n_tokens"), 0), dtype=np.int64)), batch.column("n_bytes"),
+            ], names=["doc_id", "key", "n_tokens", "n_bytes"])
 
-    return distinct.select("pre_token", "docs").mapInArrow(run, "pre_token string, docs long, n long")
+    return dealt.mapInArrow(run, rows.select("doc_id", "key", "n_tokens", "n_bytes").schema)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,19 +218,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
     special strings inside texts are one token each.  Null and empty texts have none.  Rows that
     repeat an id are counted each by its own text.  An empty table gives an empty result.
     """
-    found = materialize(pre_token_frequencies(docs, tokenizer, id_col, text_col), "pretokens")
-    distinct = found.where("pre_token IS NOT NULL").groupBy("pre_token").agg(F.count("*").alias("docs"))
-    counted = materialize(count_pre_tokens(distinct, tokenizer), "pretoken-counts")
-    frequent = counted.where(F.octet_length("pre_token") <= SHORT).orderBy(F.desc("docs"), "pre_token").limit(FREQUENT).select("pre_token", "n")
-    by_doc = ["doc_id", "key"]
-    common = found.join(F.broadcast(frequent), "pre_token", "left").groupBy(by_doc).agg(
-        F.sum(F.col("frequency") * F.col("n")).alias("n_tokens"), F.count_if(F.col("pre_token").isNull()).alias("copies"), F.max("n_bytes").alias("n_bytes"),
-    )
-    rare = found.where("pre_token IS NOT NULL").join(F.broadcast(frequent), "pre_token", "left_anti").join(counted, "pre_token")
-    others = rare.groupBy(by_doc).agg(F.sum(F.col("frequency") * F.col("n")).alias("n_tokens")).select(*by_doc, "n_tokens", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("long").alias("n_bytes"))
-    total = common.select(*by_doc, "n_tokens", "copies", "n_bytes").union(others).groupBy(by_doc).agg(
-        F.coalesce(F.sum("n_tokens"), F.lit(0).cast("long")).alias("all"), F.sum("copies").alias("copies"), F.max("n_bytes").alias("n_bytes"),
-    )
+    frequent = frequent_pre_tokens(docs, tokenizer, text_col)
+    joined = join_counts(pre_token_frequencies(docs, tokenizer, frequent, id_col, text_col), tokenizer)
+    total = joined.groupBy("doc_id", "key").agg(F.sum("n_tokens").alias("all"), F.count("n_bytes").alias("copies"), F.max("n_bytes").alias("n_bytes"))
     # equal texts under an equal id were summed together
     n = F.expr("`all` div copies")
     return total.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
