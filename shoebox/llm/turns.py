@@ -116,24 +116,23 @@ _NEXT = "if({0} = 'u', 'a', 'u')"
 def repaired_text(turns: str, audit: str) -> Column:
     """The repaired ``role:text`` lines of an ordered array of structs, joined by newlines.
 
-    The letters are cut into one run a row (its inserts, then its own letter) and a last run of
+    The letters are cut into one run a row (at most two inserts, then its own letter) and a last run of
     inserts; a fold notes the initial that stands before each run, and the lines follow from both.
     """
-    after = "if(endswith(run, 'D'), {0}, if(endswith(run, 'K'), initial, " + _NEXT + "))"
     # the initial before each run, '-' where there is none yet: inserts alternate, so an even number changes nothing behind a first one
     walk = f"""aggregate(zip_with({turns}, regexp_extract_all({audit}, '(I*[KRD])', 1), (t, run) -> struct(t.initial as initial, run as run)),
         struct('-' as last, '' as befores),
         (acc, x) -> struct(
-            transform(array(struct(x.initial as initial, x.run as run, case length(x.run) when 1 then acc.last when 2 then {_NEXT.format('acc.last')} else 'a' end as at)),
+            transform(array(struct(x.initial as initial, x.run as run, case length(x.run) when 1 then acc.last when 2 then {_NEXT.format('acc.last')} else if(acc.last = 'u', 'u', 'a') end as at)),
                 y -> case right(y.run, 1) when 'D' then y.at when 'K' then y.initial else {_NEXT.format('y.at')} end)[0] as last,
             concat(acc.befores, acc.last) as befores))"""
     lines = f"""transform(array({walk}), w -> concat(
         flatten(transform(zip_with({turns}, regexp_extract_all({audit}, '(I*[KRD])', 1), (t, run) -> struct(t.role as role, t.text as text, run as run)), (x, i) ->
             concat(
-                case length(x.run) when 1 then cast(array() as array<string>) when 2 then array(if(substring(w.befores, i + 1, 1) = 'u', 'assistant:', 'user:')) else array('user:', 'assistant:') end,
+                case length(x.run) when 1 then cast(array() as array<string>) when 2 then array(if(substring(w.befores, i + 1, 1) = 'u', 'assistant:', 'user:')) else if(substring(w.befores, i + 1, 1) = 'u', array('assistant:', 'user:'), array('user:', 'assistant:')) end,
                 case right(x.run, 1) when 'D' then cast(array() as array<string>) when 'K' then array(concat(x.role, ':', x.text))
-                    else array(concat(if((length(x.run) = 1 and substring(w.befores, i + 1, 1) = 'u') or (length(x.run) = 2 and substring(w.befores, i + 1, 1) != 'u'), 'assistant:', 'user:'), x.text)) end))),
-        case length(regexp_extract({audit}, '(I*)$', 1)) when 0 then cast(array() as array<string>) when 1 then array(if(w.last = 'u', 'assistant:', 'user:')) else array('user:', 'assistant:') end))[0]"""
+                    else array(concat(if((length(x.run) = 2) = (substring(w.befores, i + 1, 1) != 'u'), 'assistant:', 'user:'), x.text)) end))),
+        case length(regexp_extract({audit}, '(I*)$', 1)) when 0 then cast(array() as array<string>) when 1 then array(if(w.last = 'u', 'assistant:', 'user:')) else if(w.last = 'u', array('assistant:', 'user:'), array('user:', 'assistant:')) end))[0]"""
     return F.array_join(F.expr(lines), "\n")
 
 
@@ -144,7 +143,8 @@ def repair_turns(rows: DataFrame) -> DataFrame:
     ``truncated``, ``illegal`` (counts of rows), ``cost``, ``audit``, ``repaired`` (the lines), all over
     the rows that are not ``gone``.  Without any: zeros and empty strings.  Null ids are one
     conversation.  Roles other than system, user and assistant count by their first character, which
-    fits no place, so such rows get a new role or go.  An empty table gives an empty result.
+    fits no place, nor does an empty role, so such rows get a new role or go.  An empty table gives an
+    empty result.
     """
     here = ~F.col("gone")
     count = lambda test: F.count_if(here & F.coalesce(test, F.lit(False)))

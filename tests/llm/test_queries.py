@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_chunk_store": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op9_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10_chunk_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op11_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op12_vector_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
+    "op13_turn_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
 }
 
 
