@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors
 from . import graph
+from .density import core_points, dbscan, neighbours  # noqa: F401
 
 #: Rows of one block of either side.
 BLOCK = 4096
@@ -125,55 +126,6 @@ def propagate(items: DataFrame, seeds: DataFrame, least: float = 0.1) -> DataFra
     return own.unionByName(labelled)
 
 
-def neighbours(items: DataFrame, eps: float) -> DataFrame:
-    """``(a, b, distance)`` of different unit vectors within cosine distance ``eps``, both directions.
-
-    Exact: pairs of blocks are compared by matrix products.  Work grows with the square of the rows,
-    but a task holds two blocks and only neighbours leave it.
-    """
-    rows = items.select("id", vectors.doubles(F.col("vector")).alias("vector"))
-    blocks = max(1, -(-rows.count() // BLOCK))
-    own = F.pmod(F.hash("id"), F.lit(blocks))
-    spread = rows.select("id", "vector", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    spread = spread.select("id", "vector", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        x, ids, own_ = _matrix(table["vector"].combine_chunks()), np.asarray(table["id"]), np.asarray(table["own"])
-        low, high = table["lo"][0].as_py(), table["hi"][0].as_py()
-        left, right = np.flatnonzero(own_ == low), np.flatnonzero(own_ == high)
-        distance = 1 - x[left] @ x[right].T
-        i, j = np.nonzero(distance <= eps)
-        a, b, d = ids[left[i]], ids[right[j]], distance[i, j]
-        keep = a < b if low == high else np.ones(len(a), dtype=bool)
-        a, b, d = a[keep], b[keep], d[keep]
-        return pa.table({"a": np.concatenate([a, b]), "b": np.concatenate([b, a]), "distance": np.concatenate([d, d])})
-
-    return spread.groupBy("lo", "hi").applyInArrow(compare, "a long, b long, distance double")
-
-
-def core_points(pairs: DataFrame, least: int) -> DataFrame:
-    """Ids with at least ``least`` points in reach, themselves included."""
-    return pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least).select("id")
-
-
-def dbscan(items: DataFrame, eps: float, least: int) -> DataFrame:
-    """``(id, cluster)``: density clusters by cosine distance, numbered by smallest core id; noise -1.
-
-    A border point joins the lowest-numbered cluster of its core neighbours.
-    """
-    pairs = graph.materialize(neighbours(items, eps).select("a", "b"))
-    core = graph.materialize(core_points(pairs, least) if least > 1 else items.select("id"))
-    inner = pairs.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b")
-    joined = graph.components(inner)
-    of_core = core.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("root"))
-    of_core = graph.materialize(of_core)
-    roots = of_core.select("root").distinct()
-    border = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(of_core.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("root"))
-    placed = of_core.unionByName(border)
-    return items.select("id").join(placed, "id", "left").join(graph.ranked(roots, "root"), "root", "left").select("id", F.coalesce("rank", F.lit(-1)).cast("int").alias("cluster"))
-
-
 def summary(clustered: DataFrame) -> DataFrame:
     return clustered.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"), F.count_if(F.col("cluster") == -1).alias("n_noise"))
 
