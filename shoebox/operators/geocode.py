@@ -51,3 +51,10 @@ def translate(places: DataFrame, words: DataFrame, column: str = "name") -> Data
     head = words.select(F.col("word").alias("_head"), F.col("translation").alias("_part"))
     out = places.withColumn("_head", F.trim(F.substring_index(column, ",", 1)))
     return out.join(whole, column, "left").join(head, "_head", "left").withColumn("shown", F.coalesce("_whole", "_part", column)).drop("_head", "_whole", "_part")
+
+
+def translated(rows: DataFrame, words: DataFrame | None, column: str = "location_name") -> DataFrame:
+    """``rows`` with the names of ``column`` as :func:`translate` shows them; without words as they are."""
+    if words is None:
+        return rows
+    return translate(rows, words, column).select(*[F.col("shown").alias(column) if c == column else F.col(c) for c in rows.columns])

@@ -12,7 +12,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text, times
-from . import graph
+from . import geocode, graph
 
 #: Photos that each kind of card needs, and the most a card shows.
 LEAST = {"on_this_day": 3, "trip": 5, "topic": 6, "place": 10, "person": 8, "season": 30, "weekend": 12, "pet": 6}
@@ -83,9 +83,18 @@ def pets(photos: DataFrame, names: DataFrame) -> DataFrame:
     return _grouped(rows.join(names.select(F.col("id").alias("pet")), "pet", "left_semi"), "pet", ["pet", "year", "month"])
 
 
+#: Fixed value: how card ids name a kind, where it isn't by the kind itself.
+ID_OF_KIND = {"on_this_day": "otd"}
+
+
+def _card_id(kind: str, key: Column) -> Column:
+    """The id of a card; a place's name goes in as eight digits of its hash."""
+    return F.concat(F.lit(f"mem_{ID_OF_KIND.get(kind, kind)}_"), text.short_id("", key) if kind == "place" else key)
+
+
 def cards(kind: str, candidates: DataFrame, key: Column, title: Column) -> DataFrame:
     """Candidates of one kind as ``(kind, card_id, title, n)``."""
-    return candidates.select(F.lit(kind).alias("kind"), F.concat(F.lit(f"mem_{kind}_"), key).alias("card_id"), title.alias("title"), "n")
+    return candidates.select(F.lit(kind).alias("kind"), _card_id(kind, key).alias("card_id"), title.alias("title"), "n")
 
 
 #: Cards of one kind in a selection; other kinds show one, this-day cards all.
@@ -111,22 +120,25 @@ def pick(candidates: DataFrame, seed: str) -> DataFrame:
 def _cards_of(kind: str, rows: DataFrame, keys: list[str], card: Column, title: Column, subtitle: Column | None = None, grp: Column | None = None, rank: Column | None = None, cover: Column | None = None) -> DataFrame:
     """The photos of all cards of one kind that have enough of them, a row each."""
     enough = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST[kind])
-    card_id = F.concat(F.lit(f"mem_{kind}_"), card)
+    card_id = _card_id(kind, card)
     return rows.join(enough, keys).select(
         F.lit(kind).alias("kind"), card_id.alias("card_id"), title.alias("title"), (F.lit("") if subtitle is None else subtitle).alias("subtitle"), (card_id if grp is None else grp).alias("grp"),
         "path", "taken_at", (F.lit(0) if rank is None else rank).alias("rank"), (F.lit(None).cast("string") if cover is None else cover).alias("event_cover"), "n",
     )
 
 
-def view(photos: DataFrame, found: DataFrame, face_names: DataFrame, pet_names: DataFrame, today: datetime.date, seed: str, identity: str = "", preferred: list[str] | None = None, topics_: dict = text.TOPICS) -> DataFrame:
+def view(photos: DataFrame, found: DataFrame, face_names: DataFrame, pet_names: DataFrame, today: datetime.date, seed: str, identity: str = "", preferred: list[str] | None = None, topics_: dict = text.TOPICS, words: DataFrame | None = None) -> DataFrame:
     """All eight kinds as cards for one viewer, with titles, photos and covers.
 
     ``photos(path, taken_at, year, month, label, location_name, face_ids, pet_ids)`` are those the
     viewer sees, ``found(id, start, duration_days, photos, top_places, cover)`` the events.  Returns
     ``place, kind, card_id, title, subtitle, cover, photos, photo_count``: at most MOST_SHOWN photos a
     card, topics' by hits and others' by seeded hash, in time order; the cover is the event's own if
-    it is among them, else the middle one.
+    it is among them, else the middle one.  ``words(word, translation)`` translates places in titles,
+    not in ids.
     """
+    shown = lambda rows, column: rows.withColumn("shown", F.col(column)) if words is None else geocode.translate(rows, words, column)
+    #: the titles below are fixed values
     year, month = F.col("year").cast("string"), F.col("month").cast("string")
     when = F.concat(year, F.lit(" 年 "), month, F.lit(" 月 · "))
     stamp = F.concat(year, F.lit("_"), F.lpad(month, 2, "0"))
@@ -136,10 +148,10 @@ def view(photos: DataFrame, found: DataFrame, face_names: DataFrame, pet_names:
     parts = [_cards_of("on_this_day", same, ["year"], year, F.concat((F.lit(today.year) - F.col("year")).cast("string"), F.lit(" 年前的今天")), F.concat(year, F.lit(f" 年 {today.month} 月 {today.day} 日")))]
     lasting = found.where((F.size("top_places") > 0) & (F.col("duration_days") >= TRIP_DAYS))
     went = lasting.select(F.col("id"), F.year("start").alias("year"), F.month("start").alias("month"), F.get("top_places", 0).alias("spot"), "duration_days", "cover", F.explode("photos").alias("path")).join(slim, "path")
-    parts.append(_cards_of("trip", went, ["id"], F.col("id"), F.concat(when, "spot"), F.concat(F.col("duration_days").cast("string"), F.lit(" 天")), cover=F.col("cover")))
+    parts.append(_cards_of("trip", shown(went, "spot"), ["id"], F.col("id"), F.concat(when, "shown"), F.concat(F.col("duration_days").cast("string"), F.lit(" 天")), cover=F.col("cover")))
     told = topic_photos(photos, topics_).join(slim, "path")
     parts.append(_cards_of("topic", told, ["topic", "year", "month"], F.concat("topic", F.lit("_"), stamp), F.concat(when, "topic"), grp=F.col("topic"), rank=F.col("hits")))
-    parts.append(_cards_of("place", photos.where("location_name <> ''"), ["location_name"], F.col("location_name"), F.concat(F.lit("在 "), "location_name"), F.lit("跨年度回顧")))
+    parts.append(_cards_of("place", shown(photos.where("location_name <> ''"), "location_name"), ["location_name"], F.col("location_name"), F.concat(F.lit("在 "), "shown"), F.lit("跨年度回顧")))
     faces = dated.select("path", "taken_at", "year", "month", F.explode("face_ids").alias("id")).join(face_names.where("name <> ''").select("id", "name"), "id")
     people_ = people(photos, face_names.where("name <> ''"), preferred).select(F.col("face").alias("id"), "year", "month")
     title = F.when(F.col("id") == identity, F.concat(when, F.lit("那時候的我"))).otherwise(F.concat(when, F.lit("與 "), "name"))
@@ -156,8 +168,8 @@ def view(photos: DataFrame, found: DataFrame, face_names: DataFrame, pet_names:
     cards_ = members.groupBy("kind", "card_id").agg(F.first("title").alias("title"), F.first("grp").alias("grp"), F.first("n").alias("n"))  # one value a card
     chosen = graph.materialize(pick(cards_, seed).select("place", "card_id"))
     best = Window.partitionBy("card_id").orderBy(F.desc("rank"), F.md5(F.concat(F.lit(seed), "path")), "path")
-    shown = members.join(chosen, "card_id").withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= MOST_SHOWN)
-    listed = shown.groupBy("place", "kind", "card_id", "title", "subtitle", "event_cover").agg(F.transform(F.array_sort(F.collect_list(F.struct("taken_at", "path"))), lambda r: r["path"]).alias("photos"))
+    drawn = members.join(chosen, "card_id").withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= MOST_SHOWN)
+    listed = drawn.groupBy("place", "kind", "card_id", "title", "subtitle", "event_cover").agg(F.transform(F.array_sort(F.collect_list(F.struct("taken_at", "path"))), lambda r: r["path"]).alias("photos"))
     cover = F.when(F.array_contains("photos", F.col("event_cover")), F.col("event_cover")).otherwise(F.get("photos", F.floor(F.size("photos") / 2).cast("int")))
     return listed.select("place", "kind", "card_id", "title", "subtitle", cover.alias("cover"), "photos", F.size("photos").alias("photo_count"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from . import access, graph
+from . import access, geocode, graph
 
 #: Fixed value: an event needs this many visible photos to show.
 VISIBLE_LEAST = 3
@@ -82,11 +82,12 @@ def event_photos(found: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame
     return found.select(*keys, F.posexplode("photos").alias("pos", "path"))
 
 
-def viewer_events(found: DataFrame, index: DataFrame, pets: DataFrame, perms: DataFrame) -> DataFrame:
+def viewer_events(found: DataFrame, index: DataFrame, pets: DataFrame, perms: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Events as the one viewer of ``perms`` sees them.
 
     Fewer than three visible photos hide an event.  Counts, tops and cover come from visible photos
     only; start, end and duration stay.  ``index(path, face_ids, location_name)``, ``pets(path, pet_ids)``.
+    ``words(word, translation)`` translates the top places once they are chosen.
     """
     none = F.array().cast("array<string>")
     found = graph.materialize(found)
@@ -97,6 +98,9 @@ def viewer_events(found: DataFrame, index: DataFrame, pets: DataFrame, perms: Da
     kept = seen.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("order")).where(F.size("order") >= VISIBLE_LEAST)
     tops = top_names(seen.select("id", "pos", F.explode("face_ids").alias("face")), ["id"], "face").withColumnRenamed("top", "top_faces")
     places = top_names(seen, ["id"], "location_name").withColumnRenamed("top", "top_places")
+    if words is not None:
+        spots = geocode.translated(places.select("id", F.posexplode("top_places").alias("pos", "spot")), words, "spot")
+        places = spots.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "spot"))), lambda r: r["spot"]).alias("top_places"))  # three an event
     shown = F.transform("order", lambda r: r["path"])
     middle = F.get(shown, F.floor(F.size("order") / 2).cast("int"))
     out = found.select("id", "start", "end", "duration_days", "cover").join(kept, "id").join(tops, "id", "left").join(places, "id", "left")
@@ -106,16 +110,22 @@ def viewer_events(found: DataFrame, index: DataFrame, pets: DataFrame, perms: Da
     )
 
 
-def event_detail(found: DataFrame, event_id: str, index: DataFrame, perms: DataFrame) -> DataFrame:
-    """Visible photos of one event with time and place, in order."""
-    one = event_photos(found.where(F.col("id") == event_id)).join(index, "path")
-    seen = one.crossJoin(F.broadcast(perms.limit(1))).where(access.can_see(F.col("path"), F.col("face_ids")))  # one row
-    return seen.select("pos", "path", "taken_at", "location_name")
+def event_detail(found: DataFrame, event_id: str, index: DataFrame, pets: DataFrame, perms: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Photos of one event that the one viewer of ``perms`` sees, with time and place, in order.
+
+    A photo that the index lacks has neither faces nor place.  ``pets(path, pet_ids)``; places are
+    translated by ``words(word, translation)``.
+    """
+    none = F.array().cast("array<string>")
+    one = event_photos(found.where(F.col("id") == event_id)).join(index, "path", "left").join(pets, "path", "left")
+    seen = one.crossJoin(F.broadcast(perms.limit(1)))  # one row
+    seen = seen.where(access.can_see(F.col("path"), F.coalesce("face_ids", none), F.coalesce("pet_ids", none)))
+    return geocode.translated(seen.select("pos", "path", "taken_at", "location_name"), words)
 
 
-def overview(index: DataFrame, pets: DataFrame, perms: DataFrame) -> DataFrame:
-    """Photos with a time that the one viewer of ``perms`` may see, newest first, in a slim form."""
+def overview(index: DataFrame, pets: DataFrame, perms: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Photos with a time that the one viewer of ``perms`` may see, newest first, in a slim form; places are translated."""
     none = F.array().cast("array<string>")
     rows = index.where("taken_at is not null").join(pets, "path", "left").crossJoin(F.broadcast(perms.limit(1)))  # one row
     seen = rows.where(access.can_see(F.col("path"), F.coalesce("face_ids", none), F.coalesce("pet_ids", none)))
-    return seen.select("path", "taken_at", "year", "month", "location_name").orderBy(F.desc("taken_at"), "path")
+    return geocode.translated(seen.select("path", "taken_at", "year", "month", "location_name"), words).orderBy(F.desc("taken_at"), "path")

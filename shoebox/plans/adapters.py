@@ -81,6 +81,18 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``word, translation`` of half of the photos' places and of the orders' priorities."""
+    places = table(spark, sf_dir, "events").select(F.col("event_type").alias("word")).union(table(spark, sf_dir, "orders").select("o_orderpriority")).distinct()
+    return places.where("ascii(word) % 2 = 1").select("word", F.concat(F.lit("地"), F.reverse("word")).alias("translation"))
+
+
+WORDS = """words AS (SELECT word, '地' || reverse(word) AS translation
+  FROM (SELECT event_type AS word FROM events UNION SELECT o_orderpriority FROM orders) WHERE ascii(word) % 2 = 1)"""
+#: A place as it is shown: translated whole, else by its part before the first comma (no place here has one), else as it is.
+SHOWN = "coalesce((SELECT translation FROM words WHERE word = {0}), {0})"
+
+
 def merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merge forest over suppliers with a cycle of two, a tail into it, and a self loop."""
     forest = table(spark, sf_dir, "supplier").where("s_suppkey > 2").select(F.concat(F.lit("face_"), "s_suppkey").alias("src"), F.concat(F.lit("face_"), (F.col("s_suppkey") / 3).cast("long")).alias("dst"))

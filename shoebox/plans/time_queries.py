@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import access, cluster, faces, memories, stats, timeline
+from ..operators import access, cluster, faces, graph, memories, stats, timeline
 from . import adapters as a
 
 TODAY_ORDERS = datetime.date(2002, 3, 10)
@@ -50,15 +50,23 @@ def _perms(spark, who="bob"):
 
 def viewer_timeline(spark, d):
     p = a.photos(spark, d)
-    out = timeline.viewer_events(_events(spark, d), p.select("path", "face_ids", "location_name"), p.select("path", "pet_ids"), _perms(spark))
+    out = timeline.viewer_events(_events(spark, d), p.select("path", "face_ids", "location_name"), p.select("path", "pet_ids"), _perms(spark), a.words(spark, d))
     return out.select("id", F.col("photo_count").cast("long").alias("photo_count"), F.array_join("top_faces", ",").alias("top_faces"), F.array_join("top_places", ",").alias("top_places"), "cover")
 
 
+def _detail_of(spark, d, who, found, one):
+    p = a.photos(spark, d)
+    # every eleventh photo has left the index since the timeline was built
+    index = p.where("event_id % 11 <> 0").select("path", "face_ids", "taken_at", "location_name")
+    return timeline.event_detail(found, one, index, p.select("path", "pet_ids"), _perms(spark, who), a.words(spark, d)).select(F.lit(who).alias("viewer"), F.col("pos").cast("long").alias("pos"), "path", "location_name")
+
+
 def event_detail(spark, d):
-    found = _events(spark, d)
+    """The largest event as an admin, a viewer of people and a viewer of pets see it."""
+    found = graph.materialize(_events(spark, d))
     one = found.agg(F.max_by("id", F.struct("photo_count", "id"))).first()[0]
-    out = timeline.event_detail(found, one, a.photos(spark, d).select("path", "face_ids", "taken_at", "location_name"), _perms(spark, "ann"))
-    return out.select(F.col("pos").cast("long").alias("pos"), "path", "location_name")
+    ann, bob, cid = (_detail_of(spark, d, who, found, one) for who in ("ann", "bob", "cid"))
+    return ann.union(bob).union(cid)
 
 
 def overview_photos(spark, d):
@@ -141,13 +149,14 @@ _SAID = ["海邊的沙灘與海浪", "美食與蛋糕", "登山途中的山谷",
 
 
 def memories_view(spark, d):
-    """All eight kinds over the orders; trips are sessions of one customer group's orders."""
+    """All eight kinds over the orders, for a viewer who prefers two faces; a trip is a session of one person's photos."""
     said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("k") % len(_SAID)).cast("int") + 1)
     photos = _orders(spark, d).withColumn("k", F.substring("path", 4, 20).cast("long")).withColumn("label", said)
-    tour = timeline.events(photos.where("face_ids[0] = 'face_3'"), "2 days")
+    owned = photos.withColumn("face", F.get("face_ids", 0))
+    tour = timeline.events(owned, "2 days", owner="face").withColumn("id", F.concat_ws("_", "id", "face"))
     spots = timeline.top_names(timeline.event_photos(tour).join(photos.select("path", "location_name"), "path"), ["id"], "location_name").withColumnRenamed("top", "top_places")
     named = lambda kind, n: spark.createDataFrame([(f"{kind}_{i}", f"N{i}") for i in range(n)], "id string, name string")
-    out = memories.view(photos, tour.join(spots, "id"), named("face", 5), named("pet", 3), TODAY_ORDERS, "seed9", "face_2")
+    out = memories.view(photos, tour.join(spots, "id"), named("face", 5), named("pet", 3), TODAY_ORDERS, "seed9", "face_2", ["face_2", "face_4"], words=a.words(spark, d))
     return out.select(F.col("place").cast("long").alias("place"), "kind", "card_id", "title", "subtitle", "cover", F.md5(F.array_join("photos", ",")).alias("photos_md5"), F.col("photo_count").cast("long").alias("photo_count"))
 
 
@@ -186,7 +195,7 @@ def _faces(spark, d):
 
 
 def face_phases(spark, d):
-    out = faces.three_phases(_faces(spark, d), "s5", per_stratum=12, eps=0.62, least=3, above=0.3)
+    out = faces.three_phases(_faces(spark, d), "s5", per_stratum=60, eps=0.62, least=3, above=0.3)
     return out.select("id", "face_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -233,9 +242,9 @@ _EV = a.with_(a.PHOTOS, _sess("'10 minutes'"))
 _COVER = "SELECT id, arg_min(path, (CASE WHEN has_face THEN 0 ELSE 1 END) * 1000000000000 + CASE WHEN has_face THEN abs(pos - cnt // 2) * 1000000 + pos ELSE abs(pos - cnt // 2) END) AS cover FROM ev GROUP BY id"
 
 
-def _top(value: str, source: str, out: str) -> str:
-    return f"""SELECT id, string_agg(v, ',' ORDER BY k) AS {out} FROM (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(pos), v) AS k
-      FROM (SELECT id, pos, {value} AS v FROM {source}) WHERE v IS NOT NULL GROUP BY id, v) WHERE k <= 3 GROUP BY id"""
+def _top(value: str, source: str, out: str, shown: str = "v", join: str = "") -> str:
+    return f"""SELECT id, string_agg({shown}, ',' ORDER BY k) AS {out} FROM (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(pos), v) AS k
+      FROM (SELECT id, pos, {value} AS v FROM {source}) WHERE v IS NOT NULL GROUP BY id, v) {join} WHERE k <= 3 GROUP BY id"""
 
 
 _ORD = """WITH o AS (SELECT '/o/' || o_orderkey AS path, o_orderdate AS taken_at, year(o_orderdate) AS year, month(o_orderdate) AS month, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority END AS location_name,
@@ -259,8 +268,8 @@ _DBSCAN = f"""{a.with_(a.ITEMS, _NB, _CORE, recursive=True)}, reach AS (SELECT i
         roots AS (SELECT node AS id, min(other) AS root FROM reach GROUP BY 1), every AS (SELECT * FROM roots UNION ALL SELECT nb.a, min(r.root) FROM nb JOIN roots r ON r.id = nb.b WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY 1),
         ranks AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM roots))"""
 _SAMPLED = """items AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS vector
-  FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY vec_id % 10 ORDER BY md5('/f/' || vec_id || 's5'), '/f/' || vec_id) AS pick FROM embeddings) WHERE pick <= 12)"""
-_CARD = "SELECT '{0}' AS kind, 'mem_{0}_' || {1} AS card_id, {2} AS title, {3} AS subtitle, {4} AS grp, path, taken_at, {5} AS rank, {6} AS event_cover, count(*) OVER (PARTITION BY {7}) AS n, {8} AS least FROM {9}"
+  FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY vec_id % 10 ORDER BY md5('/f/' || vec_id || 's5'), '/f/' || vec_id) AS pick FROM embeddings) WHERE pick <= 60)"""
+_CARD = "SELECT '{0}' AS kind, 'mem_' || CASE '{0}' WHEN 'on_this_day' THEN 'otd' ELSE '{0}' END || '_' || {1} AS card_id, {2} AS title, {3} AS subtitle, {4} AS grp, path, taken_at, {5} AS rank, {6} AS event_cover, count(*) OVER (PARTITION BY {7}) AS n, {8} AS least FROM {9}"
 _WHEN, _STAMP = "year || ' 年 ' || month || ' 月 · '", "year || '_' || printf('%02d', month)"
 
 
@@ -272,17 +281,17 @@ _TOPIC_HITS = " UNION ALL ".join(
     f"SELECT path, taken_at, year, month, '{name}' AS topic, {f"CASE WHEN regexp_matches(label, '{'|'.join(map(re.escape, exc))}') THEN 0 ELSE " if exc else ''}len(list_distinct(regexp_extract_all(label, '{'|'.join(map(re.escape, inc))}'))){' END' if exc else ''} AS hits FROM lib"
     for name, (_, inc, exc) in text.TOPICS.items()
 )
-_VIEW8 = f"""WITH lib AS (SELECT '/o/' || o_orderkey AS path, o_orderdate AS taken_at, year(o_orderdate) AS year, month(o_orderdate) AS month, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority END AS location_name,
+_VIEW8 = f"""WITH {a.WORDS}, lib AS (SELECT '/o/' || o_orderkey AS path, o_orderdate AS taken_at, year(o_orderdate) AS year, month(o_orderdate) AS month, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority END AS location_name,
     'face_' || (o_custkey % 10) AS face, 'pet_' || (o_orderkey % 4) AS pet, (o_orderkey % 3 > 0) AS has_face, {_SAID}[o_orderkey % {len(_SAID)} + 1] AS label FROM orders),
-  photos AS (SELECT * FROM lib WHERE face = 'face_3'), {_sess("'2 days'")}, orig AS ({_COVER}), spot AS ({_top('location_name', 'ev', 'spots')}),
+  photos AS (SELECT * FROM lib), {_sess("'2 days'", 'face').replace("%H%M%S')", "%H%M%S_') || face")}, orig AS ({_COVER}), spot AS ({_top('location_name', 'ev', 'spots')}),
   trip AS (SELECT e.id, year(e.st) AS year, month(e.st) AS month, e.days, e.path, e.taken_at, split_part(s.spots, ',', 1) AS spot, o.cover FROM ev e JOIN spot s USING (id) JOIN orig o USING (id) WHERE e.days >= 2),
   hits AS ({_TOPIC_HITS}), season AS (SELECT path, taken_at, CASE WHEN month BETWEEN 3 AND 5 THEN '春' WHEN month BETWEEN 6 AND 8 THEN '夏' WHEN month BETWEEN 9 AND 11 THEN '秋' ELSE '冬' END AS season, year - CASE WHEN month < 3 THEN 1 ELSE 0 END AS sy FROM lib),
   mem AS (
     {_card('on_this_day', 'year', "(2002 - year) || ' 年前的今天'", 'year', "lib WHERE month = 3 AND day(taken_at) = 10 AND year <> 2002", "year || ' 年 3 月 10 日'")}
-    UNION ALL {_card('trip', 'id', f"{_WHEN} || spot", 'id', 'trip', "days || ' 天'", cover='cover')}
+    UNION ALL {_card('trip', 'id', f"{_WHEN} || {a.SHOWN.format('spot')}", 'id', 'trip', "days || ' 天'", cover='cover')}
     UNION ALL {_card('topic', f"topic || '_' || {_STAMP}", f"{_WHEN} || topic", 'topic, year, month', 'hits WHERE hits >= 2', grp='topic', rank='hits')}
-    UNION ALL {_card('place', 'location_name', "'在 ' || location_name", 'location_name', "lib WHERE location_name <> ''", "'跨年度回顧'")}
-    UNION ALL {_card('person', f"face || '_' || {_STAMP}", f"{_WHEN} || CASE WHEN face = 'face_2' THEN '那時候的我' ELSE '與 N' || substr(face, 6) END", 'face, year, month', f"lib WHERE face IN ({_FIVE})")}
+    UNION ALL {_card('place', 'md5(location_name)[:8]', f"'在 ' || {a.SHOWN.format('location_name')}", 'location_name', "lib WHERE location_name <> ''", "'跨年度回顧'")}
+    UNION ALL {_card('person', f"face || '_' || {_STAMP}", f"{_WHEN} || CASE WHEN face = 'face_2' THEN '那時候的我' ELSE '與 N' || substr(face, 6) END", 'face, year, month', "lib WHERE face IN ('face_2', 'face_4')")}
     UNION ALL {_card('season', "season || '_' || sy", "sy || ' 年的' || season || '天'", 'season, sy', 'season WHERE sy < 2002')}
     UNION ALL {_card('weekend', _STAMP, f"{_WHEN} || '週末'", 'year, month', 'lib WHERE isodow(taken_at) >= 6')}
     UNION ALL {_card('pet', f"pet || '_' || {_STAMP}", f"{_WHEN} || 'N' || substr(pet, 5)", 'pet, year, month', "lib WHERE pet IN ('pet_0', 'pet_1', 'pet_2')")}),
@@ -298,11 +307,13 @@ ORACLES = {
     "timeline_user": f"{a.with_(a.PHOTOS, _sess(chr(39) + '6 hours' + chr(39), 'user_id'))} SELECT DISTINCT user_id, id, cnt AS photo_count, days AS duration_days FROM ev",
     "timeline_windows": f"{a.with_(a.PHOTOS, _sess(chr(39) + '6 hours' + chr(39), 'user_id'))} SELECT user_id, count(*) AS n, strftime(min(taken_at), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(taken_at), '%Y-%m-%d %H:%M:%S') AS \"end\" FROM s2 GROUP BY user_id, sid",
     "timeline_top3": f"{_EV} SELECT id, faces, places FROM ({_top('unnest(face_ids)', 'ev', 'faces')}) FULL JOIN ({_top('location_name', 'ev', 'places')}) USING (id)",
-    "viewer_timeline": f"""{_EV}, {a.PERMS}, seen AS (SELECT ev.*, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS vpos, count(*) OVER (PARTITION BY id) AS vcnt FROM ev, perms WHERE name = 'bob' AND {a.CAN_SEE}),
+    "viewer_timeline": f"""{_EV}, {a.PERMS}, {a.WORDS}, seen AS (SELECT ev.*, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS vpos, count(*) OVER (PARTITION BY id) AS vcnt FROM ev, perms WHERE name = 'bob' AND {a.CAN_SEE}),
         kept AS (SELECT * FROM seen WHERE vcnt >= 3), orig AS ({_COVER}), mid AS (SELECT id, vcnt, path AS middle FROM kept WHERE vpos = vcnt // 2)
         SELECT m.id, m.vcnt AS photo_count, coalesce(f.top_faces, '') AS top_faces, coalesce(p.top_places, '') AS top_places, CASE WHEN EXISTS (SELECT 1 FROM kept k WHERE k.id = m.id AND k.path = o.cover) THEN o.cover ELSE m.middle END AS cover
-        FROM mid m JOIN orig o ON o.id = m.id LEFT JOIN ({_top('unnest(face_ids)', 'kept', 'top_faces')}) f ON f.id = m.id LEFT JOIN ({_top('location_name', 'kept', 'top_places')}) p ON p.id = m.id""",
-    "event_detail": f"{_EV} SELECT pos, path, location_name FROM ev WHERE id = (SELECT arg_max(id, cnt * 1e15 + CAST(replace(substr(id, 5), '_', '') AS BIGINT)) FROM ev)",
+        FROM mid m JOIN orig o ON o.id = m.id LEFT JOIN ({_top('unnest(face_ids)', 'kept', 'top_faces')}) f ON f.id = m.id LEFT JOIN ({_top('location_name', 'kept', 'top_places', 'coalesce(translation, v)', 'LEFT JOIN words ON word = v')}) p ON p.id = m.id""",
+    "event_detail": f"""{_EV}, {a.PERMS}, {a.WORDS}, one AS (SELECT pos, path, pet_ids, CASE WHEN event_id % 11 <> 0 THEN face_ids ELSE CAST([] AS VARCHAR[]) END AS face_ids, CASE WHEN event_id % 11 <> 0 THEN location_name END AS place
+          FROM ev WHERE id = (SELECT arg_max(id, cnt * 1e15 + CAST(replace(substr(id, 5), '_', '') AS BIGINT)) FROM ev))
+        SELECT name AS viewer, pos, path, {a.SHOWN.format('place')} AS location_name FROM one, perms WHERE name IN ('ann', 'bob', 'cid') AND {a.CAN_SEE}""",
     "overview_photos": f"{a.with_(a.PHOTOS, a.PERMS)} SELECT path, year, location_name FROM photos, perms WHERE name = 'bob' AND {a.CAN_SEE}",
     "event_years": f"{_EV} SELECT year(st) AS year, count(DISTINCT id) AS events FROM ev GROUP BY 1",
     "overview_months": f"{_ORD} SELECT year, month, count(*) AS photos, count(DISTINCT location_name) AS n_places, array_to_string(list_sort(list(DISTINCT location_name) FILTER (WHERE location_name IS NOT NULL))[:3], ', ') AS places FROM o GROUP BY 1, 2",
@@ -318,8 +329,8 @@ ORACLES = {
         WHERE season_year < 2001 GROUP BY 1, 2 HAVING count(*) >= 30""",
     "mem_weekend": f"{_ORD} {_WEEKEND}",
     "mem_pet": f"{_ORD} SELECT pet, year, month, count(*) AS n FROM o WHERE pet IN ('pet_1', 'pet_2') GROUP BY 1, 2, 3 HAVING count(*) >= 6",
-    "memories_pick": f"""{_ORD}, cards AS (SELECT 'on_this_day' AS kind, 'mem_on_this_day_' || year AS card_id, CAST(year AS VARCHAR) AS title, n, 1000000 AS quota FROM ({_OTD})
-        UNION ALL SELECT 'place', 'mem_place_' || location_name, location_name, n, 1 FROM ({_PLACE})
+    "memories_pick": f"""{_ORD}, cards AS (SELECT 'on_this_day' AS kind, 'mem_otd_' || year AS card_id, CAST(year AS VARCHAR) AS title, n, 1000000 AS quota FROM ({_OTD})
+        UNION ALL SELECT 'place', 'mem_place_' || md5(location_name)[:8], location_name, n, 1 FROM ({_PLACE})
         UNION ALL SELECT 'weekend', 'mem_weekend_' || year || '_' || printf('%02d', month), year || '_' || printf('%02d', month), n, 1 FROM ({_WEEKEND})
         UNION ALL SELECT 'person', 'mem_person_' || face || '_' || year || '_' || printf('%02d', month), face, n, 1 FROM ({_PERSON.format(_FIVE)})),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('seed7' || card_id)) AS k FROM cards)
@@ -331,7 +342,7 @@ ORACLES = {
     "face_phases": f"""{_DBSCAN.replace(a.ITEMS, _SAMPLED)}, everyone AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
         clustered AS (SELECT i.vector, k.cluster FROM items i JOIN every e ON e.id = i.id JOIN ranks k ON k.root = e.root),
         {_CEN.format('').replace('FROM items', 'FROM clustered')},
-        n AS (SELECT e.id, cen.cluster, list_inner_product(list_transform(e.vector, lambda x: x / sqrt(list_inner_product(e.vector, e.vector))), centre) AS s FROM everyone e, cen),
+        n AS (SELECT e.id, cen.cluster, list_inner_product(list_transform(e.vector, lambda x: x / sqrt(list_inner_product(e.vector, e.vector))), centre) AS s FROM everyone e LEFT JOIN cen ON true),
         k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, cluster) AS r FROM n)
         SELECT id, CASE WHEN s > 0.3 THEN 'face_' || cluster ELSE 'unknown' END AS face_id, round(s, 6) AS similarity FROM k WHERE r = 1""",
     "cluster_summary": f"{_DBSCAN}, l AS (SELECT i.id, coalesce(k.cluster, -1) AS cluster FROM items i LEFT JOIN every e ON e.id = i.id LEFT JOIN ranks k ON k.root = e.root) SELECT count(DISTINCT cluster) FILTER (WHERE cluster <> -1) AS n_clusters, count(*) FILTER (WHERE cluster = -1) AS n_noise FROM l",
