@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, timeline
-from ..sources import tables
+from ..sources import documents, tables
 from . import adapters as a
 from .time_queries import ORACLES as _EVENTS
 
@@ -30,12 +30,48 @@ def log_lines(spark, d):
 
 
 def overlay_files(spark, d):
-    """A sound overlay, one with a broken line, and one that is not there."""
+    """A sound overlay of lines, one document over several lines, one with a broken line, and one that is not there."""
     folder = graph.work_folder(spark, "overlays")
     a.names(spark, d).write.json(f"{folder}/sound")
     a.names(spark, d).select(F.concat(F.lit("{"), "id").alias("value")).write.text(f"{folder}/broken")
     read = lambda name: tables.read_overlay(spark, f"{folder}/{name}", "id string, name string").select(F.lit(name).alias("overlay"), "id", "name")
-    return read("sound").unionByName(read("broken")).unionByName(read("absent"))
+    documents.write_document(a.names(spark, d).select(F.lit("").alias("key"), documents.as_json("id", "name").alias("value")), f"{folder}/document.json", "list")
+    return read("sound").unionByName(read("document.json")).unionByName(read("broken")).unionByName(read("absent"))
+
+
+def curated_files(spark, d):
+    """Overlays as documents of their own shapes, written and read back, an absent one among them."""
+    folder = graph.work_folder(spark, "curated")
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    names = a.names(spark, d).select(F.col("id").alias("key"), quoted(F.col("name")).alias("value"))
+    documents.write_document(names, f"{folder}/names.json")
+    moved = a.moves(spark, d).orderBy("seq").select(documents.as_json("path", F.col("src").alias("from"), F.col("dst").alias("to")).alias("value"))
+    documents.write_document(moved, f"{folder}/moves.json", "list")
+    gone = a.removed(spark, d).groupBy("id").agg(F.to_json(F.array_sort(F.collect_set("path"))).alias("value"))
+    documents.write_document(gone.withColumnRenamed("id", "key"), f"{folder}/removed.json")
+    documents.write_document(a.skipped(spark, d).select(quoted(F.col("id")).alias("value")), f"{folder}/skipped.json", "list")
+    read = lambda name, kind: documents.read_curated(spark, f"{folder}/{name}.json", kind)
+    out = read("names", "names").select(F.lit("names").alias("overlay"), "id", F.col("name").alias("value"))
+    out = out.union(read("moves", "moves").select(F.lit("moves"), "src", F.concat_ws(">", "dst", "path", "seq")))
+    out = out.union(read("removed", "removed").select(F.lit("removed"), "id", "path"))
+    out = out.union(read("skipped", "skipped").select(F.lit("skipped"), "id", F.lit(None)))
+    return out.union(read("absent", "merges").select(F.lit("merges"), "src", "dst"))
+
+
+_IMAGE = "struct<taken_at:string,location_name:string,face_ids:array<string>>"
+
+
+def index_document(spark, d):
+    """The index and the timeline as single documents, replaced once, and read back."""
+    folder = graph.work_folder(spark, "documents")
+    index = a.photos(spark, d).select("path", F.col("taken_at").cast("string").alias("taken_at"), "location_name", "face_ids")
+    documents.write_index_document(index.limit(1), f"{folder}/index.json", "2024-01-01")
+    documents.write_index_document(index, f"{folder}/index.json", "2024-01-02")
+    found = timeline.events(a.photos(spark, d), "10 minutes").select("id", F.col("start").cast("string").alias("start"), "photos", "cover")
+    documents.write_timeline_document(found, f"{folder}/timeline.json", "2024-01-02", 1 / 6, 3)
+    images = documents.read_index(spark, f"{folder}/index.json", _IMAGE).select(F.lit("image").alias("part"), "path", F.col("taken_at").alias("at"), F.size("face_ids").cast("long").alias("n"), F.col("location_name").alias("more"))
+    told = documents.read_timeline(spark, f"{folder}/timeline.json", "struct<id:string,start:string,photos:array<string>,cover:string>")
+    return images.union(told.select(F.lit("event"), "id", "start", F.size("photos").cast("long"), "cover"))
 
 
 def index_table(spark, d):
@@ -52,12 +88,17 @@ def timeline_table(spark, d):
     return spark.read.parquet(path).where("year = 2024").select("id", F.col("photo_count").cast("long").alias("photo_count"), "cover")
 
 
-QUERIES = {f.__name__: f for f in (bundle_append, log_lines, overlay_files, index_table, timeline_table)}
+QUERIES = {f.__name__: f for f in (bundle_append, log_lines, overlay_files, curated_files, index_document, index_table, timeline_table)}
 
 ORACLES = {
     "bundle_append": "SELECT 'm1' AS model, CAST(len(embedding) AS BIGINT) AS dim, count(*) AS rows, count(DISTINCT vec_id) AS paths FROM embeddings GROUP BY 1, 2",
     "log_lines": "SELECT event_id AS seq, event_type AS path FROM events WHERE event_id % 9 <> 0",
-    "overlay_files": f"{a.with_(a.NAMES)} SELECT 'sound' AS overlay, id, name FROM names",
+    "overlay_files": f"{a.with_(a.NAMES)} SELECT overlay, id, name FROM names, (VALUES ('sound'), ('document.json')) t(overlay)",
+    "curated_files": f"""{a.with_(a.PHOTOS, a.NAMES, a.MOVES, a.REMOVED, a.SKIPPED)} SELECT 'names' AS overlay, id, name AS value FROM names
+        UNION ALL SELECT 'moves', src, dst || '>' || path || '>' || (row_number() OVER (ORDER BY seq) - 1) FROM moves
+        UNION ALL SELECT DISTINCT 'removed', id, path FROM removed UNION ALL SELECT 'skipped', id, NULL FROM skipped""",
+    "index_document": f"""{a.with_(a.PHOTOS)} SELECT 'image' AS part, path, strftime(taken_at, '%Y-%m-%d %H:%M:%S') AS "at", len(face_ids)::BIGINT AS n, location_name AS more FROM photos
+        UNION ALL SELECT 'event', id, start, photo_count, cover FROM ({_EVENTS['timeline_events']}) JOIN ({_EVENTS['timeline_cover']}) USING (id)""",
     "index_table": f"{a.with_(a.PHOTOS)} SELECT event_type, count(*) AS photos, max(path) AS last FROM photos WHERE year = 2024 AND month = 1 GROUP BY 1",
     "timeline_table": f"SELECT id, photo_count, cover FROM ({_EVENTS['timeline_events']}) JOIN ({_EVENTS['timeline_cover']}) USING (id) WHERE substr(id, 5, 4) = '2024'",
 }

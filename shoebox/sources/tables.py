@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.labels import pending
+from .documents import is_document, read_whole
 
 BUNDLE = "path string, vector array<float>, exif struct<DateTimeOriginal:string,DateTime:string,Make:string,Model:string,GPSInfo:map<string,string>>, model string, dim int"
 LABELS = "path string, bytes long, response string, text string, error string"
@@ -59,16 +60,21 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_overlay(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An overlay table; absent or corrupt reads as empty.
 
-    Overlays are curated by hand and small; they are read once more to see that every line is sound.
+    A file is one JSON document, an object or a list of them over any number of lines, or one object a
+    line.  Overlays are curated by hand and small; they are read once more to see that all is sound.
     """
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
-        sound = rows.agg(F.count_if(F.col("_broken").isNotNull()).alias("n"), F.max(F.hash(*rows.columns))).first()["n"] == 0
-    except AnalysisException:
-        sound = False
-    return rows.drop("_broken") if sound else spark.createDataFrame([], schema)
+    texts = read_whole(spark, path)
+    rows = F.when(is_document(F.col("text")), F.array("text")).otherwise(F.filter(F.split("text", "\n"), lambda line: F.trim(line) != ""))
+    pieces = texts.select(F.explode(rows).alias("text"))
+    if pieces.agg(F.count_if(~is_document(F.col("text"))).alias("n")).first()["n"]:
+        return spark.createDataFrame([], schema)
+    return pieces.select(F.explode(F.from_json("text", f"array<struct<{_fields(schema)}>>")).alias("r")).select("r.*")
+
+
+def _fields(schema: str) -> str:
+    from pyspark.sql.types import StructType
+
+    return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in StructType.fromDDL(schema))
 
 
 def read_parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
