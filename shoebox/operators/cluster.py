@@ -1,8 +1,7 @@
-"""Clusters of vectors: centroids, representatives, nearest assignment, propagation, density.
+"""Clusters of vectors: centroids, representatives, nearest assignment, propagation, sampling.
 
-Rows come as ``items(id, vector)``.  Nearest-neighbour and density operators compare blocks with
-matrix products in Arrow batches: the smaller side is cut into blocks of bounded size that are
-dealt out with the rows, so neither side has to fit anywhere whole.
+Rows come as ``items(id, vector)``.  Nearest targets are found by matrix products in Arrow batches
+where the targets are few, else through an inverted file; density clusters have a module of their own.
 """
 
 from __future__ import annotations
@@ -15,13 +14,13 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors
-from . import graph
+from . import density, graph, inverted
 from .density import core_points, dbscan, neighbours  # noqa: F401
 
 #: Rows of one block of either side.
 BLOCK = 4096
-#: Second sides of up to this many rows go to every task as one table; larger ones are joined blockwise.
-SMALL_SIDE = 20_000
+#: Targets whose vectors take up to so many bytes go to every task as one table.
+SMALL_SIDE = 16 << 20
 
 
 def centroids(items: DataFrame, key: str = "cluster", normalised: bool = True) -> DataFrame:
@@ -58,17 +57,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(items: DataFrame, targets: DataFrame) -> DataFrame:
     """``(id, target, similarity)``: the target with the highest dot product; ties to the smaller one.
 
-    ``targets(target, vector)``.  A side of up to SMALL_SIDE rows is sent to all tasks after its
-    rows are counted; a larger one is joined block by block and the best of each block is kept.
+    ``targets(target, vector)``.  Targets of up to SMALL_SIDE bytes of vectors are sent to all tasks
+    after they are measured; more of them are searched through an inverted file.  Rows without a
+    sound vector are left out.
     """
     kind = targets.schema["target"].dataType
     out = T.StructType([T.StructField("id", items.schema["id"].dataType), T.StructField("target", kind), T.StructField("similarity", T.DoubleType())])
-    ordered = targets.select("target", vectors.doubles(F.col("vector")).alias("vector"))
-    count = ordered.count()
-    rows = items.select("id", vectors.doubles(F.col("vector")).alias("vector"))
-    if count == 0:
+    ordered = density.sound(targets.withColumnRenamed("target", "id")).withColumnRenamed("id", "target")
+    size = ordered.agg(F.sum(8 * F.size("vector"))).first()[0]
+    rows = density.sound(items)
+    if size is None:
         return items.sparkSession.createDataFrame([], out)
-    if count <= SMALL_SIDE:
+    if size <= SMALL_SIDE:
         listed = ordered.orderBy("target").collect()
         arrow = to_arrow_type(kind)
         shared = items.sparkSession.sparkContext.broadcast(([r["target"] for r in listed], np.asarray([r["vector"] for r in listed], dtype=np.float64)))
@@ -84,21 +84,7 @@ def nearest(items: DataFrame, targets: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column("id"), names.take(pa.array(top)), pa.array(scores[np.arange(len(top)), top])], names=out.names)
 
         return rows.mapInArrow(best, out)
-    blocks = -(-count // BLOCK)
-    side = ordered.select(F.pmod(F.hash("target"), F.lit(blocks)).alias("block"), "target", "vector")
-    spread = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.hash("id"), F.lit(blocks)).alias("part"), "id", "vector")
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"id": left["id"][:0], "target": right["target"][:0], "similarity": pa.array([], pa.float64())})
-        right = right.sort_by("target")
-        scores = _matrix(left["vector"].combine_chunks()) @ _matrix(right["vector"].combine_chunks()).T
-        top = scores.argmax(1)
-        return pa.table({"id": left["id"], "target": right["target"].take(pa.array(top)), "similarity": scores[np.arange(len(top)), top]})
-
-    parts = side.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "block", "target", "vector")
-    pairs = spread.groupBy("block", "part").cogroup(parts.groupBy("block", "part")).applyInArrow(compare, out)
-    return pairs.groupBy("id").agg(F.min_by(F.struct("target", "similarity"), F.struct((-F.col("similarity")).alias("s"), "target")).alias("b")).select("id", "b.target", "b.similarity")
+    return inverted.nearest(rows, inverted.build(ordered))
 
 
 def assign(items: DataFrame, centres: DataFrame, above: float = 0.3) -> DataFrame:

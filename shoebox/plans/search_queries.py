@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import boxes, geo, paths, text, times
-from ..operators import cluster, geocode, index as index_ops, labels, search, stats
+from ..operators import cluster, geocode, index as index_ops, inverted, labels, search, stats
 from . import adapters as a
 
 
@@ -14,6 +14,19 @@ def vector_topk(spark, d):
     return search.vector_top_k(items, a.query_vector(spark, d), 20).select(F.col("path").alias("id"), F.round("score", 6).alias("score"))
 
 
+def inverted_topk(spark, d):
+    """The same search over a stored inverted file, list by list."""
+    file = inverted.build(a.items(spark, d).select(F.col("id").alias("target"), "vector"))
+    return inverted.top_k(file, a.query_vector(spark, d), 20)[0].select(F.col("target").alias("id"), F.round("similarity", 6).alias("score"))
+
+
+def inverted_nearest(spark, d):
+    """Two thirds of the vectors, each with its nearest one of the others."""
+    items = a.items(spark, d)
+    file = inverted.build(items.where("id % 3 = 0").select(F.col("id").alias("target"), "vector"))
+    return inverted.nearest(items.where("id % 3 > 0"), file).select("id", "target", F.round("similarity", 6).alias("similarity"))
+
+
 def _library(spark, d):
     vec = a.table(spark, d, "embeddings").select(F.col("vec_id").alias("event_id"), F.col("embedding").alias("vector"))
     exif = F.date_format("taken_at", "yyyy:MM:dd HH:mm:ss").alias("exif_time")
@@ -200,7 +213,7 @@ _BOX = "[CAST(k * m + event_id % 50 - 20 AS DOUBLE) FOR m IN [1, 2, 3, 4]]"
 _T = "CAST(trunc({}) AS BIGINT)"
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, hybrid_search, hybrid_filtered_date_camera, search_index_and_filters, search_faces_all, search_soft_label, build_index_join, index_stats, get_photo, list_faces_topn,
+    vector_topk, inverted_topk, inverted_nearest, hybrid_search, hybrid_filtered_date_camera, search_index_and_filters, search_faces_all, search_soft_label, build_index_join, index_stats, get_photo, list_faces_topn,
     unnamed_faces, filename_time_parse, path_date_strata, time_fallback_chain, gps_decimal, reverse_geocode_distinct, place_translate, skip_path_filter, prefilter_reasons, top_directories,
     new_paths_anti, label_totals, label_latest_success, extract_response_text, stratified_sample, random_sample_exact, path_and_text_functions, box_rules,
 )}
@@ -210,6 +223,10 @@ _HAS = "(list_contains(face_ids, '{0}') OR list_contains(list_transform(face_ids
 
 ORACLES = {
     "vector_topk": f"{a.with_(a.ITEMS)} SELECT id, round(s, 6) AS score FROM (SELECT id, list_inner_product(vector, {_Q.format(0)}) AS s FROM items) ORDER BY s DESC, id LIMIT 20",
+    "inverted_topk": f"{a.with_(a.ITEMS)} SELECT id, round(s, 6) AS score FROM (SELECT id, list_inner_product(vector, {_Q.format(0)}) AS s FROM items) ORDER BY s DESC, id LIMIT 20",
+    "inverted_nearest": f"""{a.with_(a.ITEMS)} SELECT id, target, round(s, 6) AS similarity FROM (
+        SELECT x.id, t.id AS target, list_inner_product(x.vector, t.vector) AS s, row_number() OVER (PARTITION BY x.id ORDER BY list_inner_product(x.vector, t.vector) DESC, t.id) AS k
+        FROM items x, items t WHERE x.id % 3 > 0 AND t.id % 3 = 0) WHERE k = 1""",
     "hybrid_search": f"""{a.with_(a.PHOTOS, _LIB)} SELECT path, round(v, 6) AS vector_score, w AS keyword_score, round(0.6 * v + 0.4 * w, 6) AS score FROM (
         SELECT path, list_inner_product(vector, {_Q.format(1)}) AS v, CASE WHEN contains(lower(coalesce(label, '')), 'the ere') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS w FROM lib) ORDER BY 0.6 * v + (1 - 0.6) * w DESC, path LIMIT 15""",
     "hybrid_filtered_date_camera": f"""{a.with_(a.PHOTOS, _LIB)} SELECT path, round(s, 6) AS score FROM (SELECT path, list_inner_product(vector, {_Q.format(2)}) AS s FROM lib
