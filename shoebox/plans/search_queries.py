@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import functools
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import boxes, geo, paths, text, times
-from ..operators import cluster, geocode, index as index_ops, inverted, labels, search, stats
+from ..operators import cluster, geocode, index as index_ops, inverted, labels, search, stats, trigrams
 from . import adapters as a
 
 
@@ -27,6 +29,17 @@ def inverted_nearest(spark, d):
     return inverted.nearest(items.where("id % 3 > 0"), file).select("id", "target", F.round("similarity", 6).alias("similarity"))
 
 
+#: A phrase, an ending, an accent alone, two characters, a mark, and a term that no text holds.
+_TERMS = ["that the", "ing.", "é", "qu", "@", "zzzzq"]
+
+
+def substring_index(spark, d):
+    """Substring search in all captions through trigrams."""
+    index = trigrams.build(a.table(spark, d, "documents"), "doc_id")
+    hits = [trigrams.search(index, term).select(F.lit(term).alias("term"), F.col("id").alias("doc_id")) for term in _TERMS]
+    return functools.reduce(DataFrame.union, hits)
+
+
 def _library(spark, d):
     vec = a.table(spark, d, "embeddings").select(F.col("vec_id").alias("event_id"), F.col("embedding").alias("vector"))
     exif = F.date_format("taken_at", "yyyy:MM:dd HH:mm:ss").alias("exif_time")
@@ -213,7 +226,7 @@ _BOX = "[CAST(k * m + event_id % 50 - 20 AS DOUBLE) FOR m IN [1, 2, 3, 4]]"
 _T = "CAST(trunc({}) AS BIGINT)"
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, inverted_topk, inverted_nearest, hybrid_search, hybrid_filtered_date_camera, search_index_and_filters, search_faces_all, search_soft_label, build_index_join, index_stats, get_photo, list_faces_topn,
+    vector_topk, inverted_topk, inverted_nearest, substring_index, hybrid_search, hybrid_filtered_date_camera, search_index_and_filters, search_faces_all, search_soft_label, build_index_join, index_stats, get_photo, list_faces_topn,
     unnamed_faces, filename_time_parse, path_date_strata, time_fallback_chain, gps_decimal, reverse_geocode_distinct, place_translate, skip_path_filter, prefilter_reasons, top_directories,
     new_paths_anti, label_totals, label_latest_success, extract_response_text, stratified_sample, random_sample_exact, path_and_text_functions, box_rules,
 )}
@@ -227,6 +240,7 @@ ORACLES = {
     "inverted_nearest": f"""{a.with_(a.ITEMS)} SELECT id, target, round(s, 6) AS similarity FROM (
         SELECT x.id, t.id AS target, list_inner_product(x.vector, t.vector) AS s, row_number() OVER (PARTITION BY x.id ORDER BY list_inner_product(x.vector, t.vector) DESC, t.id) AS k
         FROM items x, items t WHERE x.id % 3 > 0 AND t.id % 3 = 0) WHERE k = 1""",
+    "substring_index": f"SELECT term, doc_id FROM documents, (SELECT unnest({_TERMS}) AS term) WHERE contains(lower(text), term)",
     "hybrid_search": f"""{a.with_(a.PHOTOS, _LIB)} SELECT path, round(v, 6) AS vector_score, w AS keyword_score, round(0.6 * v + 0.4 * w, 6) AS score FROM (
         SELECT path, list_inner_product(vector, {_Q.format(1)}) AS v, CASE WHEN contains(lower(coalesce(label, '')), 'the ere') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS w FROM lib) ORDER BY 0.6 * v + (1 - 0.6) * w DESC, path LIMIT 15""",
     "hybrid_filtered_date_camera": f"""{a.with_(a.PHOTOS, _LIB)} SELECT path, round(s, 6) AS score FROM (SELECT path, list_inner_product(vector, {_Q.format(2)}) AS s FROM lib
