@@ -2,32 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo
 
 
-def nearest_city(points: DataFrame, cities: DataFrame, cell: float = 1.0, rings: int = 2) -> DataFrame:
+#: Grid cells in degrees; the world has 180 x 360 of them, whatever the number of points or cities.
+CELL = 1.0
+
+
+def _cell(lat: str, lng: str) -> list[Column]:
+    place = lambda c, most: F.greatest(F.lit(-most), F.least(F.lit(most - 1), F.floor(F.col(c) / CELL))).cast("int")
+    return [place(lat, 90).alias("gy"), place(lng, 180).alias("gx")]
+
+
+def _boxes(rows: DataFrame, lat: str, lng: str) -> DataFrame:
+    """One row a cell that is not empty, with the box around what it holds."""
+    return rows.groupBy(*_cell(lat, lng)).agg(F.min(lat).alias("lat0"), F.max(lat).alias("lat1"), F.min(lng).alias("lng0"), F.max(lng).alias("lng1"))
+
+
+def _spread(lat0: np.ndarray, lat1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest shrinking of longitudes between two latitudes."""
+    ends = np.abs(np.cos(np.radians(np.stack([lat0, lat1]))))
+    odd = np.maximum(np.abs(lat0), np.abs(lat1)) >= 90
+    return np.where(odd, 0.0, ends.min(0)), np.where(odd | ((lat0 <= 0) & (lat1 >= 0)), 1.0, ends.max(0))
+
+
+def _apart(points: dict, towns: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest squared distance between any point of each box and any town of each box."""
+    gap = lambda c: np.maximum(0, np.maximum(towns[c + "0"][None] - points[c + "1"][:, None], points[c + "0"][:, None] - towns[c + "1"][None]))
+    far = lambda c: np.maximum(towns[c + "1"][None] - points[c + "0"][:, None], points[c + "1"][:, None] - towns[c + "0"][None])
+    low, high = _spread(points["lat0"], points["lat1"])
+    return gap("lat") ** 2 + (gap("lng") * low[:, None]) ** 2, far("lat") ** 2 + (far("lng") * high[:, None]) ** 2
+
+
+def candidates(spots: DataFrame, towns: DataFrame) -> DataFrame:
+    """``(gy, gx, towns)``: for each cell with points, every town that may be nearest to one of them.
+
+    ``spots(lat, lng)``, ``towns(c_lat, c_lng, city, cc)``.  First cells with towns are found by their
+    boxes, of which there are at most as many as cells in the world; then their towns are narrowed
+    down in the same way.  A cell far from all towns gets the same exact answer as any other.
+    """
+    names = ["lat0", "lat1", "lng0", "lng1"]
+    held = _boxes(towns, "c_lat", "c_lng").toArrow()
+    boxes = {c: held[c].to_numpy() for c in held.column_names}
+    shared = towns.sparkSession.sparkContext.broadcast(boxes)
+
+    def near(batches):
+        town = shared.value
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                least, most = _apart({c: np.asarray(batch.column(c)) for c in names}, town)
+                i, j = np.nonzero(least <= most.min(1)[:, None] + 1e-12) if least.size else (np.zeros(0, int), np.zeros(0, int))
+                at = pa.array(i)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("gy", "gx", *names)], pa.array(town["gy"][j]), pa.array(town["gx"][j])], names=["gy", "gx", *names, "ty", "tx"])
+
+    met = _boxes(spots, "lat", "lng").mapInArrow(near, "gy int, gx int, lat0 double, lat1 double, lng0 double, lng1 double, ty int, tx int")
+    ty, tx = _cell("c_lat", "c_lng")
+    pairs = met.join(towns.withColumn("ty", ty).withColumn("tx", tx), ["ty", "tx"])
+    gap = lambda c, t: F.greatest(F.lit(0.0), F.col(t) - F.col(c + "1"), F.col(c + "0") - F.col(t))
+    far = lambda c, t: F.greatest(F.col(t) - F.col(c + "0"), F.col(c + "1") - F.col(t))
+    ends = [F.abs(F.cos(F.radians(c))) for c in ("lat0", "lat1")]
+    odd = F.greatest(F.abs("lat0"), F.abs("lat1")) >= 90
+    low = F.when(odd, 0.0).otherwise(F.least(*ends))
+    high = F.when(odd | ((F.col("lat0") <= 0) & (F.col("lat1") >= 0)), 1.0).otherwise(F.greatest(*ends))
+    ranged = pairs.withColumn("least", F.pow(gap("lat", "c_lat"), 2) + F.pow(gap("lng", "c_lng") * low, 2)).withColumn("most", F.pow(far("lat", "c_lat"), 2) + F.pow(far("lng", "c_lng") * high, 2))
+    bound = ranged.groupBy("gy", "gx").agg((F.min("most") + 1e-12).alias("bound"))
+    kept = ranged.join(bound, ["gy", "gx"]).where(F.col("least") <= F.col("bound"))
+    return kept.groupBy("gy", "gx").agg(F.collect_list(F.struct("c_lat", "c_lng", "city", "cc")).alias("towns"))
+
+
+def nearest_city(points: DataFrame, cities: DataFrame) -> DataFrame:
     """``(lat, lng, city, cc)``: the nearest city of distinct points.
 
-    Points and cities meet on grid cells of ``cell`` degrees, ``rings`` cells around; a point with no
-    city that near is compared with all cities, which are a bounded dimension.  Distance is squared
-    degrees with longitudes shrunk by latitude; ties go to the smaller city name.
+    A point joins one row, the candidates of its cell.  Distance is squared degrees with longitudes
+    shrunk by the point's latitude; it does not reach over the date line.  Ties go to the smaller
+    city name.  Points without coordinates are left out; without cities there is no row.
     """
-    spots = points.select("lat", "lng").distinct()
-    towns = cities.select(F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"), "city", "cc")
-    at = lambda c: F.floor(F.col(c) / cell)
+    spots = points.select(F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).where("lat is not null and lng is not null").distinct()
+    towns = cities.select(F.col("lat").cast("double").alias("c_lat"), F.col("lng").cast("double").alias("c_lng"), "city", "cc").where("c_lat is not null and c_lng is not null")
+    placed = spots.withColumns(dict(zip(("gy", "gx"), _cell("lat", "lng")))).join(candidates(spots, towns), ["gy", "gx"])
     shrink = F.cos(F.radians("lat"))
-    distance = F.pow(F.col("lat") - F.col("c_lat"), 2) + F.pow((F.col("lng") - F.col("c_lng")) * shrink, 2)
-    best = F.min_by(F.struct("city", "cc", "d"), F.struct("d", "city", "cc")).alias("b")
-    around = F.sequence(F.lit(-rings), F.lit(rings))
-    local = spots.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around)).withColumn("gy", at("lat") + F.col("dy")).withColumn("gx", at("lng") + F.col("dx"))
-    met = local.join(towns.withColumn("gy", at("c_lat")).withColumn("gx", at("c_lng")), ["gy", "gx"]).withColumn("d", distance)
-    found = met.groupBy("lat", "lng").agg(best).select("lat", "lng", "b.*")
-    # a city within the inner rings can only be beaten by one at most that far, which the rings hold
-    sure = found.where(F.sqrt("d") <= rings * cell * F.cos(F.radians(F.least(F.abs("lat") + 1, F.lit(89.0)))))
-    far = spots.join(sure, ["lat", "lng"], "left_anti").crossJoin(F.broadcast(towns)).withColumn("d", distance)
-    return sure.unionByName(far.groupBy("lat", "lng").agg(best).select("lat", "lng", "b.*")).drop("d")
+    away = lambda t: F.pow(F.col("lat") - t["c_lat"], 2) + F.pow((F.col("lng") - t["c_lng"]) * shrink, 2)
+    best = F.array_min(F.transform("towns", lambda t: F.struct(away(t).alias("d"), t["city"].alias("city"), t["cc"].alias("cc"))))
+    return placed.select("lat", "lng", best.alias("b")).select("lat", "lng", "b.city", "b.cc")
 
 
 def place_names(points: DataFrame, cities: DataFrame, overrides: DataFrame | None) -> DataFrame:
