@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors
-from . import density, graph, inverted
+from . import density, graph, inverted, ranks
 from .density import core_points, dbscan, neighbours  # noqa: F401
 
 #: Rows of one block of either side.
@@ -142,7 +142,7 @@ def kmeans(items: DataFrame, k: int | None = None, seed: int = 42, rounds: int =
 def seeded_sample(rows: DataFrame, ratio: float, seed: str, key: str = "id") -> DataFrame:
     """Exactly ``max(1, int(n * ratio))`` rows, those with the smallest hash of seed and key."""
     n = rows.count()
-    return rows.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(max(1, int(n * ratio)) if n else 0)
+    return ranks.first_by_digest(rows, max(1, int(n * ratio)) if n else 0, F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
 
 
 def stratified_sample(rows: DataFrame, stratum: str, per_stratum: int, seed: str, key: str = "path") -> DataFrame:

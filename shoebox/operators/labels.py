@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from . import ranks
+
 
 def totals(log: DataFrame) -> DataFrame:
     """Attempts, successes and failures of an append log; retries count again."""
@@ -28,7 +30,7 @@ def last_row_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 def pending(scanned: DataFrame, done: DataFrame, key: str = "path", most: int | None = None) -> DataFrame:
     """Scanned keys that have no row in ``done``; ``most`` bounds a batch, smallest keys first."""
     new = scanned.join(done.select(key).distinct(), key, "left_anti")
-    return new.orderBy(key).limit(most) if most else new
+    return ranks.between(new, [F.asc(key)], 0, most) if most else new
 
 
 def label_images(images: DataFrame, call: Callable[[str, bytes], dict], workers: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import paths
-from . import graph
+from . import graph, ranks
 from .labels import last_row_wins
 
 
@@ -123,9 +123,13 @@ def tab(view: DataFrame, name: str) -> DataFrame:
     return view.where({"named": "name <> ''", "unnamed": "name = '' and not skipped", "skipped": "skipped"}.get(name, "true"))
 
 
+def _view_order(identity: str) -> list:
+    return [F.asc("skipped"), (F.lit(identity == "") | (F.col("id") != identity)).asc(), F.desc("count"), F.asc("id")]
+
+
 def in_view_order(view: DataFrame, identity: str = "") -> DataFrame:
     """Skipped last, the viewer's own cluster first, then by count; ties by id."""
-    return view.orderBy("skipped", F.lit(identity == "") | (F.col("id") != identity), F.desc("count"), "id")
+    return view.orderBy(*_view_order(identity))
 
 
 def with_rank(view: DataFrame, identity: str = "") -> DataFrame:
@@ -138,7 +142,7 @@ def with_rank(view: DataFrame, identity: str = "") -> DataFrame:
 def page(view: DataFrame, number: int, identity: str = "", size: int = PAGE_SIZE) -> DataFrame:
     """One page in view order; the number is clamped to the pages there are."""
     last = max(0, (view.count() - 1) // size)
-    return in_view_order(view, identity).offset(max(0, min(number, last)) * size).limit(size)
+    return in_view_order(ranks.between(view, _view_order(identity), max(0, min(number, last)) * size, size), identity)
 
 
 def cluster_stats(members: DataFrame, names: DataFrame, skipped: DataFrame, merges: DataFrame) -> DataFrame:
