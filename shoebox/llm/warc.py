@@ -9,10 +9,11 @@ member or version line, goes on from there, and reports the bytes between as a q
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,6 +27,10 @@ REVISIT_BYTES = 100
 #: Compressed bytes after which a task starts another file.
 FILE_BYTES = 32 << 20
 READ_BYTES = 256 << 10
+#: Unpacked members of up to so many bytes are parsed at once, longer ones record by record.
+WHOLE_BYTES = 8 << 20
+#: Bytes of an uncompressed record that are searched for the end of its header.
+HEADER_BYTES = 64 << 20
 #: Records of one Arrow batch, in payload bytes.
 BATCH_BYTES = 8 << 20
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -137,22 +142,93 @@ class _File:
         return self.stream.read(max(0, min(n, self.size - offset)))
 
 
-def _member(file: _File, offset: int, most: int | None = None) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at ``offset``; with ``most`` only its beginning."""
-    unpack, parts, at, got = zlib.decompressobj(31), [], offset, 0
-    try:
-        while not unpack.eof:
+def _unpacked(file: _File, offset: int) -> Generator[bytes, None, int]:
+    """Content of the gzip member at ``offset`` in bounded pieces; returns its end.
+
+    A damaged member gives all content before the damage, then raises.
+    """
+    unpack, at, raw = zlib.decompressobj(31), offset, b""
+    while not unpack.eof:
+        if not raw:
             raw = file.at(at, READ_BYTES)
+            at += len(raw)
             if not raw:
                 raise Damaged("gzip member ends early")
-            at += len(raw)
-            parts.append(unpack.decompress(raw, *([most] if most else [])))
-            got += len(parts[-1])
-            if most and got >= min(most, 12):
+        before = unpack.copy()
+        try:
+            data = unpack.decompress(raw, READ_BYTES)
+        except zlib.error as error:
+            # the failing call keeps back what it had unpacked: once more, byte by byte
+            with contextlib.suppress(zlib.error):
+                for i in range(len(raw)):
+                    if data := before.decompress(raw[i:i + 1]):
+                        yield data
+            raise Damaged(f"gzip: {error}") from None
+        raw = unpack.unconsumed_tail
+        if data:
+            yield data
+    return at - len(unpack.unused_data)
+
+
+def _measured(file: _File, offset: int) -> tuple[bytes | None, int, int, Damaged | None]:
+    """(content if it is small, its size, end, damage) of the gzip member at ``offset``."""
+    kept, size, pieces = [], 0, _unpacked(file, offset)
+    while True:
+        try:
+            piece = next(pieces)
+        except StopIteration as end:
+            return b"".join(kept) if size <= WHOLE_BYTES else None, size, end.value, None
+        except Damaged as error:
+            return None, size, offset, error
+        size += len(piece)
+        if size <= WHOLE_BYTES:
+            kept.append(piece)
+        else:
+            kept.clear()
+
+
+def _streamed(file: _File, offset: int, size: int, sound: bool) -> Iterator[tuple]:
+    """As :func:`_records`, of a member of ``size`` unpacked bytes, holding one record at a time.
+
+    Of a damaged member (not ``sound``) a record counts if its digests, where it has any, are right and
+    another record's version line follows it; what is no such record is left out.
+    """
+    pieces, data, left = _unpacked(file, offset), bytearray(), size
+
+    def hold(n: int) -> bool:
+        nonlocal left
+        while len(data) < n and left > 0:
+            try:
+                piece = next(pieces)
+            except (StopIteration, Damaged):
+                left = 0
                 break
-    except zlib.error as error:
-        raise Damaged(f"gzip: {error}") from None
-    return b"".join(parts), at - len(unpack.unused_data)
+            data.extend(piece)
+            left -= len(piece)
+        return len(data) >= n
+
+    while hold(1):
+        reason = None
+        while (end := data.find(b"\r\n\r\n")) < 0 and hold(len(data) + 1):
+            pass
+        length = re.search(rb"(?im)^content-length:[ \t]*(\d{1,18})\s*$", data[:end + 4]) if end >= 0 else None
+        total = end + 8 + int(length[1]) if length else 0
+        try:
+            if not length or total > len(data) + max(left, 0) or not hold(total):
+                raise Damaged("no header end, or a block shorter than its content length")
+            headers, _, payload, end = _parse(bytes(data[:total]))
+            if not sound and not (hold(total + 8) and data.startswith(b"WARC/1.", total)):
+                raise Damaged("no record follows before the damage")
+            yield headers, payload
+        except Damaged as error:
+            reason, skipped = error, 0
+            while not (found := _VERSION.search(data, 1)) and hold(len(data) + 1):
+                skipped += max(0, len(data) - 16)
+                del data[:-16]
+            end = found.start() if found else len(data)
+            if sound:
+                yield None, f"{skipped + end} unpacked bytes of a member: {reason}"
+        del data[:end]
 
 
 def _plain(file: _File, offset: int) -> tuple[bytes, int]:
@@ -160,7 +236,7 @@ def _plain(file: _File, offset: int) -> tuple[bytes, int]:
     data = b""
     while b"\r\n\r\n" not in data:
         more = file.at(offset + len(data), READ_BYTES)
-        if not more or len(data) > 1 << 20:
+        if not more or len(data) > HEADER_BYTES:
             raise Damaged("no header end")
         data += more
     end = data.index(b"\r\n\r\n") + 4
@@ -182,7 +258,7 @@ def _next_start(file: _File, offset: int) -> int:
             if found[0][:1] == b"W":
                 return at
             try:
-                if _VERSION.match(_member(file, at, 64)[0]):
+                if _VERSION.match(next(_unpacked(file, at), b"")):
                     return at
             except Damaged:
                 pass
@@ -196,28 +272,34 @@ def salvage(stream, size: int) -> Iterator[dict]:
     A record has ``kind='record'``, offset, length, headers, payload; a gap has ``kind='gap'``,
     offset, length and the reason of the failed check.  Every byte is in exactly one of them.  Of a
     member with several records the first has the member's bytes; the others, and damaged parts of
-    its content, have length 0.
+    its content, have length 0.  Of a member that is itself damaged, the records before the damage
+    have length 0 and a gap holds its bytes.  One record is held at a time, and a small member whole.
     """
     file, offset = _File(stream, size), 0
     while offset < size:
         try:
             start = file.at(offset, 3)
+            broken, data = None, None
             if start == b"\x1f\x8b\x08":
-                data, end = _member(file, offset)
+                data, unpacked, end, broken = _measured(file, offset)
             elif start == b"WAR":
                 data, end = _plain(file, offset)
             else:
                 raise Damaged("neither a gzip member nor a version line")
-            if not data:
+            if data == b"":
                 raise Damaged("empty member")
-            length = end - offset
-            for headers, payload in _records(data):
+            length = 0 if broken else end - offset
+            for headers, payload in _records(data) if data is not None else _streamed(file, offset, unpacked, not broken):
                 if headers is None:
                     yield {"kind": "gap", "offset": offset, "length": 0, "reason": payload}
                     continue
                 digest = headers.get("warc-payload-digest", "").removeprefix("sha256:") if headers.get("warc-type") == "revisit" else hashlib.sha256(payload).hexdigest()
                 yield {"kind": "record", "offset": offset, "length": length, "headers": headers, "payload": payload, "digest": digest}
                 length = 0
+            if broken:
+                raise broken
+            if length:
+                raise Damaged("a member without any record")
         except Damaged as error:
             end = _next_start(file, offset + 1)
             yield {"kind": "gap", "offset": offset, "length": end - offset, "reason": str(error)}

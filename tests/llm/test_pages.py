@@ -1,8 +1,10 @@
 """WARC archives, URL rules and media archives."""
 
+import gzip
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import pytest
@@ -47,7 +49,7 @@ def salvage(data):
     found = list(warc.salvage(io.BytesIO(data), len(data)))
     at = 0
     for x in found:  # every byte is accounted for once
-        assert x["offset"] == at
+        assert x["offset"] == at or not x["length"]
         at += x["length"]
     assert at == len(data)
     return [warc._number(x["headers"]["warc-record-id"]) for x in found if x["kind"] == "record"], [x for x in found if x["kind"] == "gap"]
@@ -239,3 +241,39 @@ def test_foreign_names_and_revisits_without_a_response(spark):
     assert warc.orphan_revisits(got).count() == 1
     pages_ = spark.createDataFrame([(i, "http://a/", "same text " * 20) for i in range(4)], "page_id long, url string, html string")
     assert warc.orphan_revisits(warc.read_warc(spark, warc.write_warc(pages_, storage.scratch(spark, "w")))).count() == 0
+
+
+def joined(n, digests=True, size=400):
+    """``n`` records in one gzip stream."""
+    rng = random.Random(n)
+    plain = []
+    for i in range(n):
+        text = "".join(rng.choice("abcdefgh \n") for _ in range(size)).encode()
+        record = zlib.decompress(warc.record_bytes(i, "http://a/", text, hashlib.sha256(text).hexdigest(), None), 31)
+        plain.append(record if digests else re.sub(rb"(?im)^warc-(payload|block)-digest:.*\r\n", b"", record))
+    return gzip.compress(b"".join(plain))
+
+
+@pytest.mark.parametrize("whole", [warc.WHOLE_BYTES, 1000])
+def test_member_of_many_records(monkeypatch, whole):
+    """Intact, cut and flipped at nine tenths: what comes before the damage is kept, and every byte is accounted for."""
+    monkeypatch.setattr(warc, "WHOLE_BYTES", whole)
+    for digests in (True, False):
+        data, after = joined(200, digests), joined(1)
+        assert salvage(data + after) == ([*range(200), 0], [])
+        at = len(data) * 9 // 10
+        records, gaps = salvage(data[:at] + after)
+        assert records[-1] == 0 and records[:-1] == list(range(len(records) - 1)) and len(records) > 175
+        assert len(gaps) == 1 and gaps[0]["length"] == at
+        records, gaps = salvage(data[:at] + bytes([data[at] ^ 0xFF]) + data[at + 1:] + after)
+        assert records[-1] == 0 and records[:176] == list(range(176)) and sum(g["length"] for g in gaps) == len(data)
+
+
+def test_record_without_end_in_a_long_member(monkeypatch):
+    """A content length beyond the member is a gap, and the records behind it are found."""
+    monkeypatch.setattr(warc, "WHOLE_BYTES", 1000)
+    plain = zlib.decompress(joined(20), 31)
+    third = [m.start() for m in re.finditer(rb"WARC/1\.[01]\r\n", plain)][2]
+    broken = plain[:third] + re.sub(rb"(?i)content-length: *\d+", b"Content-Length: 99999999999", plain[third:], count=1)
+    records, gaps = salvage(gzip.compress(broken))
+    assert records == [0, 1, *range(3, 20)] and len(gaps) == 1 and gaps[0]["length"] == 0
