@@ -151,6 +151,31 @@ def groups(spark: SparkSession) -> DataFrame:
     )
 
 
+def accounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(users, groups) of a large household: customers, with a group for each nation and each region."""
+    key, none = F.col("c_custkey"), F.array().cast("array<string>")
+    named = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    people = table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("name"), F.when(key % 100 == 0, "admin").otherwise("viewer").alias("role"), F.when(key % 3 > 0, named("face_", key)).otherwise("").alias("identity"),
+        F.array(named("n", F.col("c_nationkey")), named("r", key % 5)).alias("groups"),
+    )
+    n = F.col("n_nationkey")
+    nations = table(spark, sf_dir, "nation").select(
+        named("n", n).alias("name"), F.array(named("face_", n), named("face_", F.col("n_regionkey"))).alias("allowed_faces"),
+        F.when(n % 2 == 0, F.array(named("pet_", n))).otherwise(none).alias("allowed_pets"), F.array(named("/n/", n)).alias("blocked_paths"),
+    )
+    regions = table(spark, sf_dir, "region").select(named("r", F.col("r_regionkey")).alias("name"), F.array(named("face_", F.col("r_regionkey") + 1)).alias("allowed_faces"), none.alias("allowed_pets"), none.alias("blocked_paths"))
+    return people, nations.union(regions)
+
+
+ACCOUNTS = """groups AS (
+  SELECT 'n' || n_nationkey AS grp, ['face_' || n_nationkey, 'face_' || n_regionkey] AS faces, CASE WHEN n_nationkey % 2 = 0 THEN ['pet_' || n_nationkey] ELSE CAST([] AS VARCHAR[]) END AS pets, ['/n/' || n_nationkey] AS blocked FROM nation
+  UNION ALL SELECT 'r' || r_regionkey, ['face_' || (r_regionkey + 1)], CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM region),
+users AS (SELECT c_name AS name, c_custkey % 100 = 0 AS is_admin, CASE WHEN c_custkey % 3 > 0 THEN 'face_' || c_custkey ELSE '' END AS identity, unnest(['n' || c_nationkey, 'r' || (c_custkey % 5)]) AS grp FROM customer),
+held AS (SELECT name, is_admin, identity, flatten(list(faces)) || CASE WHEN identity <> '' THEN [identity] ELSE CAST([] AS VARCHAR[]) END AS faces, flatten(list(pets)) AS pets, flatten(list(blocked)) AS blocked FROM users JOIN groups USING (grp) {0} GROUP BY 1, 2, 3)"""
+#: A list of ``held`` as text: distinct and sorted, empty for admins.
+HELD = "CASE WHEN is_admin THEN '' ELSE array_to_string(list_sort(list_distinct({0})), ',') END"
+
 PERMS = """perms AS (SELECT * FROM (VALUES
   ('ann', true, 'face_1', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])),
   ('bob', false, 'face_2', ['face_2', 'face_3', 'face_5', 'face_7'], CAST([] AS VARCHAR[]), ['/lib/click/u9', '/lib/error/']),

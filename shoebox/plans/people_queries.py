@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import functools
 
-from ..operators import access, labels, overlay, stats
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import access, graph, labels, overlay, stats
+from ..sources import commits
 from . import adapters as a
 
 
@@ -67,7 +70,7 @@ def named_clusters(spark, d):
 
 def viewer_perms(spark, d):
     joined = lambda c: F.array_join(c, ",").alias(c)
-    return access.permissions(a.users(spark), a.groups(spark)).select("name", "is_admin", "identity", joined("allowed_faces"), joined("allowed_pets"), joined("blocked_paths"))
+    return access.permissions(*a.accounts(spark, d)).select("name", "is_admin", "identity", joined("allowed_faces"), joined("allowed_pets"), joined("blocked_paths"))
 
 
 def visible_photos(spark, d):
@@ -109,7 +112,7 @@ def clean_edges(spark, d):
 
 
 def admins_left(spark, d):
-    return access.admins_left(a.users(spark), "bob")
+    return access.admins_left(a.accounts(spark, d)[0], "Customer#000000100")
 
 
 def next_user_id(spark, d):
@@ -117,20 +120,21 @@ def next_user_id(spark, d):
     return spark.createDataFrame([(overlay.next_user_id(used, "face"),)], "next_id string")
 
 
-_LOG = [
-    (1, "name", "face_1", None, "Ann"), (2, "name", "face_1", None, "Anna"), (3, "name", "face_2", None, "Bob"), (4, "name", "face_2", None, ""),
-    (5, "merge", "face_3", None, "face_1"), (6, "merge", "face_4", None, "face_1"), (7, "merge", "face_3", None, None), (8, "move", "face_5", "/a.jpg", "face_6"),
-    (9, "move", "face_5", "/a.jpg", "face_7"), (10, "remove", "face_5", "/b.jpg", "1"), (11, "remove", "face_5", "/b.jpg", None), (12, "skip", "face_8", None, "1"),
-]
-
-
 def overlay_log_state(spark, d):
-    log = spark.createDataFrame(_LOG, "seq long, entry string, id string, path string, value string")
-    out = None
-    for entry in ("name", "merge", "move", "remove", "skip"):
-        part = overlay.log_state(log, entry).select(F.lit(entry).alias("entry"), "id", "path", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The overlay state of a log whose edits come from jobs and from hand, read through a snapshot and a tail."""
+    log = commits.OverlayLog(spark, graph.work_folder(spark, "overlay"))
+    event = lambda df, entry, id_, path, value, seq: df.select(seq.cast("long").alias("seq"), F.lit(entry).alias("entry"), id_.alias("id"), path.cast("string").alias("path"), value.cast("string").alias("value"))
+    names, none, one = a.names(spark, d), F.lit(None), F.lit("1")
+    number = F.substring("id", 6, 20).cast("long")
+    log.commit_table(event(names, "name", F.col("id"), none, F.col("name"), number))
+    log.commit_table(event(a.moves(spark, d), "move", F.col("src"), F.col("path"), F.col("dst"), F.col("seq")))
+    log.snapshot()
+    changed = names.where(number % 6 == 0).withColumn("name", F.when(number % 12 != 0, F.concat(F.lit("X"), "id")))
+    log.commit_table(event(changed, "name", F.col("id"), none, F.col("name"), number))
+    log.commit_table(event(a.removed(spark, d), "remove", F.col("id"), F.col("path"), one, F.lit(0)).union(event(a.skipped(spark, d), "skip", F.col("id"), none, one, F.lit(1))))
+    log.commit(lambda events: overlay.skip_events(overlay.log_state(events, "skip"), ["face_1", "face_9"], 0))
+    parts = [log.state(entry).select(F.lit(entry).alias("entry"), "id", "path", "value") for entry in ("name", "move", "remove", "skip")]
+    return functools.reduce(DataFrame.union, parts)
 
 
 def last_write_wins(spark, d):
@@ -225,7 +229,7 @@ def thumbnail_rights(spark, d):
 
 
 def dropped_group(spark, d):
-    users, groups = access.drop_group(a.users(spark), a.groups(spark), "friends")
+    users, groups = access.drop_group(*a.accounts(spark, d), "r2")
     return access.permissions(users, groups).select("name", F.array_join("allowed_faces", ",").alias("allowed_faces"))
 
 
@@ -275,16 +279,17 @@ ORACLES = {
     "cluster_page": f"{_VIEW} SELECT id, name, count, skipped FROM (SELECT *, row_number() OVER (ORDER BY skipped, id <> 'face_1', count DESC, id) - 1 AS r, count(*) OVER () AS n FROM v) WHERE r // 24 = least(1, (n - 1) // 24)",
     "cluster_stats": f"{_OVER} SELECT t AS total, t - m AS displayed, n AS named, s AS skipped, m AS merges FROM (SELECT (SELECT count(DISTINCT face_id) FROM detections) AS t, (SELECT count(*) FROM merges) AS m, (SELECT count(*) FROM names) AS n, (SELECT count(*) FROM skipped) AS s)",
     "named_clusters": f"{_OVER} SELECT n.id, n.name, count(*) AS count FROM (SELECT DISTINCT face_id, path FROM detections) d LEFT JOIN closure c ON c.src = d.face_id JOIN names n ON n.id = coalesce(c.dst, d.face_id) WHERE n.id NOT IN (SELECT src FROM merges) GROUP BY 1, 2",
-    "viewer_perms": f"{a.with_(a.PERMS)} SELECT name, is_admin, identity, array_to_string(allowed_faces, ',') AS allowed_faces, array_to_string(allowed_pets, ',') AS allowed_pets, array_to_string(blocked_paths, ',') AS blocked_paths FROM perms",
+    "viewer_perms": f"WITH {a.ACCOUNTS.format('')} SELECT name, is_admin, identity, {a.HELD.format('faces')} AS allowed_faces, {a.HELD.format('pets')} AS allowed_pets, {a.HELD.format('blocked')} AS blocked_paths FROM held",
     "visible_photos": f"{_SEEN} SELECT name, event_id FROM photos, perms WHERE {a.CAN_SEE}",
     "visible_face_view": f"{_SEEN} SELECT name, cluster, event_id FROM (SELECT *, unnest(face_ids) AS cluster, CAST([] AS VARCHAR[]) AS pet_ids FROM (SELECT path, face_ids, event_id FROM photos), perms) WHERE is_admin OR (list_contains(allowed_faces, cluster) AND {a.CAN_SEE})",
     "visible_pet_view": f"{_SEEN} SELECT name, cluster, event_id FROM (SELECT *, unnest(pet_ids) AS cluster FROM photos, perms) WHERE CASE WHEN is_admin THEN true WHEN len(allowed_pets) > 0 THEN list_contains(allowed_pets, cluster) ELSE len(list_filter(blocked_paths, lambda b: starts_with(path, b))) = 0 END",
     "alias_derive": "SELECT * FROM (VALUES ('face_2', 'face_1', '爸爸'), ('face_1', 'face_2', '子女'), ('face_2', 'face_3', '弟妹'), ('face_3', 'face_2', '大姐')) AS t(viewer, target, alias)",
     "display_names": "SELECT 'face_' || c_custkey AS id, c_name AS name, CASE c_custkey WHEN 1 THEN '爸爸' WHEN 3 THEN '弟妹' WHEN 2 THEN '我' ELSE c_name END AS shown FROM customer",
     "clean_edges": "SELECT * FROM (VALUES (1::BIGINT, true, true), (2, true, true), (3, false, true), (4, true, true)) AS t(seq, family, listed)",
-    "admins_left": "SELECT 1::BIGINT AS admins",
+    "admins_left": "SELECT count(*) AS admins FROM customer WHERE c_custkey % 100 = 0 AND c_name <> 'Customer#000000100'",
     "next_user_id": "SELECT 'face_u3' AS next_id",
-    "overlay_log_state": "SELECT * FROM (VALUES ('name', 'face_1', NULL, 'Anna'), ('merge', 'face_4', NULL, 'face_1'), ('move', 'face_5', '/a.jpg', 'face_7'), ('skip', 'face_8', NULL, '1')) AS t(entry, id, path, value)",
+    "overlay_log_state": f"""{a.with_(a.PHOTOS, a.NAMES, a.MOVES, a.REMOVED, a.SKIPPED)} SELECT 'name' AS entry, id, NULL AS path, CASE WHEN substr(id, 6)::BIGINT % 6 = 0 THEN 'X' || id ELSE name END AS value FROM names WHERE substr(id, 6)::BIGINT % 12 <> 0
+        UNION ALL SELECT 'move', src, path, dst FROM moves UNION ALL SELECT DISTINCT 'remove', id, path, '1' FROM removed UNION ALL SELECT DISTINCT 'skip', id, NULL, '1' FROM (SELECT id FROM skipped UNION ALL VALUES ('face_1'), ('face_9'))""",
     "last_write_wins": f"{a.with_(a.PHOTOS)} SELECT user_id AS path, event_id, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC, event_id DESC) AS r FROM photos) WHERE r = 1",
     "viewer_face_clusters": f"""{_VIEW}, {a.PERMS}, eff AS (SELECT path, list(DISTINCT id) AS face_ids, CAST([] AS VARCHAR[]) AS pet_ids FROM (
           SELECT d.path, coalesce(m.dst, coalesce(c.dst, d.face_id)) AS id FROM detections d LEFT JOIN closure c ON c.src = d.face_id LEFT JOIN rmoves m ON m.path = d.path AND m.src = coalesce(c.dst, d.face_id)) GROUP BY path)
@@ -301,5 +306,5 @@ ORACLES = {
     "family_aliases": f"{_FAMILY} SELECT viewer, target, alias FROM known",
     "saved_graph": f"{_FAMILY} SELECT (SELECT count(DISTINCT c_custkey % 60) FROM customer) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM known) AS aliases, (SELECT count(*) FROM customer WHERE c_custkey % 3 > 0 AND c_custkey < 60) AS positions",
     "thumbnail_rights": f"{a.with_(a.PERMS)} SELECT name, cluster, is_admin OR (identity <> '' AND identity = cluster) AS may, is_admin OR list_contains(allowed_faces, cluster) AS sees FROM perms, (VALUES ('face_1'), ('face_2'), ('')) AS c(cluster)",
-    "dropped_group": "SELECT * FROM (VALUES ('ann', ''), ('bob', 'face_2,face_3,face_5'), ('cid', ''), ('dee', '')) AS t(name, allowed_faces)",
+    "dropped_group": f"WITH {a.ACCOUNTS.format("WHERE grp <> 'r2'")} SELECT name, {a.HELD.format('faces')} AS allowed_faces FROM held",
 }

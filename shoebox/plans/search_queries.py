@@ -134,10 +134,11 @@ def time_fallback_chain(spark, d):
 
 
 def gps_decimal(spark, d):
-    rows = spark.sql("""SELECT * FROM VALUES (1, array(25D, 2D, 30D), 'N', array(121D, 30D, 0D), 'E'), (2, array(33D, 51D, 36D), 's', array(70D, 40D, 12D), 'W'),
-      (3, array(48.5D), NULL, array(2.25D), NULL), (4, array(0D), 'N', array(0D), 'E'), (5, array(95D), 'N', array(1D), 'E'), (6, array(10D, 1D), 'N', array(1D), 'E'), (7, NULL, 'N', array(1D), 'E') AS t(id, lat, lat_ref, lng, lng_ref)""")
-    p = geo.position(F.col("lat"), F.col("lat_ref"), F.col("lng"), F.col("lng_ref"))
-    return rows.select(F.col("id").cast("long"), p.alias("p")).select("id", F.round("p.lat", 6).alias("lat"), F.round("p.lng", 6).alias("lng"))
+    """Positions of all orders, as degrees, minutes and seconds or as one number, some of them out of range or missing."""
+    k = F.col("o_orderkey")
+    parts = lambda most: F.when(k % 4 == 0, F.array((k % most).cast("double"))).when(k % 11 > 0, F.array((k % most).cast("double"), (k % 60).cast("double"), (k % 59).cast("double")))
+    p = geo.position(parts(95), F.when(k % 3 == 0, "s").otherwise("N"), parts(185), F.when(k % 5 == 0, "W"))
+    return a.table(spark, d, "orders").select(k.alias("id"), p.alias("p")).select("id", F.round("p.lat", 6).alias("lat"), F.round("p.lng", 6).alias("lng"))
 
 
 def _towns(spark, d):
@@ -192,11 +193,15 @@ def label_latest_success(spark, d):
     return labels.latest_success(_log(spark, d)).select("path", F.md5("text").alias("text_md5"), "seq")
 
 
-_RESPONSES = [(1, '{"choices":[{"message":{"content":"plain"}}]}'), (2, '{"choices":[{"message":{"content":[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]}}]}'), (3, '{"choices":[]}'), (4, None), (5, "not json")]
 
 
 def extract_response_text(spark, d):
-    return spark.createDataFrame(_RESPONSES, "id long, response string").select("id", text.response_text(F.col("response")).alias("text"))
+    """Texts of responses built around all captions: plain, in segments, in other shapes, and broken."""
+    t, k = F.col("text"), F.col("doc_id")
+    said = lambda content: F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
+    segment = lambda kind, text_: F.struct(F.lit(kind).alias("type"), text_.alias("text"))
+    response = F.when(k % 5 == 0, said(t)).when(k % 5 == 1, said(F.array(segment("text", t), segment("image", t), segment("text", F.lit("!"))))).when(k % 5 == 2, said(F.lit(7))).when(k % 5 == 3, F.concat(F.lit("{"), t))
+    return a.table(spark, d, "documents").where("text is not null").select(k.alias("id"), F.md5(text.response_text(response)).alias("text_md5"))
 
 
 def stratified_sample(spark, d):
@@ -261,7 +266,10 @@ ORACLES = {
     "path_date_strata": f"""{_P} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(taken_at, '%Y-%m-%d') WHEN event_id % 3 = 1 AND event_id % 40 <= 30 THEN CAST(2000 + event_id % 40 AS VARCHAR) ELSE 'unknown' END AS stratum,
         CASE WHEN event_id % 3 = 0 THEN strftime(taken_at, '%Y-%m-%d') END AS day FROM photos""",
     "time_fallback_chain": f"{_P} SELECT CASE WHEN event_id % 3 = 0 THEN 'exif' WHEN event_id % 2 = 0 THEN 'filename' WHEN event_id % 5 <> 0 THEN 'mtime' END AS source, count(*) AS n FROM photos GROUP BY 1",
-    "gps_decimal": "SELECT * FROM (VALUES (1::BIGINT, round(25 + 2/60.0 + 30/3600.0, 6)::DOUBLE, 121.5::DOUBLE), (2, round(-(33 + 51/60.0 + 36/3600.0), 6), round(-(70 + 40/60.0 + 12/3600.0), 6)), (3, 48.5, 2.25), (4, NULL, NULL), (5, NULL, NULL), (6, NULL, NULL), (7, NULL, NULL)) AS t(id, lat, lng)",
+    "gps_decimal": """WITH g AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 0.0 WHEN o_orderkey % 11 > 0 THEN (o_orderkey % 60) / 60.0::DOUBLE + (o_orderkey % 59) / 3600.0::DOUBLE END AS more, o_orderkey AS k FROM orders),
+        p AS (SELECT id, (k % 95 + more) * CASE WHEN k % 3 = 0 THEN -1 ELSE 1 END AS lat, (k % 185 + more) * CASE WHEN k % 5 = 0 THEN -1 ELSE 1 END AS lng FROM g),
+        r AS (SELECT *, lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180 AND NOT (lat = 0 AND lng = 0) AS sound FROM p)
+        SELECT id, CASE WHEN sound THEN round(lat, 6) END AS lat, CASE WHEN sound THEN round(lng, 6) END AS lng FROM r""",
     "reverse_geocode_distinct": """WITH p AS (SELECT DISTINCT (s_suppkey % 30) * 2.5::DOUBLE - 35 AS lat, (s_suppkey % 20) * 9.5::DOUBLE - 90 AS lng FROM supplier),
         t AS (SELECT n_nationkey * 3.5::DOUBLE - 40 AS y, n_nationkey * 7.25::DOUBLE - 80 AS x, n_name AS city, 'c' || n_regionkey AS cc FROM nation),
         m AS (SELECT lat, lng, city, cc, row_number() OVER (PARTITION BY lat, lng ORDER BY power(lat - y, 2) + power((lng - x) * cos(radians(lat)), 2), city, cc) AS k FROM p, t)
@@ -274,7 +282,7 @@ ORACLES = {
     "new_paths_anti": "SELECT doc_id AS path FROM documents ANTI JOIN labels USING (doc_id)",
     "label_totals": "SELECT count(*) AS count, count(*) FILTER (WHERE turn % 3 <> 1) AS succeeded, count(*) FILTER (WHERE turn % 3 = 1) AS failed FROM conversations",
     "label_latest_success": "SELECT 'p' || (conv_id % 40) AS path, md5(arg_max(text, conv_id * 1000 + turn)) AS text_md5, max(conv_id * 1000 + turn) AS seq FROM conversations WHERE turn % 3 <> 1 GROUP BY 1",
-    "extract_response_text": "SELECT * FROM (VALUES (1::BIGINT, 'plain'), (2, 'ab'), (3, ''), (4, ''), (5, '')) AS t(id, text)",
+    "extract_response_text": "SELECT doc_id AS id, md5(CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN text || '!' ELSE '' END) AS text_md5 FROM documents WHERE text IS NOT NULL",
     "stratified_sample": f"{_P} SELECT day, path FROM (SELECT strftime(taken_at, '%Y-%m-%d') AS day, path, row_number() OVER (PARTITION BY strftime(taken_at, '%Y-%m-%d') ORDER BY md5(path || '7'), path) AS k FROM photos) WHERE k <= 8",
     "random_sample_exact": "SELECT vec_id AS id FROM (SELECT vec_id, row_number() OVER (ORDER BY md5('s1' || vec_id), vec_id) AS k, count(*) OVER () AS n FROM embeddings) WHERE k <= greatest(1, CAST(floor(n * 0.13) AS BIGINT))",
     "path_and_text_functions": f"""{_P} SELECT event_id, 'mem_' || substr(md5(path), 1, 8) AS short_id, printf('%.1f%%', k / 97 * 100) AS percent, '/a b+c/' || event_id || '/d' AS url_path, 'data:image/jpeg;base64,' || to_base64(encode(event_type)) AS data_url, 'a|' || event_type AS parts, true AS cjk FROM photos""",
