@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geo, times
 from . import geocode, labels as label_ops, overlay
@@ -41,10 +41,11 @@ def build_index(label_rows: DataFrame, exif: DataFrame, placed: DataFrame, citie
 
 def list_faces(placed: DataFrame, names: DataFrame, limit: int, named: bool | None = None, shown: int = 5) -> DataFrame:
     """Clusters by number of detections, with their first images; ``named`` keeps only (un)named ones."""
-    counts = placed.groupBy("face_id").agg(F.count("*").alias("count"))
-    from .stats import cluster_infos
-
-    info = cluster_infos(placed).select("face_id", F.slice("paths", 1, shown).alias("images"))
+    seen = placed.groupBy("face_id", "path").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
+    counts = seen.groupBy("face_id").agg(F.sum("n").alias("count"))
+    # Spark keeps the first images of each cluster before the shuffle (window group limit), so the lists are short
+    early = seen.withColumn("_k", F.row_number().over(Window.partitionBy("face_id").orderBy("seq", "path"))).where(F.col("_k") <= shown)
+    info = early.groupBy("face_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "path"))), lambda r: r["path"]).alias("images"))
     rows = counts.join(info, "face_id").join(names.select(F.col("id").alias("face_id"), "name"), "face_id", "left")
     if named is not None:
         rows = rows.where(F.col("name").isNotNull() if named else F.col("name").isNull())

@@ -1,4 +1,4 @@
-"""Every query of the photo engine against its DuckDB oracle."""
+"""Every query of the photo engine against its DuckDB oracle, at the size that the driver checks."""
 
 import collections
 import decimal
@@ -8,7 +8,7 @@ import pytest
 
 from shoebox.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
