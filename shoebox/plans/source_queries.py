@@ -81,6 +81,14 @@ def index_table(spark, d):
     return spark.read.parquet(path).where("year = 2024 and month = 1").groupBy("event_type").agg(F.count("*").alias("photos"), F.max("path").alias("last"))
 
 
+def photo_lookup(spark, d):
+    """Single photos from a lookup table over the index: the first of three users, and one that is not there."""
+    path = f"{graph.work_folder(spark, 'lookup')}/photos"
+    tables.write_lookup(a.photos(spark, d), path)
+    firsts = [r["path"] for r in a.photos(spark, d).where("user_id in (1, 2, 3)").groupBy("user_id").agg(F.min("path").alias("path")).collect()]  # three rows
+    return tables.look_up(spark, path, [*firsts, "/absent.jpg"]).select("path", "event_id", "location_name")
+
+
 def timeline_table(spark, d):
     """Stored events, read by year."""
     path = f"{graph.work_folder(spark, 'timeline')}/events"
@@ -88,7 +96,7 @@ def timeline_table(spark, d):
     return spark.read.parquet(path).where("year = 2024").select("id", F.col("photo_count").cast("long").alias("photo_count"), "cover")
 
 
-QUERIES = {f.__name__: f for f in (bundle_append, log_lines, overlay_files, curated_files, index_document, index_table, timeline_table)}
+QUERIES = {f.__name__: f for f in (bundle_append, log_lines, overlay_files, curated_files, index_document, index_table, photo_lookup, timeline_table)}
 
 ORACLES = {
     "bundle_append": "SELECT 'm1' AS model, CAST(len(embedding) AS BIGINT) AS dim, count(*) AS rows, count(DISTINCT vec_id) AS paths FROM embeddings GROUP BY 1, 2",
@@ -100,5 +108,6 @@ ORACLES = {
     "index_document": f"""{a.with_(a.PHOTOS)} SELECT 'image' AS part, path, strftime(taken_at, '%Y-%m-%d %H:%M:%S') AS "at", len(face_ids)::BIGINT AS n, location_name AS more FROM photos
         UNION ALL SELECT 'event', id, start, photo_count, cover FROM ({_EVENTS['timeline_events']}) JOIN ({_EVENTS['timeline_cover']}) USING (id)""",
     "index_table": f"{a.with_(a.PHOTOS)} SELECT event_type, count(*) AS photos, max(path) AS last FROM photos WHERE year = 2024 AND month = 1 GROUP BY 1",
+    "photo_lookup": f"{a.with_(a.PHOTOS)} SELECT path, event_id, location_name FROM photos WHERE path IN (SELECT min(path) FROM photos WHERE user_id IN (1, 2, 3) GROUP BY user_id)",
     "timeline_table": f"SELECT id, photo_count, cover FROM ({_EVENTS['timeline_events']}) JOIN ({_EVENTS['timeline_cover']}) USING (id) WHERE substr(id, 5, 4) = '2024'",
 }

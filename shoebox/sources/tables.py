@@ -90,6 +90,21 @@ def write_index(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+#: Bytes of a row group of a lookup table, about what one lookup reads.
+LOOKUP_BYTES = 1 << 20
+
+
+def write_lookup(rows: DataFrame, path: str, key: str = "path") -> None:
+    """A table for looking up single keys: sorted by key, small row groups, a bloom filter in each."""
+    ranged = rows.repartitionByRange(key).sortWithinPartitions(key)
+    ranged.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.block.size", LOOKUP_BYTES).parquet(path)
+
+
+def look_up(spark: SparkSession, path: str, keys: list[str], key: str = "path") -> DataFrame:
+    """Rows of a few keys.  Only files and row groups whose range and bloom filter admit a key are read."""
+    return spark.read.parquet(path).where(F.col(key).isin(keys))
+
+
 def write_timeline(events: DataFrame, path: str) -> None:
     """Timeline events, partitioned by the year they begin in."""
     events.withColumn("year", F.year("start")).write.mode("overwrite").partitionBy("year").parquet(path)
