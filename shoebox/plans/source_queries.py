@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, timeline
-from ..sources import documents, tables
+from ..sources import documents, tables, thumbnails
 from . import adapters as a
 from .time_queries import ORACLES as _EVENTS
 
@@ -89,6 +89,17 @@ def photo_lookup(spark, d):
     return tables.look_up(spark, path, [*firsts, "/absent.jpg"]).select("path", "event_id", "location_name")
 
 
+def thumbnail_cache(spark, d):
+    """A thumbnail of every photo; a second refresh makes none, a third only those of changed photos."""
+    cache = f"{graph.work_folder(spark, 'thumbs')}/cache"
+    images = a.photos(spark, d).select("path", F.col("taken_at").cast("timestamp").alias("modified"), "event_id")
+    run = lambda rows: thumbnails.refresh(rows, cache, 2000, lambda content, width: b"%d:" % width + content[-12:], lambda path: path.encode())
+    made = [run(images), run(images), run(images.withColumn("modified", F.when(F.col("event_id") % 10 == 0, F.col("modified") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("modified"))))]
+    rounds = spark.createDataFrame([(f"round {i}", n, None) for i, n in enumerate(made)], "part string, n long, content string")
+    kept = thumbnails.thumbnails(spark, cache).select(F.lit("thumbnail").alias("part"), F.col("width").cast("long").alias("n"), F.col("content").cast("string").alias("content"))
+    return rounds.union(kept)
+
+
 def timeline_table(spark, d):
     """Stored events, read by year."""
     path = f"{graph.work_folder(spark, 'timeline')}/events"
@@ -96,7 +107,7 @@ def timeline_table(spark, d):
     return spark.read.parquet(path).where("year = 2024").select("id", F.col("photo_count").cast("long").alias("photo_count"), "cover")
 
 
-QUERIES = {f.__name__: f for f in (bundle_append, log_lines, overlay_files, curated_files, index_document, index_table, photo_lookup, timeline_table)}
+QUERIES = {f.__name__: f for f in (bundle_append, log_lines, overlay_files, curated_files, index_document, index_table, photo_lookup, thumbnail_cache, timeline_table)}
 
 ORACLES = {
     "bundle_append": "SELECT 'm1' AS model, CAST(len(embedding) AS BIGINT) AS dim, count(*) AS rows, count(DISTINCT vec_id) AS paths FROM embeddings GROUP BY 1, 2",
@@ -109,5 +120,7 @@ ORACLES = {
         UNION ALL SELECT 'event', id, start, photo_count, cover FROM ({_EVENTS['timeline_events']}) JOIN ({_EVENTS['timeline_cover']}) USING (id)""",
     "index_table": f"{a.with_(a.PHOTOS)} SELECT event_type, count(*) AS photos, max(path) AS last FROM photos WHERE year = 2024 AND month = 1 GROUP BY 1",
     "photo_lookup": f"{a.with_(a.PHOTOS)} SELECT path, event_id, location_name FROM photos WHERE path IN (SELECT min(path) FROM photos WHERE user_id IN (1, 2, 3) GROUP BY user_id)",
+    "thumbnail_cache": f"""{a.with_(a.PHOTOS)} SELECT 'round 0' AS part, count(*) AS n, NULL AS content FROM photos UNION ALL SELECT 'round 1', 0, NULL
+        UNION ALL SELECT 'round 2', count(*), NULL FROM photos WHERE event_id % 10 = 0 UNION ALL SELECT 'thumbnail', 1024, '1024:' || right(path, 12) FROM photos""",
     "timeline_table": f"SELECT id, photo_count, cover FROM ({_EVENTS['timeline_events']}) JOIN ({_EVENTS['timeline_cover']}) USING (id) WHERE substr(id, 5, 4) = '2024'",
 }
