@@ -66,4 +66,5 @@ def run_events(stream: DataFrame, work: str, gap: str = "6 hours", late: str = "
 
     stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     empty = timeline.events(spark.createDataFrame([], "path string, taken_at timestamp_ntz, has_face boolean"), gap, least)
-    return _stored(spark, f"{work}/events", empty.schema), _stored(spark, f"{work}/late", "path string, taken_at timestamp_ntz, has_face boolean")
+    late_rows = _stored(spark, f"{work}/late", "path string, taken_at timestamp_ntz, has_face boolean")
+    return _stored(spark, f"{work}/events", empty.schema).select(*empty.columns), late_rows.select("path", "taken_at", "has_face")
