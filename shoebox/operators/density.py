@@ -5,6 +5,8 @@ each as wide as the search radius.  By the triangle inequality a vector's neighb
 whose border it is near enough to, and there in the three rings around its own distance to that
 pivot.  So a vector is a member of one ring and a guest of few, and only guests and members of one
 ring are compared, in blocks of bounded size.  Pivots decide how much is compared, never the result.
+Where a sample shows that vectors would be guests of most cells, there are no cells: all pairs are
+compared, block by block.
 
 Density clusters need no list of pairs: counts are summed by point, links leave a task as spanning
 forests, and equal vectors are one point with a weight.
@@ -13,6 +15,7 @@ forests, and equal vectors are one point with a weight.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,14 @@ from . import graph
 FIT_ROWS, PIVOTS = 32_768, 2048
 #: Members, and guests, of one ring that meet in a task at once.
 BLOCK = 2048
+#: Without cells: members of a block at most, and the blocks that rows are dealt to while they are smaller.
+WIDE_BLOCK, SPREAD = 16_384, 12
+#: Guest rows of a vector up to which cells are used, however few the blocks would be.
+FEW_GUESTS = 32
+#: Products held at a time.
+PRODUCTS = 1 << 23
+#: What a block is known by.
+KEY = ("cell", "ring", "m", "g")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -66,6 +77,45 @@ def radius_of(rows: DataFrame, eps: float) -> float:
     return math.sqrt(max(0.0, 2 * longest * longest - 2 + 2 * eps)) + 1e-6
 
 
+def wide_block(n: int) -> int:
+    """Rows of a block where all pairs of ``n`` rows are compared."""
+    return min(WIDE_BLOCK, max(BLOCK, -(-n // SPREAD)))
+
+
+def useful(drawn: DataFrame, pivots: np.ndarray, radius: float, n: int) -> np.ndarray:
+    """The pivots, or none of them where they would make more copies of a vector than blocks of all pairs do."""
+    x = matrix(drawn.select("vector").limit(BLOCK).toArrow()["vector"].combine_chunks())
+    if not len(x):
+        return pivots
+    square = np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T, 0)
+    home = square.argmin(1)
+    between = np.sqrt(np.maximum((pivots * pivots).sum(1)[home][:, None] + (pivots * pivots).sum(1)[None] - 2 * pivots[home] @ pivots.T, 0))
+    guests = 3 * (square - square[np.arange(len(x)), home][:, None] <= 2 * between * radius + 1e-9).sum(1).mean()
+    return pivots if guests <= max(FEW_GUESTS, 2 * n / wide_block(n)) else pivots[:0]
+
+
+class Reach:
+    """How the rows of one search meet: by the rings of pivots, or all with all in blocks."""
+
+    def __init__(self, rows: DataFrame, eps: float):
+        self.eps, self.radius = eps, radius_of(rows, eps)
+        pivots = choose_pivots(rows, self.radius)
+        self.empty = not len(pivots)
+        self.rows = 0 if self.empty else rows.count()
+        self.pivots = pivots if self.empty else useful(rows, pivots, self.radius, self.rows)
+        self.block = BLOCK if len(self.pivots) else wide_block(self.rows)
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows(id, vector, ...)`` as members and as guests, with ``cell, ring, guest``."""
+        if len(self.pivots):
+            return placed(rows, self.pivots, self.radius)
+        sides = F.explode(F.array(F.lit(False), F.lit(True))).alias("guest")
+        return rows.select("*", F.lit(0).alias("cell"), F.lit(0).alias("ring"), sides)
+
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        return blocks(rows, self.block, bool(len(self.pivots)))
+
+
 def placed(rows: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     """``rows(id, vector, ...)`` once as a member of its ring and once as a guest of each ring in reach.
 
@@ -94,44 +144,55 @@ def placed(rows: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
                 cells = np.concatenate([home, np.repeat(cell, 3)])
                 rings = np.concatenate([np.floor(away[own, home] / radius).astype(np.int64), (ring[:, None] + np.array([-1, 0, 1])[None]).ravel()])
                 guest = np.arange(len(takes)) >= len(x)
-                keep = rings >= 0
-                at = pa.array(takes[keep])
-                yield pa.RecordBatch.from_arrays([
-                    *[batch.column(c).take(at) for c in ("id", "vector", *extra)],
-                    pa.array(cells[keep], pa.int32()), pa.array(rings[keep], pa.int32()), pa.array(guest[keep]),
-                ], names=schema.names)
+                keep = np.flatnonzero(rings >= 0)
+                for first in range(0, len(keep), BLOCK):  # a batch in reach of many cells leaves in pieces
+                    some = keep[first:first + BLOCK]
+                    at = pa.array(takes[some])
+                    yield pa.RecordBatch.from_arrays([
+                        *[batch.column(c).take(at) for c in ("id", "vector", *extra)],
+                        pa.array(cells[some], pa.int32()), pa.array(rings[some], pa.int32()), pa.array(guest[some]),
+                    ], names=schema.names)
 
     return rows.select("id", "vector", *extra).mapInArrow(run, schema)
 
 
-def blocks(rows: DataFrame, deal: str | None = None) -> DataFrame:
+def blocks(rows: DataFrame, block: int = BLOCK, many: bool = True) -> DataFrame:
     """Rows of :func:`placed` with ``m`` and ``g``, so that ``(cell, ring, m, g)`` has bounded members and guests.
 
     A member is repeated for each block of guests of its ring and the reverse; rings without members
-    or without guests of other rows are left out.  ``deal`` names a column to deal by instead of the id.
+    or without guests of other rows are left out.  ``many`` rings have their sizes joined, a single one's are broadcast.
     """
     sizes = rows.groupBy("cell", "ring").agg(F.count_if(~F.col("guest")).alias("members"), F.count_if("guest").alias("guests")).where("members > 0 and guests > 0")
-    counted = sizes.select("cell", "ring", F.ceil(F.col("members") / BLOCK).cast("int").alias("ms"), F.ceil(F.col("guests") / BLOCK).cast("int").alias("gs"))
-    dealt = rows.join(counted, ["cell", "ring"])
-    own = F.col(deal) if deal else F.xxhash64(F.col("id"), F.lit(9))
+    counted = sizes.select("cell", "ring", F.ceil(F.col("members") / block).cast("int").alias("ms"), F.ceil(F.col("guests") / block).cast("int").alias("gs"))
+    dealt = rows.join(counted if many else F.broadcast(counted), ["cell", "ring"])  # one row
+    own = F.xxhash64(F.col("id"), F.lit(9))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     m = F.when(F.col("guest"), every("ms")).otherwise(F.array(F.pmod(own, F.col("ms")).cast("int")))
     g = F.when(F.col("guest"), F.array(F.pmod(own, F.col("gs")).cast("int"))).otherwise(every("gs"))
     return dealt.withColumn("m", F.explode(m)).withColumn("g", F.explode(g)).drop("ms", "gs")
 
 
-def _pairs(table: pa.Table, eps: float, meter=None):
-    """(guest rows, member rows, guest and member of each pair in reach, distances) of one block."""
+def _sides(table: pa.Table, meter=None) -> tuple[pa.Table, pa.Table]:
+    """(guests, members) of one block."""
     guest = np.asarray(table["guest"].combine_chunks(), dtype=bool)
     guests, members = table.filter(pa.array(guest)), table.filter(pa.array(~guest))
-    if not guests.num_rows or not members.num_rows:
-        none = np.zeros(0, dtype=np.int64)
-        return guests, members, none, none, np.zeros(0)
     if meter is not None:
         meter.add(guests.num_rows * members.num_rows)
-    distance = 1 - matrix(guests["vector"].combine_chunks()) @ matrix(members["vector"].combine_chunks()).T
-    i, j = np.nonzero(distance <= eps)
-    return guests, members, i, j, distance[i, j]
+    return guests, members
+
+
+def _pairs(guests: pa.Table, members: pa.Table, eps: float):
+    """(guest and member of each pair in reach, distances), a bounded number of products at a time."""
+    if not guests.num_rows or not members.num_rows:
+        return
+    x, y = matrix(guests["vector"].combine_chunks()), matrix(members["vector"].combine_chunks()).T
+    step = max(1, PRODUCTS // members.num_rows)
+    for low in range(0, len(x), step):
+        distance = x[low:low + step] @ y
+        np.subtract(1, distance, out=distance)
+        at = np.flatnonzero(distance <= eps)
+        i, j = np.divmod(at, distance.shape[1])
+        yield i + low, j, distance.ravel()[at]
 
 
 def neighbours(items: DataFrame, eps: float, meter=None) -> DataFrame:
@@ -143,28 +204,66 @@ def neighbours(items: DataFrame, eps: float, meter=None) -> DataFrame:
     rows = sound(items)
     kind = rows.schema["id"].dataType
     out = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("distance", T.DoubleType())])
-    radius = radius_of(rows, eps)
-    pivots = choose_pivots(rows, radius)
-    if not len(pivots):
+    reach = Reach(rows, eps)
+    if reach.empty:
         return items.sparkSession.createDataFrame([], out)
 
-    def compare(table: pa.Table) -> pa.Table:
-        guests, members, i, j, distance = _pairs(table, eps, meter)
-        found = pa.table({"a": guests["id"].take(pa.array(i)), "b": members["id"].take(pa.array(j)), "distance": distance})
-        return found
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guests, members = _sides(pa.Table.from_batches(batches), meter)
+        a, b = guests["id"].combine_chunks(), members["id"].combine_chunks()
+        for i, j, distance in _pairs(guests, members, eps):
+            for low in range(0, len(i), 1 << 18):
+                some = slice(low, low + (1 << 18))
+                yield pa.RecordBatch.from_arrays([a.take(pa.array(i[some])), b.take(pa.array(j[some])), pa.array(distance[some])], names=out.names)
 
-    met = blocks(graph.materialize(placed(rows, pivots, radius))).groupBy("cell", "ring", "m", "g").applyInArrow(compare, out)
+    met = reach.blocks(graph.materialize(reach.placed(rows))).groupBy(*KEY).applyInArrow(compare, out)
     return met.where("a <> b")
 
 
+def _codes(guests: pa.Table, members: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """(number of each guest's and then each member's id, ids by number)."""
+    coded = pa.concat_arrays([guests["id"].combine_chunks(), members["id"].combine_chunks()]).dictionary_encode()
+    return np.asarray(coded.indices), coded.dictionary
+
+
+def _reached(reach: Reach, dealt: DataFrame, own: bool, meter=None) -> DataFrame:
+    """``(id, n)``: weights of the members in a guest's reach, with or without those of its own id."""
+    kind, eps = dealt.schema["id"].dataType, reach.eps
+
+    def count(table: pa.Table) -> pa.Table:
+        guests, members = _sides(table, meter)
+        weight, code = np.asarray(members["weight"]), _codes(guests, members)[0]
+        n = np.zeros(guests.num_rows, dtype=np.int64)
+        for i, j, _ in _pairs(guests, members, eps):
+            if not own:
+                other = code[i] != code[guests.num_rows + j]
+                i, j = i[other], j[other]
+            n += np.bincount(i, weights=weight[j], minlength=len(n)).astype(np.int64)
+        met = n > 0
+        return pa.table({"id": guests["id"].filter(pa.array(met)), "n": n[met]})
+
+    counts = dealt.groupBy(*KEY).applyInArrow(count, T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType())]))
+    return counts.groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def core(items: DataFrame, eps: float, least: int, meter=None) -> DataFrame:
+    """``(id)``: :func:`core_points` of :func:`neighbours`, with pairs counted where they are found and none written."""
+    rows = sound(items).withColumn("weight", F.lit(1).cast("long"))
+    reach = Reach(rows, eps)
+    if reach.empty:
+        return rows.select("id")
+    others = _reached(reach, reach.blocks(graph.materialize(reach.placed(rows))), False, meter)
+    return others.where(F.col("n") + 1 >= least).select("id")
+
+
 def core_points(pairs: DataFrame, least: int) -> DataFrame:
     """Ids with at least ``least`` points in reach, themselves included."""
     return pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least).select("id")
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest node of each node's component, for edges between nodes 0..n-1."""
-    parent = np.arange(n)
+def spanning(n: int, i: np.ndarray, j: np.ndarray, parent: np.ndarray | None = None) -> np.ndarray:
+    """The smallest node of each node's component, for edges between nodes 0..n-1 besides those that gave ``parent``."""
+    parent = np.arange(n) if parent is None else parent.copy()
     while True:
         a, b = parent[i], parent[j]
         apart = a != b
@@ -198,47 +297,41 @@ def dbscan(items: DataFrame, eps: float, least: int, meter=None) -> DataFrame:
     of points is written: a family of n equal vectors costs n rows.
     """
     points, copies = folded(sound(items))
-    radius = radius_of(points, eps)
-    pivots = choose_pivots(points, radius)
-    noise = F.lit(-1).alias("cluster")
-    if not len(pivots):
-        return items.select("id", noise)
+    reach = Reach(points, eps)
+    if reach.empty:
+        return items.select("id", F.lit(-1).alias("cluster"))
     kind = points.schema["id"].dataType
-    key = ["cell", "ring", "m", "g"]
-    rings = graph.materialize(blocks(graph.materialize(placed(points, pivots, radius))))
-
-    def count(table: pa.Table) -> pa.Table:
-        guests, members, i, j, _ = _pairs(table, eps, meter)
-        n = np.bincount(i, weights=np.asarray(members["weight"])[j] if len(j) else None, minlength=guests.num_rows).astype(np.int64)
-        return pa.table({"id": guests["id"], "n": n})
-
+    met = graph.materialize(reach.placed(points))
     # a point is a guest of its own ring too, so it counts itself
-    reached = rings.groupBy(*key).applyInArrow(count, T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType())]))
-    core = graph.materialize(reached.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("id"))
-    dense = graph.materialize(rings.join(core, "id", "left_semi"))
+    core = graph.materialize(_reached(reach, reach.blocks(met), True, meter).where(F.col("n") >= least).select("id"))
+    dense = graph.materialize(met.join(core, "id", "left_semi"))
 
     def forest(table: pa.Table) -> pa.Table:
-        guests, members, i, j, _ = _pairs(table, eps)
-        ids = pa.concat_arrays([guests["id"].combine_chunks(), members["id"].combine_chunks()])
-        coded = ids.dictionary_encode()
-        code = np.asarray(coded.indices)
-        top = spanning(len(coded.dictionary), code[i], code[guests.num_rows + j])
+        guests, members = _sides(table)
+        code, ids = _codes(guests, members)
+        top = np.arange(len(ids))
+        for i, j, _ in _pairs(guests, members, eps):
+            top = spanning(len(ids), code[i], code[guests.num_rows + j], top)
         leaf = np.flatnonzero(top != np.arange(len(top)))
-        return pa.table({"a": coded.dictionary.take(pa.array(leaf)), "b": coded.dictionary.take(pa.array(top[leaf]))})
+        return pa.table({"a": ids.take(pa.array(leaf)), "b": ids.take(pa.array(top[leaf]))})
 
-    links = dense.groupBy(*key).applyInArrow(forest, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    links = reach.blocks(dense).groupBy(*KEY).applyInArrow(forest, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
     joined = graph.components(links)
     rooted = graph.materialize(core.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("root")))
-    edge = rings.where("guest").join(core, "id", "left_anti").withColumn("root", F.lit(None).cast(kind))
+    edge = met.where("guest").join(core, "id", "left_anti").withColumn("root", F.lit(None).cast(kind))
     near = dense.where("not guest").join(rooted, "id")
 
     def border(table: pa.Table) -> pa.Table:
-        guests, members, i, j, _ = _pairs(table, eps)
-        found = pa.table({"id": guests["id"].take(pa.array(i)), "root": members["root"].take(pa.array(j))})
-        return found.group_by("id").aggregate([("root", "min")]).select(["id", "root_min"]).rename_columns(["id", "root"])
+        guests, members = _sides(table)
+        a, root = guests["id"].combine_chunks(), members["root"].combine_chunks()
+        best = pa.table({"id": a.slice(0, 0), "root": root.slice(0, 0)})
+        for i, j, _ in _pairs(guests, members, eps):
+            found = pa.concat_tables([best, pa.table({"id": a.take(pa.array(i)), "root": root.take(pa.array(j))})])
+            best = found.group_by("id").aggregate([("root", "min")]).select(["id", "root_min"]).rename_columns(["id", "root"])
+        return best
 
     out = T.StructType([T.StructField("id", kind), T.StructField("root", kind)])
-    edges = edge.unionByName(near).groupBy(*key).applyInArrow(border, out).groupBy("id").agg(F.min("root").alias("root"))
+    edges = reach.blocks(edge.unionByName(near)).groupBy(*KEY).applyInArrow(border, out).groupBy("id").agg(F.min("root").alias("root"))
     placed_ = graph.materialize(rooted.unionByName(edges))
     numbers = graph.ranked(rooted.select("root").distinct(), "root")
     numbered = placed_.join(numbers, "root").select("id", "rank")

@@ -94,3 +94,28 @@ def test_spanning():
             for a, b in zip(i, j):
                 label[a] = label[b] = min(label[a], label[b])
         assert density.spanning(n, i, j).tolist() == label.tolist()
+
+
+def test_vectors_without_structure_meet_in_few_copies(spark, monkeypatch):
+    """Random vectors in reach of nearly all cells: no table holds a vector more often than blocks of all pairs need."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = frame(spark, list(range(len(x))), x)
+    monkeypatch.setattr(density, "BLOCK", 512)
+    written = []
+    keep = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda rows: written.append(keep(rows)) or written[-1])
+    near = (1 - x @ x.T <= 0.62) & ~np.eye(len(x), dtype=bool)
+    assert {(r["a"], r["b"]) for r in density.neighbours(df, 0.62).collect()} == set(zip(*(k.tolist() for k in np.nonzero(near))))
+    assert {r["id"] for r in density.core(df, 0.62, 3).collect()} == set(np.flatnonzero(near.sum(1) + 1 >= 3).tolist())
+    assert {r["id"]: r["cluster"] for r in density.dbscan(df, 0.62, 3).collect()} == plain_dbscan(list(range(len(x))), x, 0.62, 3)
+    assert max(t.count() for t in written if "vector" in t.columns) <= 2 * len(x)
+
+
+def test_core_is_core_points(spark):
+    x = tight(12, 25, 16, 0.5, seed=3)
+    df = frame(spark, list(range(len(x))), x)
+    for least in (1, 2, 5):
+        want = {r["id"] for r in density.core_points(density.neighbours(df, 0.12), least).collect()}
+        assert {r["id"] for r in density.core(df, 0.12, least).collect()} == want
