@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors
 from . import density, graph, inverted, ranks
-from .density import core_points, dbscan, neighbours  # noqa: F401
+from .density import core, core_points, dbscan, neighbours  # noqa: F401
 
 #: Rows of one block of either side.
 BLOCK = 4096

@@ -183,7 +183,7 @@ def dbscan_neighbours(spark, d):
 
 
 def dbscan_core(spark, d):
-    return cluster.core_points(cluster.neighbours(a.items(spark, d), 0.62), 3)
+    return cluster.core(a.items(spark, d), 0.62, 3)
 
 
 def dbscan_labels(spark, d):
