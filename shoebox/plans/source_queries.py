@@ -102,9 +102,10 @@ def thumbnail_cache(spark, d):
 
 def timeline_table(spark, d):
     """Stored events, read by year."""
-    path = f"{graph.work_folder(spark, 'timeline')}/events"
-    tables.write_timeline(timeline.events(a.photos(spark, d), "10 minutes"), path)
-    return spark.read.parquet(path).where("year = 2024").select("id", F.col("photo_count").cast("long").alias("photo_count"), "cover")
+    path = graph.work_folder(spark, "timeline")
+    photos = graph.materialize(timeline.members(a.photos(spark, d).select("path", "taken_at", "has_face"), "10 minutes"))
+    tables.write_timeline(timeline.heads(photos), photos.select("id", "start", "pos", "path"), path)
+    return spark.read.parquet(f"{path}/events").where("year = 2024").select("id", "photo_count", "cover")
 
 
 QUERIES = {f.__name__: f for f in (bundle_append, log_lines, overlay_files, curated_files, index_document, index_table, photo_lookup, thumbnail_cache, timeline_table)}

@@ -15,20 +15,29 @@ TODAY_ORDERS = datetime.date(2002, 3, 10)
 TOPICS = {"first": ("x", ["the", "and", "ing"], ["idiot"]), "second": ("y", ["ereth", "er", "on"], [])}
 
 
-def _events(spark, d):
-    return timeline.events(a.photos(spark, d), "10 minutes")
+_SHOWN = ("path", "taken_at", "has_face")
+
+
+def _members(spark, d, *more, gap="10 minutes"):
+    return timeline.members(a.photos(spark, d).select(*_SHOWN, *more), gap)
+
+
+def _heads(spark, d):
+    return timeline.heads(_members(spark, d))
 
 
 def timeline_events(spark, d):
-    return _events(spark, d).select("id", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), F.col("duration_days").cast("long").alias("duration_days"), F.col("photo_count").cast("long").alias("photo_count"), F.md5(F.array_join("photos", ",")).alias("photos_md5"))
+    photos = graph.materialize(_members(spark, d).select("id", "pos", "path"))
+    found = timeline.spans(a.photos(spark, d).select(*_SHOWN), "10 minutes").join(timeline.digests(photos), "id", "left")
+    return found.select("id", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), F.col("duration_days").cast("long").alias("duration_days"), "photo_count", "photos_md5")
 
 
 def timeline_cover(spark, d):
-    return _events(spark, d).select("id", "cover")
+    return _heads(spark, d).select("id", "cover")
 
 
 def timeline_user(spark, d):
-    out = timeline.events(a.photos(spark, d), "6 hours", owner="user_id")
+    out = timeline.spans(a.photos(spark, d), "6 hours", owner="user_id")
     return out.select("user_id", "id", F.col("photo_count").cast("long").alias("photo_count"), F.col("duration_days").cast("long").alias("duration_days"))
 
 
@@ -38,7 +47,7 @@ def timeline_windows(spark, d):
 
 
 def timeline_top3(spark, d):
-    photos = timeline.event_photos(_events(spark, d)).join(a.photos(spark, d).select("path", "face_ids", "location_name"), "path")
+    photos = graph.materialize(_members(spark, d, "face_ids", "location_name").select("id", "pos", "face_ids", "location_name"))
     faces = timeline.top_names(photos.select("id", "pos", F.explode("face_ids").alias("face")), ["id"], "face").withColumnRenamed("top", "faces")
     places = timeline.top_names(photos, ["id"], "location_name").withColumnRenamed("top", "places")
     return faces.join(places, "id", "full").select("id", F.array_join("faces", ",").alias("faces"), F.array_join("places", ",").alias("places"))
@@ -50,22 +59,23 @@ def _perms(spark, who="bob"):
 
 def viewer_timeline(spark, d):
     p = a.photos(spark, d)
-    out = timeline.viewer_events(_events(spark, d), p.select("path", "face_ids", "location_name"), p.select("path", "pet_ids"), _perms(spark), a.words(spark, d))
+    photos = graph.materialize(_members(spark, d))
+    out = timeline.viewer_events(timeline.heads(photos), photos, p.select("path", "face_ids", "location_name"), p.select("path", "pet_ids"), _perms(spark), a.words(spark, d))
     return out.select("id", F.col("photo_count").cast("long").alias("photo_count"), F.array_join("top_faces", ",").alias("top_faces"), F.array_join("top_places", ",").alias("top_places"), "cover")
 
 
-def _detail_of(spark, d, who, found, one):
+def _detail_of(spark, d, who, photos, one):
     p = a.photos(spark, d)
     # every eleventh photo has left the index since the timeline was built
     index = p.where("event_id % 11 <> 0").select("path", "face_ids", "taken_at", "location_name")
-    return timeline.event_detail(found, one, index, p.select("path", "pet_ids"), _perms(spark, who), a.words(spark, d)).select(F.lit(who).alias("viewer"), F.col("pos").cast("long").alias("pos"), "path", "location_name")
+    return timeline.event_detail(photos, one, index, p.select("path", "pet_ids"), _perms(spark, who), a.words(spark, d)).select(F.lit(who).alias("viewer"), F.col("pos").cast("long").alias("pos"), "path", "location_name")
 
 
 def event_detail(spark, d):
     """The largest event as an admin, a viewer of people and a viewer of pets see it."""
-    found = graph.materialize(_events(spark, d))
-    one = found.agg(F.max_by("id", F.struct("photo_count", "id"))).first()[0]
-    ann, bob, cid = (_detail_of(spark, d, who, found, one) for who in ("ann", "bob", "cid"))
+    one = timeline.spans(a.photos(spark, d), "10 minutes").agg(F.max_by("id", F.struct("photo_count", "id"))).first()[0]
+    photos = graph.materialize(_members(spark, d).where(F.col("id") == one).select("id", "pos", "path"))
+    ann, bob, cid = (_detail_of(spark, d, who, photos, one) for who in ("ann", "bob", "cid"))
     return ann.union(bob).union(cid)
 
 
@@ -76,7 +86,7 @@ def overview_photos(spark, d):
 
 
 def event_years(spark, d):
-    return stats.event_years(_events(spark, d)).select(F.col("year").cast("long").alias("year"), "events")
+    return stats.event_years(timeline.spans(a.photos(spark, d), "10 minutes")).select(F.col("year").cast("long").alias("year"), "events")
 
 
 def _orders(spark, d):

@@ -105,9 +105,10 @@ def look_up(spark: SparkSession, path: str, keys: list[str], key: str = "path")
     return spark.read.parquet(path).where(F.col(key).isin(keys))
 
 
-def write_timeline(events: DataFrame, path: str) -> None:
-    """Timeline events, partitioned by the year they begin in."""
-    events.withColumn("year", F.year("start")).write.mode("overwrite").partitionBy("year").parquet(path)
+def write_timeline(events: DataFrame, photos: DataFrame, path: str) -> None:
+    """Timeline events under ``events``, their ``photos(id, start, pos, path)`` under ``photos``, both partitioned by the year the event begins in."""
+    for name, rows in (("events", events), ("photos", photos)):
+        rows.withColumn("year", F.year("start")).write.mode("overwrite").partitionBy("year").parquet(f"{path}/{name}")
 
 
 def write_json(rows: DataFrame, path: str) -> None:

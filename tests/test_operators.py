@@ -337,3 +337,19 @@ def test_face_phases_resume_where_they_stopped(spark):
     rest = faces.three_phases(found, "s", done=first.select("path")).collect()
     assert len(rest) == 25 and len({r["face_id"] for r in rest if r["id"] % 2}) == 1 and len({r["face_id"] for r in rest}) == 2
     assert {r["face_id"] for r in faces.assign_faces(found, found.select(F.lit(0).alias("cluster"), "vector").limit(0)).collect()} == {"unknown"}
+
+
+def test_no_row_holds_an_event(spark):
+    """An event's text in pieces, its digest, positions and cover without any row that grows with the event."""
+    import hashlib
+
+    photos = library(spark, [i // 3 for i in range(2000)] + [9000, 9001, 9002, 20000])
+    found = timeline.members(photos, "10 minutes")
+    whole = {r["id"]: r for r in timeline.events(photos, "10 minutes").collect()}
+    assert [r["photo_count"] for r in sorted(whole.values(), key=lambda r: r["start"])] == [2000, 3]
+    assert {(r["id"], r["pos"]): r["path"] for r in found.collect()} == {(i, k): p for i, r in whole.items() for k, p in enumerate(r["photos"])}
+    assert timeline.pieces(found).agg(F.max(F.size(F.split("text", ",")))).first()[0] == timeline.PIECE
+    assert {r["id"]: r["photos_md5"] for r in timeline.digests(found).collect()} == {i: hashlib.md5(",".join(r["photos"]).encode()).hexdigest() for i, r in whole.items()}
+    same = ["id", "start", "end", "duration_days", "photo_count"]
+    assert {tuple(r) for r in timeline.heads(found).select(*same, "cover").collect()} == {tuple(r[c] for c in [*same, "cover"]) for r in whole.values()}
+    assert {tuple(r) for r in timeline.spans(photos, "10 minutes").select(*same).collect()} == {tuple(r[c] for c in same) for r in whole.values()}
