@@ -43,10 +43,10 @@ def stream_timeline(spark, d):
     photos.repartitionByRange(4, "taken_at").write.parquet(f"{work}/in")
     sentinel = F.lit(live.SENTINEL).cast("timestamp_ntz")
     stream = spark.readStream.schema(photos.schema).option("maxFilesPerTrigger", 2)
-    live.run_events(stream.parquet(f"{work}/in"), f"{work}/run", "10 minutes", "3650 days")
+    live.run_heads(stream.parquet(f"{work}/in"), f"{work}/run", "10 minutes", "3650 days")
     photos.limit(1).select(F.lit(None).cast("string").alias("path"), sentinel.alias("taken_at"), "has_face").write.mode("append").parquet(f"{work}/in")
-    found, _ = live.run_events(stream.parquet(f"{work}/in"), f"{work}/run", "10 minutes", "3650 days")
-    return found.select("id", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), F.col("photo_count").cast("long").alias("photo_count"), "cover")
+    found, _, _ = live.run_heads(stream.parquet(f"{work}/in"), f"{work}/run", "10 minutes", "3650 days")
+    return found.select("id", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "photo_count", "cover")
 
 
 def stream_visits(spark, d):

@@ -33,11 +33,12 @@ def _fold(spark: SparkSession, work: str, photos: DataFrame, batch: int, gap: st
         real.where(F.col("taken_at") < border).write.mode("overwrite").parquet(f"{work}/late/{here}")
     now = max((t for t in (seen and seen["latest"], photos.agg(F.max("taken_at")).first()[0]) if t), default=None)
     waiting = _stored(spark, f"{work}/open/{batch - 1}", photos.schema)
-    held = timeline.sessions(waiting.unionByName(on_time), gap)
-    ends = held.groupBy("start").agg((F.max("taken_at") < back(now, late, gap)).alias("closed"))
-    marked = held.join(ends, "start").select(*photos.columns, "closed").persist()
-    marked.where("not closed").drop("closed").write.mode("overwrite").parquet(f"{work}/open/{batch}")
-    timeline.events(marked.where("closed").drop("closed"), gap, least).write.mode("overwrite").parquet(f"{work}/events/{here}")
+    held = timeline.members(waiting.unionByName(on_time), gap, 1)
+    marked = held.withColumn("closed", F.col("end") < back(now, late, gap)).persist()
+    marked.where("not closed").select(*photos.columns).write.mode("overwrite").parquet(f"{work}/open/{batch}")
+    done = marked.where("closed").where(F.col("photo_count") >= least)
+    timeline.heads(done).write.mode("overwrite").parquet(f"{work}/events/{here}")
+    done.select("id", "pos", "path").write.mode("overwrite").parquet(f"{work}/photos/{here}")
     marked.unpersist()
     spark.createDataFrame([(now,)], clock).coalesce(1).write.mode("overwrite").parquet(f"{work}/seen/{batch}")
 
@@ -46,12 +47,22 @@ def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
     return read_parquet(spark, path, schema)
 
 
+HEADS = "id string, start timestamp_ntz, end timestamp_ntz, duration_days int, photo_count long, cover string"
+
+
 def run_events(stream: DataFrame, work: str, gap: str = "6 hours", late: str = "1 day", least: int = 3, stop: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, late photos) once the source of ``stream(path, taken_at, has_face)`` is drained.
+    """(events, late photos) of :func:`run_heads`, events with all of their photos in the row."""
+    found, photos, late_rows = run_heads(stream, work, gap, late, least, stop)
+    listed = photos.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda r: r["path"]).alias("photos"))
+    return found.join(listed, "id"), late_rows
+
+
+def run_heads(stream: DataFrame, work: str, gap: str = "6 hours", late: str = "1 day", least: int = 3, stop: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, their photos, late photos) once the source of ``stream(path, taken_at, has_face)`` is drained.
 
     ``work`` holds the checkpoint and all tables; a run goes on where the one before ended or failed.
-    Events are those of :func:`timeline.events` over the photos that were not late, as far as they are
-    closed.  ``stop(batch)`` is called behind each batch and may raise, for tests.
+    Events are those of :func:`timeline.heads` over the photos that were not late, as far as they are
+    closed; photos are ``(id, pos, path)``.  ``stop(batch)`` is called behind each batch and may raise, for tests.
     """
     spark = stream.sparkSession
 
@@ -65,6 +76,6 @@ def run_events(stream: DataFrame, work: str, gap: str = "6 hours", late: str = "
             stop(batch)
 
     stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    empty = timeline.events(spark.createDataFrame([], "path string, taken_at timestamp_ntz, has_face boolean"), gap, least)
-    late_rows = _stored(spark, f"{work}/late", "path string, taken_at timestamp_ntz, has_face boolean")
-    return _stored(spark, f"{work}/events", empty.schema).select(*empty.columns), late_rows.select("path", "taken_at", "has_face")
+    late_rows = _stored(spark, f"{work}/late", "path string, taken_at timestamp_ntz, has_face boolean").select("path", "taken_at", "has_face")
+    photos = _stored(spark, f"{work}/photos", "id string, pos long, path string").select("id", "pos", "path")
+    return _stored(spark, f"{work}/events", HEADS).select("id", "start", "end", "duration_days", "photo_count", "cover"), photos, late_rows
