@@ -27,12 +27,10 @@ def stream_assign(spark, d):
 
 
 def stream_sessions(spark, d):
-    """Per-user sessions of the event stream; complete mode, so it equals the batch result."""
+    """Per-user sessions of the event stream, with all rows however late, so it equals the batch result."""
     schema = a.table(spark, d, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.date_trunc("second", "ts"))
-    work = graph.work_folder(spark, "sessions")
-    name = "sessions_" + work.rsplit("-", 1)[1]
-    out = logs.collect_complete(logs.stream_sessions(events, "user_id", "ts", "6 hours", "1 hour"), name, f"{work}/checkpoint")
+    out = logs.fold_sessions(events, "user_id", "ts", "6 hours", graph.work_folder(spark, "sessions"))
     return out.select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"))
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from shoebox.operators import timeline
-from shoebox.streaming import timeline as live, visited
+from shoebox.streaming import logs, timeline as live, visited
 
 SCHEMA = "path string, taken_at timestamp_ntz, has_face boolean"
 
@@ -72,3 +72,19 @@ def test_each_path_once(spark, tmp_path):
     want = [("a", 1, 2), ("a", 2, 4), ("b", 3, 6), ("c", 4, 8), ("c", 5, 10)]
     assert sorted((r["path"], r["part"], r["twice"]) for r in visited.finished(log).collect()) == want
     assert visited.open_failures(log).count() == 0
+
+
+def test_sessions_fold_late_rows_without_the_driver(spark, tmp_path):
+    """Rows in any order over several batches; no table of the session's memory is made."""
+    start = datetime.datetime(2024, 1, 1)
+    at = [0, 360, 721, 5000, 5300, 9000, 800, 4700, 360]  # minutes; 800 and 4700 are late, 360 comes twice
+    folder, work = str(tmp_path / "in"), str(tmp_path / "work")
+    before = {t.name for t in spark.catalog.listTables()}
+    for i in range(0, 9, 3):
+        rows = [(u, start + datetime.timedelta(minutes=m)) for m in at[i:i + 3] for u in (1, 2)]
+        feed(spark, folder, [*rows, (3, None)], "user long, ts timestamp_ntz")
+        found = logs.fold_sessions(source(spark, folder, "user long, ts timestamp_ntz"), "user", "ts", "6 hours", work)
+    minutes = lambda t: (t - start).total_seconds() / 60
+    got = sorted((r["user"], minutes(r["start"]), minutes(r["end"]), r["n"]) for r in found.collect())
+    assert got == [(u, *s) for u in (1, 2) for s in ((0, 360, 3), (721, 800, 2), (4700, 5300, 3), (9000, 9000, 1))]
+    assert {t.name for t in spark.catalog.listTables()} == before
