@@ -93,7 +93,8 @@ PIECE = 64
 def pieces(rows: DataFrame, keys: tuple[str, ...] = ("id",), between: str = ",", path: Column | None = None) -> DataFrame:
     """``(keys, piece, text)``: the paths of an event in order, joined within pieces of bounded size."""
     at = F.floor(F.col("pos") / PIECE).alias("piece")
-    listed = rows.where("path is not null").groupBy(*keys, at).agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("path") if path is None else path).alias("path")))).alias("l"))
+    shown = F.col("path") if path is None else path
+    listed = rows.where(shown.isNotNull()).groupBy(*keys, at).agg(F.array_sort(F.collect_list(F.struct("pos", shown.alias("path")))).alias("l"))
     return listed.select(*keys, "piece", F.array_join(F.transform("l", lambda r: r["path"]), between).alias("text"))
 
 

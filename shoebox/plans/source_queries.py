@@ -67,11 +67,14 @@ def index_document(spark, d):
     index = a.photos(spark, d).select("path", F.col("taken_at").cast("string").alias("taken_at"), "location_name", "face_ids")
     documents.write_index_document(index.limit(1), f"{folder}/index.json", "2024-01-01")
     documents.write_index_document(index, f"{folder}/index.json", "2024-01-02")
-    found = timeline.events(a.photos(spark, d), "10 minutes").select("id", F.col("start").cast("string").alias("start"), "photos", "cover")
-    documents.write_timeline_document(found, f"{folder}/timeline.json", "2024-01-02", 1 / 6, 3)
+    start = F.col("start").cast("string").alias("start")
+    photos = graph.materialize(timeline.members(a.photos(spark, d).select("path", "taken_at", "has_face"), "10 minutes"))
+    found = graph.materialize(timeline.heads(photos).select("id", start, "cover"))
+    documents.write_timeline_document(found, photos.select("id", start, "pos", "path"), f"{folder}/timeline.json", "2024-01-02", 1 / 6, 3)
     images = documents.read_index(spark, f"{folder}/index.json", _IMAGE).select(F.lit("image").alias("part"), "path", F.col("taken_at").alias("at"), F.size("face_ids").cast("long").alias("n"), F.col("location_name").alias("more"))
-    told = documents.read_timeline(spark, f"{folder}/timeline.json", "struct<id:string,start:string,photos:array<string>,cover:string>")
-    return images.union(told.select(F.lit("event"), "id", "start", F.size("photos").cast("long"), "cover"))
+    told, members = documents.read_timeline_rows(spark, f"{folder}/timeline.json", "struct<id:string,start:string,photos:array<string>,cover:string>")
+    told = told.join(members.groupBy("seq").agg(F.count("*").alias("n")), "seq", "left")
+    return images.union(told.select(F.lit("event"), "id", "start", F.coalesce("n", F.lit(0).cast("long")), "cover"))
 
 
 def index_table(spark, d):

@@ -70,3 +70,41 @@ def test_failed_write_keeps_the_old_document(spark, tmp_path):
     with pytest.raises(Exception, match="no json|JSONDecodeError|Expecting"):
         documents.write_document(bad, path)
     assert json.loads((tmp_path / "kept.json").read_text(encoding="utf-8")) == NAMES and [p.name for p in tmp_path.iterdir()] == ["kept.json"]
+
+
+def test_large_documents_are_read_by_lines(spark, tmp_path, monkeypatch):
+    """The same entries by lines as whole; a document with one broken entry, or one comma too few, reads as empty."""
+    images = {f"/p \"{i}\" {{.jpg": {"n": i, "faces": [f"f{k}" for k in range(i % 3)], "at": None if i % 2 else "2024: ["} for i in range(300)}
+    events = [{"id": f"e{i}", "photos": [f"/p{i},{k}]" for k in range(3 + 90 * (i % 2))], "cover": f"c{i}"} for i in range(9)]
+    index, told = {"built_at": "t", "images": images}, {"built_at": "t", "events": events}
+    paths = save(tmp_path / "index.json", index), save(tmp_path / "timeline.json", told)
+    monkeypatch.setattr(documents, "WHOLE_BYTES", 100)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    whole = []
+    keep = documents.read_part
+    monkeypatch.setattr(documents, "read_part", lambda *a: whole.append(a) or keep(*a))
+    try:
+        shape = "struct<n:long,faces:array<string>,at:string>"
+        got = {r["path"]: {"n": r["n"], "faces": r["faces"], "at": r["at"]} for r in documents.read_index(spark, paths[0], shape).collect()}
+        assert got == images and not whole
+        heads, photos = documents.read_timeline_rows(spark, paths[1], "struct<id:string,photos:array<string>,cover:string>")
+        heads = heads.orderBy("seq").collect()
+        assert [(r["id"], r["cover"]) for r in heads] == [(e["id"], e["cover"]) for e in events] and not whole
+        name = {r["seq"]: r["id"] for r in heads}
+        assert sorted((name[r["seq"]], r["photo"]) for r in photos.collect()) == sorted((e["id"], p) for e in events for p in e["photos"])
+        for broken in (lambda t: t.replace('"n": 7,', '"n": 7'), lambda t: t.replace("    },\n", "    }\n", 1), lambda t: t.replace('"f1"\n', '"f1\n', 1)):
+            (tmp_path / "cut.json").write_text(broken((tmp_path / "index.json").read_text(encoding="utf-8")), encoding="utf-8")
+            assert documents.read_index(spark, str(tmp_path / "cut.json"), shape).count() == 0
+        del index["images"]["/p \"0\" {.jpg"]
+        assert documents.read_index(spark, save(tmp_path / "index.json", {"more": {"a": [1]}} | index), shape).count() == 299 and whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_timeline_document_of_pieces(spark, tmp_path):
+    photos = [(f"e{i}", f"t{i}", k, f"/p\"{i} {k}\\") for i in range(3) for k in range(70 * i + 3)]
+    events = [(f"e{i}", f"t{i}", None if i == 1 else f"c{i}") for i in range(3)]
+    rows = spark.createDataFrame(photos, "id string, start string, pos long, path string").repartition(3)
+    documents.write_timeline_document(spark.createDataFrame(events, "id string, start string, cover string"), rows, str(tmp_path / "t.json"), "b", 0.5, 3)
+    want = [{"id": e, "start": s, "photos": [p[3] for p in photos if p[0] == e], "cover": c} for e, s, c in events[::-1]]
+    assert (tmp_path / "t.json").read_text(encoding="utf-8") == json.dumps({"built_at": "b", "gap_hours": 0.5, "min_photos": 3, "total_events": 3, "events": want}, indent=2, ensure_ascii=False)
