@@ -156,16 +156,17 @@ def placed(rows: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     return rows.select("id", "vector", *extra).mapInArrow(run, schema)
 
 
-def blocks(rows: DataFrame, block: int = BLOCK, many: bool = True) -> DataFrame:
+def blocks(rows: DataFrame, block: int = BLOCK, many: bool = True, deal: str = "id") -> DataFrame:
     """Rows of :func:`placed` with ``m`` and ``g``, so that ``(cell, ring, m, g)`` has bounded members and guests.
 
     A member is repeated for each block of guests of its ring and the reverse; rings without members
     or without guests of other rows are left out.  ``many`` rings have their sizes joined, a single one's are broadcast.
+    ``deal`` names the column whose hash deals rows to blocks.
     """
     sizes = rows.groupBy("cell", "ring").agg(F.count_if(~F.col("guest")).alias("members"), F.count_if("guest").alias("guests")).where("members > 0 and guests > 0")
     counted = sizes.select("cell", "ring", F.ceil(F.col("members") / block).cast("int").alias("ms"), F.ceil(F.col("guests") / block).cast("int").alias("gs"))
     dealt = rows.join(counted if many else F.broadcast(counted), ["cell", "ring"])  # one row
-    own = F.xxhash64(F.col("id"), F.lit(9))
+    own = F.xxhash64(F.col(deal), F.lit(9))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     m = F.when(F.col("guest"), every("ms")).otherwise(F.array(F.pmod(own, F.col("ms")).cast("int")))
     g = F.when(F.col("guest"), F.array(F.pmod(own, F.col("gs")).cast("int"))).otherwise(every("gs"))

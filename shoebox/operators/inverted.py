@@ -114,7 +114,7 @@ def nearest(items: DataFrame, file: InvertedFile, meter=None) -> DataFrame:
         if visits.isEmpty():
             break
         guests = visits.select("id", F.lit(None).cast(key).alias("target"), "vector", F.col("list").alias("cell"), F.lit(0).alias("ring"), F.lit(True).alias("guest"), F.xxhash64("id").alias("deal"))
-        found = density.blocks(guests.unionByName(members.join(visits.select(F.col("list").alias("cell")).distinct(), "cell", "left_semi")), "deal").groupBy("cell", "ring", "m", "g").applyInArrow(compare, out)
+        found = density.blocks(guests.unionByName(members.join(visits.select(F.col("list").alias("cell")).distinct(), "cell", "left_semi")), deal="deal").groupBy(*density.KEY).applyInArrow(compare, out)
         met = found.unionByName(state.where("target is not null").select("id", "target", "similarity")).groupBy("id").agg(best).select("id", "b.*")
         after = graph.materialize(state.select("id", "vector").join(met, "id", "left"))
         # who opened no list in this round has no bound left that could win

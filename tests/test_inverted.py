@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from test_density import frame, tight
 
-from shoebox.operators import cluster, inverted
+from pyspark.sql import functions as F
+
+from shoebox.operators import cluster, density, inverted
 
 
 def targets_of(spark, x, kind):
@@ -53,3 +55,10 @@ def test_no_targets(spark):
     items = frame(spark, [1], np.ones((1, 3)))
     assert inverted.nearest(items, inverted.build(empty)).count() == 0 and cluster.nearest(items, empty).count() == 0
     assert inverted.top_k(inverted.build(empty), [1.0, 0.0, 0.0], 3)[0].count() == 0
+
+
+def test_blocks_deal_by_a_column(spark):
+    """Members without an id are dealt to blocks of bounded size by the column named, and meet each guest once."""
+    rows = spark.range(600).select(F.when(F.col("id") < 200, F.col("id")).alias("id"), F.col("id").alias("key"), F.lit(0).alias("cell"), F.lit(0).alias("ring"), (F.col("id") < 200).alias("guest"))
+    met = density.blocks(rows, 100, deal="key").groupBy("m", "g").agg(F.count_if("guest").alias("guests"), F.count_if(~F.col("guest")).alias("members")).collect()
+    assert len(met) == 8 and max(r["members"] for r in met) < 160 and sum(r["guests"] * r["members"] for r in met) == 200 * 400
