@@ -69,7 +69,7 @@ def nearest(items: DataFrame, targets: DataFrame) -> DataFrame:
     if size is None:
         return items.sparkSession.createDataFrame([], out)
     if size <= SMALL_SIDE:
-        listed = ordered.orderBy("target").collect()
+        listed = ordered.groupBy("vector").agg(F.min("target").alias("target")).orderBy("target").collect()
         arrow = to_arrow_type(kind)
         shared = items.sparkSession.sparkContext.broadcast(([r["target"] for r in listed], np.asarray([r["vector"] for r in listed], dtype=np.float64)))
 
@@ -79,9 +79,8 @@ def nearest(items: DataFrame, targets: DataFrame) -> DataFrame:
             for batch in batches:
                 for low in range(0, batch.num_rows, BLOCK):
                     part = batch.slice(low, BLOCK)
-                    scores = _matrix(part.column("vector")) @ side.T
-                    top = scores.argmax(1)
-                    yield pa.RecordBatch.from_arrays([part.column("id"), names.take(pa.array(top)), pa.array(scores[np.arange(len(top)), top])], names=out.names)
+                    top, score = inverted.winners(_matrix(part.column("vector")), side)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), names.take(pa.array(top)), pa.array(score)], names=out.names)
 
         return rows.mapInArrow(best, out)
     return inverted.nearest(rows, inverted.build(ordered))

@@ -6,7 +6,7 @@ from test_density import frame, tight
 
 from pyspark.sql import functions as F
 
-from shoebox.operators import cluster, density, inverted
+from shoebox.operators import cluster, density, graph, inverted
 
 
 def targets_of(spark, x, kind):
@@ -62,3 +62,51 @@ def test_blocks_deal_by_a_column(spark):
     rows = spark.range(600).select(F.when(F.col("id") < 200, F.col("id")).alias("id"), F.col("id").alias("key"), F.lit(0).alias("cell"), F.lit(0).alias("ring"), (F.col("id") < 200).alias("guest"))
     met = density.blocks(rows, 100, deal="key").groupBy("m", "g").agg(F.count_if("guest").alias("guests"), F.count_if(~F.col("guest")).alias("members")).collect()
     assert len(met) == 8 and max(r["members"] for r in met) < 160 and sum(r["guests"] * r["members"] for r in met) == 200 * 400
+
+
+def test_items_that_open_many_lists_meet_targets_in_blocks(spark, monkeypatch):
+    """Items near a list's centre go by lists, those without structure by blocks; no table holds an item once a list."""
+    x = tight(40, 40, 32, 0.1, seed=12)
+    rng = np.random.default_rng(13)
+    q = np.vstack([x[::40] * 2, rng.normal(size=(500, 32))])
+    file = inverted.build(targets_of(spark, x, "string"))
+    monkeypatch.setattr(density, "FEW_GUESTS", 4)
+    written = []
+    keep = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda rows: written.append(keep(rows)) or written[-1])
+    got = {r["id"]: r["target"] for r in inverted.nearest(frame(spark, list(range(len(q))), q, [(-1, None)]), file).collect()}
+    assert got == {i: f"t{t:05d}" for i, t in enumerate((q @ x.T).argmax(1))}
+    assert max(t.count() for t in written if "vector" in t.columns) <= len(q)
+
+
+@pytest.mark.parametrize("small", [1 << 30, 0])
+def test_copies_of_a_target_tie(spark, monkeypatch, small):
+    """The smallest of a target's copies is found wherever a matrix product rounds them."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(1009, 64)).astype(np.float32).astype(float)
+    x = np.vstack([x, x, x[:501]])
+    q = rng.normal(size=(777, 64))
+    monkeypatch.setattr(cluster, "SMALL_SIDE", small)
+    got = {r["id"]: (r["target"], r["similarity"]) for r in cluster.nearest(frame(spark, list(range(len(q))), q), targets_of(spark, x, "long")).collect()}
+    exact = np.zeros((len(q), 1009))
+    for d in range(64):
+        exact += np.outer(q[:, d], x[:1009, d])
+    assert got == {i: (int(s.argmax()), s.max()) for i, s in enumerate(exact)}
+
+
+def test_winners_hold_few_products(monkeypatch):
+    rng = np.random.default_rng(15)
+    x, y = rng.normal(size=(50, 8)), rng.normal(size=(300, 8))
+    want = inverted.winners(x, y)
+    monkeypatch.setattr(inverted, "PRODUCTS", 1000)
+    at, score = inverted.winners(x, y)
+    assert (at == want[0]).all() and (score == want[1]).all() and (at == (x @ y.T).argmax(1)).all()
+
+
+@pytest.mark.parametrize("name", ["label_propagation"])
+def test_query_is_the_same_through_the_inverted_file(spark, monkeypatch, name):
+    from shoebox.plans import catalogue
+
+    want = sorted(map(tuple, catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").collect()), key=str)
+    monkeypatch.setattr(cluster, "SMALL_SIDE", 0)
+    assert sorted(map(tuple, catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").collect()), key=str) == want
