@@ -103,7 +103,7 @@ def test_winners_hold_few_products(monkeypatch):
     assert (at == want[0]).all() and (score == want[1]).all() and (at == (x @ y.T).argmax(1)).all()
 
 
-@pytest.mark.parametrize("name", ["label_propagation"])
+@pytest.mark.parametrize("name", ["label_propagation", "propagation_totals"])
 def test_query_is_the_same_through_the_inverted_file(spark, monkeypatch, name):
     from shoebox.plans import catalogue
 
